@@ -16,7 +16,7 @@ OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "<": lambda c, v: c < v,
     ">=": lambda c, v: c >= v,
     "<=": lambda c, v: c <= v,
-    "LIKE": lambda c, v: c.like(v),
+    "LIKE": F.like,
 }
 
 
