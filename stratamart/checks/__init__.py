@@ -1,4 +1,4 @@
 """Queries over the star-schema tables, each with the SQL that must give the same rows."""
 
 from stratamart.checks.registry import CHECKS, Check  # noqa: F401
-from stratamart.checks import charts, joins, loads, marts, measures, scalars, science  # noqa: F401, E402
+from stratamart.checks import marts, scalars, joins, measures, charts, loads, science  # noqa: F401, E402

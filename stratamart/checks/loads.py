@@ -1 +1,307 @@
+"""Files in and out, and the ways of storing a model's result."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratamart.checks.registry import CHECKS, check, orders_mart
+from stratamart.operators import aggregates, materialize
+from stratamart.operators.materialize import Warehouse
+from stratamart.session import scratch_path
+from stratamart.sources import Tables
+from stratamart.sources import files, raw
+from stratamart.plans import MODELS, MartContext
+from stratamart.streaming import incremental
+
+SPLIT = "2000-01-01 00:00:00"
+
+
+def warehouse(t: Tables) -> Warehouse:
+    """A database of its own for one run of a check."""
+    return Warehouse(t.spark, f"checks_{uuid.uuid4().hex}", scratch_path(t.spark, "warehouse"))
+
+
+def same_rows_as(model: str):
+    """The spec and SQL of a model check, for loads that must end up with the same rows."""
+    known = CHECKS[model]
+    return known.spec, known.query
+
+
+# -- scans -------------------------------------------------------------------------------
+
+@check("source_scan", "long: id customer_id, text: order_date status, double: total_amount", "SELECT * FROM raw_orders")
+def source_scan(t: Tables) -> DataFrame:
+    return orders_mart(t).source("orders")
+
+
+@check("ref_scan", "text: segment_of_order, long: n",
+       "SELECT CASE WHEN total_amount < 100 THEN 'Low Value' WHEN total_amount < 1000 THEN 'Medium Value' "
+       "ELSE 'High Value' END AS segment_of_order, count(*) AS n FROM raw_orders GROUP BY 1")
+def ref_scan(t: Tables) -> DataFrame:
+    return orders_mart(t).ref("fct_orders").groupBy(F.col("order_value_tier").alias("segment_of_order")).agg(
+        F.count("*").alias("n"))
+
+
+@check("sql_scan", "text: o_orderpriority, long: n",
+       "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY o_orderpriority")
+def sql_scan(t: Tables) -> DataFrame:
+    """A SELECT with a named parameter and a table argument."""
+    return t.spark.sql("SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_totalprice > :least "
+                       "GROUP BY o_orderpriority", args={"least": 200000}, orders=t.orders)
+
+
+@check("table_write", "long: c_custkey copies, text: c_name",
+       "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS copies FROM customer")
+def table_write(t: Tables) -> DataFrame:
+    """Replace, then append the even keys once more."""
+    w = warehouse(t)
+    rows = t.customer.select("c_custkey", "c_name")
+    w.write("people", rows, "fail")
+    w.write("people", rows, "replace")
+    w.write("people", rows.where(F.col("c_custkey") % 2 == 0), "append")
+    return w.read("people").groupBy("c_custkey", "c_name").agg(F.count("*").alias("copies"))
+
+
+def customer_csv(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "csv")
+    t.customer.write.csv(path, header=True)
+    return files.read_csv(t.spark, path)
+
+
+@check("csv_ingest", "long: c_custkey c_nationkey, text: c_name c_mktsegment, double: c_acctbal",
+       "SELECT * FROM customer")
+def csv_ingest(t: Tables) -> DataFrame:
+    """Written as CSV, read back with inferred types, stored under the CSV table name."""
+    return warehouse(t).write(files.csv_table_name("Customer list.csv"), customer_csv(t))
+
+
+@check("csv_preview", "text: column type, long: row_count preview_rows",
+       """SELECT c AS "column", ty AS type, (SELECT count(*) FROM customer) AS row_count, 10 AS preview_rows
+          FROM (VALUES ('c_custkey', 'int'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'),
+            ('c_mktsegment', 'string')) v(c, ty)""")
+def csv_preview(t: Tables) -> DataFrame:
+    found = files.csv_preview(customer_csv(t))
+    rows = [(c["name"], c["type"], found["row_count"], len(found["data"])) for c in found["columns"]]
+    return t.spark.createDataFrame(rows, "column string, type string, row_count long, preview_rows long")
+
+
+_PROFILED = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@check("asset_profile", "text: column, long: rows nulls distinct_values",
+       " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, 0 AS nulls, count(DISTINCT {c}) "
+                          "AS distinct_values FROM customer" for c in _PROFILED)
+       + " UNION ALL SELECT 'holes', count(*), count(*) FILTER (c_nationkey % 5 = 2), "
+         "count(DISTINCT nullif(c_nationkey % 5, 2)) FROM customer")
+def asset_profile(t: Tables) -> DataFrame:
+    with_holes = customer_csv(t).withColumn("holes", F.nullif(F.col("c_nationkey") % 5, F.lit(2)))
+    return aggregates.profile(with_holes)
+
+
+@check("dataset_preview", "long: o_orderkey, text: o_orderpriority",
+       "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 100")
+def dataset_preview(t: Tables) -> DataFrame:
+    return files.dataset_preview(t.orders, filters={"o_orderstatus": "P"}, order_by=["o_orderkey"])
+
+
+@check("asset_lookup", "text: r_name currency, long: customers",
+       """SELECT r_name, currency, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey
+            JOIN region ON r_regionkey = n_regionkey LEFT JOIN (VALUES ('AFRICA', 'ZAR'), ('ASIA', 'JPY')) v(r, currency)
+            ON r = r_name GROUP BY ALL""")
+def asset_lookup(t: Tables) -> DataFrame:
+    """A lookup derived from the region table is stored as a CSV asset and joined back."""
+    path = scratch_path(t.spark, "asset")
+    currency = F.when(F.col("r_name") == "AFRICA", "ZAR").when(F.col("r_name") == "ASIA", "JPY")
+    t.region.select("r_name", currency.alias("currency")).where(currency.isNotNull()).write.csv(path, header=True)
+    asset = files.read_csv(t.spark, path, "r_name string, currency string")
+    per_nation = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    placed = per_nation.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return placed.join(asset, "r_name", "left").groupBy("r_name", "currency").agg(F.sum("n").alias("customers"))
+
+
+@check("date_spine_fill", "long: bucket errors, text: date",
+       """SELECT b.bucket, d.date, coalesce(n, 0) AS errors
+          FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date) d
+            CROSS JOIN (SELECT DISTINCT user_id % 10 AS bucket FROM events) b
+            LEFT JOIN (SELECT user_id % 10 AS bucket, CAST(ts AS DATE) AS date, count(*) AS n FROM events
+              WHERE event_type = 'error' AND user_id < 30 GROUP BY ALL) e ON e.bucket = b.bucket AND e.date = d.date""")
+def date_spine_fill(t: Tables) -> DataFrame:
+    """Errors of the first users per bucket for every day of January, 0 on days without any."""
+    span = t.events.agg(F.trunc(F.min(F.to_date("ts")), "month").alias("first"),
+                        F.last_day(F.max(F.to_date("ts"))).alias("last"))
+    days = files.date_spine(span).agg(F.sort_array(F.collect_list("date")))
+    buckets = t.events.select((F.col("user_id") % 10).alias("bucket")).distinct()
+    spine = buckets.select("bucket", F.explode(days.scalar()).alias("date"))
+    counted = t.events.where((F.col("event_type") == "error") & (F.col("user_id") < 30)).groupBy(
+        (F.col("user_id") % 10).alias("bucket"), F.to_date("ts").alias("date")).agg(F.count("*").alias("errors"))
+    return spine.join(counted, ["bucket", "date"], "left").na.fill(0, ["errors"])
+
+
+# -- materializations --------------------------------------------------------------------
+
+def _checked_load(name: str, model: str):
+    spec, query = same_rows_as(model)
+    return check(name, spec, query)
+
+
+@_checked_load("mat_view", "stg_orders")
+def mat_view(t: Tables) -> DataFrame:
+    return warehouse(t).view("checks_stg_orders", orders_mart(t).ref("stg_orders"))
+
+
+@check("mat_view_from_query", "long: order_id", "SELECT id AS order_id FROM raw_orders WHERE total_amount >= 1000")
+def mat_view_from_query(t: Tables) -> DataFrame:
+    w = warehouse(t)
+    w.view("checks_orders", orders_mart(t).ref("stg_orders"))
+    return w.view_from_query("checks_large_orders", "SELECT order_id FROM checks_orders WHERE total_amount >= 1000")
+
+
+@_checked_load("mat_table", "fct_orders")
+def mat_table(t: Tables) -> DataFrame:
+    return warehouse(t).write("fct_orders", orders_mart(t).ref("fct_orders"), "replace")
+
+
+@_checked_load("mat_layout_hint", "fct_orders")
+def mat_layout_hint(t: Tables) -> DataFrame:
+    """Partitioned by year, sorted by customer within files, order ids verified unique."""
+    return warehouse(t).write("fct_orders", orders_mart(t).ref("fct_orders"), "replace", ["order_year"],
+                              ["customer_id"], ["order_id"])
+
+
+@_checked_load("mat_ephemeral", "int_supplier_orders")
+def mat_ephemeral(t: Tables) -> DataFrame:
+    return orders_mart(t).ref("int_supplier_orders")
+
+
+@_checked_load("mat_python", "int_products_enriched")
+def mat_python(t: Tables) -> DataFrame:
+    ctx = orders_mart(t)
+    return warehouse(t).python_model("int_products_enriched", lambda df: df, ctx.ref("int_products_enriched"))
+
+
+@_checked_load("python_model", "int_products_enriched")
+def python_model(t: Tables) -> DataFrame:
+    return MODELS["int_products_enriched"].build(orders_mart(t))
+
+
+def first_batch(t: Tables, **early: str) -> MartContext:
+    """Sources as they were before the split day, by the date column named for each."""
+    def source(name: str) -> DataFrame:
+        rows = raw.RAW_TABLES[name](t)
+        return rows.where(F.col(early[name]) < F.lit(SPLIT).cast("timestamp_ntz")) if name in early else rows
+
+    return MartContext(source, orders_mart(t).as_of)
+
+
+@_checked_load("mat_incremental_append", "int_order_details")
+def mat_incremental_append(t: Tables) -> DataFrame:
+    """Two loads, before and after the split, give the rows of one full load."""
+    w = warehouse(t)
+    name, watermark = "int_order_details", MODELS["int_order_details"].watermark
+    w.incremental(name, first_batch(t, orders="order_date").ref(name), watermark)
+    return w.incremental(name, orders_mart(t).ref(name), watermark)
+
+
+@_checked_load("mat_incremental_upsert", "int_customer_orders")
+def mat_incremental_upsert(t: Tables) -> DataFrame:
+    w = warehouse(t)
+    name, model = "int_customer_orders", MODELS["int_customer_orders"]
+    w.incremental(name, first_batch(t, orders="order_date").ref(name), model.watermark, model.unique_key)
+    return w.incremental(name, orders_mart(t).ref(name), model.watermark, model.unique_key)
+
+
+_BALANCE = "CAST(c_acctbal AS DECIMAL(12,2))"
+
+
+def _delta(t: Tables) -> DataFrame:
+    """Every seventh customer changed, plus as many new keys."""
+    seventh = t.customer.where(F.col("c_custkey") % 7 == 0).select(
+        F.col("c_custkey").alias("id"), F.lit("changed").alias("segment"),
+        (F.col("c_acctbal").cast("decimal(12,2)") + 100).cast("decimal(12,2)").alias("balance"))
+    return seventh.unionByName(seventh.withColumns({"id": -F.col("id") - 1, "segment": F.lit("new")}))
+
+
+def _base(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"),
+                             F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
+
+
+@check("mat_upsert_on_conflict", "long: id, text: segment, double: balance",
+       f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'changed' ELSE c_mktsegment END AS segment,
+             {_BALANCE} + CASE WHEN c_custkey % 7 = 0 THEN 100 ELSE 0 END AS balance FROM customer
+           UNION ALL SELECT -c_custkey - 1, 'new', {_BALANCE} + 100 FROM customer WHERE c_custkey % 7 = 0""")
+def mat_upsert_on_conflict(t: Tables) -> DataFrame:
+    """Update on conflict: segment is the partition, so changed rows move to another one."""
+    w = warehouse(t)
+    w.upsert("balances", _base(t), ["id"], ["segment"])
+    return w.upsert("balances", _delta(t), ["id"], ["segment"])
+
+
+@check("mat_insert_do_nothing", "long: id, text: segment, double: balance",
+       f"""SELECT c_custkey AS id, c_mktsegment AS segment, {_BALANCE} AS balance FROM customer
+           UNION ALL SELECT -c_custkey - 1, 'new', {_BALANCE} + 100 FROM customer WHERE c_custkey % 7 = 0""")
+def mat_insert_do_nothing(t: Tables) -> DataFrame:
+    return materialize.insert_missing(_base(t), _delta(t), ["id"])
+
+
+@check("mat_patch_update", "long: id, text: segment, double: balance",
+       f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 14 = 0 THEN 'PATCHED' ELSE c_mktsegment END AS segment,
+             CASE WHEN c_custkey % 14 = 7 THEN 0 ELSE {_BALANCE} END AS balance FROM customer""")
+def mat_patch_update(t: Tables) -> DataFrame:
+    """Even sevenths patch the segment, odd ones the balance; the other value is NULL and stays."""
+    even = F.col("c_custkey") % 14 == 0
+    patch = t.customer.where(F.col("c_custkey") % 7 == 0).select(
+        F.col("c_custkey").alias("id"), F.when(even, "PATCHED").alias("segment"),
+        F.when(~even, F.lit(0)).cast("decimal(12,2)").alias("balance"))
+    return materialize.patch_rows(_base(t), patch, ["id"])
+
+
+# -- streams -----------------------------------------------------------------------------
+
+_STREAMED = ("order_item_id bigint, order_id bigint, product_id bigint, quantity int, unit_price decimal(10,2), "
+             "line_total decimal(12,2), loaded_at timestamp_ntz")
+
+
+@_checked_load("incremental_stream", "int_order_details")
+def incremental_stream(t: Tables) -> DataFrame:
+    """Order lines arrive as files in two steps; each run joins only the new ones."""
+    arriving, target, state = (scratch_path(t.spark, label) for label in ("arriving", "details", "state"))
+
+    def enrich(lines: DataFrame) -> DataFrame:
+        ctx = orders_mart(t)
+        ctx.bind("stg_order_items", lines)
+        return ctx.ref("int_order_details")
+
+    lines = orders_mart(t).ref("stg_order_items")
+    early = F.col("order_id") % 2 == 0
+    for part in (lines.where(early), lines.where(~early)):
+        part.write.mode("append").parquet(arriving)
+        incremental.stream_append(incremental.new_files(t.spark, arriving, _STREAMED), enrich, target, state)
+    return t.spark.read.parquet(target)
+
+
+_ORDER_ROWS = "order_id bigint, customer_id bigint, order_date timestamp_ntz, total_amount decimal(10,2), status string"
+
+
+@_checked_load("incremental_stream_upsert", "int_customer_orders")
+def incremental_stream_upsert(t: Tables) -> DataFrame:
+    """All orders arrive as 'new', then with their final status, oldest last: late rows still count."""
+    w, name = warehouse(t), "int_customer_orders"
+    arriving, state = scratch_path(t.spark, "arriving"), scratch_path(t.spark, "state")
+
+    def enrich(rows: DataFrame) -> DataFrame:
+        ctx = orders_mart(t)
+        ctx.bind("stg_orders", rows)
+        return ctx.ref(name)
+
+    final = orders_mart(t).ref("stg_orders")
+    recent = F.col("order_date") >= F.lit(SPLIT).cast("timestamp_ntz")
+    for part in (final.withColumn("status", F.lit("new")), final.where(recent), final.where(~recent)):
+        part.write.mode("append").parquet(arriving)
+        incremental.stream_upsert(incremental.new_files(t.spark, arriving, _ORDER_ROWS), enrich, w, name,
+                                  ["order_id"], state)
+    return w.read(name)
