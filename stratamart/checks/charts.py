@@ -1 +1,186 @@
+"""Chart, dashboard and ad-hoc queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratamart.checks.registry import check, orders_mart
+from stratamart.checks.sql import exact_avg
+from stratamart.functions import clean_output
+from stratamart.operators import charts, filters
+from stratamart.operators.charts import Chart
+from stratamart.session import scratch_path
+from stratamart.sources import Tables
+from stratamart.sources import raw
+
+PRICE = "CAST(o_totalprice AS DECIMAL(12,2))"
+
+
+def priced_orders(t: Tables) -> DataFrame:
+    return t.orders.withColumn("price", F.col("o_totalprice").cast("decimal(12,2)"))
+
+
+@check("chart_table", "long: o_orderkey o_custkey, text: o_orderpriority",
+       "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000 "
+       "ORDER BY o_orderkey LIMIT 100")
+def chart_table(t: Tables) -> DataFrame:
+    chart = Chart("table", columns=["o_orderkey", "o_custkey", "o_orderpriority"], filters={"o_orderstatus": "F"},
+                  conditions=[("o_totalprice", ">", 400000.0)])
+    return charts.table_chart(t.orders, chart, order_by=["o_orderkey"])
+
+
+@check("chart_metric", "text: how, double: value",
+       f"""SELECT 'sum' AS how, CAST(sum({PRICE}) AS DOUBLE) AS value FROM orders WHERE o_orderstatus = 'F' UNION ALL
+           SELECT 'avg', {exact_avg(PRICE)} FROM orders WHERE o_orderstatus = 'F' UNION ALL
+           SELECT 'count', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL
+           SELECT 'max', max(o_totalprice) FROM orders WHERE o_orderstatus = 'F' UNION ALL
+           SELECT 'min', min(o_totalprice) FROM orders WHERE o_orderstatus = 'F' UNION ALL
+           SELECT 'none', 0""")
+def chart_metric(t: Tables) -> DataFrame:
+    out = None
+    for how in ("sum", "avg", "count", "max", "min", "none"):
+        wanted = {"o_orderstatus": "?" if how == "none" else "F"}
+        chart = Chart("metric", y_axis="price", aggregation="sum" if how == "none" else how, filters=wanted)
+        row = charts.metric_chart(priced_orders(t), chart).withColumn("how", F.lit(how))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@check("chart_multi_metric", "text: label, double: sum_price avg_price max_price, long: count_o_custkey",
+       f"""SELECT o_orderpriority AS label, sum({PRICE}) AS sum_price, {exact_avg(PRICE)} AS avg_price,
+             max(o_totalprice) AS max_price, count(o_custkey) AS count_o_custkey
+           FROM orders WHERE year(o_orderdate) = 1997 GROUP BY o_orderpriority""")
+def chart_multi_metric(t: Tables) -> DataFrame:
+    chart = Chart(x_axis="o_orderpriority",
+                  metrics=[("price", "sum"), ("price", "avg"), ("price", "max"), ("o_custkey", "count")],
+                  filters={"order_year": 1997}, expressions={"order_year": "year(o_orderdate)"})
+    return charts.multi_chart(priced_orders(t), chart)
+
+
+check("agg_multi_measures", "text: label, double: sum_price avg_price max_price, long: count_o_custkey",
+      f"""SELECT o_orderstatus AS label, sum({PRICE}) AS sum_price, {exact_avg(PRICE)} AS avg_price,
+            max(o_totalprice) AS max_price, count(o_custkey) AS count_o_custkey FROM orders GROUP BY o_orderstatus""")(
+    lambda t: charts.multi_chart(priced_orders(t), Chart(
+        x_axis="o_orderstatus",
+        metrics=[("price", "sum"), ("price", "avg"), ("price", "max"), ("o_custkey", "count")])))
+
+
+@check("chart_xy", "text: label, double: value",
+       f"""SELECT strftime(o_orderdate, '%Y-%m') AS label, sum({PRICE}) AS value FROM orders GROUP BY 1
+           ORDER BY label LIMIT 50""")
+def chart_xy(t: Tables) -> DataFrame:
+    """Revenue per month: the first 50 of about 80 months."""
+    monthly = priced_orders(t).withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    return charts.xy_chart(monthly, Chart("line", "month", "price", "sum"))
+
+
+_STACKED = """SELECT CAST(ts AS DATE) AS label, event_type AS category, sum(CAST(value AS DECIMAL(12,2))) AS value
+    FROM events GROUP BY ALL ORDER BY label, category LIMIT 500"""
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+def stacked_events(t: Tables) -> tuple[DataFrame, Chart]:
+    daily = t.events.select(F.to_date("ts").alias("day"), "event_type", F.col("value").cast("decimal(12,2)").alias("v"))
+    return daily, Chart("bar-stacked", "day", "v", "sum", category="event_type")
+
+
+_WIDE = (f"SELECT label, " + ", ".join(f"coalesce(sum(value) FILTER (category = '{k}'), 0) AS {k}" for k in _KINDS)
+         + f" FROM ({_STACKED}) s GROUP BY label")
+
+
+@check("chart_stacked", f"text: label, double: {' '.join(_KINDS)}", _WIDE)
+def chart_stacked(t: Tables) -> DataFrame:
+    return charts.stacked_chart(*stacked_events(t))
+
+
+@check("pivot_stacked", f"text: label, double: {' '.join(_KINDS)}", _WIDE)
+def pivot_stacked(t: Tables) -> DataFrame:
+    """The same with the categories given, which saves reading them first."""
+    return charts.stacked_chart(*stacked_events(t), categories=_KINDS)
+
+
+@check("filter_values", "text: value",
+       "SELECT DISTINCT p_brand AS value FROM part WHERE p_brand IS NOT NULL ORDER BY value LIMIT 1000")
+def filter_values(t: Tables) -> DataFrame:
+    return filters.distinct_values(t.part, "p_brand")
+
+
+@check("distinct_values", "text: value",
+       "SELECT DISTINCT year(o_orderdate) * 100 + month(o_orderdate) AS value FROM orders ORDER BY value LIMIT 1000")
+def distinct_values(t: Tables) -> DataFrame:
+    return filters.distinct_values(t.orders, expression="extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate)")
+
+
+_OPTION_FIELDS = {"status": "Status", "order_year": "Order Year", "order_month": "Order Month",
+                  "order_value_tier": "Order Value Tier"}
+_OPTION_SOURCE = """(SELECT status, CAST(year(order_date) AS VARCHAR) AS order_year, CAST(month(order_date) AS VARCHAR)
+    AS order_month, CASE WHEN total_amount < 100 THEN 'Low Value' WHEN total_amount < 1000 THEN 'Medium Value'
+    ELSE 'High Value' END AS order_value_tier FROM raw_orders)"""
+
+
+@check("dashboard_filter_options", "text: field label value",
+       " UNION ALL ".join(f"SELECT DISTINCT '{f}' AS field, '{label}' AS label, {f} AS value FROM {_OPTION_SOURCE} o"
+                          for f, label in _OPTION_FIELDS.items()))
+def dashboard_filter_options(t: Tables) -> DataFrame:
+    return filters.filter_options(orders_mart(t).ref("fct_orders"))
+
+
+@check("dashboard_cascading_filters", "text: value",
+       "SELECT DISTINCT year(order_date) AS value FROM raw_orders JOIN raw_customers c ON c.id = customer_id "
+       "WHERE segment = 'BUILDING' AND status = 'pending' AND total_amount > 1990")
+def dashboard_cascading_filters(t: Tables) -> DataFrame:
+    """Years that still occur once a segment, a status and a least amount are chosen."""
+    people = raw.customers(t).select(F.col("id").alias("customer_id"), "segment")
+    joined = raw.orders(t).join(people, "customer_id").withColumn("order_year", F.year("order_date"))
+    chosen = filters.filter_ops(joined, [("total_amount", ">", 1990)])
+    return filters.distinct_values(chosen, "order_year", filters={"segment": "BUILDING", "status": "pending"})
+
+
+_SAMPLE = """
+  SELECT 'Customers by Segment' AS chart, segment AS label, CAST(count(*) AS DOUBLE) AS value FROM raw_customers GROUP BY 2
+  UNION ALL SELECT 'Orders by Status', status, count(*) FROM raw_orders GROUP BY 2
+  UNION ALL (SELECT 'Revenue Over Time', CAST(order_date AS VARCHAR), CAST(sum(total_amount) AS DOUBLE) FROM raw_orders
+    GROUP BY order_date ORDER BY order_date {limit})
+  UNION ALL SELECT 'Products by Category', category, count(*) FROM raw_products GROUP BY 2"""
+
+
+@check("dashboard_sample_charts", "text: chart label, double: value", _SAMPLE.format(limit="LIMIT 50"))
+def dashboard_sample_charts(t: Tables) -> DataFrame:
+    out = None
+    for table, chart in charts.SAMPLE_CHARTS:
+        rows = charts.labelled(raw.RAW_TABLES[table](t), chart, charts.XY_ROWS)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@check("export_dashboard", "text: chart label, double: value", _SAMPLE.format(limit=""))
+def export_dashboard(t: Tables) -> DataFrame:
+    """All sample charts in full, written as CSV by chart and read back; a metric chart is left out."""
+    path = scratch_path(t.spark, "dashboard")
+    listed = [(raw.RAW_TABLES[table](t), chart) for table, chart in charts.SAMPLE_CHARTS]
+    listed.append((raw.orders(t), Chart("metric", y_axis="total_amount", title="Total")))
+    charts.export_dashboard(listed, path)
+    return t.spark.read.csv(path, header=True, schema="label string, value double, chart string")
+
+
+@check("export_chart", "text: label, double: value",
+       f"SELECT CAST(o_orderdate AS DATE) AS label, sum({PRICE}) AS value FROM orders GROUP BY 1")
+def export_chart(t: Tables) -> DataFrame:
+    """A chart with more labels than are shown is exported whole."""
+    path = scratch_path(t.spark, "chart")
+    daily = priced_orders(t).withColumn("day", F.to_date("o_orderdate"))
+    charts.export_chart(daily, Chart("line", "day", "price", "sum"), path)
+    return t.spark.read.csv(path, header=True, schema="label string, value double")
+
+
+@check("adhoc_sql", "text: o_orderpriority first_order, long: orders, double: total",
+       f"""SELECT o_orderpriority, strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS first_order, count(*) AS orders,
+             sum({PRICE}) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY o_orderpriority""")
+def adhoc_sql(t: Tables) -> DataFrame:
+    found = t.spark.sql("""
+        WITH recent AS (SELECT * FROM {orders} WHERE o_orderdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00')
+        SELECT o_orderpriority, min(o_orderdate) AS first_order, count(*) AS orders,
+          sum(CAST(o_totalprice AS DECIMAL(12,2))) AS total
+        FROM recent GROUP BY o_orderpriority""", orders=t.orders)
+    return clean_output(found)
