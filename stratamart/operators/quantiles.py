@@ -11,24 +11,39 @@ from stratamart.session import stable
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-                    buckets: int = 256) -> DataFrame:
+                    task_values: int = 1_000_000, buckets: int = 256) -> DataFrame:
     """``(keys..., q, quantile)`` of the non-NULL values as doubles.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here values are first
-    counted per (group, value), approximate split points cut each group's distinct values
-    into up to ``buckets`` ranges, and range counts tell which range holds the wanted rank.
-    Only that range is then sorted: about one part in ``buckets`` of the distinct values.
-    The approximation decides how even the ranges are, never the result.
+    Values are counted per (group, value) first, which spreads a hot group over all tasks.
+    ``percentile`` then needs a group's distinct values in one task: it is used if no group
+    has more than ``task_values`` of them, and ``_by_ranges`` otherwise.
     """
     if not keys:
-        whole = exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, qs, buckets)
+        whole = exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, qs, task_values, buckets)
         return whole.drop("_all")
     keys = list(keys)
-    v, n = F.col("_v"), F.col("_n")
     counts = (
-        df.select(*keys, F.col(value).cast("double").alias("_v")).where(v.isNotNull())
+        df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     )
+    most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > task_values:
+        return _by_ranges(counts, keys, qs, buckets)
+    wanted = [float(q) for q in qs]
+    found = counts.groupBy(*keys).agg(F.percentile("_v", wanted, F.col("_n")).alias("_found"))
+    pairs = F.arrays_zip(F.array(*[F.lit(q) for q in wanted]).alias("q"), F.col("_found").alias("quantile"))
+    return found.select(*keys, F.inline(pairs))
+
+
+def _by_ranges(counts: DataFrame, keys: list[str], qs: Sequence[float], buckets: int) -> DataFrame:
+    """Quantiles without gathering a group's distinct values.
+
+    Approximate split points cut each group's distinct values into up to ``buckets`` ranges,
+    and range counts tell which range holds the wanted rank. Only that range is sorted: about
+    one part in ``buckets`` of the distinct values. The approximation decides how even the
+    ranges are, never the result.
+    """
+    v, n = F.col("_v"), F.col("_n")
     cuts = [i / buckets for i in range(1, buckets)]
     # written once: both uses below must see the same approximate splits
     splits = stable(counts.groupBy(*keys).agg(

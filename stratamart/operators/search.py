@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+def dot(a: Column, b: Sequence[float]) -> Column:
+    """Inner product with a known vector, unrolled so that it is compiled with the scan."""
+    return reduce(add, [a[i].cast("double") * F.lit(float(x)) for i, x in enumerate(b)])
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+def norm(a: Column, size: int) -> Column:
+    return F.sqrt(reduce(add, [a[i].cast("double") * a[i].cast("double") for i in range(size)]))
 
 
-def semantic_topk(corpus: DataFrame, query: DataFrame, id_col: str, vector: str, top_k: int = 5,
+def semantic_topk(corpus: DataFrame, query: Sequence[float], id_col: str, vector: str, top_k: int = 5,
                   min_score: float = 0.25) -> DataFrame:
-    """The ``top_k`` rows most similar to the one-row ``query(vector)``, at least ``min_score``.
+    """The ``top_k`` rows most similar to the ``query`` vector, at least ``min_score``.
 
-    The query vector enters as a scalar subquery, so the corpus is scanned once without a
-    join or shuffle and each task keeps only its best rows. Equal scores go by id.
+    The corpus is scanned once without a join or shuffle; each task keeps only its best rows.
+    Vectors of another length raise an error when read. Equal scores go by id.
     """
-    q = query.select(F.transform(vector, lambda x: x / norm(F.col(vector)))).scalar()
-    score = dot(F.col(vector), q) / norm(F.col(vector))
+    length = math.sqrt(sum(x * x for x in query))
+    if not length:
+        raise ValueError("the query vector is zero")
+    unit = [x / length for x in query]
+    size = norm(F.col(vector), len(unit))
+    score = dot(F.col(vector), unit) / F.nullif(size, F.lit(0.0))
     scored = corpus.select(id_col, score.alias("similarity_score"))
     return (
         scored.where(F.col("similarity_score") >= min_score)
