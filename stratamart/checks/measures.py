@@ -335,8 +335,7 @@ def proposals(t: Tables) -> DataFrame:
     """Lines as proposals. ``line`` makes ``(id, line)`` unique where the source repeats a line number."""
     retail = price("l_extendedprice")
     rows = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    same_id = F.concat_ws("/", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                          "l_shipdate", "l_returnflag")
+    same_id = F.struct("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     return rows.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), same_id.alias("line"),
         F.col("o_custkey").alias("user_id"), F.col("l_suppkey").alias("provider_pg_id"),

@@ -31,7 +31,7 @@ def ratio(num: Column | str, den: Column | str, digits: int, factor: int = 1) ->
 def mean(value: Column | str, digits: int = 6) -> Column:
     """Average of an exact numeric, independent of row order; NULL for no values."""
     c = as_column(value)
-    return ratio(F.sum(c.cast("decimal(18,8)")), F.count(c), digits)
+    return ratio(F.sum(c), F.count(c), digits)
 
 
 def day_of_week(ts: Column | str) -> Column:

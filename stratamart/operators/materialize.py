@@ -76,7 +76,9 @@ class Warehouse:
         present = self.exists(table)
         if present and if_exists == "fail":
             raise ValueError(f"table {table} exists")
-        laid_out = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
+        # rebalancing gathers each partition's rows into files of even size, splitting large ones
+        laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+        laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by) if sort_by else laid_out
         if present and if_exists == "append":
             target = self.read(table)
             laid_out.select(*target.columns).write.mode("append").insertInto(self.name(table))

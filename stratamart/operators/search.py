@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from functools import reduce
-from operator import add
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Sequence[float]) -> Column:
-    """Inner product with a known vector, unrolled so that it is compiled with the scan."""
-    return reduce(add, [a[i].cast("double") * F.lit(float(x)) for i, x in enumerate(b)])
+def similarity(corpus: DataFrame, query: Sequence[float], id_col: str, vector: str) -> DataFrame:
+    """``(id, similarity_score)``: cosine of every vector with the query; rows without a direction are left out.
 
-
-def norm(a: Column, size: int) -> Column:
-    return F.sqrt(reduce(add, [a[i].cast("double") * a[i].cast("double") for i in range(size)]))
+    Vectors cross to numpy as Arrow buffers and are scored a batch at a time.
+    """
+    wanted = np.asarray(query, dtype=np.float64)
+    length = np.linalg.norm(wanted)
+    if not length:
+        raise ValueError("the query vector is zero")
+    unit = wanted / length
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1)
+            matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(matrix) != len(vectors) * len(unit):
+                raise ValueError(f"every vector needs {len(unit)} values")
+            matrix = matrix.reshape(len(vectors), len(unit))
+            norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+            known = norms > 0
+            scores = matrix[known] @ unit / norms[known]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(pa.array(known)), pa.array(scores)], [id_col, "similarity_score"])
+
+    rows = corpus.select(id_col, vector).where(F.col(vector).isNotNull())
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(score, f"{id_col} {kind}, similarity_score double")
 
 
 def semantic_topk(corpus: DataFrame, query: Sequence[float], id_col: str, vector: str, top_k: int = 5,
@@ -25,15 +44,9 @@ def semantic_topk(corpus: DataFrame, query: Sequence[float], id_col: str, vector
     """The ``top_k`` rows most similar to the ``query`` vector, at least ``min_score``.
 
     The corpus is scanned once without a join or shuffle; each task keeps only its best rows.
-    Vectors of another length raise an error when read. Equal scores go by id.
+    Equal scores go by id.
     """
-    length = math.sqrt(sum(x * x for x in query))
-    if not length:
-        raise ValueError("the query vector is zero")
-    unit = [x / length for x in query]
-    size = norm(F.col(vector), len(unit))
-    score = dot(F.col(vector), unit) / F.nullif(size, F.lit(0.0))
-    scored = corpus.select(id_col, score.alias("similarity_score"))
+    scored = similarity(corpus, query, id_col, vector)
     return (
         scored.where(F.col("similarity_score") >= min_score)
         .orderBy(F.desc("similarity_score"), id_col).limit(top_k)

@@ -44,18 +44,23 @@ def row_numbers(df: DataFrame, order_by: Sequence[str], out: str) -> DataFrame:
 
 
 def ranked_within(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], out: str,
-                  hot_rows: int = 5_000_000) -> DataFrame:
+                  hot_rows: int = 5_000_000, sizes_of: DataFrame | None = None) -> DataFrame:
     """Rank of ``value`` within ``keys``, equal values ordered by ``ties``; NULL values get no rank.
 
     Groups up to ``hot_rows`` rows use an ordinary window. The larger ones, of which a table
     of n rows has at most n / hot_rows, are numbered globally; subtracting the number of the
     group's first row gives the rank, so no task ever holds a whole hot group.
+
+    Group sizes are counted in ``sizes_of``, by default ``df`` itself: a narrower table that
+    ``df`` was joined from saves running the joins for it. Which way a group is ranked never
+    changes its ranks.
     """
     order = [F.col(c).asc_nulls_last() for c in (value, *ties)]
     window = Window.partitionBy(*keys).orderBy(*order)
     unranked = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("long"))
     valued = df.where(F.col(value).isNotNull())
-    hot = [r[:-1] for r in valued.groupBy(*keys).count().where(F.col("count") > hot_rows).collect()]
+    counted = (sizes_of if sizes_of is not None else df).where(F.col(value).isNotNull())
+    hot = [r[:-1] for r in counted.groupBy(*keys).count().where(F.col("count") > hot_rows).collect()]
     if not hot:
         rank = F.when(F.col(value).isNotNull(), F.row_number().over(window).cast("long"))
         return df.withColumn(out, rank)

@@ -102,7 +102,8 @@ def proposals_enriched(proposals: DataFrame, currencies: DataFrame, providers: D
         "retail_total_price_usd": ratio("retail_total_price", "conversion_rate", 4),
         "wholesale_total_price_usd": ratio("wholesale_total_price", "conversion_rate", 4),
     })
-    ranked = ranked_within(priced, ["quoted_ware_pg_id"], "confirmed_at", ["id", "line"], "proposal_rank", hot_rows)
+    ranked = ranked_within(priced, ["quoted_ware_pg_id"], "confirmed_at", ["id", "line"], "proposal_rank", hot_rows,
+                           sizes_of=proposals)
     # a missing rank is not the first one
     return ranked.withColumn("is_first_proposal", F.coalesce(F.col("proposal_rank") == 1, F.lit(False)))
 
