@@ -317,5 +317,5 @@ def incremental_stream_upsert(t: Tables) -> DataFrame:
     for part in (final.withColumn("status", F.lit("new")), final.where(recent), final.where(~recent)):
         part.write.mode("append").parquet(arriving)
         incremental.stream_upsert(incremental.new_files(t.spark, arriving, _ORDER_ROWS), enrich, w, name,
-                                  ["order_id"], state)
+                                  ["order_id"], state, "order_date")
     return w.read(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamart.checks.registry import check
@@ -244,12 +244,12 @@ def limit_sample(t: Tables) -> DataFrame:
             SELECT p_type, sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS revenue FROM lineitem
             JOIN part ON p_partkey = l_partkey GROUP BY p_type) r""")
 def sort_desc_measure(t: Tables) -> DataFrame:
-    """Part types by revenue; the place is numbered over that short list."""
+    """Part types by revenue, numbered in descending order."""
     by_part = t.lineitem.groupBy("l_partkey").agg(F.sum(price("l_extendedprice")).alias("part_revenue"))
     by_type = by_part.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type").agg(
         F.sum("part_revenue").alias("revenue"))
-    return windows.ranked_within(by_type.withColumns({"whole": F.lit(1), "minus": -F.col("revenue")}), ["whole"],
-                                 "minus", ["p_type"], "place").orderBy(F.desc("revenue"), "p_type")
+    numbered = windows.row_numbers(by_type.withColumn("minus", -F.col("revenue")), ["minus", "p_type"], "place")
+    return numbered.orderBy(F.desc("revenue"), "p_type")
 
 
 @check("topk_rows", "long: l_suppkey, double: revenue",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The operators a request may name.
 OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
@@ -76,17 +77,19 @@ FILTER_NAME_PARTS = ("year", "month", "tier", "status", "category", "warehouse")
 def filter_options(df: DataFrame, limit: int = 100, filters: Mapping[str, Any] | None = None) -> DataFrame:
     """``(field, label, value)``: the first values of every column whose name marks it as a filter.
 
-    Each branch reads only its own column, so together they scan those columns once, and each
-    takes its limit as a top-k over map-side distinct values.
+    One scan serves all columns: values are paired with their field and made distinct on the
+    map side, and each task passes on at most ``limit`` values per field.
     """
-    fields = [c for c in df.columns if any(part in c.lower() for part in FILTER_NAME_PARTS)]
+    fields = [f for f in df.schema.fields if any(part in f.name.lower() for part in FILTER_NAME_PARTS)]
     if not fields:
         raise ValueError("no column looks like a filter")
-    out = None
-    for field in fields:
-        values = distinct_values(df, field, limit=limit, filters=filters).select(
-            F.lit(field).alias("field"),
-            F.lit(field.replace("_", " ").title()).alias("label"),
-            F.col("value").cast("string").alias("value"))
-        out = values if out is None else out.unionByName(values)
-    return out
+    pairs = []
+    for f in fields:
+        number = F.col(f.name).cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double")
+        pairs.append(F.struct(
+            F.lit(f.name).alias("field"), F.lit(f.name.replace("_", " ").title()).alias("label"),
+            number.alias("_number"), F.col(f.name).cast("string").alias("value")))
+    values = filter_map(df, filters or {}).select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    in_order = Window.partitionBy("field").orderBy("_number", "value")
+    first = values.distinct().withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= limit)
+    return first.select("field", "label", "value")

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamart.operators.joins import correlated_counts
-from stratamart.operators.windows import latest_per_key
 
 # Fixed value: the layout of a run record.
 RUN_SCHEMA = (
@@ -80,12 +78,15 @@ def entity_status(entities: DataFrame, log: DataFrame, items: DataFrame, key: st
                   counts: dict[str, Column]) -> DataFrame:
     """Every entity with its last log row, conditional counts and its ordered item list.
 
+    Last row and counts come from one aggregate over the log, combined on the map side.
     ``items`` has ``(key, item, position)``; an item listed twice keeps its first position.
     """
-    counted = correlated_counts(entities, log, key, counts)
-    last = latest_per_key(log, [key], newest_by)
-    last = last.select(key, *[F.col(c).alias(f"last_{c}") for c in last.columns if c != key])
+    rest = [c for c in log.columns if c not in (key, *newest_by)]
+    seen = log.groupBy(key).agg(
+        F.max(F.struct(*newest_by, *rest)).alias("_last"), *[F.count_if(cond).alias(n) for n, cond in counts.items()])
+    last = [F.col(f"_last.{c}").alias(f"last_{c}") for c in (*newest_by, *rest)]
     listed = items.groupBy(key, "item").agg(F.min("position").alias("position"))
     names = F.transform(F.sort_array(F.collect_list(F.struct("position", "item"))), lambda e: e["item"])
     lists = listed.groupBy(key).agg(F.array_join(names, ", ").alias("items"), F.count("*").alias("item_count"))
-    return counted.join(last, key, "left").join(lists, key, "left").na.fill(0, ["item_count"])
+    joined = entities.join(seen.select(key, *counts, *last), key, "left").join(lists, key, "left")
+    return joined.na.fill(0, [*counts, "item_count"])

@@ -1,8 +1,9 @@
 """Storing model results as catalog views and tables: replace, append, upsert, patch.
 
 A ``Warehouse`` keeps every table of one database under one location. Full loads write a
-new folder and then point the table at it, so readers of the old rows are not disturbed and
-a failed load leaves the table as it was. Keyed loads rewrite only the partitions they touch.
+new folder and then define the table on it, so running readers of the old rows are not
+disturbed and a failed write leaves the table as it was. Keyed loads rewrite only the
+partitions they touch. Superseded folders are left for an expiry rule on the location.
 """
 
 from __future__ import annotations
@@ -37,12 +38,20 @@ def patch_rows(base: DataFrame, patch: DataFrame, key: Sequence[str]) -> DataFra
         F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in base.columns])
 
 
+# the hidden partition column of tables loaded by watermark, and its value without a time
+PERIOD, NO_PERIOD = "_period", "none"
+
+
+def with_period(df: DataFrame, time: str) -> DataFrame:
+    return df.withColumn(PERIOD, F.coalesce(F.date_format(time, "yyyy-MM"), F.lit(NO_PERIOD)))
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, database: str, location: str) -> None:
         self.spark = spark
         self.database = database
         self.location = location.rstrip("/")
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{self.location}'")
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
@@ -50,9 +59,13 @@ class Warehouse:
     def exists(self, table: str) -> bool:
         return self.spark.catalog.tableExists(self.name(table))
 
-    def read(self, table: str) -> DataFrame:
+    def _stored(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
+    def read(self, table: str) -> DataFrame:
+        """The table's rows, without the period column that only lays them out."""
+        return self._stored(table).drop(PERIOD)
+
     def view(self, name: str, df: DataFrame) -> DataFrame:
         """A session view: nothing is stored, the plan is inlined wherever the view is used."""
         df.createOrReplaceTempView(name)
@@ -67,12 +80,11 @@ class Warehouse:
 
         ``partition_by`` lays rows out by low-cardinality columns for partition pruning and
         ``sort_by`` orders rows within files so that row groups can be skipped; together they
-        stand in for indexes. ``unique`` columns are verified before anything is written.
+        stand in for indexes. ``unique`` columns are verified on the written files before the
+        table is pointed at them.
         """
         if if_exists not in ("fail", "replace", "append"):
             raise ValueError(f"if_exists: {if_exists!r}")
-        if unique and not duplicates(df, list(unique)).isEmpty():
-            raise ValueError(f"{table}: {', '.join(unique)} is not unique")
         present = self.exists(table)
         if present and if_exists == "fail":
             raise ValueError(f"table {table} exists")
@@ -80,7 +92,7 @@ class Warehouse:
         laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
         laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by) if sort_by else laid_out
         if present and if_exists == "append":
-            target = self.read(table)
+            target = self._stored(table)
             laid_out.select(*target.columns).write.mode("append").insertInto(self.name(table))
             return self.read(table)
         path = f"{self.location}/{table}/{uuid.uuid4().hex}"
@@ -88,6 +100,8 @@ class Warehouse:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        if unique and not duplicates(self.spark.read.schema(df.schema).parquet(path), list(unique)).isEmpty():
+            raise ValueError(f"{table}: {', '.join(unique)} is not unique")
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")  # external: the old folder stays for its readers
         # with this option an overwrite replaces only the partitions it has rows for
         partitioned = (f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({', '.join(partition_by)})"
@@ -101,15 +115,19 @@ class Warehouse:
             self.spark.sql(f"MSCK REPAIR TABLE {self.name(table)}")
         return self.read(table)
 
-    def upsert(self, table: str, delta: DataFrame, key: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
+    def upsert(self, table: str, delta: DataFrame, key: Sequence[str], partition_by: Sequence[str] = (),
+               period_of: str | None = None) -> DataFrame:
         """Insert or replace rows by key. Repeating the same delta changes nothing.
 
-        With the table's partition columns given, only partitions that receive a row or hold
-        an old version of one are rewritten; otherwise the table is written anew.
+        With the table's partition columns given, or the time column whose ``period_of``
+        partitions it by month, only partitions that receive a row or hold an old version of
+        one are rewritten; otherwise the table is written anew.
         """
+        if period_of:
+            delta, partition_by = with_period(delta, period_of), [PERIOD]
         if not self.exists(table):
             return self.write(table, delta, partition_by=partition_by)
-        existing = self.read(table)
+        existing = self._stored(table)
         delta = delta.select(*existing.columns)
         if not partition_by:
             return self.write(table, merge_rows(existing, delta, key), "replace")
@@ -134,21 +152,28 @@ class Warehouse:
         return self.read(table)
 
     def watermark(self, table: str, column: str) -> Any:
-        """The greatest stored value, as a literal: unlike a subquery it reaches the scan's filters."""
-        return self.read(table).agg(F.max(column)).first()[0]
+        """The greatest stored value, as a literal: unlike a subquery it reaches the scan's filters.
+
+        A table laid out by period is asked for its last one only.
+        """
+        rows = self._stored(table)
+        if PERIOD in rows.columns:
+            rows = rows.where(F.col(PERIOD) == F.lit(rows.where(F.col(PERIOD) != NO_PERIOD).agg(F.max(PERIOD)).first()[0]))
+        return rows.agg(F.max(column)).first()[0]
 
     def incremental(self, table: str, build: DataFrame, watermark: str, unique_key: str | None = None,
-                    lookback: timedelta | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+                    lookback: timedelta | None = None) -> DataFrame:
         """Load a model's rows newer than the stored watermark; the first load takes all.
 
         Rows are appended, or upserted by ``unique_key``. Strictly newer rows miss ties and
         late arrivals; with a ``unique_key``, ``lookback`` re-reads that much before the
-        watermark and upserts.
+        watermark and upserts. The table is partitioned by the month of the watermark, so a
+        load touches the last months only.
         """
         if lookback and not unique_key:
             raise ValueError("lookback needs a unique_key, else rows would be stored twice")
         if not self.exists(table):
-            return self.write(table, build, partition_by=partition_by)
+            return self.write(table, with_period(build, watermark), partition_by=[PERIOD])
         newest = self.watermark(table, watermark)
         if newest is None:
             delta = build
@@ -157,8 +182,8 @@ class Warehouse:
         else:
             delta = build.where(F.col(watermark) > F.lit(newest))
         if unique_key:
-            return self.upsert(table, delta, [unique_key], partition_by)
-        return self.write(table, delta, "append")
+            return self.upsert(table, delta, [unique_key], period_of=watermark)
+        return self.write(table, with_period(delta, watermark), "append")
 
     def python_model(self, table: str, fn: Callable[..., DataFrame], *inputs: DataFrame) -> DataFrame:
         """Store what a Python function makes of its inputs."""

@@ -70,11 +70,11 @@ def ranked_within(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence
         out, F.row_number().over(window).cast("long"))
     numbered = _global_positions(
         valued.alias("v").join(hot_keys.alias("h"), same, "left_semi"),
-        [*[F.col(k).asc_nulls_first() for k in keys], *order], "_n")
-    firsts = numbered.groupBy(*keys).agg(F.min("_n").alias("_first"))
+        [*[F.col(k).asc_nulls_first() for k in keys], *order], "__position")
+    firsts = numbered.groupBy(*keys).agg(F.min("__position").alias("__first"))
     same = [F.col(f"v.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
     ranked = numbered.alias("v").join(firsts.alias("f"), same).select(
-        "v.*", (F.col("v._n") - F.col("f._first") + 1).alias(out)).drop("_n")
+        *[F.col(f"v.{c}") for c in df.columns], (F.col("v.__position") - F.col("f.__first") + 1).alias(out))
     return cold.unionByName(ranked).unionByName(unranked)
 
 

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a skewed join even if a later step then needs a shuffle of its own
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 << 20),
 }
@@ -57,12 +59,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once and read it from there afterwards.
+    """Write ``df`` to the shared folder once and read it from there afterwards.
 
     Used where later steps must see the very same rows (row positions, split points) even
-    if an executor is lost and its tasks run again.
+    if an executor is lost and its tasks run again. Being parquet, later steps read only the
+    columns they need.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "stable")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,14 +29,15 @@ def stream_append(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
 
 
 def stream_upsert(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], warehouse: Warehouse, table: str,
-                  key: Sequence[str], checkpoint: str, partition_by: Sequence[str] = ()) -> None:
-    """Upsert the transformed new rows into a warehouse table.
+                  key: Sequence[str], checkpoint: str, period_of: str | None = None) -> None:
+    """Upsert the transformed new rows into a warehouse table, laid out by the month of ``period_of``.
 
-    A batch repeated after a failure replaces the rows it wrote before.
+    A batch repeated after a failure replaces the rows it wrote before. Of several rows with
+    one key in a batch the transform must keep one.
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        warehouse.upsert(table, transform(batch), key, partition_by)
+        warehouse.upsert(table, transform(batch), key, period_of=period_of)
 
     query = (
         stream.writeStream.foreachBatch(load)
