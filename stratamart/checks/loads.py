@@ -55,14 +55,14 @@ def sql_scan(t: Tables) -> DataFrame:
 
 
 @check("table_write", "long: c_custkey copies, text: c_name",
-       "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS copies FROM customer")
+       "SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN 2 ELSE 1 END AS copies FROM customer")
 def table_write(t: Tables) -> DataFrame:
-    """Replace, then append the even keys once more."""
+    """Replace, then append the rows with a positive balance once more."""
     w = warehouse(t)
-    rows = t.customer.select("c_custkey", "c_name")
+    rows = t.customer.select("c_custkey", "c_name", "c_acctbal")
     w.write("people", rows, "fail")
     w.write("people", rows, "replace")
-    w.write("people", rows.where(F.col("c_custkey") % 2 == 0), "append")
+    w.write("people", rows.where(F.col("c_acctbal") > 0), "append")
     return w.read("people").groupBy("c_custkey", "c_name").agg(F.count("*").alias("copies"))
 
 
@@ -124,22 +124,21 @@ def asset_lookup(t: Tables) -> DataFrame:
     return placed.join(asset, "r_name", "left").groupBy("r_name", "currency").agg(F.sum("n").alias("customers"))
 
 
-@check("date_spine_fill", "long: bucket errors, text: date",
-       """SELECT b.bucket, d.date, coalesce(n, 0) AS errors
+@check("date_spine_fill", "long: user_id errors, text: date",
+       """SELECT u.user_id, d.date, coalesce(n, 0) AS errors
           FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date) d
-            CROSS JOIN (SELECT DISTINCT user_id % 10 AS bucket FROM events) b
-            LEFT JOIN (SELECT user_id % 10 AS bucket, CAST(ts AS DATE) AS date, count(*) AS n FROM events
-              WHERE event_type = 'error' AND user_id < 30 GROUP BY ALL) e ON e.bucket = b.bucket AND e.date = d.date""")
+            CROSS JOIN (SELECT DISTINCT user_id FROM events) u
+            LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events
+              WHERE event_type = 'error' GROUP BY ALL) e ON e.user_id = u.user_id AND e.date = d.date""")
 def date_spine_fill(t: Tables) -> DataFrame:
-    """Errors of the first users per bucket for every day of January, 0 on days without any."""
-    span = t.events.agg(F.trunc(F.min(F.to_date("ts")), "month").alias("first"),
-                        F.last_day(F.max(F.to_date("ts"))).alias("last"))
-    days = files.date_spine(span).agg(F.sort_array(F.collect_list("date")))
-    buckets = t.events.select((F.col("user_id") % 10).alias("bucket")).distinct()
-    spine = buckets.select("bucket", F.explode(days.scalar()).alias("date"))
-    counted = t.events.where((F.col("event_type") == "error") & (F.col("user_id") < 30)).groupBy(
-        (F.col("user_id") % 10).alias("bucket"), F.to_date("ts").alias("date")).agg(F.count("*").alias("errors"))
-    return spine.join(counted, ["bucket", "date"], "left").na.fill(0, ["errors"])
+    """Errors of each user on every day of the months seen, 0 on days without any."""
+    day = F.to_date("ts")
+    first, last = t.events.agg(F.trunc(F.min(day), "month"), F.last_day(F.max(day))).first()
+    days = F.explode(F.sequence(F.lit(first), F.lit(last)))
+    spine = t.events.select("user_id").distinct().withColumn("date", days)
+    counted = t.events.where(F.col("event_type") == "error").groupBy("user_id", day.alias("date")).agg(
+        F.count("*").alias("errors"))
+    return spine.join(counted, ["user_id", "date"], "left").na.fill(0, ["errors"])
 
 
 # -- materializations --------------------------------------------------------------------
@@ -219,11 +218,11 @@ _BALANCE = "CAST(c_acctbal AS DECIMAL(12,2))"
 
 
 def _delta(t: Tables) -> DataFrame:
-    """Every seventh customer changed, plus as many new keys."""
-    seventh = t.customer.where(F.col("c_custkey") % 7 == 0).select(
+    """Every customer in debt changed, plus as many new keys."""
+    debtors = t.customer.where(F.col("c_acctbal") < 0).select(
         F.col("c_custkey").alias("id"), F.lit("changed").alias("segment"),
         (F.col("c_acctbal").cast("decimal(12,2)") + 100).cast("decimal(12,2)").alias("balance"))
-    return seventh.unionByName(seventh.withColumns({"id": -F.col("id") - 1, "segment": F.lit("new")}))
+    return debtors.unionByName(debtors.withColumns({"id": -F.col("id") - 1, "segment": F.lit("new")}))
 
 
 def _base(t: Tables) -> DataFrame:
@@ -231,10 +230,13 @@ def _base(t: Tables) -> DataFrame:
                              F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
 
 
+_NEW_DEBTORS = f"SELECT -c_custkey - 1, 'new', {_BALANCE} + 100 FROM customer WHERE c_acctbal < 0"
+
+
 @check("mat_upsert_on_conflict", "long: id, text: segment, double: balance",
-       f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'changed' ELSE c_mktsegment END AS segment,
-             {_BALANCE} + CASE WHEN c_custkey % 7 = 0 THEN 100 ELSE 0 END AS balance FROM customer
-           UNION ALL SELECT -c_custkey - 1, 'new', {_BALANCE} + 100 FROM customer WHERE c_custkey % 7 = 0""")
+       f"""SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'changed' ELSE c_mktsegment END AS segment,
+             {_BALANCE} + CASE WHEN c_acctbal < 0 THEN 100 ELSE 0 END AS balance FROM customer
+           UNION ALL {_NEW_DEBTORS}""")
 def mat_upsert_on_conflict(t: Tables) -> DataFrame:
     """Update on conflict: segment is the partition, so changed rows move to another one."""
     w = warehouse(t)
@@ -244,20 +246,20 @@ def mat_upsert_on_conflict(t: Tables) -> DataFrame:
 
 @check("mat_insert_do_nothing", "long: id, text: segment, double: balance",
        f"""SELECT c_custkey AS id, c_mktsegment AS segment, {_BALANCE} AS balance FROM customer
-           UNION ALL SELECT -c_custkey - 1, 'new', {_BALANCE} + 100 FROM customer WHERE c_custkey % 7 = 0""")
+           UNION ALL {_NEW_DEBTORS}""")
 def mat_insert_do_nothing(t: Tables) -> DataFrame:
     return materialize.insert_missing(_base(t), _delta(t), ["id"])
 
 
 @check("mat_patch_update", "long: id, text: segment, double: balance",
-       f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 14 = 0 THEN 'PATCHED' ELSE c_mktsegment END AS segment,
-             CASE WHEN c_custkey % 14 = 7 THEN 0 ELSE {_BALANCE} END AS balance FROM customer""")
+       f"""SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 AND c_nationkey < 12 THEN 'PATCHED' ELSE c_mktsegment END
+             AS segment, CASE WHEN c_acctbal < 0 AND c_nationkey >= 12 THEN 0 ELSE {_BALANCE} END AS balance FROM customer""")
 def mat_patch_update(t: Tables) -> DataFrame:
-    """Even sevenths patch the segment, odd ones the balance; the other value is NULL and stays."""
-    even = F.col("c_custkey") % 14 == 0
-    patch = t.customer.where(F.col("c_custkey") % 7 == 0).select(
-        F.col("c_custkey").alias("id"), F.when(even, "PATCHED").alias("segment"),
-        F.when(~even, F.lit(0)).cast("decimal(12,2)").alias("balance"))
+    """Debtors of the first nations get a new segment, the others a new balance; the NULLs in the patch change nothing."""
+    first = F.col("c_nationkey") < 12
+    patch = t.customer.where(F.col("c_acctbal") < 0).select(
+        F.col("c_custkey").alias("id"), F.when(first, "PATCHED").alias("segment"),
+        F.when(~first, F.lit(0)).cast("decimal(12,2)").alias("balance"))
     return materialize.patch_rows(_base(t), patch, ["id"])
 
 

@@ -151,10 +151,10 @@ def agg_quantile(t: Tables) -> DataFrame:
 
 
 @check("agg_median_impute", "long: event_id, double: value",
-       "SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN (SELECT quantile_cont(value, 0.5) FROM events "
-       "WHERE event_id % 7 <> 0) ELSE value END, 6) AS value FROM events")
+       "SELECT event_id, round(CASE WHEN event_type = 'view' THEN (SELECT quantile_cont(value, 0.5) FROM events "
+       "WHERE event_type <> 'view') ELSE value END, 6) AS value FROM events")
 def agg_median_impute(t: Tables) -> DataFrame:
-    holes = t.events.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+    holes = t.events.select("event_id", F.when(F.col("event_type") != "view", F.col("value")).alias("value"))
     return aggregates.impute_median(holes, "value").withColumn("value", F.round("value", 6))
 
 
@@ -345,9 +345,10 @@ def proposals(t: Tables) -> DataFrame:
 
 
 def currencies(t: Tables) -> DataFrame:
-    """One rate per proposal id; every seventh id has none."""
-    ids = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("exchangable_id")).distinct()
-    return ids.where(F.col("exchangable_id") % 7 != 0).withColumn("conversion_rate", 1 + F.col("exchangable_id") % 5)
+    """One rate per proposal id that has a taxed line; the others have none."""
+    ids = t.lineitem.where(F.col("l_tax") > 0).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("exchangable_id")).distinct()
+    return ids.withColumn("conversion_rate", 1 + F.col("exchangable_id") % 5)
 
 
 def enriched(t: Tables) -> DataFrame:
@@ -359,16 +360,19 @@ def enriched(t: Tables) -> DataFrame:
 
 
 _WHOLESALE = "CAST(l_extendedprice AS DECIMAL(12,2)) * 0.80"
+VIEWS["proposal_rates"] = """
+SELECT DISTINCT l_orderkey * 10 + l_linenumber AS rated_id, 1 + (l_orderkey * 10 + l_linenumber) % 5 AS rate
+FROM lineitem WHERE l_tax > 0
+"""
 VIEWS["proposal_rows"] = f"""
 SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user_id, l_suppkey AS provider_pg_id, l_partkey AS ware,
   l_returnflag AS proposal_type, CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS confirmed_at,
   s_name AS provider_name, 'user' || o_custkey || '@example.com' AS user_email, 'Ms ' || c_name AS user_full_name,
-  CASE WHEN (l_orderkey * 10 + l_linenumber) % 7 <> 0 THEN
-    {exact_ratio('CAST(l_extendedprice AS DECIMAL(12,2))', '1 + (l_orderkey * 10 + l_linenumber) % 5', 4)}
-    END AS retail_usd,
-  CASE WHEN (l_orderkey * 10 + l_linenumber) % 7 <> 0 THEN
-    {exact_ratio(_WHOLESALE, '1 + (l_orderkey * 10 + l_linenumber) % 5', 4, num_scale=4)} END AS wholesale_usd
+  {exact_ratio('CAST(l_extendedprice AS DECIMAL(12,2))', 'rate', 4)} AS retail_usd,
+  {exact_ratio(_WHOLESALE, 'rate', 4, num_scale=4)} AS wholesale_usd,
+  (l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) AS line
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+  LEFT JOIN proposal_rates ON rated_id = l_orderkey * 10 + l_linenumber
   LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0
 """
 
@@ -380,7 +384,7 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey
             user_email, user_full_name, retail_usd AS retail_total_price_usd,
             wholesale_usd AS wholesale_total_price_usd, CASE WHEN confirmed_at IS NOT NULL THEN n END AS proposal_rank,
             confirmed_at IS NOT NULL AND n = 1 AS is_first_proposal
-          FROM (SELECT *, row_number() OVER (PARTITION BY ware, confirmed_at IS NULL ORDER BY confirmed_at, id) AS n
+          FROM (SELECT *, row_number() OVER (PARTITION BY ware, confirmed_at IS NULL ORDER BY confirmed_at, id, line) AS n
             FROM proposal_rows) r""")
 def demo_proposals(t: Tables) -> DataFrame:
     return enriched(t)
