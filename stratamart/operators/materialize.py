@@ -38,12 +38,14 @@ def patch_rows(base: DataFrame, patch: DataFrame, key: Sequence[str]) -> DataFra
         F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in base.columns])
 
 
-# the hidden partition column of tables loaded by watermark, and its value without a time
+# the hidden partition column of tables loaded by watermark, and its value without a time;
+# an upsert rewrites whole periods and wants short ones, an append only reads the last one
 PERIOD, NO_PERIOD = "_period", "none"
+UPSERTED, APPENDED = "yyyy-MM", "yyyy"
 
 
-def with_period(df: DataFrame, time: str) -> DataFrame:
-    return df.withColumn(PERIOD, F.coalesce(F.date_format(time, "yyyy-MM"), F.lit(NO_PERIOD)))
+def with_period(df: DataFrame, time: str, length: str) -> DataFrame:
+    return df.withColumn(PERIOD, F.coalesce(F.date_format(time, length), F.lit(NO_PERIOD)))
 
 
 class Warehouse:
@@ -75,21 +77,23 @@ class Warehouse:
         return self.view(name, self.spark.sql(query))
 
     def write(self, table: str, df: DataFrame, if_exists: str = "fail", partition_by: Sequence[str] = (),
-              sort_by: Sequence[str] = (), unique: Sequence[str] = ()) -> DataFrame:
+              sort_by: Sequence[str] = (), unique: Sequence[str] = (), even_files: bool = True) -> DataFrame:
         """Store a DataFrame; ``if_exists`` is fail, replace or append.
 
         ``partition_by`` lays rows out by low-cardinality columns for partition pruning and
         ``sort_by`` orders rows within files so that row groups can be skipped; together they
         stand in for indexes. ``unique`` columns are verified on the written files before the
-        table is pointed at them.
+        table is pointed at them. ``even_files`` spends a shuffle on gathering each partition's
+        rows into files of even size; without it every task writes a file per partition it has.
         """
         if if_exists not in ("fail", "replace", "append"):
             raise ValueError(f"if_exists: {if_exists!r}")
         present = self.exists(table)
         if present and if_exists == "fail":
             raise ValueError(f"table {table} exists")
-        # rebalancing gathers each partition's rows into files of even size, splitting large ones
-        laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+        # rebalancing splits the rows of a large partition over several tasks
+        even = bool(partition_by) and even_files
+        laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if even else df
         laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by) if sort_by else laid_out
         if present and if_exists == "append":
             target = self._stored(table)
@@ -124,7 +128,7 @@ class Warehouse:
         one are rewritten; otherwise the table is written anew.
         """
         if period_of:
-            delta, partition_by = with_period(delta, period_of), [PERIOD]
+            delta, partition_by = with_period(delta, period_of, UPSERTED), [PERIOD]
         if not self.exists(table):
             return self.write(table, delta, partition_by=partition_by)
         existing = self._stored(table)
@@ -167,13 +171,15 @@ class Warehouse:
 
         Rows are appended, or upserted by ``unique_key``. Strictly newer rows miss ties and
         late arrivals; with a ``unique_key``, ``lookback`` re-reads that much before the
-        watermark and upserts. The table is partitioned by the month of the watermark, so a
-        load touches the last months only.
+        watermark and upserts. The table is partitioned by the watermark's month, or by its
+        year if rows are only appended, so a load touches the last periods only.
         """
         if lookback and not unique_key:
             raise ValueError("lookback needs a unique_key, else rows would be stored twice")
+        length = UPSERTED if unique_key else APPENDED
         if not self.exists(table):
-            return self.write(table, with_period(build, watermark), partition_by=[PERIOD])
+            return self.write(table, with_period(build, watermark, length), partition_by=[PERIOD],
+                              even_files=bool(unique_key))
         newest = self.watermark(table, watermark)
         if newest is None:
             delta = build
@@ -183,7 +189,7 @@ class Warehouse:
             delta = build.where(F.col(watermark) > F.lit(newest))
         if unique_key:
             return self.upsert(table, delta, [unique_key], period_of=watermark)
-        return self.write(table, with_period(delta, watermark), "append")
+        return self.write(table, with_period(delta, watermark, length), "append", [PERIOD], even_files=False)
 
     def python_model(self, table: str, fn: Callable[..., DataFrame], *inputs: DataFrame) -> DataFrame:
         """Store what a Python function makes of its inputs."""
