@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamart.operators.windows import row_numbers
+
 # Share of the test set and seed; forest size, depth and least rows per leaf.
 TEST_SHARE, SEED = 0.2, 42
 TREES, DEPTH, LEAF_ROWS = 100, 10, 2
@@ -29,25 +31,35 @@ def train_test_split(df: DataFrame, key: str, test_share: float = TEST_SHARE,
 
 
 def encode_categoricals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace text columns by codes in alphabetical order from 0; NULL counts as the text 'None'."""
-    texts = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns})
-    indexer = StringIndexer(inputCols=list(columns), outputCols=[f"{c}_code" for c in columns],
-                            stringOrderType="alphabetAsc")
-    coded = indexer.fit(texts).transform(texts)
-    return coded.withColumns({c: F.col(f"{c}_code").cast("long") for c in columns}).drop(
-        *[f"{c}_code" for c in columns])
+    """Replace text columns by codes in alphabetical order from 0; NULL counts as the text 'None'.
+
+    Codes are numbered and joined back as a table, so a column may have any number of values.
+    """
+    for c in columns:
+        df = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("None")))
+        codes = row_numbers(df.select(c).distinct(), [c], "_code")
+        order = [F.col(x) if x != c else (F.col("_code") - 1).alias(c) for x in df.columns]
+        df = df.join(codes, c).select(*order)
+    return df
 
 
 def train_classifier(df: DataFrame, features: Sequence[str], label: str, categorical: Sequence[str] = (),
                      trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> PipelineModel:
-    """A random forest on the listed features: medians for missing numbers, codes for text."""
+    """A random forest on the listed features: medians for missing numbers, codes for text.
+
+    The codes of a categorical feature are part of the model and must fit in memory.
+    """
     numeric = [f for f in features if f not in categorical]
     filled = [f"_{f}_filled" for f in numeric]
+    indexed = [f"_{f}_index" for f in categorical]
     coded = [f"_{f}_code" for f in categorical]
     stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled)] if numeric else []
     if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=coded, handleInvalid="keep",
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
+        # codes are split on as ordered numbers; the sum drops the mark of a category, which limits their count
+        sums = ", ".join(f"`{i}` + 0.0D AS `{c}`" for i, c in zip(indexed, coded))
+        stages.append(SQLTransformer(statement=f"SELECT *, {sums} FROM __THIS__"))
     by_name = dict(zip([*numeric, *categorical], [*filled, *coded]))
     stages.append(VectorAssembler(inputCols=[by_name[f] for f in features], outputCol="features"))
     stages.append(RandomForestClassifier(

@@ -43,14 +43,19 @@ def row_of_max(df: DataFrame, keys: Sequence[str], measure: str, tie: str) -> Da
     return top.select(*keys, (-F.col("_top._tie")).alias(tie), F.col(f"_top.{measure}").alias(measure))
 
 
-def sorted_text(df: DataFrame, keys: Sequence[str], item: str, out: str, separator: str = ", ") -> DataFrame:
+def sorted_text(df: DataFrame, keys: Sequence[str], item: str, out: str, separator: str = ", ",
+                chunk_items: int = 10_000, hot_rows: int = 5_000_000) -> DataFrame:
     """The distinct items of each key in order, as one text.
 
-    Duplicates go before the gather, spread over (key, item): a hot key brings only its
-    distinct items to one task.
+    Duplicates go before the gather, spread over (key, item). A key with more than
+    ``chunk_items`` distinct items gets several texts, numbered by ``chunk``, since a text
+    must fit in one row.
     """
-    distinct = df.select(*keys, item).distinct()
-    return distinct.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(item)), separator).alias(out))
+    distinct = df.select(*keys, item).where(F.col(item).isNotNull()).distinct()
+    placed = ranked_within(distinct, keys, item, [], "_n", hot_rows)
+    chunk = F.floor((F.col("_n") - 1) / chunk_items).cast("int").alias("chunk")
+    rows = placed.groupBy(*keys, chunk).agg(F.sort_array(F.collect_list(F.struct("_n", item))).alias("_items"))
+    return rows.select(*keys, "chunk", F.array_join(F.transform("_items", lambda r: r[item]), separator).alias(out))
 
 
 def nested_children(parents: DataFrame, children: DataFrame, key: str, order_by: str, ties: Sequence[str],

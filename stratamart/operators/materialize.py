@@ -181,8 +181,8 @@ class Warehouse:
             return self.write(table, with_period(build, watermark, length), partition_by=[PERIOD],
                               even_files=bool(unique_key))
         newest = self.watermark(table, watermark)
-        if newest is None:
-            delta = build
+        if newest is None:  # nothing stored, or only rows without a time, which are never loaded twice
+            delta = build if self._stored(table).isEmpty() else build.where(F.col(watermark).isNotNull())
         elif lookback:
             delta = build.where(F.col(watermark) >= F.lit(newest - lookback))
         else:

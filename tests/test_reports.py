@@ -4,7 +4,6 @@ import json
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from stratamart.operators import charts, filters, history, joins, quality
 from stratamart.operators.aggregates import profile, row_of_max
@@ -134,4 +133,3 @@ def test_csv_types_and_names(spark, tmp_path):
 def test_date_spine(spark):
     span = spark.sql("SELECT DATE '2024-02-27' AS first, DATE '2024-03-02' AS last")
     assert files.date_spine(span).count() == 5
-    assert F is not None

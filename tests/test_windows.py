@@ -94,4 +94,12 @@ def test_nested_children_split_large_parents(spark):
 
 def test_sorted_text_drops_duplicates(spark):
     df = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "y")], "k string, v string")
-    assert rows(sorted_text(df, ["k"], "v", "t")) == [("a", "x, y")]
+    assert rows(sorted_text(df, ["k"], "v", "t")) == [("a", 0, "x, y")]
+
+
+def test_sorted_text_splits_long_lists(spark):
+    df = spark.createDataFrame([("a", f"{i:02d}") for i in range(25)] * 2 + [("b", "z"), ("b", None)], "k string, v string")
+    for hot in (1_000, 3):
+        got = {(r.k, r.chunk): r.t for r in sorted_text(df, ["k"], "v", "t", ",", 10, hot).collect()}
+        assert ",".join(got["a", c] for c in range(3)) == ",".join(f"{i:02d}" for i in range(25))
+        assert got["b", 0] == "z" and len(got) == 4
