@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,12 @@ class ModelStore:
 
     def records(self) -> DataFrame:
         """The current state of every version that is not deleted."""
-        rows = self.spark.read.schema(RECORD).json(f"{self.folder}/records")
+        try:
+            rows = self.spark.read.schema(RECORD).json(f"{self.folder}/records")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], RECORD)  # nothing registered yet
         newest = rows.groupBy("model_name", "version").agg(
             F.max_by(F.struct("*"), "registered_at").alias("_row"), F.min("registered_at").alias("_first"))
         current = newest.select("_row.*", "_first").where(F.col("status") == "active")

@@ -101,6 +101,9 @@ def test_categorical_features(spark):
 
 def test_store(spark, forest, tmp_path):
     store = ModelStore(spark, str(tmp_path))
+    assert store.list_models().count() == 0
+    with pytest.raises(ValueError, match="no model 'churn'"):
+        store.load("churn")
     assert store.register(forest.model, "churn", "classification", forest.features, "churned", "1", {"accuracy": 0.5}) == "churn_v1"
     store.register(forest.model, "churn", "classification", forest.features, "churned", "2", tags=["b"])
     assert [r.version for r in store.versions("churn").collect()] == ["2", "1"]
