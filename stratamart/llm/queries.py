@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from stratamart.llm import licences
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,5 +39,45 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_minhash_near_dedup, op5_source_mixing, op9_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.licences import licence_scan
+
+    found = licence_scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "sentence_ids", "licences", "n_sentences", "n_unknown")
+
+
+def op4_ngram_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.ngram_lm import language_model_scores
+
+    return language_model_scores(table(spark, folder, "documents"))
+
+
+def op6_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.line_crf import line_quality
+
+    return line_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, folder, "documents"))
+
+
+def op8_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.metric_join import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
+def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.html_extract import main_text
+
+    return main_text(table(spark, folder, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_best_fit_packing, op3_minhash_near_dedup, op4_ngram_lm, op5_source_mixing,
+    op6_line_crf, op7_suffix_dedup, op8_metric_join, op9_quality_rules, op10_html_extract,
+)}
+ORACLES: dict[str, str] = {"op1_license_scan": licences.oracle()}

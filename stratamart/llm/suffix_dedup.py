@@ -1 +1,350 @@
-"""Placeholder."""
+"""Repeated passages: bytes of texts covered by a string of ``LENGTH`` bytes that starts elsewhere too.
+
+Column-wise construction takes one pass over the whole collection for every byte of its longest
+text, so it is not run on whole documents. They are first cut so that equal strings of ``LENGTH``
+bytes come to the same task: of the ``ANCHOR``-byte strings in each window of ``LENGTH`` bytes the
+one of the smallest hash is the window's anchor, which depends on the window's bytes alone. The
+consecutive windows of one anchor make a fragment, and every window lies in one fragment.
+
+1. Count the distinct fragments by anchor. Those found twice repeat as a whole; those alone with
+   their anchor do not repeat at all. The others are in doubt.
+2. Each shard of anchors takes the bytes of its fragments in doubt, one copy each, and builds the
+   Burrows-Wheeler transform of the collection column by column: every round inserts one more
+   byte of every fragment. Neighbours among the sorted suffixes that share ``LENGTH`` bytes are
+   repeated windows.
+3. Documents look their fragments up and mark the repeated windows.
+
+What is found is stored per shard as sorted hash arrays in the shared folder, which tasks map into
+memory; texts are read three times and never shuffled, only fragment hashes and doubtful bytes are.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratamart.llm import text as T
+from stratamart.llm.arrays import Arrays, local_path, packed, runs, shard_of, store, summed
+from stratamart.session import scratch_path, stable
+
+LENGTH, ANCHOR = 200, 64
+SHARD_BYTES = 32 << 20
+TASK_FRAGMENTS = 500_000
+COLLECTION_BYTES = 16 << 20
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` values in a row."""
+    n = len(values)
+    if n < width:
+        return values[:0]
+    padded = np.full(-(-n // width) * width, np.iinfo(values.dtype).max, values.dtype)
+    padded[:n] = values
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
+
+
+class Fragments:
+    """The fragments of a slice of texts: where their windows start, and their hashes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> None:
+        n = len(data)
+        self.start = self.end = self.windows = self.anchor = self.hash = np.zeros(0, np.int64)
+        edge = np.zeros(n + 1, np.int64)  # window starts whose window lies in one text
+        room = np.diff(offsets) >= length
+        np.add.at(edge, offsets[:-1][room], 1)
+        np.add.at(edge, offsets[1:][room] - length + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edge[:n]))
+        if not len(starts):
+            return
+        prefix = T.prefix_hash(data)
+        begins = np.arange(n - anchor + 1)
+        grams = T.span_hash(prefix, begins, begins + anchor)
+        bits = np.uint64(int(n).bit_length())
+        ranked = ((grams >> bits) << bits) | begins.astype(np.uint64)  # ties go to the leftmost
+        least = sliding_min(ranked, length - anchor + 1)
+        place = (least[starts] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)))
+        self.start = starts[head]
+        self.windows = np.diff(np.append(head, len(starts)))
+        self.anchor = grams[place[head]].view(np.int64)
+        ends = self.start + self.windows + length - 1
+        shape = ((place[head] - self.start) * 512 + self.windows).astype(np.uint64)
+        self.hash = T.mix(T.span_hash(prefix, self.start, ends) + shape * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        self.end = ends
+
+
+def _count_fragments(shards: int):
+    """Rows ``(shard, anchors, hashes, counts)`` of the distinct fragments of a task's texts."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        anchor, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, where, (counts,) = summed(hashes, np.ones(len(hashes), np.int8))
+        anchor = anchor[where]
+        rows = [(s, *parts) for s, parts in packed(shard_of(anchor, shards), [anchor, keys, np.minimum(counts, 2).astype(np.int8)])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "anchors", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, offsets in T.slices(batch.column(0)):
+                found = Fragments(data, offsets)
+                if len(found.hash):
+                    held.append((found.anchor, found.hash))
+                    size += len(found.hash)
+                if size >= TASK_FRAGMENTS:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _sort_out(folder: str):
+    """Store a shard's repeated fragments and those in doubt."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        shard = int(group["shard"].iloc[0])
+        anchor, hashes = (np.frombuffer(b"".join(group[c]), np.int64) for c in ("anchors", "hashes"))
+        keys, where, (counts,) = summed(hashes, np.frombuffer(b"".join(group["counts"]), np.int8))
+        anchor = anchor[where]
+        order = np.argsort(anchor, kind="stable")
+        ranked = anchor[order]
+        start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        shared = np.zeros(len(keys), bool)
+        shared[order] = np.repeat(np.diff(np.append(start, len(ranked))) > 1, np.diff(np.append(start, len(ranked))))
+        store(folder, f"repeated-{shard}", keys[counts > 1])
+        store(folder, f"doubtful-{shard}", keys[shared])
+        return pd.DataFrame([(shard, len(keys), int((counts > 1).sum()), int(shared.sum()))], columns=["shard", "fragments", "repeated", "doubtful"])
+
+    return run
+
+
+def _doubtful_bytes(folder: str, shards: int, cells: int):
+    """Rows ``(cell, hash, bytes)`` of the fragments in doubt, once each per slice; all fragments of
+    an anchor are in one cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Arrays(folder)
+        for batch in batches:
+            for _, _, data, offsets in T.slices(batch.column(0)):
+                found = Fragments(data, offsets)
+                raw = None
+                for _, at, _ in marks.places("doubtful", shard_of(found.anchor, shards), found.hash):
+                    keys, where = np.unique(found.hash[at], return_index=True)
+                    if len(keys):
+                        raw = raw or data.tobytes()
+                        spans = [raw[found.start[k]:found.end[k]] for k in at[where]]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(shard_of(found.anchor[at[where]], cells)), pa.array(keys), pa.array(spans, pa.binary())], ["cell", "hash", "bytes"])
+
+    return run
+
+
+MARK = 255  # no byte of UTF-8
+
+
+def column_wise_bwt(texts: list[bytes]) -> np.ndarray:
+    """The Burrows-Wheeler transform of a collection, by inserting one byte of every text a round.
+
+    Every text ends with a mark of its own, smaller than all bytes; the marks rank as the texts.
+    In round ``j`` the suffix of ``j`` bytes of each text that is long enough takes its place: with
+    ``c`` its first byte, after all marks, all suffixes that begin with less, and those that begin
+    with ``c`` and go on with a smaller suffix; that many ``c`` stand before the place of the
+    text's last suffix in the transform so far. Gives, in the order of the sorted suffixes, each
+    one's preceding byte, ``MARK`` where it is a whole text.
+    """
+    m = len(texts)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum(lengths)
+    transform = np.full(m, MARK, np.uint8)
+    going = np.flatnonzero(lengths)
+    transform[going] = flat[ends[going] - 1]
+    place = np.arange(m)
+    for j in range(1, int(lengths.max(initial=0)) + 1):
+        going = going[lengths[going] >= j]
+        new = m + _step(transform, flat[ends[going] - j], place[going])
+        place[going] = new
+        order = np.argsort(new, kind="stable")
+        fresh = np.zeros(len(transform) + len(going), bool)
+        fresh[new] = True
+        grown = np.empty(len(fresh), np.uint8)
+        grown[~fresh] = transform
+        following = np.where(lengths[going] == j, MARK, flat[np.maximum(ends[going] - j - 1, 0)])
+        grown[new[order]] = following[order]
+        transform = grown
+    return transform
+
+
+def _step(transform: np.ndarray, first: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many suffixes that begin with a byte rank below ``first`` put before the suffix at ``place``."""
+    by_byte = np.argsort(transform, kind="stable")
+    less = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=256))])
+    out = less[first].astype(np.int64)
+    order = np.argsort(first, kind="stable")
+    ranked = first[order]
+    for s, e in runs(ranked):
+        at, c = order[s:e], int(ranked[s])
+        out[at] += np.searchsorted(by_byte[less[c]:less[c + 1]], place[at])
+    return out
+
+
+def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each text, which of its windows of ``length`` bytes occur elsewhere in the collection.
+
+    The suffixes are found again by walking each text from its mark through the transform; those
+    of ``length`` bytes or more that are next to each other are compared by their first bytes.
+    """
+    m = len(texts)
+    transform = column_wise_bwt(texts)
+    by_byte = np.argsort(transform, kind="stable")
+    step = np.empty(len(transform), np.int64)
+    step[by_byte] = m + np.arange(len(transform))
+    lengths = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    place, going = np.arange(m), np.arange(m)
+    ranks, owners, starts = [], [], []
+    for j in range(1, int(lengths.max(initial=0)) + 1):
+        going = going[lengths[going] >= j]
+        place[going] = step[place[going]]
+        if j >= length:
+            ranks.append(place[going])
+            owners.append(going)
+            starts.append(bounds[going + 1] - j)
+    out = [np.zeros(max(0, n - length + 1), bool) for n in lengths]
+    if not ranks:
+        return out
+    ranks, owners, starts = (np.concatenate(x) for x in (ranks, owners, starts))
+    order = np.argsort(ranks, kind="stable")
+    owners, starts = owners[order], starts[order]
+    prefix = T.span_hash(T.prefix_hash(data), starts, starts + length)
+    same = np.append(False, prefix[1:] == prefix[:-1])
+    same[:-1] |= same[1:]
+    flags = np.zeros(len(data), bool)
+    flags[starts[same]] = True
+    for k in range(m):
+        out[k] = flags[bounds[k]:bounds[k] + len(out[k])]
+    return out
+
+
+BITS = -(-(LENGTH - ANCHOR + 1) // 8)
+
+
+def _resolve(folder: str):
+    """Store which windows of a cell's fragments in doubt repeat."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("hash").sort_values("hash")
+        found = repeated_windows(list(group["bytes"]))
+        some = np.array([x.any() for x in found], bool)
+        bits = np.zeros((len(found), BITS), np.uint8)
+        for k in np.flatnonzero(some):
+            own = np.packbits(found[k])
+            bits[k, :len(own)] = own
+        cell = int(group["cell"].iloc[0])
+        store(folder, f"partial-{cell}", group["hash"].to_numpy(np.int64)[some])
+        store(folder, f"partial-bits-{cell}", bits[some])
+        return pd.DataFrame([(cell, int(some.sum()))], columns=["cell", "partial"])
+
+    return run
+
+
+class Repeats:
+    """Where the marks of a collection are stored."""
+
+    def __init__(self, folder: str, shards: int, cells: int) -> None:
+        self.folder, self.shards, self.cells = folder, shards, cells
+
+    def cover(self, marks: Arrays, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which bytes of the texts lie in a repeated window."""
+        found = Fragments(data, offsets)
+        edge = np.zeros(len(data) + 1, np.int64)
+        for _, at, _ in marks.places("repeated", shard_of(found.anchor, self.shards), found.hash):
+            np.add.at(edge, found.start[at], 1)
+            np.add.at(edge, found.end[at], -1)
+        for cell, at, place in marks.places("partial", shard_of(found.anchor, self.cells), found.hash):
+            bits = np.unpackbits(marks.array(f"partial-bits-{cell}")[place], axis=1)
+            row, window = np.nonzero(bits)
+            np.add.at(edge, found.start[at][row] + window, 1)
+            np.add.at(edge, found.start[at][row] + window + LENGTH, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+
+def find_repeats(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Repeats:
+    """Find and store the repeated windows of ``texts(text)``; a null text is an empty one."""
+    spark = texts.sparkSession
+    column = texts.select("text")
+    size = column.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    folder = local_path(scratch_path(spark, "repeats"))
+    counted = column.mapInArrow(_count_fragments(shards), "shard bigint, anchors binary, hashes binary, counts binary")
+    sizes = stable(counted.groupBy("shard").applyInPandas(_sort_out(folder), "shard bigint, fragments bigint, repeated bigint, doubtful bigint"))
+    most = sizes.agg(F.max("doubtful")).first()[0] or 0
+    cells = shards * max(1, -(-most * 2 * LENGTH // COLLECTION_BYTES))
+    doubtful = column.mapInArrow(_doubtful_bytes(folder, shards, cells), "cell bigint, hash bigint, bytes binary")
+    doubtful.groupBy("cell").applyInPandas(_resolve(folder), "cell bigint, partial bigint").agg(F.sum("partial")).collect()
+    return Repeats(folder, shards, cells)
+
+
+def repeated_bytes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs(doc_id, text)``.
+
+    Texts are taken as UTF-8 bytes, null as none. Repeated rows cover each other whole (from
+    ``LENGTH`` bytes on), as does any passage of one text that recurs in it. Other columns are
+    not read.
+    """
+    repeats = find_repeats(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Arrays(repeats.folder)
+        for batch in batches:
+            for row, stop, data, offsets in T.slices(batch.column(1)):
+                cover = repeats.cover(marks, data, offsets)
+                begins = cover.copy()
+                begins[1:] &= ~cover[:-1]
+                heads = offsets[:-1][np.diff(offsets) > 0]
+                begins[heads] = cover[heads]
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (cover, begins)]
+                kept = [hashlib.sha256(data[a:b][~cover[a:b]].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, stop - row), pa.array(np.diff(offsets)), *(pa.array((x[offsets[1:]] - x[offsets[:-1]]).astype(np.int64)) for x in sums), pa.array(kept)],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of ``text``, and ``n_chars`` (if there) counted
+    anew. What a cut leaves of a character goes too. A null text stays null."""
+    repeats = find_repeats(docs)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Arrays(repeats.folder)
+        for batch in batches:
+            texts = batch.column(names.index("text"))
+            kept: list[str | None] = []
+            for row, stop, data, offsets in T.slices(texts):
+                cover = repeats.cover(marks, data, offsets)
+                for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                    whole = texts[row + k].is_valid
+                    kept.append(data[a:b][~cover[a:b]].tobytes().decode("utf-8", "ignore") if whole else None)
+            columns = list(batch.columns)
+            columns[names.index("text")] = pa.array(kept, pa.string())
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in kept], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
