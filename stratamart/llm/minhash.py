@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamart.llm import text as T
+from stratamart.llm.arrays import Arrays, StoredIds
 from stratamart.llm.components import components
 from stratamart.session import stable
 
@@ -86,15 +87,26 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "n", "s1", "s2", "low", "keys"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, stop, hashes, bounds in shingles(batch.column(1)):
-            own = [np.unique(hashes[bounds[k]:bounds[k + 1]]).view(np.int64) for k in range(stop - row)]
-            sizes = np.zeros(len(own) + 1, np.int32)
-            np.cumsum([len(x) for x in own], out=sizes[1:])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, stop - row), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(own)))],
-                ["rep", "hashes"])
+def _sets(needed: StoredIds):
+    """The shingle sets of the needed ids; texts of others are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = Arrays(needed.folder)
+        for batch in batches:
+            ids = batch.column(0)
+            known = needed.has(arrays, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            if not known.any():
+                continue
+            batch = batch.filter(pa.array(known))
+            for row, stop, hashes, bounds in shingles(batch.column(1)):
+                own = [np.unique(hashes[bounds[k]:bounds[k + 1]]).view(np.int64) for k in range(stop - row)]
+                sizes = np.zeros(len(own) + 1, np.int32)
+                np.cumsum([len(x) for x in own], out=sizes[1:])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, stop - row), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(own)))],
+                    ["rep", "hashes"])
+
+    return run
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -104,23 +116,44 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def block_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between the asking and the other sets of one block of one posting list that join
-    different components; at most one for each set. A pair that meets in several lists is
-    taken up in the first of its common prefix coordinates only."""
+def _fits(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+    """The asking and the other sets of one block of one posting list, their matches over the whole
+    signature, and which pairs may link two components. A pair that meets in several lists is taken
+    up in the first of its common prefix coordinates only."""
     c = int(group["key"].iloc[0]) >> 32
     ask, all_ = group[group["asks"]], group[~group["asks"]]
     low = [np.frombuffer(b"".join(x["low"]), np.uint8).reshape(-1, SIGNATURE) for x in (ask, all_)]
+    comps, n = ([x[k].to_numpy() for x in (ask, all_)] for k in ("comp", "n"))
+    alike = np.zeros((len(ask), len(all_)), np.int16)
+    for i in range(len(ask)):
+        alike[i] = (low[1] == low[0][i]).sum(1)
+    fits = (alike >= THRESHOLD) & (comps[0][:, None] != comps[1]) & (
+        100 * np.minimum(n[0][:, None], n[1]) >= PERCENT * np.maximum(n[0][:, None], n[1]))
+    if c and fits.any():
+        prefix = []
+        for x in (ask, all_):
+            own = np.full((len(x), c), -1, np.int64)
+            for i, keys in enumerate(x["prefix"]):
+                for key in keys:
+                    if key >> 32 < c:
+                        own[i, key >> 32] = key
+            prefix.append(own)
+        for i in np.flatnonzero(fits.any(1)):
+            fits[i] &= ~((prefix[1] == prefix[0][i]) & (prefix[0][i] >= 0)).any(1)
+    return ask, all_, alike, fits
+
+
+def block_rows(group: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that may link with another of it; only their sets have to be read."""
+    ask, all_, _, fits = _fits(group)
+    return pd.concat([ask[fits.any(1)], all_[fits.any(0)]], ignore_index=True)
+
+
+def block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block that join different components; at most one for each set."""
+    ask, all_, alike, fits = _fits(group)
     sets = [[np.asarray(v) for v in x["hashes"]] for x in (ask, all_)]
-    ids, comps, n = ([x[k].to_numpy() for x in (ask, all_)] for k in ("rep", "comp", "n"))
-    prefix = []
-    for x in (ask, all_):
-        own = np.full((len(x), c + 1), -1, np.int64)
-        for i, keys in enumerate(x["prefix"]):
-            for key in keys:
-                if key >> 32 < c + 1:
-                    own[i, key >> 32] = key
-        prefix.append(own)
+    ids, comps = ([x[k].to_numpy() for x in (ask, all_)] for k in ("rep", "comp"))
     parent: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -131,12 +164,8 @@ def block_links(group: pd.DataFrame) -> pd.DataFrame:
 
     found = []
     for i in range(len(ask)):
-        alike = (low[1] == low[0][i]).sum(1)
-        fits = (alike >= THRESHOLD) & (comps[1] != comps[0][i]) & (100 * np.minimum(n[1], n[0][i]) >= PERCENT * np.maximum(n[1], n[0][i]))
-        if c:
-            fits &= ~((prefix[1][:, :c] == prefix[0][i, :c]) & (prefix[0][i, :c] >= 0)).any(1)
-        near = np.flatnonzero(fits)
-        for j in near[np.argsort(-alike[near], kind="stable")]:
+        near = np.flatnonzero(fits[i])
+        for j in near[np.argsort(-alike[i, near], kind="stable")]:
             x, y = root(int(comps[0][i])), root(int(comps[1][j]))
             if x != y and _linked(sets[0][i], sets[1][j]):
                 parent[max(x, y)] = min(x, y)
@@ -154,10 +183,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stable(docs.select("doc_id", "text").mapInArrow(
         _signatures, "doc_id bigint, n bigint, s1 bigint, s2 bigint, low binary, keys array<bigint>"))
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stable(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    first = usable.join(classes.select("rep", "n", "s1", "s2"), ["n", "s1", "s2"]).where("doc_id = rep") \
-        .dropDuplicates(["rep"]).select("rep", "n", "low", "keys")
-    links = stable(_links(docs, stable(first)))
+    # equal sets have equal signatures
+    classes = stable(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("keys").alias("keys")))
+    links = stable(_links(docs, classes.select("rep", "n", "low", "keys").dropDuplicates(["rep"])))
     found = components(links)
     of_class = classes.join(found, classes["rep"] == found["id"], "left").select(
         "n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
@@ -183,8 +211,8 @@ def _links(docs: DataFrame, first: DataFrame) -> DataFrame:
     centres = lists.groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("centre"), F.count("*").alias("members")).where("members > 1")
     centres = stable(centres)
     needed = lists.join(centres, "key", "left_semi").select("rep").distinct()
-    sets = stable(docs.select("doc_id", "text").join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-                  .mapInArrow(_sets, "rep bigint, hashes array<bigint>").dropDuplicates(["rep"]))
+    sets = stable(docs.select("doc_id", "text").mapInArrow(
+        _sets(StoredIds(needed.select(F.col("rep").alias("id")))), "rep bigint, hashes array<bigint>").dropDuplicates(["rep"]))
     pairs = lists.join(centres, "key").where("rep <> centre").select("rep", "centre").distinct()
     size = first.select("rep", "n")
     pairs = stable(pairs.join(size, "rep").join(size.select(F.col("rep").alias("centre"), F.col("n").alias("m")), "centre")
@@ -208,6 +236,8 @@ def _links(docs: DataFrame, first: DataFrame) -> DataFrame:
     every = lambda n: F.expr(f"sequence(0, {n} - 1)")
     rows = opened.where("asks").select("rep", "key", "comp", F.lit(True).alias("asks"), ask_own.alias("q"), F.explode(every("blocks")).alias("block")).union(
         opened.select("rep", "key", "comp", F.lit(False).alias("asks"), F.explode(every("ask_blocks")).alias("q"), own.alias("block")))
-    held = candidates.select("rep", "n", "low", "prefix").join(sets, "rep")
-    more = rows.join(held, "rep").groupBy("key", "q", "block").applyInPandas(block_links, "a bigint, b bigint")
+    block = ["key", "q", "block"]
+    light = rows.join(candidates.select("rep", "n", "low", "prefix"), "rep")
+    near = stable(light.groupBy(*block).applyInPandas(block_rows, light.schema))
+    more = near.join(sets, "rep").groupBy(*block).applyInPandas(block_links, "a bigint, b bigint")
     return star.union(more)
