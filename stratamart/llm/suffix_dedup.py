@@ -6,8 +6,10 @@ bytes come to the same task: of the ``ANCHOR``-byte strings in each window of ``
 one of the smallest hash is the window's anchor, which depends on the window's bytes alone. The
 consecutive windows of one anchor make a fragment, and every window lies in one fragment.
 
-1. Count the distinct fragments by anchor. Those found twice repeat as a whole; those alone with
-   their anchor do not repeat at all. The others are in doubt.
+1. Count the distinct fragments by anchor. Those found twice repeat as a whole. Windows are put
+   in ``BANDS`` bands by where the anchor lies in them; all windows of a band share the bytes next
+   to the anchor, so a fragment of which no band's shared bytes are those of another fragment does
+   not repeat at all. The others are in doubt.
 2. Each shard of anchors takes the bytes of its fragments in doubt, one copy each, and builds the
    Burrows-Wheeler transform of the collection column by column: every round inserts one more
    byte of every fragment. Neighbours among the sorted suffixes that share ``LENGTH`` bytes are
@@ -37,6 +39,7 @@ LENGTH, ANCHOR = 200, 64
 SHARD_BYTES = 32 << 20
 TASK_FRAGMENTS = 500_000
 COLLECTION_BYTES = 16 << 20
+BANDS = 8
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,18 +83,35 @@ class Fragments:
         shape = ((place[head] - self.start) * 512 + self.windows).astype(np.uint64)
         self.hash = T.mix(T.span_hash(prefix, self.start, ends) + shape * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
         self.end = ends
+        self.prefix, self.length, self.width, self.place = prefix, length, anchor, place[head]
+
+    def bands(self) -> np.ndarray:
+        """For each fragment and band 32 bits of a hash of the bytes that all the fragment's windows
+        of that band share, 0 where it has no window in the band."""
+        out = np.zeros((len(self.hash), BANDS), np.uint32)
+        if len(self.hash):
+            most = self.place - self.start  # bytes before the anchor in the first window
+            least = most - self.windows + 1
+            cuts = np.linspace(0, self.length - self.width + 1, BANDS + 1).astype(int)
+            for b, (low, high) in enumerate(zip(cuts[:-1], cuts[1:] - 1, strict=True)):
+                has = (most >= low) & (least <= high)
+                own = T.span_hash(self.prefix, self.place[has] - low, self.place[has] + self.length - high)
+                out[has, b] = (own >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return out
 
 
 def _count_fragments(shards: int):
-    """Rows ``(shard, anchors, hashes, counts)`` of the distinct fragments of a task's texts."""
+    """Rows ``(shard, anchors, hashes, counts, bands)`` of the distinct fragments of a task's texts."""
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        anchor, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        anchor, hashes, bands = (np.concatenate(x) for x in zip(*held, strict=True))
         keys, where, (counts,) = summed(hashes, np.ones(len(hashes), np.int8))
         anchor = anchor[where]
-        rows = [(s, *parts) for s, parts in packed(shard_of(anchor, shards), [anchor, keys, np.minimum(counts, 2).astype(np.int8)])]
+        columns = [anchor, keys, np.minimum(counts, 2).astype(np.int8), bands[where]]
+        rows = [(s, *parts) for s, parts in packed(shard_of(anchor, shards), columns)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "anchors", "hashes", "counts"])
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)],
+            ["shard", "anchors", "hashes", "counts", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -99,7 +119,7 @@ def _count_fragments(shards: int):
             for _, _, data, offsets in T.slices(batch.column(0)):
                 found = Fragments(data, offsets)
                 if len(found.hash):
-                    held.append((found.anchor, found.hash))
+                    held.append((found.anchor, found.hash, found.bands()))
                     size += len(found.hash)
                 if size >= TASK_FRAGMENTS:
                     yield flush(held)
@@ -117,12 +137,16 @@ def _sort_out(folder: str):
         shard = int(group["shard"].iloc[0])
         anchor, hashes = (np.frombuffer(b"".join(group[c]), np.int64) for c in ("anchors", "hashes"))
         keys, where, (counts,) = summed(hashes, np.frombuffer(b"".join(group["counts"]), np.int8))
-        anchor = anchor[where]
-        order = np.argsort(anchor, kind="stable")
-        ranked = anchor[order]
-        start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        anchor = anchor[where].view(np.uint64)
+        bands = np.frombuffer(b"".join(group["bands"]), np.uint32).reshape(-1, BANDS)[where]
         shared = np.zeros(len(keys), bool)
-        shared[order] = np.repeat(np.diff(np.append(start, len(ranked))) > 1, np.diff(np.append(start, len(ranked))))
+        for b in range(BANDS):
+            at = np.flatnonzero(bands[:, b])
+            context = T.mix(anchor[at] + bands[at, b])
+            order = np.argsort(context, kind="stable")
+            same = context[order][1:] == context[order][:-1]
+            shared[at[order[1:][same]]] = True
+            shared[at[order[:-1][same]]] = True
         store(folder, f"repeated-{shard}", keys[counts > 1])
         store(folder, f"doubtful-{shard}", keys[shared])
         return pd.DataFrame([(shard, len(keys), int((counts > 1).sum()), int(shared.sum()))], columns=["shard", "fragments", "repeated", "doubtful"])
@@ -168,36 +192,42 @@ def column_wise_bwt(texts: list[bytes]) -> np.ndarray:
     lengths = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum(lengths)
-    transform = np.full(m, MARK, np.uint8)
+    # bytes are numbered by rank among those in use, to count as few kinds as there are
+    used = np.flatnonzero(np.bincount(flat, minlength=256))
+    code = np.zeros(256, np.uint8)
+    code[used] = np.arange(len(used))
+    flat, mark = code[flat], len(used)
+    transform = np.full(m, mark, np.uint8)
     going = np.flatnonzero(lengths)
     transform[going] = flat[ends[going] - 1]
     place = np.arange(m)
     for j in range(1, int(lengths.max(initial=0)) + 1):
         going = going[lengths[going] >= j]
-        new = m + _step(transform, flat[ends[going] - j], place[going])
+        new = m + _step(transform, mark, flat[ends[going] - j], place[going])
         place[going] = new
         order = np.argsort(new, kind="stable")
         fresh = np.zeros(len(transform) + len(going), bool)
         fresh[new] = True
         grown = np.empty(len(fresh), np.uint8)
         grown[~fresh] = transform
-        following = np.where(lengths[going] == j, MARK, flat[np.maximum(ends[going] - j - 1, 0)])
+        following = np.where(lengths[going] == j, mark, flat[np.maximum(ends[going] - j - 1, 0)])
         grown[new[order]] = following[order]
         transform = grown
-    return transform
+    return np.append(used, MARK).astype(np.uint8)[transform]
 
 
-def _step(transform: np.ndarray, first: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """How many suffixes that begin with a byte rank below ``first`` put before the suffix at ``place``."""
-    by_byte = np.argsort(transform, kind="stable")
-    less = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=256))])
-    out = less[first].astype(np.int64)
-    order = np.argsort(first, kind="stable")
-    ranked = first[order]
-    for s, e in runs(ranked):
-        at, c = order[s:e], int(ranked[s])
-        out[at] += np.searchsorted(by_byte[less[c]:less[c + 1]], place[at])
-    return out
+def _step(transform: np.ndarray, mark: int, first: np.ndarray, place: np.ndarray, block: int = 128) -> np.ndarray:
+    """How many suffixes that begin with a byte rank below ``first`` put before the suffix at ``place``:
+    all that begin with less, and as many as ``first`` stands before ``place`` in the transform."""
+    blocks, kinds = -(-len(transform) // block), mark + 1
+    rows = np.append(transform, np.full(-len(transform) % block, mark, np.uint8)).reshape(blocks, block)
+    counts = np.bincount((rows + (np.arange(blocks) * kinds)[:, None]).ravel(), minlength=blocks * kinds).reshape(blocks, kinds)
+    up_to = np.zeros((blocks + 1, kinds), np.int32)
+    np.cumsum(counts, axis=0, out=up_to[1:])
+    less = np.cumsum(up_to[-1], dtype=np.int64) - up_to[-1]
+    at = place // block
+    inside = (rows[at] == first[:, None]) & (np.arange(block) < (place % block)[:, None])
+    return less[first] + up_to[at, first] + np.count_nonzero(inside, axis=1)
 
 
 def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -289,7 +319,7 @@ def find_repeats(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Repeats:
     size = column.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     folder = local_path(scratch_path(spark, "repeats"))
-    counted = column.mapInArrow(_count_fragments(shards), "shard bigint, anchors binary, hashes binary, counts binary")
+    counted = column.mapInArrow(_count_fragments(shards), "shard bigint, anchors binary, hashes binary, counts binary, bands binary")
     sizes = stable(counted.groupBy("shard").applyInPandas(_sort_out(folder), "shard bigint, fragments bigint, repeated bigint, doubtful bigint"))
     most = sizes.agg(F.max("doubtful")).first()[0] or 0
     cells = shards * max(1, -(-most * 2 * LENGTH // COLLECTION_BYTES))
