@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratamart.checks.registry import check
 from stratamart.functions import ratio
 from stratamart.operators import history, joins, quality
-from stratamart.operators.aggregates import nested_children
+from stratamart.operators.aggregates import nested_children, nested_distinct, nested_rows
 from stratamart.operators.windows import latest_per_key
 from stratamart.session import scratch_path
 from stratamart.sources import Tables
@@ -74,11 +74,12 @@ def join_left_lookup(t: Tables) -> DataFrame:
 
 @check("join_left_fill", "long: user_id order_count, double: total_spent",
        f"""SELECT c_custkey AS user_id, count(o_orderkey) AS order_count, coalesce(sum({PRICE}), 0) AS total_spent
-           FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'
-             AND o_orderdate < TIMESTAMP '1995-06-01' GROUP BY c_custkey""")
+           FROM customer LEFT JOIN (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey - o_custkey % 2 END AS buyer FROM orders) o
+             ON buyer = c_custkey GROUP BY c_custkey""")
 def join_left_fill(t: Tables) -> DataFrame:
-    early = (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz"))
-    spent = t.orders.where(early).groupBy(F.col("o_custkey").alias("user_id")).agg(
+    """Spending per customer; orders go to the even customer number, some to none, so customers stay without."""
+    buyer = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") - F.col("o_custkey") % 2)
+    spent = t.orders.groupBy(buyer.alias("user_id")).agg(
         F.count("*").alias("order_count"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("total_spent"))
     return joins.lookup(t.customer.select(F.col("c_custkey").alias("user_id")), spent, ["user_id"],
                         {"order_count": 0, "total_spent": 0})
@@ -87,14 +88,15 @@ def join_left_fill(t: Tables) -> DataFrame:
 @check("join_left_chain_diff_keys", "long: l_orderkey l_linenumber, text: supplier part_name nation, double: usd",
        f"""SELECT l_orderkey, l_linenumber, s_name AS supplier, p_name AS part_name, n_name AS nation,
              {exact_ratio('CAST(l_extendedprice AS DECIMAL(12,2))', '1 + l_orderkey % 5', 4)} AS usd
-           FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0
-             LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 LEFT JOIN nation ON n_nationkey = s_nationkey""")
+           FROM lineitem LEFT JOIN supplier ON s_suppkey = CASE WHEN l_linenumber <> 2 THEN l_suppkey END
+             LEFT JOIN part ON p_partkey = CASE WHEN l_returnflag <> 'A' THEN l_partkey END LEFT JOIN nation ON n_nationkey = s_nationkey""")
 def join_left_chain_diff_keys(t: Tables) -> DataFrame:
-    solvent = t.supplier.where(F.col("s_acctbal") > 0)
-    large = t.part.where(F.col("p_size") > 10)
+    """Lines with supplier, part and nation; some lines name no supplier or no part."""
+    lines = t.lineitem.withColumns({"supplier_key": F.when(F.col("l_linenumber") != 2, F.col("l_suppkey")),
+                                    "part_key": F.when(F.col("l_returnflag") != "A", F.col("l_partkey"))})
     joined = (
-        t.lineitem.join(solvent, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        .join(large, F.col("l_partkey") == F.col("p_partkey"), "left")
+        lines.join(t.supplier, F.col("supplier_key") == F.col("s_suppkey"), "left")
+        .join(t.part, F.col("part_key") == F.col("p_partkey"), "left")
         .join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     )
     usd = ratio(F.col("l_extendedprice").cast("decimal(12,2)"), 1 + F.col("l_orderkey") % 5, 4)
@@ -118,13 +120,12 @@ def join_full_outer_expr(t: Tables) -> DataFrame:
 @check("join_lateral_top1", "long: c_custkey last_order, text: last_date last_status",
        """SELECT c_custkey, o.o_orderkey AS last_order, o.o_orderdate AS last_date, o.o_orderstatus AS last_status
           FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey
-            ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderpriority = '1-URGENT') o
-            ON o_custkey = c_custkey AND n = 1""")
+            ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) o ON o_custkey = c_custkey AND n = 1""")
 def join_lateral_top1(t: Tables) -> DataFrame:
-    """Every customer with the latest urgent order, if any."""
-    urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(
+    """Every customer with the latest order, if any."""
+    placed = t.orders.select(
         F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", "o_orderstatus")
-    last = latest_per_key(urgent, ["c_custkey"], ["o_orderdate", "o_orderkey"])
+    last = latest_per_key(placed, ["c_custkey"], ["o_orderdate", "o_orderkey"])
     return t.customer.select("c_custkey").join(last, "c_custkey", "left").select(
         "c_custkey", F.col("o_orderkey").alias("last_order"), F.col("o_orderdate").alias("last_date"),
         F.col("o_orderstatus").alias("last_status"))
@@ -356,32 +357,47 @@ def schedule_status(t: Tables) -> DataFrame:
 _LISTED = "CAST(l_partkey AS VARCHAR) || ':' || l_returnflag"
 
 
-@check("agg_nested_list", "long: o_orderkey n, text: lines",
-       f"""SELECT l_orderkey AS o_orderkey, count(*) AS n,
-             string_agg({_LISTED}, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)
-               AS lines FROM lineitem WHERE l_returnflag <> 'A' GROUP BY l_orderkey""")
+_IN_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+_TIES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+
+@check("agg_nested_list", "long: o_orderkey chunk n, text: lines",
+       f"""SELECT l_orderkey AS o_orderkey, coalesce((rn - 1) // 10000, 0) AS chunk, count(rn) AS n,
+             coalesce(string_agg({_LISTED}, ',' ORDER BY rn) FILTER (rn IS NOT NULL), '') AS lines
+           FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R'
+             ORDER BY {_IN_ORDER}) END AS rn FROM lineitem) l GROUP BY 1, 2""")
 def agg_nested_list(t: Tables) -> DataFrame:
-    """Per order the array of its kept lines, in line order."""
-    kept = t.lineitem.where(F.col("l_returnflag") != "A").withColumnRenamed("l_orderkey", "o_orderkey")
-    nested = nested_children(kept.select("o_orderkey").distinct(), kept, "o_orderkey", "l_linenumber",
-                             ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"],
-                             ["l_partkey", "l_returnflag"], "children")
+    """Per order the array of its returned lines, in line order; empty where none was returned."""
+    rows = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    nested = nested_rows(rows, "o_orderkey", F.col("l_returnflag") == "R", "l_linenumber", _TIES, ["l_partkey", "l_returnflag"], "children")
     return _flattened(nested, "o_orderkey")
 
 
-@check("agg_nest_children", "long: o_orderkey n, text: lines",
-       f"""SELECT o_orderkey, count(l_orderkey) AS n, coalesce(string_agg({_LISTED}, ',' ORDER BY l_linenumber, l_partkey,
-             l_suppkey, l_quantity, l_extendedprice, l_shipdate), '') AS lines
-           FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40 GROUP BY o_orderkey""")
+@check("agg_nested_distinct", "long: user_id chunk n, text: types",
+       """SELECT user_id, coalesce((rn - 1) // 10000, 0) AS chunk, count(rn) AS n,
+            coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (rn IS NOT NULL), '') AS types
+          FROM (SELECT *, CASE WHEN kind IS NOT NULL THEN row_number() OVER (PARTITION BY user_id, kind IS NULL ORDER BY kind) END AS rn
+            FROM (SELECT DISTINCT user_id, nullif(event_type, 'view') AS kind FROM events) d) e GROUP BY 1, 2""")
+def agg_nested_distinct(t: Tables) -> DataFrame:
+    """Per user the distinct event types but views, in order; empty for users who only view."""
+    rows = t.events.select("user_id", F.nullif("event_type", F.lit("view")).alias("kind"))
+    nested = nested_distinct(rows, "user_id", "kind", "children")
+    return nested.select("user_id", "chunk", F.size("children").alias("n"), F.array_join(F.transform("children", lambda r: r["kind"]), ",").alias("types"))
+
+
+@check("agg_nest_children", "long: o_orderkey chunk n, text: lines",
+       f"""SELECT o_orderkey, coalesce((rn - 1) // 10000, 0) AS chunk, count(rn) AS n, coalesce(string_agg({_LISTED}, ',' ORDER BY rn), '') AS lines
+           FROM orders LEFT JOIN (SELECT *, CASE WHEN l_linenumber > 1 THEN l_orderkey END AS parent, row_number() OVER (
+               PARTITION BY l_orderkey, l_linenumber > 1 ORDER BY {_IN_ORDER}) AS rn FROM lineitem) l ON parent = o_orderkey
+           GROUP BY 1, 2""")
 def agg_nest_children(t: Tables) -> DataFrame:
-    """Every order with the array of its large lines, empty without any."""
-    large = t.lineitem.where(F.col("l_quantity") > 40).withColumnRenamed("l_orderkey", "o_orderkey")
-    nested = nested_children(t.orders.select("o_orderkey"), large, "o_orderkey", "l_linenumber",
-                             ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"],
+    """Every order with the array of its lines; first lines belong to no order, so some have none."""
+    lines = t.lineitem.withColumn("o_orderkey", F.when(F.col("l_linenumber") > 1, F.col("l_orderkey")))
+    nested = nested_children(t.orders.select("o_orderkey"), lines, "o_orderkey", "l_linenumber", _TIES,
                              ["l_partkey", "l_returnflag"], "children")
     return _flattened(nested, "o_orderkey")
 
 
 def _flattened(nested: DataFrame, key: str) -> DataFrame:
     text = F.transform("children", lambda r: F.concat(r["l_partkey"].cast("string"), F.lit(":"), r["l_returnflag"]))
-    return nested.select(key, F.size("children").alias("n"), F.array_join(text, ",").alias("lines"))
+    return nested.select(key, "chunk", F.size("children").alias("n"), F.array_join(text, ",").alias("lines"))

@@ -124,21 +124,19 @@ def asset_lookup(t: Tables) -> DataFrame:
     return placed.join(asset, "r_name", "left").groupBy("r_name", "currency").agg(F.sum("n").alias("customers"))
 
 
-@check("date_spine_fill", "long: user_id errors, text: date",
-       """SELECT u.user_id, d.date, coalesce(n, 0) AS errors
-          FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date) d
-            CROSS JOIN (SELECT DISTINCT user_id FROM events) u
-            LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events
-              WHERE event_type = 'error' GROUP BY ALL) e ON e.user_id = u.user_id AND e.date = d.date""")
+@check("date_spine_fill", "long: errors users, text: date",
+       """SELECT d.date, coalesce(n, 0) AS errors, coalesce(u, 0) AS users
+          FROM (SELECT CAST(unnest(generate_series(date_trunc('month', (SELECT min(ts) FROM events)),
+              last_day((SELECT max(ts) FROM events)), INTERVAL 1 DAY)) AS DATE) AS date) d
+            LEFT JOIN (SELECT CAST(ts AS DATE) AS date, count(*) FILTER (event_type = 'error') AS n, count(DISTINCT user_id) AS u
+              FROM events GROUP BY 1) e ON e.date = d.date""")
 def date_spine_fill(t: Tables) -> DataFrame:
-    """Errors of each user on every day of the months seen, 0 on days without any."""
+    """Errors and users on every day of the months seen, 0 on days without any."""
     day = F.to_date("ts")
-    first, last = t.events.agg(F.trunc(F.min(day), "month"), F.last_day(F.max(day))).first()
-    days = F.explode(F.sequence(F.lit(first), F.lit(last)))
-    spine = t.events.select("user_id").distinct().withColumn("date", days)
-    counted = t.events.where(F.col("event_type") == "error").groupBy("user_id", day.alias("date")).agg(
-        F.count("*").alias("errors"))
-    return spine.join(counted, ["user_id", "date"], "left").na.fill(0, ["errors"])
+    span = t.events.agg(F.trunc(F.min(day), "month").alias("first"), F.last_day(F.max(day)).alias("last"))
+    counted = t.events.groupBy(day.alias("date")).agg(
+        F.count_if(F.col("event_type") == "error").alias("errors"), F.count_distinct("user_id").alias("users"))
+    return files.date_spine(span).join(counted, "date", "left").na.fill(0, ["errors", "users"])
 
 
 # -- materializations --------------------------------------------------------------------
@@ -225,6 +223,12 @@ def _delta(t: Tables) -> DataFrame:
     return debtors.unionByName(debtors.withColumns({"id": -F.col("id") - 1, "segment": F.lit("new")}))
 
 
+def _repeated_delta(t: Tables) -> DataFrame:
+    """The delta with an older version of each row."""
+    final = _delta(t).withColumn("version", F.lit(2))
+    return final.unionByName(final.withColumns({"version": F.lit(1), "balance": F.col("balance") + 7, "segment": F.lit("old")}))
+
+
 def _base(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"),
                              F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
@@ -240,8 +244,9 @@ _NEW_DEBTORS = f"SELECT -c_custkey - 1, 'new', {_BALANCE} + 100 FROM customer WH
 def mat_upsert_on_conflict(t: Tables) -> DataFrame:
     """Update on conflict: segment is the partition, so changed rows move to another one."""
     w = warehouse(t)
-    w.upsert("balances", _base(t), ["id"], ["segment"])
-    return w.upsert("balances", _delta(t), ["id"], ["segment"])
+    w.upsert("balances", _base(t).withColumn("version", F.lit(0)), ["id"], ["segment"])
+    w.upsert("balances", _repeated_delta(t), ["id"], ["segment"], newest_by=["version"])
+    return w.upsert("balances", _repeated_delta(t).limit(0), ["id"], ["segment"], newest_by=["version"])
 
 
 @check("mat_insert_do_nothing", "long: id, text: segment, double: balance",
@@ -284,20 +289,28 @@ _STREAMED = ("order_item_id bigint, order_id bigint, product_id bigint, quantity
 
 @_checked_load("incremental_stream", "int_order_details")
 def incremental_stream(t: Tables) -> DataFrame:
-    """Order lines arrive as files in two steps; each run joins only the new ones."""
-    arriving, target, state = (scratch_path(t.spark, label) for label in ("arriving", "details", "state"))
-
-    def enrich(lines: DataFrame) -> DataFrame:
-        ctx = orders_mart(t)
-        ctx.bind("stg_order_items", lines)
-        return ctx.ref("int_order_details")
-
+    """Order lines arrive as files in two steps, half of them before their orders; those wait."""
+    w = warehouse(t)
+    arriving, state = scratch_path(t.spark, "arriving"), scratch_path(t.spark, "state")
     lines = orders_mart(t).ref("stg_order_items")
     early = F.col("order_id") % 2 == 0
-    for part in (lines.where(early), lines.where(~early)):
-        part.write.mode("append").parquet(arriving)
-        incremental.stream_append(incremental.new_files(t.spark, arriving, _STREAMED), enrich, target, state)
-    return t.spark.read.parquet(target)
+
+    def load(known_orders: DataFrame) -> None:
+        def enrich(rows: DataFrame) -> DataFrame:
+            ctx = orders_mart(t)
+            ctx.bind("stg_order_items", rows)
+            ctx.bind("stg_orders", known_orders)
+            return ctx.ref("int_order_details")
+
+        incremental.stream_matched(incremental.new_files(t.spark, arriving, _STREAMED), enrich,
+                                   ["order_item_id", "product_id", "quantity", "line_total"], w, "details", "waiting", state)
+
+    orders = orders_mart(t).ref("stg_orders")
+    lines.where(early).write.mode("append").parquet(arriving)
+    load(orders.where(F.col("order_id") % 4 == 0))
+    lines.where(~early).write.mode("append").parquet(arriving)
+    load(orders)
+    return w.read("details")
 
 
 _ORDER_ROWS = "order_id bigint, customer_id bigint, order_date timestamp_ntz, total_amount decimal(10,2), status string"

@@ -158,8 +158,9 @@ def agg_median_impute(t: Tables) -> DataFrame:
     return aggregates.impute_median(holes, "value").withColumn("value", F.round("value", 6))
 
 
-@check("agg_string_list", "long: user_id, text: types",
-       "SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS types FROM events GROUP BY user_id")
+@check("agg_string_list", "long: user_id chunk, text: types",
+       "SELECT user_id, (rn - 1) // 10000 AS chunk, string_agg(event_type, ', ' ORDER BY rn) AS types FROM (SELECT *, row_number() OVER ("
+       "PARTITION BY user_id ORDER BY event_type) AS rn FROM (SELECT DISTINCT user_id, event_type FROM events) d) e GROUP BY ALL")
 def agg_string_list(t: Tables) -> DataFrame:
     return aggregates.sorted_text(t.events, ["user_id"], "event_type", "types")
 
@@ -345,8 +346,8 @@ def proposals(t: Tables) -> DataFrame:
 
 
 def currencies(t: Tables) -> DataFrame:
-    """One rate per proposal id that has a taxed line; the others have none."""
-    ids = t.lineitem.where(F.col("l_tax") > 0).select(
+    """One rate per proposal id; third lines have none."""
+    ids = t.lineitem.where(F.col("l_linenumber") != 3).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("exchangable_id")).distinct()
     return ids.withColumn("conversion_rate", 1 + F.col("exchangable_id") % 5)
 
@@ -362,7 +363,7 @@ def enriched(t: Tables) -> DataFrame:
 _WHOLESALE = "CAST(l_extendedprice AS DECIMAL(12,2)) * 0.80"
 VIEWS["proposal_rates"] = """
 SELECT DISTINCT l_orderkey * 10 + l_linenumber AS rated_id, 1 + (l_orderkey * 10 + l_linenumber) % 5 AS rate
-FROM lineitem WHERE l_tax > 0
+FROM lineitem WHERE l_linenumber <> 3
 """
 VIEWS["proposal_rows"] = f"""
 SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user_id, l_suppkey AS provider_pg_id, l_partkey AS ware,

@@ -1,14 +1,12 @@
 """Features, models, scoring and vector search.
 
-Trained models have no SQL counterpart; their queries are checked by tests on quality,
-determinism and completeness instead.
+Trained models have no SQL counterpart: their queries state what has to hold of any good model
+(rows, ranges, totals, quality), and tests check the rest.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamart.checks.registry import ORDERS_AS_OF, check, orders_mart
@@ -16,8 +14,8 @@ from stratamart.checks.sql import VIEWS, exact_avg
 from stratamart.ml import features, scoring, segments, training
 from stratamart.ml.scoring import NamedModel
 from stratamart.ml.store import ModelStore
-from stratamart.operators.search import semantic_topk
-from stratamart.session import scratch_path
+from stratamart.operators.search import semantic_topk, semantic_topk_batch
+from stratamart.session import scratch_path, stable
 from stratamart.sources import Tables
 from stratamart.sources import raw
 
@@ -82,17 +80,16 @@ def churn_label_rule(t: Tables) -> DataFrame:
     return features.churn_labels(churn_base(t)).withColumn("churn_score", F.round("churn_score", 9))
 
 
-@check("train_test_split", "long: churned rows customers, bool: in_share",
-       "SELECT o_orderpriority = '1-URGENT' AS churned, count(*) AS rows, count(*) AS customers, true AS in_share "
+@check("train_test_split", "long: churned rows customers test_rows",
+       "SELECT o_orderpriority = '1-URGENT' AS churned, count(*) AS rows, count(*) AS customers, round(count(*) * 0.2) AS test_rows "
        "FROM orders GROUP BY 1")
 def train_test_split(t: Tables) -> DataFrame:
-    """Both sides of a split of all orders together: whole, disjoint and in proportion per class."""
+    """Both sides of a split of all orders together: whole, disjoint and of the exact share per class."""
     labelled = t.orders.select("o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("churned"))
-    train, test = training.train_test_split(labelled, "o_orderkey")
+    train, test = training.train_test_split(labelled, "o_orderkey", label="churned")
     both = train.withColumn("test", F.lit(0)).unionByName(test.withColumn("test", F.lit(1)))
     return both.groupBy("churned").agg(
-        F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("customers"),
-        (F.abs(F.avg("test") - 0.2) < 0.03).alias("in_share"))
+        F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("customers"), F.sum("test").alias("test_rows"))
 
 
 @check("encode_categoricals", "long: p_partkey p_brand p_type",
@@ -154,54 +151,58 @@ def ml_risk_bands(t: Tables) -> DataFrame:
 
 # -- trained models ----------------------------------------------------------------------
 
-@lru_cache(maxsize=2)
-def _forest(application: str, folder: str, trees: int) -> tuple[NamedModel, list[dict]]:
-    from pyspark.sql import SparkSession
-
-    t = Tables(SparkSession.active(), folder)
-    ready = features.churn_features(churn_base(t)).persist()
-    train, test = training.train_test_split(ready, "customer_id")
+def churn_model(t: Tables, trees: int = training.TREES) -> tuple[NamedModel, list[dict]]:
+    """A churn forest trained on a folder's tables, and its metrics on the rows kept back."""
+    ready = stable(features.churn_features(churn_base(t)))
+    train, test = training.train_test_split(ready, "customer_id", label="churned")
     model = training.train_classifier(train, CHURN_FEATURES, "churned", trees=trees)
     named = NamedModel("customer_churn", model, CHURN_FEATURES)
     scored = scoring.predict(named, scoring.predict(named, test), proba=True)
     metrics = training.eval_classification(scored, "churned", "customer_churn_prediction").first().asDict()
     metrics["roc_auc"] = training.roc_auc(scored, "churned", "customer_churn_proba")
-    ready.unpersist()
     return named, [{"metric": k, "value": v} for k, v in metrics.items()]
 
 
-def churn_model(t: Tables, trees: int = training.TREES) -> tuple[NamedModel, list[dict]]:
-    """The churn forest of a folder, trained once per application."""
-    return _forest(t.spark.sparkContext.applicationId, t.folder, trees)
+_METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
 
 
-@check("train_classifier", "text: metric, double: value", None)
+@check("train_classifier", "text: metric, bool: reached",
+       f"SELECT unnest({_METRICS}) AS metric, true AS reached FROM (SELECT count(*) FROM churn_base) b")
 def train_classifier(t: Tables) -> DataFrame:
-    """Test metrics of the churn forest."""
-    return t.spark.createDataFrame(churn_model(t)[1], "metric string, value double")
+    """The churn label is a rule on a feature, so a forest has to reach 0.9 in every test metric."""
+    found = t.spark.createDataFrame(churn_model(t)[1], "metric string, value double")
+    return found.where(F.col("metric").isin(_METRICS)).select("metric", (F.col("value") >= 0.9).alias("reached"))
 
 
-@check("ml_predict", "long: customer_id, double: customer_churn_prediction", None)
+@check("ml_predict", "long: customer_id, bool: valid", "SELECT customer_id, true AS valid FROM churn_base")
 def ml_predict(t: Tables) -> DataFrame:
-    return scoring.predict(churn_model(t)[0], features.churn_features(churn_base(t)))
+    """A prediction of 0 or 1 for every customer with orders."""
+    found = scoring.predict(churn_model(t)[0], features.churn_features(churn_base(t)))
+    return found.select("customer_id", F.col("customer_churn_prediction").isin(0.0, 1.0).alias("valid"))
 
 
-@check("ml_batch_predict", "long: customer_id churned, double: customer_churn_proba, text: risk", None)
+@check("ml_batch_predict", "long: customer_id, bool: valid banded", "SELECT customer_id, true AS valid, true AS banded FROM churn_base")
 def ml_batch_predict(t: Tables) -> DataFrame:
+    """A chance between 0 and 1 for every customer, and the risk band it lies in."""
     scored = scoring.predict(churn_model(t)[0], features.churn_features(churn_base(t)), proba=True)
-    return scored.withColumn("risk", scoring.risk_band(F.col("customer_churn_proba")))
+    proba = F.col("customer_churn_proba")
+    return scored.select("customer_id", proba.between(0, 1).alias("valid"), scoring.risk_band(proba).isNotNull().alias("banded"))
 
 
-@check("ml_predict_from_query", "long: customer_id, double: customer_churn_prediction", None)
+@check("ml_predict_from_query", "long: customer_id, bool: valid", "SELECT customer_id, true AS valid FROM churn_base WHERE frequency >= 5")
 def ml_predict_from_query(t: Tables) -> DataFrame:
-    return scoring.predict_from_query(
+    found = scoring.predict_from_query(
         churn_model(t)[0], t.spark, "SELECT * FROM {features} WHERE frequency >= 5",
         features=features.churn_features(churn_base(t)))
+    return found.select("customer_id", F.col("customer_churn_prediction").isin(0.0, 1.0).alias("valid"))
 
 
-@check("ml_feature_importance", "text: feature, double: importance", None)
+@check("ml_feature_importance", "text: feature, bool: valid", f"SELECT unnest({CHURN_FEATURES}) AS feature, true AS valid FROM (SELECT count(*) FROM churn_base) b")
 def ml_feature_importance(t: Tables) -> DataFrame:
-    return scoring.feature_importance(churn_model(t)[0], t.spark, limit=5)
+    """Shares of all features; they add up to one."""
+    found = scoring.feature_importance(churn_model(t)[0], t.spark, limit=len(CHURN_FEATURES))
+    total = F.sum("importance").over(Window.partitionBy(F.lit(1)))
+    return found.select("feature", (F.col("importance").between(0, 1) & (F.abs(total - 1) < 1e-6)).alias("valid"))
 
 
 @check("model_store", "text: model_name latest_version target_column features status, long: total_versions",
@@ -218,17 +219,21 @@ def model_store(t: Tables) -> DataFrame:
     return store.list_models().withColumn("features", F.array_join("feature_columns", ", "))
 
 
-@check("rfm_kmeans", "long: customer_id segment", None)
+@check("rfm_kmeans", "long: customer_id, bool: in_range", "SELECT customer_id, true AS in_range FROM rfm")
 def rfm_kmeans(t: Tables) -> DataFrame:
     found = rfm(t)
-    return segments.assign_segments(segments.train_segments(found), found)
+    assigned = segments.assign_segments(segments.train_segments(found), found)
+    return assigned.select("customer_id", F.col("segment").between(0, 3).alias("in_range"))
 
 
-@check("rfm_segment_profile", "long: segment customers, double: avg_order_count avg_total_spent avg_avg_order_value "
-       "avg_recency_days", None)
+@check("rfm_segment_profile", "long: customers orders, double: spent",
+       "SELECT count(*) AS customers, sum(order_count) AS orders, round(CAST(sum(total_spent) AS DOUBLE), 0) AS spent FROM rfm")
 def rfm_segment_profile(t: Tables) -> DataFrame:
+    """The segments' sizes and means put together again: nothing is lost or counted twice."""
     found = rfm(t)
-    return segments.segment_profile(segments.assign_segments(segments.train_segments(found), found))
+    profile = segments.segment_profile(segments.assign_segments(segments.train_segments(found), found))
+    return profile.agg(F.sum("customers").alias("customers"), F.round(F.sum(F.col("customers") * F.col("avg_order_count"))).alias("orders"),
+                       F.round(F.sum(F.col("customers") * F.col("avg_total_spent")).cast("double"), 0).alias("spent"))
 
 
 # -- search ------------------------------------------------------------------------------
@@ -243,3 +248,14 @@ def semantic_topk_check(t: Tables) -> DataFrame:
     query = t.embeddings.agg(F.min_by("embedding", "vec_id")).first()[0]
     found = semantic_topk(t.embeddings, query, "vec_id", "embedding")
     return found.withColumn("similarity_score", F.round("similarity_score", 6))
+
+
+@check("semantic_topk_batch", "long: query_id vec_id, double: similarity_score",
+       """SELECT query_id, vec_id, round(s, 6) AS similarity_score FROM (
+            SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s,
+              row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS n
+            FROM embeddings q JOIN embeddings e ON q.label = 3) r WHERE n <= 5 AND s >= 0.25""")
+def semantic_topk_batch_check(t: Tables) -> DataFrame:
+    """The five nearest vectors of every vector of one label."""
+    found = semantic_topk_batch(t.embeddings, t.embeddings.where(F.col("label") == 3), "vec_id", "embedding")
+    return found.withColumn("similarity_score", F.round("similarity_score", 6))

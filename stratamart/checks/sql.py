@@ -106,7 +106,7 @@ FROM orders
 VIEWS["raw_campaigns"] = """
 SELECT id, channel || ' wave ' || CAST(id AS STRING) AS name, channel, start_date, end_date, budget,
   CASE id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'completed' ELSE 'paused' END AS status
-FROM (SELECT row_number() OVER (ORDER BY event_type, date_trunc('week', ts)) AS id, event_type AS channel,
+FROM (SELECT CAST('0x' || substr(md5(event_type || ':' || strftime(date_trunc('week', ts), '%Y-%m-%d')), 1, 12) AS BIGINT) AS id, event_type AS channel,
         CAST(min(ts) AS DATE) AS start_date, CAST(max(ts) AS DATE) AS end_date,
         CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS budget
       FROM events GROUP BY event_type, date_trunc('week', ts)) g
@@ -117,9 +117,9 @@ SELECT id, 'P' || CAST(id AS STRING) AS code, event_type AS type,
   CAST(5 + id % 46 AS DECIMAL(10,2)) AS discount_value, day AS start_date,
   day + CAST(7 + id % 84 AS INT) AS end_date,
   CAST(40 + 4 * extract(day FROM day) AS INT) AS usage_limit, CAST(n AS INT) AS times_used
-FROM (SELECT row_number() OVER (ORDER BY event_type, CAST(ts AS DATE)) AS id, event_type,
+FROM (SELECT CAST('0x' || substr(md5(event_type || ':' || strftime(CAST(ts AS DATE), '%Y-%m-%d')), 1, 12) AS BIGINT) AS id, event_type,
         CAST(ts AS DATE) AS day, count(*) AS n
-      FROM events WHERE extract(day FROM ts) <> 15 GROUP BY event_type, CAST(ts AS DATE)) g
+      FROM events GROUP BY event_type, CAST(ts AS DATE)) g
 """
 
 VIEWS["raw_employees"] = """

@@ -11,23 +11,30 @@ from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAss
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamart.operators.windows import row_numbers
+from stratamart.operators.windows import ranked_within, row_numbers
 
-# Share of the test set and seed; forest size, depth and least rows per leaf.
+# Share of the test set and seed; forest size, depth and least rows per leaf. The declared bound
+# is that a node under 5 rows is not split, which Spark's forest lacks; at least 2 rows in each child is its nearest.
 TEST_SHARE, SEED = 0.2, 42
 TREES, DEPTH, LEAF_ROWS = 100, 10, 2
 
 
-def train_test_split(df: DataFrame, key: str, test_share: float = TEST_SHARE,
-                     seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Split by a hash of the row's key.
+def train_test_split(df: DataFrame, key: str, test_share: float = TEST_SHARE, seed: int = SEED,
+                     label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split by a hash of the row's unique key.
 
     A row falls on the same side in every run and after a lost task, which a random draw
-    per partition does not guarantee. The hash ignores the label, so each class is split in
-    the given share, apart from chance.
+    per partition does not guarantee. With a ``label`` each class is split in exactly the given
+    share (rounded to whole rows): the rows of the smallest hashes are its test rows.
     """
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return df.where(draw >= test_share), df.where(draw < test_share)
+    hashed = F.xxhash64(F.col(key), F.lit(seed))
+    if label is None:
+        draw = F.pmod(hashed, F.lit(1_000_000)) / 1_000_000
+        return df.where(draw >= test_share), df.where(draw < test_share)
+    ranked = ranked_within(df.withColumn("_draw", hashed), [label], "_draw", [key], "_n")
+    wanted = df.groupBy(F.col(label).alias("_label")).agg(F.round(F.count("*") * test_share).alias("_test"))
+    split = ranked.join(wanted, F.col(label).eqNullSafe(F.col("_label")))
+    return (split.where(F.col("_n") > F.col("_test")).select(df.columns), split.where(F.col("_n") <= F.col("_test")).select(df.columns))
 
 
 def encode_categoricals(df: DataFrame, columns: Sequence[str]) -> DataFrame:

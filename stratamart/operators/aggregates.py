@@ -13,10 +13,6 @@ from stratamart.operators.quantiles import exact_quantiles
 from stratamart.operators.windows import ranked_within
 
 
-def _exact_mean(c: Column) -> Column:
-    return mean(c)
-
-
 # The aggregates a request may name. Deviation and variance are of the sample.
 AGGREGATIONS = {
     "SUM": F.sum, "AVG": F.avg, "COUNT": F.count, "MIN": F.min, "MAX": F.max,
@@ -30,7 +26,7 @@ def aggregation(df: DataFrame, name: str, field: str) -> Column:
         raise ValueError(f"unknown aggregation {name!r}")
     kind = df.schema[field].dataType
     if name.upper() == "AVG" and isinstance(kind, (T.DecimalType, T.IntegralType)):
-        return _exact_mean(F.col(field))
+        return mean(F.col(field))
     return AGGREGATIONS[name.upper()](F.col(field))
 
 
@@ -58,6 +54,27 @@ def sorted_text(df: DataFrame, keys: Sequence[str], item: str, out: str, separat
     return rows.select(*keys, "chunk", F.array_join(F.transform("_items", lambda r: r[item]), separator).alias(out))
 
 
+def nested_rows(rows: DataFrame, key: str, keep: Column, order_by: str, ties: Sequence[str], fields: Sequence[str],
+                out: str, chunk_rows: int = 10_000, hot_rows: int = 5_000_000) -> DataFrame:
+    """Per key the ordered array of its rows that meet ``keep``, empty where none does.
+
+    Keys come from all rows, so no second pass or join is needed for them. Chunks are as in
+    ``nested_children``.
+    """
+    marked = rows.withColumn("_at", F.when(keep, F.col(order_by)))
+    placed = ranked_within(marked, [key], "_at", ties, "_n", hot_rows)
+    chunk = F.coalesce(F.floor((F.col("_n") - 1) / chunk_rows), F.lit(0)).cast("int").alias("chunk")
+    item = F.when(F.col("_n").isNotNull(), F.struct("_n", *fields))
+    gathered = placed.groupBy(key, chunk).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
+    return gathered.select(key, "chunk", F.transform("_rows", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(out))
+
+
+def nested_distinct(rows: DataFrame, key: str, item: str, out: str, chunk_rows: int = 10_000, hot_rows: int = 5_000_000) -> DataFrame:
+    """Per key the ordered array of its distinct non-NULL items, empty where there is none."""
+    distinct = rows.select(key, item).distinct()
+    return nested_rows(distinct, key, F.col(item).isNotNull(), item, [], [item], out, chunk_rows, hot_rows)
+
+
 def nested_children(parents: DataFrame, children: DataFrame, key: str, order_by: str, ties: Sequence[str],
                     fields: Sequence[str], out: str, chunk_rows: int = 10_000,
                     hot_rows: int = 5_000_000) -> DataFrame:

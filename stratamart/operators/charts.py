@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from stratamart.operators.aggregates import aggregation
 from stratamart.operators.filters import filter_map, filter_ops, require_columns
 
-# Row limits per chart kind.
-TABLE_ROWS, XY_ROWS, STACKED_ROWS, EXPORT_ROWS, PREVIEW_ROWS = 100, 50, 500, 10_000, 100
+# Fixed value: what a series without a category is called.
+NO_CATEGORY = "None"
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,7 @@ class Chart:
     expressions: Mapping[str, str] = field(default_factory=dict)
     conditions: Sequence[tuple[str, str, Any]] = ()
     title: str | None = None
+    limit: int | None = None  # rows of a table, labels of any other chart; none by default
 
 
 def _needed(**named: object) -> None:
@@ -47,15 +48,17 @@ def _plotted(df: DataFrame, chart: Chart) -> DataFrame:
     return _chosen(df, chart).where(F.col(chart.x_axis).isNotNull())
 
 
-def table_chart(df: DataFrame, chart: Chart, limit: int | None = TABLE_ROWS,
-                order_by: Sequence[str] = ()) -> DataFrame:
-    """Chosen columns of the filtered rows; ``order_by`` makes the limited rows repeatable."""
+def _limited(rows: DataFrame, chart: Chart) -> DataFrame:
+    return rows if chart.limit is None else rows.limit(chart.limit)
+
+
+def table_chart(df: DataFrame, chart: Chart, order_by: Sequence[str] = ()) -> DataFrame:
+    """Chosen columns of the filtered rows; ``order_by`` makes limited rows repeatable."""
     _needed(columns=chart.columns)
     require_columns(df, chart.columns)
     rows = _chosen(df, chart)
     rows = rows.orderBy(*order_by) if order_by else rows
-    rows = rows.select(*chart.columns)
-    return rows.limit(limit) if limit else rows
+    return _limited(rows.select(*chart.columns), chart)
 
 
 def metric_chart(df: DataFrame, chart: Chart) -> DataFrame:
@@ -66,49 +69,58 @@ def metric_chart(df: DataFrame, chart: Chart) -> DataFrame:
     return total.select(F.nanvl(F.coalesce("value", F.lit(0.0)), F.lit(0.0)).alias("value"))
 
 
-def xy_chart(df: DataFrame, chart: Chart, limit: int | None = XY_ROWS) -> DataFrame:
+def metric_charts(df: DataFrame, field: str, hows: Sequence[str], filters: Mapping[str, Any]) -> DataFrame:
+    """``(how, value)``: several metrics of one field and one selection, from one scan."""
+    require_columns(df, [field])
+    measures = [aggregation(df, how, field).cast("double").alias(how) for how in hows]
+    values = F.array(*[F.struct(F.lit(how).alias("how"), F.nanvl(F.coalesce(how, F.lit(0.0)), F.lit(0.0)).alias("value")) for how in hows])
+    return filter_map(df, filters).agg(*measures).select(F.inline(values))
+
+
+def xy_chart(df: DataFrame, chart: Chart) -> DataFrame:
     """``(label, value)`` in label order: bar, line, pie and doughnut charts."""
     _needed(x_axis=chart.x_axis, y_axis=chart.y_axis)
     require_columns(df, [chart.y_axis])
     grouped = _plotted(df, chart).groupBy(F.col(chart.x_axis).alias("label")).agg(
         aggregation(df, chart.aggregation, chart.y_axis).alias("value"))
-    ordered = grouped.orderBy("label")
-    return ordered.limit(limit) if limit else ordered
+    return _limited(grouped.orderBy("label"), chart)
 
 
-def multi_chart(df: DataFrame, chart: Chart, limit: int | None = XY_ROWS) -> DataFrame:
+def multi_chart(df: DataFrame, chart: Chart) -> DataFrame:
     """``label`` with one column ``<aggregation>_<field>`` per metric."""
     _needed(metrics=chart.metrics)
     require_columns(df, [f for f, _ in chart.metrics])
     measures = [aggregation(df, how, f).alias(f"{how.lower()}_{f}") for f, how in chart.metrics]
     grouped = _plotted(df, chart).groupBy(F.col(chart.x_axis).alias("label")).agg(*measures).orderBy("label")
-    return grouped.limit(limit) if limit else grouped
+    return _limited(grouped, chart)
+
 
+def stacked_series(df: DataFrame, chart: Chart) -> DataFrame:
+    """``(label, category, value)``: the ordered cells of a stacked chart, whole labels only.
 
-def stacked_series(df: DataFrame, chart: Chart, limit: int | None = STACKED_ROWS) -> DataFrame:
-    """``(label, category, value)``: the ordered cells of a stacked chart."""
+    Rows without a category are a series of their own, ``NO_CATEGORY``.
+    """
     _needed(x_axis=chart.x_axis, y_axis=chart.y_axis, category=chart.category)
     require_columns(df, [chart.y_axis, chart.category])
     cells = _plotted(df, chart).groupBy(
-        F.col(chart.x_axis).alias("label"), F.col(chart.category).alias("category")
+        F.col(chart.x_axis).alias("label"), F.coalesce(F.col(chart.category).cast("string"), F.lit(NO_CATEGORY)).alias("category")
     ).agg(aggregation(df, chart.aggregation, chart.y_axis).alias("value"))
-    ordered = cells.orderBy("label", F.asc_nulls_last("category"))
-    return ordered.limit(limit) if limit else ordered
+    if chart.limit is not None:
+        first = cells.select("label").distinct().orderBy("label").limit(chart.limit)
+        cells = cells.join(first, "label", "left_semi")
+    return cells.orderBy("label", "category")
 
 
-def stacked_chart(df: DataFrame, chart: Chart, categories: Sequence[str] | None = None,
-                  limit: int | None = STACKED_ROWS) -> DataFrame:
+def stacked_chart(df: DataFrame, chart: Chart, categories: Sequence[str] | None = None) -> DataFrame:
     """One row per label and one column per category, 0 where a cell is empty.
 
-    Without given ``categories`` they are read from the cells, of which ``limit`` exist at most.
+    Without given ``categories`` they are read from the cells; each becomes a column.
     """
-    cells = stacked_series(df, chart, limit)
+    cells = stacked_series(df, chart)
     if categories is None:
-        found = cells.select(F.col("category").cast("string")).distinct().orderBy("category")
-        categories = [r[0] for r in found.limit(STACKED_ROWS).collect()]
-    named = cells.withColumn("category", F.col("category").cast("string"))
-    wide = named.groupBy("label").pivot("category", list(categories)).agg(F.first("value"))
-    return wide.na.fill(0, [str(c) for c in categories]).orderBy("label")
+        categories = [r[0] for r in cells.select("category").distinct().orderBy("category").collect()]
+    wide = cells.groupBy("label").pivot("category", list(categories)).agg(F.first("value"))
+    return wide.na.fill(0, list(categories)).orderBy("label")
 
 
 def chart_data(df: DataFrame, chart: Chart) -> DataFrame:
@@ -124,24 +136,25 @@ def chart_data(df: DataFrame, chart: Chart) -> DataFrame:
     return xy_chart(df, chart)
 
 
-def labelled(df: DataFrame, chart: Chart, limit: int | None = None) -> DataFrame:
+def labelled(df: DataFrame, chart: Chart) -> DataFrame:
     """An xy chart as ``(chart, label, value)`` with text labels, for reports over many charts."""
-    return xy_chart(df, chart, limit).select(
+    return xy_chart(df, chart).select(
         F.lit(chart.title).alias("chart"), F.col("label").cast("string"), F.col("value").cast("double"))
 
 
 def export_chart(df: DataFrame, chart: Chart, path: str) -> None:
-    """Write a chart's rows as CSV parts: tables up to their row limit, aggregates whole."""
+    """Write all rows of a chart as CSV parts; a limit of the chart is for showing it only."""
+    chart = replace(chart, limit=None)
     if chart.kind == "table":
-        data = table_chart(df, chart, EXPORT_ROWS)
+        data = table_chart(df, chart)
     elif chart.kind == "metric":
         data = metric_chart(df, chart)
     elif chart.metrics:
-        data = multi_chart(df, chart, None)
+        data = multi_chart(df, chart)
     elif chart.kind == "bar-stacked" and chart.category:
-        data = stacked_series(df, chart, None)
+        data = stacked_series(df, chart)
     else:
-        data = xy_chart(df, chart, None)
+        data = xy_chart(df, chart)
     data.write.mode("errorifexists").csv(path, header=True)
 
 

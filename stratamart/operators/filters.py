@@ -58,27 +58,28 @@ def not_true(df: DataFrame, flag: str) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, field: str | None = None, expression: str | None = None,
-                    limit: int = 1000, filters: Mapping[str, Any] | None = None,
+                    limit: int | None = None, filters: Mapping[str, Any] | None = None,
                     expressions: Mapping[str, str] | None = None) -> DataFrame:
-    """The first ``limit`` distinct non-NULL values in order, given the other selections."""
+    """The distinct non-NULL values in order, given the other selections; the first ``limit`` if given."""
     if bool(field) == bool(expression):
         raise ValueError("give either a field or an expression")
     if field:
         require_columns(df, [field])
     chosen = filter_map(df, filters or {}, expressions)
     c = (F.col(field) if field else F.expr(expression)).alias("value")
-    return chosen.select(c).where(F.col("value").isNotNull()).distinct().orderBy("value").limit(limit)
+    values = chosen.select(c).where(F.col("value").isNotNull()).distinct().orderBy("value")
+    return values if limit is None else values.limit(limit)
 
 
 # Column name parts that make a column a dashboard filter.
 FILTER_NAME_PARTS = ("year", "month", "tier", "status", "category", "warehouse")
 
 
-def filter_options(df: DataFrame, limit: int = 100, filters: Mapping[str, Any] | None = None) -> DataFrame:
-    """``(field, label, value)``: the first values of every column whose name marks it as a filter.
+def filter_options(df: DataFrame, limit: int | None = None, filters: Mapping[str, Any] | None = None) -> DataFrame:
+    """``(field, label, value)``: the values of every column whose name marks it as a filter.
 
     One scan serves all columns: values are paired with their field and made distinct on the
-    map side, and each task passes on at most ``limit`` values per field.
+    map side. With a ``limit`` only the first values of each field are kept.
     """
     fields = [f for f in df.schema.fields if any(part in f.name.lower() for part in FILTER_NAME_PARTS)]
     if not fields:
@@ -90,6 +91,8 @@ def filter_options(df: DataFrame, limit: int = 100, filters: Mapping[str, Any] |
             F.lit(f.name).alias("field"), F.lit(f.name.replace("_", " ").title()).alias("label"),
             number.alias("_number"), F.col(f.name).cast("string").alias("value")))
     values = filter_map(df, filters or {}).select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    if limit is None:
+        return values.distinct().select("field", "label", "value")
     in_order = Window.partitionBy("field").orderBy("_number", "value")
     first = values.distinct().withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= limit)
     return first.select("field", "label", "value")

@@ -67,11 +67,12 @@ def run_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def model_history(runs: DataFrame, model: str, limit: int = 10, runs_read: int = 100) -> DataFrame:
-    """A model's last runs with the log lines that name it, newest first."""
-    rows = model_rows(recent_runs(runs, runs_read)).where(F.col("model") == model)
+def model_history(runs: DataFrame, model: str, limit: int | None = None) -> DataFrame:
+    """A model's runs with the log lines that name it, newest first; the last ``limit`` if given."""
+    rows = model_rows(runs).where(F.col("model") == model)
     lines = F.filter("logs", lambda line: line.contains(model))
-    return rows.withColumn("logs", lines).orderBy(F.desc("run_id")).limit(limit)
+    ordered = rows.withColumn("logs", lines).orderBy(F.desc("run_id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def entity_status(entities: DataFrame, log: DataFrame, items: DataFrame, key: str, newest_by: Sequence[str],

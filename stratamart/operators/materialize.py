@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamart.operators.quality import duplicates
+from stratamart.operators.windows import latest_per_key
 
 
 def merge_rows(existing: DataFrame, delta: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -120,13 +121,22 @@ class Warehouse:
         return self.read(table)
 
     def upsert(self, table: str, delta: DataFrame, key: Sequence[str], partition_by: Sequence[str] = (),
-               period_of: str | None = None) -> DataFrame:
+               period_of: str | None = None, newest_by: Sequence[str] = (), period_moves: bool = True) -> DataFrame:
         """Insert or replace rows by key. Repeating the same delta changes nothing.
 
+        Of several rows of one key in the delta the newest is stored, by ``newest_by`` or else by
+        the time column; without either a repeated key is an error. A key whose partition never
+        changes (``period_moves`` false) needs no search for where it was stored before.
+
         With the table's partition columns given, or the time column whose ``period_of``
         partitions it by month, only partitions that receive a row or hold an old version of
         one are rewritten; otherwise the table is written anew.
         """
+        newest = list(newest_by) or ([period_of] if period_of else [])
+        if newest:
+            delta = latest_per_key(delta, list(key), newest)
+        elif not duplicates(delta, list(key)).isEmpty():
+            raise ValueError(f"{table}: {', '.join(key)} repeats in the rows to store; name newest_by")
         if period_of:
             delta, partition_by = with_period(delta, period_of, UPSERTED), [PERIOD]
         if not self.exists(table):
@@ -139,10 +149,13 @@ class Warehouse:
         # a row may move between partitions: find where its key lives now, reading keys only
         new_rows = delta.select(*key, *parts)
         old_rows = existing.select(*key, *parts)
-        moved_from = old_rows.join(new_rows.select(*key).distinct(), list(key), "left_semi")
-        touched = set(moved_from.unionByName(new_rows).select(*parts).distinct().collect())
+        receiving = new_rows.select(*parts)
+        if period_moves:
+            moved_from = old_rows.join(new_rows.select(*key).distinct(), list(key), "left_semi")
+            receiving = receiving.unionByName(moved_from.select(*parts))
+        touched = set(receiving.distinct().collect())
         if not touched:
-            return existing
+            return self.read(table)
         in_touched = _any_partition(touched, parts)
         left = merge_rows(old_rows.where(in_touched), new_rows, key).select(*parts).distinct()
         emptied = touched - set(left.collect())
@@ -161,34 +174,49 @@ class Warehouse:
         A table laid out by period is asked for its last one only.
         """
         rows = self._stored(table)
-        if PERIOD in rows.columns:
-            rows = rows.where(F.col(PERIOD) == F.lit(rows.where(F.col(PERIOD) != NO_PERIOD).agg(F.max(PERIOD)).first()[0]))
+        if PERIOD in rows.columns:  # the catalog knows the periods
+            listed = [r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()]
+            dated = sorted(p for p in listed if p != NO_PERIOD)
+            if not dated:
+                return None
+            for period in reversed(dated):  # an upsert may have emptied the last ones
+                found = rows.where(F.col(PERIOD) == period).agg(F.max(column)).first()[0]
+                if found is not None:
+                    return found
+            return None
         return rows.agg(F.max(column)).first()[0]
 
     def incremental(self, table: str, build: DataFrame, watermark: str, unique_key: str | None = None,
-                    lookback: timedelta | None = None) -> DataFrame:
+                    lookback: timedelta | None = None, row_key: Sequence[str] = ()) -> DataFrame:
         """Load a model's rows newer than the stored watermark; the first load takes all.
 
-        Rows are appended, or upserted by ``unique_key``. Strictly newer rows miss ties and
-        late arrivals; with a ``unique_key``, ``lookback`` re-reads that much before the
-        watermark and upserts. The table is partitioned by the watermark's month, or by its
+        Rows are upserted by ``unique_key``, or appended. Strictly newer rows miss ties and late
+        arrivals: ``lookback`` re-reads that much before the watermark, and rows without a time
+        are always read again. Appending needs a ``row_key`` for that, to leave out what is
+        stored; without one only strictly newer rows are appended. The table is partitioned by the watermark's month, or by its
         year if rows are only appended, so a load touches the last periods only.
         """
-        if lookback and not unique_key:
-            raise ValueError("lookback needs a unique_key, else rows would be stored twice")
+        if lookback and not unique_key and not row_key:
+            raise ValueError("lookback needs a unique_key or a row_key, else rows would be stored twice")
         length = UPSERTED if unique_key else APPENDED
         if not self.exists(table):
             return self.write(table, with_period(build, watermark, length), partition_by=[PERIOD],
                               even_files=bool(unique_key))
         newest = self.watermark(table, watermark)
-        if newest is None:  # nothing stored, or only rows without a time, which are never loaded twice
-            delta = build if self._stored(table).isEmpty() else build.where(F.col(watermark).isNotNull())
-        elif lookback:
-            delta = build.where(F.col(watermark) >= F.lit(newest - lookback))
+        time, undated = F.col(watermark), F.col(watermark).isNull()
+        since = None if newest is None else newest - (lookback or timedelta(0))
+        if unique_key or row_key:
+            delta = build if since is None else build.where((time >= F.lit(since) if lookback or row_key else time > F.lit(since)) | undated)
+        elif newest is None:  # nothing stored, or only rows without a time, which must not be stored twice
+            delta = build if self._stored(table).isEmpty() else build.where(~undated)
         else:
-            delta = build.where(F.col(watermark) > F.lit(newest))
+            delta = build.where(time > F.lit(newest))
         if unique_key:
             return self.upsert(table, delta, [unique_key], period_of=watermark)
+        if row_key:
+            stored = self.read(table)
+            stored = stored if since is None else stored.where((time >= F.lit(since)) | undated)
+            delta = delta.join(stored.select(*row_key), list(row_key), "left_anti").select(*build.columns)
         return self.write(table, with_period(delta, watermark, length), "append", [PERIOD], even_files=False)
 
     def python_model(self, table: str, fn: Callable[..., DataFrame], *inputs: DataFrame) -> DataFrame:

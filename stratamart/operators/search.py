@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,56 @@ def semantic_topk(corpus: DataFrame, query: Sequence[float], id_col: str, vector
         scored.where(F.col("similarity_score") >= min_score)
         .orderBy(F.desc("similarity_score"), id_col).limit(top_k)
     )
+
+
+def semantic_topk_batch(corpus: DataFrame, queries: DataFrame, id_col: str, vector: str, top_k: int = 5,
+                        min_score: float = 0.25, block: int = 1024) -> DataFrame:
+    """``(query_id, id, similarity_score)``: the ``top_k`` nearest rows of every query row.
+
+    Queries go out in blocks of ``block`` vectors. A task scores its rows against a block as
+    matrices and keeps ``top_k`` per query, so what leaves it is bounded by the block, never by
+    pairs. Equal scores go by id; rows without a direction are left out.
+    """
+    wanted = queries.select(id_col, vector).where(F.col(vector).isNotNull())
+    rows = corpus.select(id_col, vector).where(F.col(vector).isNotNull())
+    kind = rows.schema[id_col].dataType.simpleString()
+    parts, held = [], []
+
+    def scored(block_rows: list) -> DataFrame:
+        ids = [r[0] for r in block_rows]
+        unit = np.array([r[1] for r in block_rows], np.float64)
+        lengths = np.linalg.norm(unit, axis=1)
+        ids, unit = [i for i, n in zip(ids, lengths, strict=True) if n], unit[lengths > 0] / lengths[lengths > 0][:, None]
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top: list[list[tuple[float, object]]] = [[] for _ in ids]
+            for batch in batches:
+                matrix = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                own = np.array(batch.column(0).to_pylist(), object)
+                norms = np.linalg.norm(matrix, axis=1)
+                matrix, own = matrix[norms > 0] / norms[norms > 0][:, None], own[norms > 0]
+                for q, scores in enumerate(unit @ matrix.T):
+                    near = np.flatnonzero(scores >= min_score)
+                    if len(near) > top_k:
+                        least = np.partition(scores[near], -top_k)[-top_k]
+                        near = near[scores[near] >= least]
+                    top[q] = sorted([*top[q], *((-float(scores[k]), own[k]) for k in near)])[:top_k]
+            flat = [(ids[q], i, -s) for q, found in enumerate(top) for s, i in found]
+            for k in range(0, len(flat), 10_000):
+                columns = list(zip(*flat[k:k + 10_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", id_col, "similarity_score"])
+
+        return rows.mapInArrow(best, f"query_id {kind}, {id_col} {kind}, similarity_score double")
+
+    for row in wanted.toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            parts.append(scored(held))
+            held = []
+    if held or not parts:
+        parts.append(scored(held))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), id_col)
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top_k).drop("_n")

@@ -61,9 +61,8 @@ def ranked_within(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence
     valued = df.where(F.col(value).isNotNull())
     counted = (sizes_of if sizes_of is not None else df).where(F.col(value).isNotNull())
     hot = [r[:-1] for r in counted.groupBy(*keys).count().where(F.col("count") > hot_rows).collect()]
-    if not hot:
-        rank = F.when(F.col(value).isNotNull(), F.row_number().over(window).cast("long"))
-        return df.withColumn(out, rank)
+    if not hot:  # rows without a value stay out of the window: they may be most of a key
+        return valued.withColumn(out, F.row_number().over(window).cast("long")).unionByName(unranked)
     hot_keys = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
     same = [F.col(f"v.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
     cold = valued.alias("v").join(hot_keys.alias("h"), same, "left_anti").withColumn(

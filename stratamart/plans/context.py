@@ -45,6 +45,7 @@ class MartContext:
     def __init__(self, source: Callable[[str], DataFrame], as_of: date) -> None:
         self._source = source
         self._bound: dict[str, DataFrame] = {}
+        self._building: list[str] = []
         self.as_of = as_of
 
     def source(self, name: str) -> DataFrame:
@@ -54,7 +55,13 @@ class MartContext:
         if name not in self._bound:
             if name not in MODELS:
                 raise KeyError(f"no model named {name!r}")
-            self._bound[name] = MODELS[name].build(self)
+            if name in self._building:
+                raise ValueError(f"models depend on each other in a circle: {' -> '.join([*self._building, name])}")
+            self._building.append(name)
+            try:
+                self._bound[name] = MODELS[name].build(self)
+            finally:
+                self._building.pop()
         return self._bound[name]
 
     def bind(self, name: str, df: DataFrame) -> None:

@@ -198,14 +198,19 @@ def payment_transactions(t: Tables) -> DataFrame:
     )
 
 
+def _hashed_id(day) -> Column:
+    """48 bits of a hash of event type and day: an id that needs no numbering."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", "event_type", day)), 1, 12), 16, 10).cast("bigint")
+
+
 def campaigns(t: Tables) -> DataFrame:
-    """Weekly spend per event type. The numbering runs over that aggregate, not over events."""
+    """Weekly spend per event type; the id is a hash of type and week."""
     weekly = t.events.groupBy("event_type", F.date_trunc("week", "ts").alias("week")).agg(
         F.min("ts").cast("date").alias("start_date"),
         F.max("ts").cast("date").alias("end_date"),
         F.sum(F.col("value").cast("decimal(12,2)")).cast("decimal(14,2)").alias("budget"),
     )
-    numbered = weekly.withColumn("id", F.row_number().over(Window.orderBy("event_type", "week")))
+    numbered = weekly.withColumn("id", _hashed_id(F.date_format("week", "yyyy-MM-dd")))
     return numbered.select(
         "id",
         F.concat(F.col("event_type"), F.lit(" wave "), _text("id")).alias("name"),
@@ -218,12 +223,11 @@ def campaigns(t: Tables) -> DataFrame:
 
 
 def promotions(t: Tables) -> DataFrame:
-    """Daily uses per event type, leaving out the 15th of the month (see ``campaigns``)."""
+    """Daily uses per event type; the id is a hash of type and day."""
     daily = (
-        t.events.where(F.dayofmonth("ts") != 15)
-        .groupBy("event_type", F.to_date("ts").alias("day"))
+        t.events.groupBy("event_type", F.to_date("ts").alias("day"))
         .agg(F.count("*").alias("n"))
-        .withColumn("id", F.row_number().over(Window.orderBy("event_type", "day")))
+        .withColumn("id", _hashed_id(F.date_format("day", "yyyy-MM-dd")))
     )
     return daily.select(
         "id",
@@ -231,7 +235,7 @@ def promotions(t: Tables) -> DataFrame:
         F.col("event_type").alias("type"),
         (F.lit(5) + F.col("id") % 46).cast(MONEY).alias("discount_value"),
         F.col("day").alias("start_date"),
-        F.date_add("day", F.lit(7) + F.col("id") % 84).alias("end_date"),
+        F.date_add("day", (F.lit(7) + F.col("id") % 84).cast("int")).alias("end_date"),
         (F.lit(40) + F.dayofmonth("day") * 4).alias("usage_limit"),
         F.col("n").cast("int").alias("times_used"),
     )

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from stratamart.operators.materialize import Warehouse
+from stratamart.session import stable
 
 
 def new_files(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -28,16 +29,49 @@ def stream_append(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
     query.awaitTermination()
 
 
+def stream_matched(stream: DataFrame, match: Callable[[DataFrame], DataFrame], key: Sequence[str], warehouse: Warehouse,
+                   table: str, pending: str, checkpoint: str) -> None:
+    """Store the rows of new files that ``match`` finds partners for; the others wait.
+
+    Every run offers the waiting rows again, so a row that comes before its partner is stored as
+    soon as both are there. ``key`` names the columns that tell a row and its match. Waiting rows
+    are kept in the warehouse table ``pending``; a batch that runs again stores nothing twice.
+    """
+
+    def load(batch: DataFrame, _: int) -> None:
+        waiting = warehouse.read(pending) if warehouse.exists(pending) else batch.limit(0)
+        offered = stable(waiting.unionByName(batch).dropDuplicates(list(key)))
+        matched = stable(match(offered))
+        new = matched
+        if warehouse.exists(table):
+            new = matched.join(warehouse.read(table).select(*key), list(key), "left_anti").select(*matched.columns)
+        warehouse.write(table, stable(new), "append")
+        warehouse.write(pending, offered.join(matched.select(*key), list(key), "left_anti").select(*offered.columns), "replace")
+
+    def offer_again() -> None:
+        if warehouse.exists(pending):
+            load(warehouse.read(pending).limit(0), -1)
+
+    query = (
+        stream.writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    offer_again()
+
+
 def stream_upsert(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], warehouse: Warehouse, table: str,
-                  key: Sequence[str], checkpoint: str, period_of: str | None = None) -> None:
+                  key: Sequence[str], checkpoint: str, period_of: str | None = None,
+                  newest_by: Sequence[str] = ()) -> None:
     """Upsert the transformed new rows into a warehouse table, laid out by the month of ``period_of``.
 
     A batch repeated after a failure replaces the rows it wrote before. Of several rows with
-    one key in a batch the transform must keep one.
+    one key in a batch the newest is kept, by ``newest_by`` (or else the time column); put the
+    file's modification time there where files repeat a key.
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        warehouse.upsert(table, transform(batch), key, period_of=period_of)
+        warehouse.upsert(table, transform(batch), key, period_of=period_of, newest_by=newest_by)
 
     query = (
         stream.writeStream.foreachBatch(load)

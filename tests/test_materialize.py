@@ -127,3 +127,38 @@ def test_streams_take_each_file_once(spark, warehouse, tmp_path):
     run()
     assert rows(spark.read.parquet(target)) == [(1, "a", 2), (2, "a", 10), (2, "a", 4)]
     assert rows(warehouse.read("t")) == [(1, "a", 2), (2, "a", 10)]
+
+
+def test_upsert_of_nothing_keeps_the_columns(spark, warehouse):
+    rows_of = "id int, ts timestamp, v int"
+    first = spark.sql("SELECT 1 AS id, TIMESTAMP'2020-01-05' AS ts, 1 AS v")
+    warehouse.incremental("t", first, "ts", "id")
+    again = warehouse.incremental("t", spark.createDataFrame([], rows_of), "ts", "id")
+    assert again.columns == ["id", "ts", "v"] and again.count() == 1
+
+
+def test_a_key_is_stored_once(spark, warehouse):
+    warehouse.upsert("t", table(spark, (1, "a", 1)), ["id"], ["part"])
+    twice = table(spark, (2, "a", 1), (2, "b", 5), (1, "b", 3))
+    with pytest.raises(ValueError, match="newest_by"):
+        warehouse.upsert("t", twice, ["id"], ["part"])
+    warehouse.upsert("t", twice, ["id"], ["part"], newest_by=["v"])
+    assert rows(warehouse.read("t").select("id", "part", "v")) == [(1, "b", 3), (2, "b", 5)]
+
+
+def test_two_pending_files_with_one_key(spark, warehouse, tmp_path):
+    kind = "id int, ts timestamp_ntz, v int"
+    for n in (1, 2):
+        spark.sql(f"SELECT 7 AS id, TIMESTAMP_NTZ'2020-01-0{n}' AS ts, {n} AS v").write.mode("append").parquet(str(tmp_path / "in"))
+    stream_upsert(new_files(spark, str(tmp_path / "in"), kind), lambda d: d, warehouse, "t", ["id"], str(tmp_path / "state"), "ts")
+    assert [r.v for r in warehouse.read("t").collect()] == [2]
+
+
+def test_append_reads_late_and_undated_rows_by_row_key(spark, warehouse):
+    load = lambda *data: warehouse.incremental(
+        "t", spark.createDataFrame(list(data), "id int, day string").selectExpr("id", "CAST(day AS TIMESTAMP) AS ts"), "ts",
+        row_key=["id"], lookback=timedelta(days=3))
+    load((1, "2020-01-05"))
+    load((1, "2020-01-05"), (2, "2020-01-05"), (3, None), (4, "2020-01-03"))
+    load((3, None), (5, "2020-02-01"), (6, None))
+    assert sorted(r.id for r in warehouse.read("t").collect()) == [1, 2, 3, 4, 5, 6]

@@ -126,3 +126,12 @@ def test_first_failure_ends_the_run_and_is_recorded(spark, small, tmp_path):
         build_models(source, date(2001, 8, 1), w, ["fct_orders"], str(tmp_path / "runs"))
     record = read_runs(spark, str(tmp_path / "runs"), multi_line=False).first()
     assert record.summary.models["stg_customers"].error == "source is gone" and not w.exists("fct_orders")
+
+
+def test_models_in_a_circle_are_named(spark, monkeypatch):
+    from stratamart.plans.context import Model
+
+    for name, other in (("first", "second"), ("second", "first")):
+        monkeypatch.setitem(MODELS, name, Model(name, lambda ctx, other=other: ctx.ref(other), "silver"))
+    with pytest.raises(ValueError, match="first -> second -> first"):
+        MartContext(lambda _: None, date(2024, 1, 1)).ref("first")

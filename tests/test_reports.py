@@ -1,6 +1,7 @@
 """Charts, filters, data checks, run records and files."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from conftest import rows
@@ -33,8 +34,23 @@ def test_two_aggregates_of_one_field(sales):
 
 
 def test_stacked_fills_empty_cells(sales):
-    got = charts.chart_data(sales.where("c IS NOT NULL"), Chart("bar-stacked", "k", "v", category="c"))
-    assert [tuple(r) for r in got.collect()] == [("a", 4, 2), ("b", 0, 0)]
+    chart = Chart("bar-stacked", "k", "v", category="c")
+    got = charts.chart_data(sales, chart)
+    assert got.columns == ["label", "None", "x", "y"]  # rows without a category are a series
+    assert [tuple(r) for r in got.collect()] == [("a", 0, 4, 2), ("b", 0, 0, 0), ("c", 4, 0, 0)]
+    limited = charts.chart_data(sales, replace(chart, limit=1))  # whole labels: no cell is cut
+    assert [tuple(r) for r in limited.collect()] == [("a", 4, 2)]
+
+
+def test_limits_are_in_the_request(spark, tmp_path):
+    many = spark.range(15_000).selectExpr("id", "CAST(id AS STRING) AS k", "1 AS v", "id AS order_status")
+    assert charts.chart_data(many, Chart("bar", "k", "v")).count() == 15_000
+    assert charts.chart_data(many, Chart("bar", "k", "v", limit=7)).count() == 7
+    assert charts.chart_data(many, Chart("table", columns=["k"], limit=5)).count() == 5
+    charts.export_chart(many, Chart("table", columns=["k"], limit=5), str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 15_000
+    assert filters.filter_options(many).count() == filters.distinct_values(many, "k").count() == 15_000
+    assert filters.filter_options(many, limit=3).count() == 3
 
 
 @pytest.mark.parametrize("chart", [
@@ -115,6 +131,7 @@ def test_pretty_printed_run_files_are_read(spark, tmp_path):
         (tmp_path / f"run_{n}.json").write_text(json.dumps(record, indent=2))
     runs = history.read_runs(spark, str(tmp_path))
     assert rows(history.run_summary(runs)) == [("run_1", 2, 2, 0, 1.0), ("run_2", 2, 1, 1, 1.0)]
+    assert history.model_history(runs, "stg_a").count() == 2
     newest = history.model_history(runs, "stg_a", limit=1).first()
     assert (newest.run_id, newest.status, newest.error, newest.logs) == ("run_2", "failed", "boom", ["ran stg_a"])
 

@@ -1,24 +1,20 @@
 from types import SimpleNamespace
 
-import pytest
-
 from stratamart.session import scratch_path, shared_dir, stable
 
 
-def fake(master, configured=None):
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: configured or default),
-                           sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+def fake(configured=None, warehouse="file:/warehouse/"):
+    conf = {"spark.checkpoint.dir": configured, "spark.sql.warehouse.dir": warehouse}
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf[key] or default))
 
 
 def test_shared_folder_is_the_configured_one():
-    assert shared_dir(fake("yarn", "hdfs:///shared")) == "hdfs:///shared"
-    assert scratch_path(fake("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/stratamart/x-")
+    assert shared_dir(fake("hdfs:///shared")) == "hdfs:///shared"
+    assert scratch_path(fake("hdfs:///shared/"), "x").startswith("hdfs:///shared/stratamart/x-")
 
 
-def test_only_a_local_session_may_choose_its_own():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_dir(fake("spark://host:7077"))
-    assert shared_dir(fake("local[2]")) == shared_dir(fake("local[2]"))
+def test_without_one_the_warehouse_is_used():
+    assert shared_dir(fake()) == "file:/warehouse/_shared"
 
 
 def test_stable_rows_do_not_depend_on_their_source_any_more(spark):

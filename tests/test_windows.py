@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from stratamart.operators.aggregates import nested_children, sorted_text
+from stratamart.operators.aggregates import nested_children, nested_rows, sorted_text
 from stratamart.operators.quantiles import exact_quantiles
 from stratamart.operators.windows import latest_per_key, ranked_within, row_numbers
 
@@ -103,3 +103,17 @@ def test_sorted_text_splits_long_lists(spark):
         got = {(r.k, r.chunk): r.t for r in sorted_text(df, ["k"], "v", "t", ",", 10, hot).collect()}
         assert ",".join(got["a", c] for c in range(3)) == ",".join(f"{i:02d}" for i in range(25))
         assert got["b", 0] == "z" and len(got) == 4
+
+
+def test_rows_without_a_value_stay_out_of_the_window(spark):
+    df = spark.createDataFrame([("k", i if i < 5 else None, i) for i in range(1000)], "k string, v int, t int")
+    ranked = ranked_within(df, ["k"], "v", ["t"], "n")
+    assert sorted(r.n for r in ranked.where("n IS NOT NULL").collect()) == [1, 2, 3, 4, 5] and ranked.count() == 1000
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(v" in plan.split("Window", 1)[1]
+
+
+def test_nested_rows_in_chunks(spark):
+    df = spark.createDataFrame([(1, i, i % 2 == 0) for i in range(7)] + [(2, 0, False)], "k int, v int, keep boolean")
+    got = {(r.k, r.chunk): [x.v for x in r.out] for r in nested_rows(df, "k", F.col("keep"), "v", [], ["v"], "out", chunk_rows=3).collect()}
+    assert got == {(1, 0): [0, 2, 4], (1, 1): [6], (2, 0): []}
