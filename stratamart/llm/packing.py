@@ -27,17 +27,35 @@ from stratamart.session import stable
 CAPACITY, END_ID = 4096, 1
 CLASS_WIDTH = 8
 RANGE_ROWS = 20_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
+
+
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_LATIN_LEAD, _LATIN_LETTER = 0xC3, np.zeros(256, bool)  # U+00C0 to U+00FF but the signs of times and division
+_LATIN_LETTER[0x80:0xC0] = True
+_LATIN_LETTER[[0x97, 0xB7]] = False
+_MARKS = np.zeros(256, bool)  # not the apostrophe, which the vocabulary joins with some letters
+_MARKS[list(b".,!?;:#*$%&|+-/()")] = True
+_LONGEST_TAIL = 8
 
 
 class WordTokens:
-    """Token ids of texts, word by word: the vocabulary's splitting never joins what white space
-    parts, so each distinct word is encoded once and kept (at most ``CACHED_WORDS`` of them)."""
+    """Token ids of texts, part by part: the vocabulary never joins what white space parts, nor a
+    letter and a punctuation mark after it. So words lose their last marks, words whose case does
+    not matter are put in lower case, and each distinct part is encoded once and kept (at most
+    ``CACHED_WORDS`` of them). Parts of letters only are encoded many at a time; the vocabulary
+    marks the last token of each."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -47,31 +65,79 @@ class WordTokens:
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for h, item in zip(hashes, found, strict=True):
-            ids, k = item.ids, len(self.index)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k >= len(self.begin):
-                self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.begin[k], self.count[k] = self.used, len(ids)
-            self.index[h] = k
-            self.used += len(ids)
+    def _learn(self, hashes: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        k, n = len(self.index), len(hashes)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + n > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.begin[k:k + n] = self.used + np.cumsum(counts) - counts
+        self.count[k:k + n] = counts
+        self.index.update(zip(hashes, range(k, k + n), strict=True))
+        self.used += len(ids)
+
+    def _encode(self, parts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        if letters:
+            ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(parts):
+                return ids, np.diff(ends, prepend=0)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+
+    @staticmethod
+    def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes with case taken out where it does not matter, the parts' starts and ends, whether
+        a part is letters only, and each text's first part."""
+        starts, ends, first = T.word_spans(data, offsets)
+        if not len(starts):
+            return data, starts, ends, np.zeros(0, bool), first
+        second = np.append(False, (data[:-1] == _LATIN_LEAD) & _LATIN_LETTER[data[1:]])
+        letter = _ASCII_LETTER[data] | second
+        letter[:-1] |= second[1:]
+
+        def share(flags: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(flags, out=total[1:])
+            return total[high] - total[low]
+
+        plain = share(data == 60, starts, ends) == 0  # no "<": a special token may be spelled there
+        stop = ends.copy()
+        mark = _MARKS[data]
+        for _ in range(_LONGEST_TAIL):
+            stop -= (stop - 1 > starts) & mark[stop - 1]
+        cut = plain & (stop < ends) & (letter[stop - 1] | _DIGIT[data[stop - 1]])
+        stop[~cut] = ends[~cut]
+        odd = ~(plain & (share((data >= 0x80) & ~letter, starts, ends) == 0))
+        if odd.any():
+            edge = np.zeros(len(data) + 1, np.int32)
+            edge[starts[odd]] += 1
+            edge[ends[odd]] -= 1
+            data = np.where(np.cumsum(edge[:-1]) > 0, data, T.lower(data))
+        else:
+            data = T.lower(data)
+        at = np.arange(len(starts)) + np.cumsum(cut) - cut
+        lows, highs = np.empty(len(starts) + int(cut.sum()), np.int64), np.empty(len(starts) + int(cut.sum()), np.int64)
+        lows[at], highs[at] = starts, stop
+        lows[at[cut] + 1], highs[at[cut] + 1] = stop[cut], ends[cut]
+        return data, lows, highs, share(letter, lows, highs) == highs - lows, np.append(at, len(lows))[first]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the bounds of each text in them."""
-        starts, ends, first = T.word_spans(data, offsets)
+        data, starts, ends, letters, first = self.parts(data, offsets)
         distinct, where, which = np.unique(T.span_hash(T.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
         if len(self.index) + len(distinct) > CACHED_WORDS:
             self._clear()
         keys = distinct.tolist()
-        missing = [i for i, h in enumerate(keys) if h not in self.index]
+        new = np.array([i for i, h in enumerate(keys) if h not in self.index], np.int64)
         raw = data.tobytes()
-        for k in range(0, len(missing), 50_000):
-            part = missing[k:k + 50_000]
-            self._learn([keys[i] for i in part], [raw[starts[where[i]]:ends[where[i]]].decode("utf-8", "replace") for i in part])
+        for kind in (True, False):
+            missing = new[letters[where[new]] == kind] if len(new) else new
+            for k in range(0, len(missing), 5_000):
+                part = missing[k:k + 5_000]
+                words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[part]].tolist(), ends[where[part]].tolist(), strict=True)]
+                self._learn([keys[i] for i in part.tolist()], *self._encode(words, kind))
         at = np.fromiter((self.index[h] for h in keys), np.int64, len(keys))[which]
         counts = self.count[at]
         bounds = np.zeros(len(at) + 1, np.int64)

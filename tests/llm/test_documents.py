@@ -87,7 +87,8 @@ def test_tokens_equal_the_tokenizer(texts):
     own = packing.WordTokens(path)
     from tricky_texts import TRICKY
 
-    sample = [t or "" for t in [*list(texts.values())[:60], *TRICKY, "it's they'll <|endoftext|> x<|startoftext|>y ́a\x85b"]]
+    sample = [t or "" for t in [*list(texts.values())[:200], *TRICKY, "it's they'll <|endoftext|> x<|startoftext|>y ́a\x85b", "A.,, b!!'s c's'. ok<|EndOfText|>. ABC<|endoftext|>,",
+                                            "H̱a, Éa... 3.5% 12, x\u0338. a\u0338, Ünder- ×, a×. ǅ. İ, ſ. word... ... .. a,b,c,, ,x ((y)) 日本。, a" + "." * 12]]
     for row, _, data, offsets in slices(pa.array(sample)):
         ids, bounds = own.encode(data, offsets)
         for k in range(len(offsets) - 1):
