@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
-from stratamart.session import get_session  # noqa: E402
+from stratamart.session import get_session, remove_scratch  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,6 +22,7 @@ def spark(tmp_path_factory):
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         })
     yield session
+    remove_scratch(session)
     session.stop()
 
 
