@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from stratamart.llm.packing import pack, pieces
 from stratamart.llm.queries import TOKENIZER, table
 from stratamart.llm.stages import dedup_stage, mixing_stage, passages_stage, rules_stage
-from stratamart.session import stable
+from stratamart.session import ship_package, stable
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix, packed: one row per piece."""
+    ship_package(spark)
     return pack(pieces(docs, TOKENIZER))
 
 

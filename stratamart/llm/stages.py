@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from stratamart.llm.minhash import near_duplicates
 from stratamart.llm.mixing import MIX_COLUMNS, mix, sized
 from stratamart.llm.quality_rules import quality_rules
+from stratamart.session import ship_package
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. All rows of a rejected ``doc_id`` go."""
+    ship_package(spark)
     judged = quality_rules(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
     return docs.join(judged.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
@@ -19,6 +21,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id, and one row of each
     ``doc_id``; rows without one stay."""
+    ship_package(spark)
     gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     stays = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     return stays.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(stays.where("doc_id IS NULL"))
@@ -28,12 +31,14 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Texts without the bytes that repeat elsewhere; texts left without a word go."""
     from stratamart.llm.suffix_dedup import without_repeats
 
+    ship_package(spark)
     return without_repeats(docs).where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document once for each time it is taken; the last copy of a source that the
     budget cuts keeps its first words, as many as were taken."""
+    ship_package(spark)
     mixed = mix(sized(docs)).select(*MIX_COLUMNS)
     whole = docs.alias("d").join(mixed.alias("m"), (F.col("d.doc_id") == F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")))
     text = F.when(F.col("m.taken") >= F.col("m.size"), F.col("d.text")).otherwise(
