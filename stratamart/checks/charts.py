@@ -114,8 +114,8 @@ def distinct_values(t: Tables) -> DataFrame:
 _OPTION_FIELDS = {"status": "Status", "order_year": "Order Year", "order_month": "Order Month",
                   "order_value_tier": "Order Value Tier"}
 _OPTION_SOURCE = """(SELECT status, CAST(year(order_date) AS VARCHAR) AS order_year, CAST(month(order_date) AS VARCHAR)
-    AS order_month, CASE WHEN total_amount < 100 THEN 'Low Value' WHEN total_amount < 1000 THEN 'Medium Value'
-    ELSE 'High Value' END AS order_value_tier FROM raw_orders)"""
+    AS order_month, CASE WHEN total_amount >= 1000 THEN 'High Value' WHEN total_amount >= 100 THEN 'Medium Value' 
+    ELSE 'Low Value' END AS order_value_tier FROM raw_orders)"""
 
 
 @check("dashboard_filter_options", "text: field label value",

@@ -39,8 +39,8 @@ def source_scan(t: Tables) -> DataFrame:
 
 
 @check("ref_scan", "text: segment_of_order, long: n",
-       "SELECT CASE WHEN total_amount < 100 THEN 'Low Value' WHEN total_amount < 1000 THEN 'Medium Value' "
-       "ELSE 'High Value' END AS segment_of_order, count(*) AS n FROM raw_orders GROUP BY 1")
+       "SELECT CASE WHEN total_amount >= 1000 THEN 'High Value' WHEN total_amount >= 100 THEN 'Medium Value' "
+       "ELSE 'Low Value' END AS segment_of_order, count(*) AS n FROM raw_orders GROUP BY 1")
 def ref_scan(t: Tables) -> DataFrame:
     return orders_mart(t).ref("fct_orders").groupBy(F.col("order_value_tier").alias("segment_of_order")).agg(
         F.count("*").alias("n"))

@@ -62,7 +62,7 @@ mart("stg_payment_transactions",
      "external_transaction_id, double: transaction_amount",
      """SELECT id AS transaction_id, order_id, payment_method_id, transaction_date, amount AS transaction_amount,
           status AS payment_status, 'TXN-' || id AS external_transaction_id
-        FROM raw_payment_transactions WHERE status NOT IN ('failed', 'pending')""")
+        FROM raw_payment_transactions WHERE status = 'success'""")
 
 mart("stg_products",
      "long: product_id, text: product_name category sku, double: price cost weight_kg profit_margin margin_percentage",
@@ -165,8 +165,8 @@ mart("int_employee_performance",
      "seniority_level salary_band, double: salary",
      f"""SELECT id AS employee_id, name AS employee_name, email AS employee_email, department, position, hire_date,
           salary, years AS years_of_service,
-          CASE WHEN years < 2 THEN 'Junior' WHEN years < 5 THEN 'Mid-Level' ELSE 'Senior' END AS seniority_level,
-          CASE WHEN salary < 60000 THEN 'Entry' WHEN salary < 100000 THEN 'Medium' ELSE 'High' END AS salary_band
+          CASE WHEN years >= 5 THEN 'Senior' WHEN years >= 2 THEN 'Mid-Level' ELSE 'Junior' END AS seniority_level,
+          CASE WHEN salary >= 100000 THEN 'High' WHEN salary >= 60000 THEN 'Medium' ELSE 'Entry' END AS salary_band
         FROM (SELECT *, {years_between(AS_OF, 'hire_date')} AS years FROM raw_employees) e""")
 
 mart("int_inventory_summary",
@@ -185,7 +185,7 @@ mart("int_payment_reconciliation",
      """SELECT t.id AS transaction_id, o.id AS order_id, c.id AS customer_id, c.name AS customer_name,
           t.transaction_date, t.amount AS transaction_amount, o.total_amount AS order_amount,
           t.amount - o.total_amount AS amount_difference,
-          CASE sign(t.amount - o.total_amount) WHEN 0 THEN 'Matched' WHEN -1 THEN 'Underpaid' ELSE 'Overpaid' END
+          CASE WHEN abs(t.amount - o.total_amount) < 0.01 THEN 'Matched' WHEN t.amount < o.total_amount THEN 'Underpaid' ELSE 'Overpaid' END
             AS reconciliation_status
         FROM raw_payment_transactions t JOIN raw_orders o ON o.id = t.order_id
           JOIN raw_customers c ON c.id = o.customer_id WHERE t.status = 'success'""")
@@ -196,8 +196,8 @@ mart("int_promo_utilization",
      f"""SELECT promotion_id, code AS promo_code, type AS promo_type, discount_value, start_date AS promo_start,
           end_date AS promo_end, usage_limit, times_used, used AS utilization_percentage,
           usage_limit - times_used AS remaining_uses, end_date - start_date AS promo_duration_days,
-          CASE WHEN usage_limit <= times_used THEN 'Exhausted' WHEN used < 50 THEN 'Low' WHEN used < 80 THEN 'Medium'
-            ELSE 'High' END AS utilization_status
+          CASE WHEN usage_limit - times_used <= 0 THEN 'Exhausted' WHEN used >= 80 THEN 'High' WHEN used >= 50 THEN 'Medium'
+            ELSE 'Low' END AS utilization_status
         FROM (SELECT id AS promotion_id, *,
           {exact_ratio('times_used', 'usage_limit', 2, 100, num_scale=0)} AS used FROM raw_promotions) p""",
      events_mart)
@@ -252,8 +252,8 @@ mart("fct_orders",
      """SELECT o.id AS order_id, customer_id, name AS customer_name, email AS customer_email, order_date,
           total_amount, status, year(order_date) AS order_year, month(order_date) AS order_month,
           day(order_date) AS order_day,
-          CASE WHEN total_amount < 100 THEN 'Low Value' WHEN total_amount < 1000 THEN 'Medium Value'
-            ELSE 'High Value' END AS order_value_tier
+          CASE WHEN total_amount >= 1000 THEN 'High Value' WHEN total_amount >= 100 THEN 'Medium Value' 
+            ELSE 'Low Value' END AS order_value_tier
         FROM raw_orders o JOIN raw_customers c ON c.id = customer_id""")
 
 mart("fct_sales_performance",

@@ -12,7 +12,7 @@ from stratamart.functions import (
     age_years, bin_right_closed, clean_output, day_of_week, is_email, ratio, rfm_score, title_case, trim_space,
     whole_days,
 )
-from stratamart.operators.filters import filter_map, filter_ops, not_true
+from stratamart.operators.filters import filter_map, matching_ops, not_true
 from stratamart.operators.quantiles import exact_quantiles
 from stratamart.plans.silver import banded
 from stratamart.sources import Tables
@@ -155,8 +155,9 @@ def scalar_clip(t: Tables) -> DataFrame:
 def scalar_array_overlap(t: Tables) -> DataFrame:
     """Users per day whose set of event types overlaps the wanted types."""
     wanted = F.array(F.lit("purchase"), F.lit("signup"))
-    seen = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("types"))
-    return seen.where(F.arrays_overlap("types", wanted)).select("user_id")
+    seen = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.bool_or(F.arrays_overlap(F.array("event_type"), wanted)).alias("overlaps"))
+    return seen.where("overlaps").select("user_id")
 
 
 @check("scalar_unnest", "long: vec_id pos, double: element",
@@ -264,11 +265,7 @@ _OPERATOR_CASES = [
            for op, f, v in _OPERATOR_CASES))
 def filter_ops_check(t: Tables) -> DataFrame:
     """Every operator over the whole table, tagged with its name."""
-    out = None
-    for op, field, value in _OPERATOR_CASES:
-        kept = filter_ops(t.orders, [(field, op, value)]).select(F.lit(op).alias("op"), "o_orderkey")
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    return matching_ops(t.orders, [(f, op, v) for op, f, v in _OPERATOR_CASES], "op").select("op", "o_orderkey")
 
 
 @check("filter_not_null", "long: p_partkey", "SELECT p_partkey FROM part WHERE p_size % 7 <> 3")
@@ -297,12 +294,11 @@ def filter_gt_scalar_subquery(t: Tables) -> DataFrame:
        "WHERE o_totalprice > 300000), per AS (SELECT o_custkey, o_orderpriority, sum(price) AS spent FROM big "
        "GROUP BY ALL) SELECT o_orderpriority, count(*) AS customers, sum(spent) AS spent FROM per GROUP BY ALL")
 def cte_chain(t: Tables) -> DataFrame:
-    t.orders.createOrReplaceTempView("stratamart_orders")
     return t.spark.sql("""
         WITH big AS (
           SELECT o_custkey, o_orderpriority, CAST(o_totalprice AS DECIMAL(12,2)) AS price
-          FROM stratamart_orders WHERE o_totalprice > 300000),
+          FROM {orders} WHERE o_totalprice > 300000),
         per_customer AS (
           SELECT o_custkey, o_orderpriority, sum(price) AS spent FROM big GROUP BY o_custkey, o_orderpriority)
         SELECT o_orderpriority, count(*) AS customers, sum(spent) AS spent
-        FROM per_customer GROUP BY o_orderpriority""")
+        FROM per_customer GROUP BY o_orderpriority""", orders=t.orders)

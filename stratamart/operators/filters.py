@@ -52,6 +52,17 @@ def filter_ops(df: DataFrame, conditions: Iterable[tuple[str, str, Any]]) -> Dat
     return df
 
 
+def matching_ops(df: DataFrame, conditions: Iterable[tuple[str, str, Any]], out: str) -> DataFrame:
+    """Each row once for every condition it meets, with the operator in ``out``; one scan serves all."""
+    conditions = list(conditions)
+    require_columns(df, [f for f, _, _ in conditions])
+    unknown = [op for _, op, _ in conditions if op not in OPERATORS]
+    if unknown:
+        raise ValueError(f"unknown operator {unknown[0]!r}")
+    met = F.array_compact(F.array(*[F.when(OPERATORS[op](F.col(f), F.lit(v)), op) for f, op, v in conditions]))
+    return df.withColumn(out, F.explode(met))
+
+
 def not_true(df: DataFrame, flag: str) -> DataFrame:
     """Rows whose flag is false; a NULL flag drops the row, as ``<> TRUE`` does."""
     return df.where(F.col(flag) != F.lit(True))
