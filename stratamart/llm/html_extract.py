@@ -207,10 +207,7 @@ def covered_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES)
 def _judge(group: pd.DataFrame) -> pd.DataFrame:
     streams = [[t for b in blocks for t in b.split()] for blocks in group["blocks"]]
     texts = []
-    for blocks, template, text, covered in zip(group["blocks"], group["template"], group["text"], covered_tokens(streams), strict=True):
-        if text is not None:
-            texts.append(text)
-            continue
+    for blocks, template, covered in zip(group["blocks"], group["template"], covered_tokens(streams), strict=True):
         kept, at = [], 0
         for block, is_template in zip(blocks, template, strict=True):
             words = block.split()
@@ -219,7 +216,8 @@ def _judge(group: pd.DataFrame) -> pd.DataFrame:
             if unique and not is_template:
                 kept.append(" ".join(unique))
         texts.append("\n".join(kept))
-    return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": texts})
+    judged = pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": texts})
+    return judged[~group["marked"].to_numpy(bool)]  # marked pages only serve to tell template text
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -232,6 +230,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = stable(pages.select("page_id", "url", "html").mapInArrow(
         _parse, "page_id bigint, url string, host string, text string, blocks array<string>, template array<boolean>"))
     hosts = parsed.groupBy("host").agg(F.expr(f"int(ceil(count(*) / {GROUP}))").alias("groups"))
-    dealt = parsed.join(hosts, "host").withColumn("part", F.expr("int(pmod(xxhash64(page_id, url), groups))"))
-    judged = dealt.groupBy("host", "part").applyInPandas(_judge, "page_id bigint, url string, text string")
-    return judged.withColumn("n_chars", F.length("text").cast("bigint"))
+    light = parsed.select("page_id", "url", "host", "blocks", "template", F.col("text").isNotNull().alias("marked"))
+    # one key, so that the groups of a host are dealt to tasks of their own
+    dealt = light.join(hosts, "host").withColumn("part", F.expr("xxhash64(host, pmod(xxhash64(page_id, url), groups))"))
+    judged = dealt.groupBy("part").applyInPandas(_judge, "page_id bigint, url string, text string")
+    marked = parsed.where("text IS NOT NULL").select("page_id", "url", "text")
+    return marked.unionByName(judged).withColumn("n_chars", F.length("text").cast("bigint"))
