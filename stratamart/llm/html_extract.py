@@ -1,10 +1,10 @@
 """Main text of web pages: markup, and a suffix array over the pages of each host.
 
 A page is cut into blocks of text. What markup names as menu, header, footer, sidebar, notice,
-advert, form, script, style or reader comment goes; what it names as the article stays. The token
-streams of the other blocks of a host's pages are joined into one sequence, and its suffix array
-gives the runs of ``RUN`` tokens or more that occur on ``PAGES`` distinct pages: template text.
-Tokens that such a run covers go, the unique runs between them stay.
+advert, form, script, style or reader comment goes; where it names an article, all else goes too.
+The token streams of all blocks of a host's pages, articles included, are joined into one sequence,
+and its suffix array gives the runs of ``RUN`` tokens or more that occur on ``PAGES`` distinct
+pages: template text. Tokens that such a run covers go, the unique runs between them stay.
 
 The pages of a large host are dealt into groups of about ``GROUP`` pages by a hash; template text
 recurs in each of them, and no host has to fit one task.
@@ -143,23 +143,22 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
+def judged_blocks(page: str | None) -> tuple[list[str], list[bool]]:
+    """The texts of a page's blocks, and which of them may stay: those of the article where one is
+    marked, else those of the main part, else those not named as template text."""
+    found = blocks_of(page)
+    kinds = {k for k, _ in found}
+    best = "article" if "article" in kinds else "main" if "main" in kinds else "open"
+    return [t for _, t in found], [k == best for k, _ in found]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``text`` where the article is marked, and the blocks that the host's other pages judge."""
     for batch in batches:
-        urls, pages = batch.column(1).to_pylist(), batch.column(2)
-        texts, hosts, loose, template = [], [], [], []
-        for url, page in zip(urls, pages, strict=True):
-            found = blocks_of(page.as_py())
-            kinds = {k for k, _ in found}
-            best = "article" if "article" in kinds else "main" if "main" in kinds else None
-            texts.append("\n".join(t for k, t in found if k == best) if best else None)
-            rest = [(k, t) for k, t in found if k != best and (best is None or k in ("open", "template"))]
-            loose.append([t for _, t in rest])
-            template.append([k == "template" for k, _ in rest])
-            hosts.append(re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "", url or "").split("/")[0].split("@")[-1].lower())
+        hosts = [re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "", url or "").split("/")[0].split("@")[-1].lower() for url in batch.column(1).to_pylist()]
+        found = [judged_blocks(page.as_py()) for page in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hosts), pa.array(texts, pa.string()), pa.array(loose, pa.list_(pa.string())), pa.array(template, pa.list_(pa.bool_()))],
-            ["page_id", "url", "host", "text", "blocks", "template"])
+            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.bool_()))],
+            ["page_id", "url", "host", "blocks", "stays"])
 
 
 def covered_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
@@ -204,35 +203,35 @@ def covered_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES)
     return [cover[bounds[k]:bounds[k + 1] - 1] for k in range(len(streams))]
 
 
+def _unique_text(blocks: list[str], stays: list[bool], covered: np.ndarray) -> str:
+    """The tokens of the blocks that may stay, without those that a repeated run covers."""
+    kept, at = [], 0
+    for block, stay in zip(blocks, stays, strict=True):
+        words = block.split()
+        unique = [w for w, c in zip(words, covered[at:at + len(words)], strict=True) if not c] if stay else []
+        at += len(words)
+        if unique:
+            kept.append(" ".join(unique))
+    return "\n".join(kept)
+
+
 def _judge(group: pd.DataFrame) -> pd.DataFrame:
     streams = [[t for b in blocks for t in b.split()] for blocks in group["blocks"]]
-    texts = []
-    for blocks, template, covered in zip(group["blocks"], group["template"], covered_tokens(streams), strict=True):
-        kept, at = [], 0
-        for block, is_template in zip(blocks, template, strict=True):
-            words = block.split()
-            unique = [w for w, c in zip(words, covered[at:at + len(words)], strict=True) if not c]
-            at += len(words)
-            if unique and not is_template:
-                kept.append(" ".join(unique))
-        texts.append("\n".join(kept))
-    judged = pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": texts})
-    return judged[~group["marked"].to_numpy(bool)]  # marked pages only serve to tell template text
+    texts = [_unique_text(*page) for page in zip(group["blocks"], group["stays"], covered_tokens(streams), strict=True)]
+    return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": texts})
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
     A null or empty page gives an empty text, a null url counts as one host of its own, repeated
-    rows are all returned, and other columns are not read. Pages without a marked article keep
-    what is neither named as template text nor repeated on ``PAGES`` pages of their host.
+    rows are all returned, and other columns are not read. Of the blocks that markup lets stay,
+    what is repeated on ``PAGES`` pages of the host goes.
     """
     parsed = stable(pages.select("page_id", "url", "html").mapInArrow(
-        _parse, "page_id bigint, url string, host string, text string, blocks array<string>, template array<boolean>"))
+        _parse, "page_id bigint, url string, host string, blocks array<string>, stays array<boolean>"))
     hosts = parsed.groupBy("host").agg(F.expr(f"int(ceil(count(*) / {GROUP}))").alias("groups"))
-    light = parsed.select("page_id", "url", "host", "blocks", "template", F.col("text").isNotNull().alias("marked"))
     # one key, so that the groups of a host are dealt to tasks of their own
-    dealt = light.join(hosts, "host").withColumn("part", F.expr("xxhash64(host, pmod(xxhash64(page_id, url), groups))"))
+    dealt = parsed.join(hosts, "host").withColumn("part", F.expr("xxhash64(host, pmod(xxhash64(page_id, url), groups))"))
     judged = dealt.groupBy("part").applyInPandas(_judge, "page_id bigint, url string, text string")
-    marked = parsed.where("text IS NOT NULL").select("page_id", "url", "text")
-    return marked.unionByName(judged).withColumn("n_chars", F.length("text").cast("bigint"))
+    return judged.withColumn("n_chars", F.length("text").cast("bigint"))

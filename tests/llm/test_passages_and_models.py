@@ -219,6 +219,14 @@ def test_pages(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_template_text_inside_articles(spark):
+    share = "Send this story to all your friends and neighbours today"
+    rows = [(k, f"http://h.example/{k}", f"<nav>Home</nav><{tag}><p>own words of page{k}</p><p>{share}</p><p>page{k} ends here</p></{tag}>")
+            for k, tag in enumerate(["article", "main", "article", "main"])]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"own words of page{k}\npage{k} ends here" for k in range(4)}
+
+
 def test_covered_tokens_by_enumeration():
     rng = random.Random(7)
     streams = [[rng.choice("ab") for _ in range(rng.randrange(30))] for _ in range(9)]
