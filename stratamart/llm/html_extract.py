@@ -6,14 +6,18 @@ The token streams of all blocks of a host's pages, articles included, are joined
 and its suffix array gives the runs of ``RUN`` tokens or more that occur on ``PAGES`` distinct
 pages: template text. Tokens that such a run covers go, the unique runs between them stay.
 
-The pages of a large host are dealt into groups of about ``GROUP`` pages by a hash; template text
-recurs in each of them, and no host has to fit one task.
+A run's pages are counted over its whole host; pages of equal tokens count as one. Hosts of up to
+``GROUP`` pages are judged in one task. A larger host is not brought together: the windows of
+``RUN`` tokens of its pages are counted by hash, in shards, and the pages look theirs up. So that few
+hashes are shuffled, cells of hashes are counted first, and only windows whose cell has ``PAGES`` of
+them are counted with their pages. Both ways give the same texts.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamart.session import stable
+from stratamart.llm import text as T
+from stratamart.llm.arrays import Arrays, local_path, packed, runs, shard_of, store
+from stratamart.session import scratch_path, stable
 
 RUN, PAGES, GROUP = 8, 3, 512
+SHARD_BYTES = 32 << 20
+TASK_WINDOWS = 1_000_000
+CELL_BITS = 24
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -154,10 +163,9 @@ def judged_blocks(page: str | None) -> tuple[list[str], list[bool]]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts = [re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "", url or "").split("/")[0].split("@")[-1].lower() for url in batch.column(1).to_pylist()]
         found = [judged_blocks(page.as_py()) for page in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.bool_()))],
+            [*batch.columns[:2], batch.column(3), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.bool_()))],
             ["page_id", "url", "host", "blocks", "stays"])
 
 
@@ -216,22 +224,154 @@ def _unique_text(blocks: list[str], stays: list[bool], covered: np.ndarray) -> s
 
 
 def _judge(group: pd.DataFrame) -> pd.DataFrame:
-    streams = [[t for b in blocks for t in b.split()] for blocks in group["blocks"]]
-    texts = [_unique_text(*page) for page in zip(group["blocks"], group["stays"], covered_tokens(streams), strict=True)]
+    streams = [tuple(t for b in blocks for t in b.split()) for blocks in group["blocks"]]
+    distinct = list(dict.fromkeys(streams))
+    covered = dict(zip(distinct, covered_tokens([list(s) for s in distinct]), strict=True))
+    texts = [_unique_text(blocks, stays, covered[s]) for blocks, stays, s in zip(group["blocks"], group["stays"], streams, strict=True)]
     return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": texts})
 
 
+def _page_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of pages the first row, the judged blocks, the hashes of their windows (with the host),
+    each page's first window and first token, and the hash of each page's tokens."""
+    found = [judged_blocks(page.as_py()) for page in batch.column(2)]
+    hosts = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+    for row, stop, data, offsets in T.slices(pa.array([" ".join(blocks) for blocks, _ in found], pa.string())):
+        starts, ends, first = T.word_spans(data, offsets)
+        prefix = T.prefix_hash(data)
+        hashes, bounds = T.windows(T.span_hash(prefix, starts, ends), first, RUN)
+        hashes = T.mix(hashes + np.repeat(T.mix(hosts[row:stop]), np.diff(bounds))).view(np.int64)
+        yield row, found[row:stop], hashes, bounds, first, T.span_hash(prefix, offsets[:-1], offsets[1:]).view(np.int64)
+
+
+def _few_pages(hashes: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``(hash, page)``, in order; of each hash ``PAGES`` pages at most, which is all that is asked."""
+    order = np.lexsort((pages, hashes))
+    hashes, pages = hashes[order], pages[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (pages[1:] != pages[:-1])
+    hashes, pages = hashes[fresh], pages[fresh]
+    few = np.ones(len(hashes), bool)
+    few[PAGES:] = hashes[PAGES:] != hashes[:-PAGES]
+    return hashes[few], pages[few]
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _send_windows(shards: int, folder: str | None):
+    """Without ``folder`` rows ``(shard, cells)`` of a task's windows, one cell for each window and
+    page; with it ``(shard, hashes, pages)`` of the windows whose cell is marked there."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, pages = _few_pages(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        shard = shard_of(hashes, shards)
+        if folder:
+            rows = [(s, *parts) for s, parts in packed(shard, [hashes, pages])]
+        else:
+            cells = _cell(hashes)
+            order = np.lexsort((cells, shard))
+            rows = []
+            for s, e in runs(shard[order]):
+                # steps between cells in order, by byte place, leave little to store
+                steps = np.diff(cells[order[s:e]], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+                rows.append((int(shard[order[s]]), zlib.compress(np.ascontiguousarray(steps.T).tobytes(), 1), b""))
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "hashes", "pages"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, held, size = Arrays(folder) if folder else None, [], 0
+        for batch in batches:
+            for _, _, hashes, bounds, _, contents in _page_windows(batch):
+                pages = np.repeat(contents, np.diff(bounds))
+                if marks:
+                    known = np.zeros(len(hashes), bool)
+                    shard, cells = shard_of(hashes, shards), _cell(hashes)
+                    for s in np.unique(shard):
+                        at, bits = np.flatnonzero(shard == s), marks.array(f"cells-{s}")
+                        known[at] = (bits[cells[at] >> 3] >> (7 - (cells[at] & 7)) & 1) > 0
+                    hashes, pages = hashes[known], pages[known]
+                held.append((hashes, pages))
+                size += len(hashes)
+                if size >= TASK_WINDOWS:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _mark_cells(folder: str):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        shard = int(group["shard"].iloc[0])
+        counts = np.zeros(1 << CELL_BITS, np.uint8)
+        for sent in group["hashes"]:
+            steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(sent), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            cells = np.cumsum(steps, dtype=np.int64)
+            for _ in range(PAGES):  # each round counts every cell once more that is still there
+                if len(cells):
+                    fresh = np.append(True, cells[1:] != cells[:-1])
+                    counts[cells[fresh]] = np.minimum(counts[cells[fresh]] + 1, PAGES)
+                    cells = cells[~fresh]
+        store(folder, f"cells-{shard}", np.packbits(counts >= PAGES))
+        return pd.DataFrame({"n": [int((counts >= PAGES).sum())]})
+
+    return run
+
+
+def _keep_repeated(folder: str):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        hashes, _ = _few_pages(*(np.frombuffer(b"".join(group[c]), np.int64) for c in ("hashes", "pages")))
+        often = np.unique(hashes[PAGES - 1:][hashes[PAGES - 1:] == hashes[:len(hashes) - PAGES + 1]])
+        store(folder, f"repeated-{int(group['shard'].iloc[0])}", often)
+        return pd.DataFrame({"n": [len(often)]})
+
+    return run
+
+
+def _judge_large(pages: DataFrame) -> DataFrame:
+    """The texts of pages of hosts too large for a task."""
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    folder = local_path(scratch_path(pages.sparkSession, "template"))
+    sent = "shard bigint, hashes binary, pages binary"
+    for send, keep in ((_send_windows(shards, None), _mark_cells(folder)), (_send_windows(shards, folder), _keep_repeated(folder))):
+        pages.mapInArrow(send, sent).groupBy("shard").applyInPandas(keep, "n bigint").agg(F.sum("n")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Arrays(folder)
+        for batch in batches:
+            texts = []
+            for _, found, hashes, bounds, first, _ in _page_windows(batch):
+                edge = np.zeros(first[-1] + 1, np.int64)
+                token = np.arange(len(hashes)) + np.repeat(first[:-1] - bounds[:-1], np.diff(bounds))
+                for _, at, _ in marks.places("repeated", shard_of(hashes, shards), hashes):
+                    np.add.at(edge, token[at], 1)
+                    np.add.at(edge, token[at] + RUN, -1)
+                covered = np.cumsum(edge) > 0
+                texts += [_unique_text(*page, covered[a:b]) for page, a, b in zip(found, first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return pages.mapInArrow(run, "page_id bigint, url string, text string")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
     A null or empty page gives an empty text, a null url counts as one host of its own, repeated
     rows are all returned, and other columns are not read. Of the blocks that markup lets stay,
-    what is repeated on ``PAGES`` pages of the host goes.
+    what is repeated on ``PAGES`` pages of different tokens of the host goes.
     """
-    parsed = stable(pages.select("page_id", "url", "html").mapInArrow(
-        _parse, "page_id bigint, url string, host string, blocks array<string>, stays array<boolean>"))
-    hosts = parsed.groupBy("host").agg(F.expr(f"int(ceil(count(*) / {GROUP}))").alias("groups"))
-    # one key, so that the groups of a host are dealt to tasks of their own
-    dealt = parsed.join(hosts, "host").withColumn("part", F.expr("xxhash64(host, pmod(xxhash64(page_id, url), groups))"))
-    judged = dealt.groupBy("part").applyInPandas(_judge, "page_id bigint, url string, text string")
-    return judged.withColumn("n_chars", F.length("text").cast("bigint"))
+    host = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
+    host = F.lower(F.substring_index(F.substring_index(host, "/", 1), "@", -1))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host")).withColumn("host_hash", F.xxhash64("host"))
+    # stored, so that its size is known and texts are not shuffled to be joined with it
+    large = stable(rows.groupBy("host").count().where(f"count > {GROUP}").select("host"))
+    small = rows.join(large, "host", "left_anti").select(rows.columns)
+    result = small.mapInArrow(_parse, "page_id bigint, url string, host string, blocks array<string>, stays array<boolean>") \
+        .groupBy("host").applyInPandas(_judge, "page_id bigint, url string, text string")
+    if large.limit(1).count():
+        result = result.unionByName(_judge_large(rows.join(large, "host", "left_semi").select(rows.columns)))
+    return result.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -227,6 +227,22 @@ def test_template_text_inside_articles(spark):
     assert got == {k: f"own words of page{k}\npage{k} ends here" for k in range(4)}
 
 
+def test_large_host_and_copies(spark, monkeypatch):
+    rng = random.Random(3)
+    share = [" ".join(f"s{j}x{k}" for k in range(9)) for j in range(30)]
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(90)]
+    body = {k: f"<div>{own[k]}</div><div>{share[k % 30]}</div><div>tail{k}</div>" for k in range(90)}
+    rows = [(k, "http://big.example/" + str(k), body[k]) for k in range(90)]
+    rows += [(100 + k, "http://big.example/copy", body[0]) for k in range(4)] + [(200 + k, "http://copy.example/", body[0]) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {k: f"{own[k]}\ntail{k}" for k in range(90)} | {100 + k: f"{own[0]}\ntail0" for k in range(4)}
+    want |= {200 + k: f"{own[0]}\n{share[0]}\ntail0" for k in range(4)}
+    for group, size in ((512, 1 << 20), (16, 1 << 20), (2, 2000)):
+        monkeypatch.setattr(html_extract, "GROUP", group)
+        monkeypatch.setattr(html_extract, "SHARD_BYTES", size)
+        assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == want
+
+
 def test_covered_tokens_by_enumeration():
     rng = random.Random(7)
     streams = [[rng.choice("ab") for _ in range(rng.randrange(30))] for _ in range(9)]
