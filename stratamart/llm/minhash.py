@@ -1,11 +1,11 @@
 """Near-duplicate documents: a signature-coordinate inverted join, confirmed on full sets.
 
 Every distinct shingle set is posted under ``(coordinate, value)`` of its MinHash signature.
-Two sets of similarity 0.85 or more agree in at least ``MATCHES`` of the first ``COORDINATES``
-coordinates (chance of less: under 1e-5), so they share one of any ``COORDINATES - MATCHES + 1``
+Two sets of the wanted similarity or more agree in at least ``matches`` of the first ``COORDINATES``
+coordinates (chance of less: under 1e-5), so they share one of any ``COORDINATES - matches + 1``
 of them. A set is posted under that many, those of its rarest values (prefix); a value that
 only one set has joins nothing, and what is not in the prefix is skipped. Collisions are
-counted over all ``SIGNATURE`` coordinates and pairs under ``THRESHOLD`` matches are dropped
+counted over all ``SIGNATURE`` coordinates and pairs under ``threshold`` matches are dropped
 (chance for a true pair: under 1e-5); the rest are confirmed on the sets themselves.
 
 Only components are asked for, so no group is expanded into pairs: first every posting list is
@@ -16,7 +16,9 @@ members of their list that are in another component. The blocks give at most one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,11 +32,39 @@ from stratamart.llm.components import components
 from stratamart.session import stable
 
 WORDS, PERCENT = 5, 85
-COORDINATES, MATCHES = 32, 17
-SIGNATURE, THRESHOLD = 128, 91
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES, SIGNATURE = 32, 128
 BLOCK = 256
 
+
+def sure_matches(coordinates: int, p: float, chance: float = 1e-5) -> int:
+    """The most matches, each of probability ``p``, that are missed with less than ``chance``."""
+    under = 0.0
+    for k in range(coordinates + 1):
+        under += math.comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k)
+        if under >= chance:
+            return k
+    return coordinates
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """A least similarity in percent and what follows from it for signatures."""
+
+    percent: int = PERCENT
+
+    @property
+    def matches(self) -> int:
+        return sure_matches(COORDINATES, self.percent / 100)
+
+    @property
+    def prefix(self) -> int:
+        return COORDINATES - self.matches + 1
+
+    @property
+    def threshold(self) -> int:
+        return sure_matches(SIGNATURE, self.percent / 100 + (1 - self.percent / 100) / 256)  # of low bytes
+
+
 _seeds = np.random.default_rng(20240601).integers(0, 1 << 63, (2, SIGNATURE), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -109,14 +139,14 @@ def _sets(needed: StoredIds):
     return run
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.concatenate([a, b])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _fits(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+def _fits(group: pd.DataFrame, least: Similarity) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
     """The asking and the other sets of one block of one posting list, their matches over the whole
     signature, and which pairs may link two components. A pair that meets in several lists is taken
     up in the first of its common prefix coordinates only."""
@@ -127,8 +157,8 @@ def _fits(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray,
     alike = np.zeros((len(ask), len(all_)), np.int16)
     for i in range(len(ask)):
         alike[i] = (low[1] == low[0][i]).sum(1)
-    fits = (alike >= THRESHOLD) & (comps[0][:, None] != comps[1]) & (
-        100 * np.minimum(n[0][:, None], n[1]) >= PERCENT * np.maximum(n[0][:, None], n[1]))
+    fits = (alike >= least.threshold) & (comps[0][:, None] != comps[1]) & (
+        100 * np.minimum(n[0][:, None], n[1]) >= least.percent * np.maximum(n[0][:, None], n[1]))
     if c and fits.any():
         prefix = []
         for x in (ask, all_):
@@ -143,15 +173,15 @@ def _fits(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray,
     return ask, all_, alike, fits
 
 
-def block_rows(group: pd.DataFrame) -> pd.DataFrame:
+def block_rows(group: pd.DataFrame, least: Similarity) -> pd.DataFrame:
     """The rows of a block that may link with another of it; only their sets have to be read."""
-    ask, all_, _, fits = _fits(group)
+    ask, all_, _, fits = _fits(group, least)
     return pd.concat([ask[fits.any(1)], all_[fits.any(0)]], ignore_index=True)
 
 
-def block_links(group: pd.DataFrame) -> pd.DataFrame:
+def block_links(group: pd.DataFrame, least: Similarity) -> pd.DataFrame:
     """Links of a block that join different components; at most one for each set."""
-    ask, all_, alike, fits = _fits(group)
+    ask, all_, alike, fits = _fits(group, least)
     sets = [[np.asarray(v) for v in x["hashes"]] for x in (ask, all_)]
     ids, comps = ([x[k].to_numpy() for x in (ask, all_)] for k in ("rep", "comp"))
     parent: dict[int, int] = {}
@@ -167,14 +197,15 @@ def block_links(group: pd.DataFrame) -> pd.DataFrame:
         near = np.flatnonzero(fits[i])
         for j in near[np.argsort(-alike[i, near], kind="stable")]:
             x, y = root(int(comps[0][i])), root(int(comps[1][j]))
-            if x != y and _linked(sets[0][i], sets[1][j]):
+            if x != y and _linked(sets[0][i], sets[1][j], least.percent):
                 parent[max(x, y)] = min(x, y)
                 found.append((ids[0][i], ids[1][j]))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``, linked
+    from a similarity of ``percent`` on.
 
     Null and empty texts and texts of white space have no shingle and link with nothing, not even
     each other; fewer words than five make one shingle. Rows without a ``doc_id`` link with
@@ -185,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     # equal sets have equal signatures
     classes = stable(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("keys").alias("keys")))
-    links = stable(_links(docs, classes.select("rep", "n", "low", "keys").dropDuplicates(["rep"])))
+    links = stable(_links(docs, classes.select("rep", "n", "low", "keys").dropDuplicates(["rep"]), Similarity(percent)))
     found = components(links)
     of_class = classes.join(found, classes["rep"] == found["id"], "left").select(
         "n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
@@ -196,16 +227,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Links that join the same classes as all links of similarity 0.85 or more do."""
+def _links(docs: DataFrame, first: DataFrame, least: Similarity) -> DataFrame:
+    """Links that join the same classes as all links of the least similarity or more do."""
     posts = first.select("rep", F.explode("keys").alias("key"))
     common = posts.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
     # values of one set only come first in its prefix and join nothing
     ranked = posts.join(common, "key").groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("by_rarity"), F.sum("sets").alias("weight")) \
-        .where(F.size("by_rarity") >= MATCHES) \
+        .where(F.size("by_rarity") >= least.matches) \
         .select("rep", "weight", F.expr(
-            f"transform(slice(by_rarity, 1, {PREFIX} - ({COORDINATES} - size(by_rarity))), x -> x.key)").alias("prefix"))
+            f"transform(slice(by_rarity, 1, {least.prefix} - ({COORDINATES} - size(by_rarity))), x -> x.key)").alias("prefix"))
     candidates = stable(ranked.join(first.drop("keys"), "rep"))
     lists = stable(candidates.select("rep", "weight", F.explode("prefix").alias("key")))
     centres = lists.groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("centre"), F.count("*").alias("members")).where("members > 1")
@@ -216,11 +247,11 @@ def _links(docs: DataFrame, first: DataFrame) -> DataFrame:
     pairs = lists.join(centres, "key").where("rep <> centre").select("rep", "centre").distinct()
     size = first.select("rep", "n")
     pairs = stable(pairs.join(size, "rep").join(size.select(F.col("rep").alias("centre"), F.col("n").alias("m")), "centre")
-                   .where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select("rep", "centre"))
+                   .where(f"100 * least(n, m) >= {least.percent} * greatest(n, m)").select("rep", "centre"))
     near = pairs.join(sets, "rep").join(
         sets.select(F.col("rep").alias("centre"), F.col("hashes").alias("others")), "centre") \
         .withColumn("common", F.size(F.array_intersect("hashes", "others"))) \
-        .where(f"100 * common >= {PERCENT} * (size(hashes) + size(others) - common)")
+        .where(f"100 * common >= {least.percent} * (size(hashes) + size(others) - common)")
     star = stable(near.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
     comps = components(star)
     labelled = lists.join(comps, lists["rep"] == comps["id"], "left").select("rep", "key", F.coalesce("component", "rep").alias("comp"))
@@ -238,6 +269,6 @@ def _links(docs: DataFrame, first: DataFrame) -> DataFrame:
         opened.select("rep", "key", "comp", F.lit(False).alias("asks"), F.explode(every("ask_blocks")).alias("q"), own.alias("block")))
     block = ["key", "q", "block"]
     light = rows.join(candidates.select("rep", "n", "low", "prefix"), "rep")
-    near = stable(light.groupBy(*block).applyInPandas(block_rows, light.schema))
-    more = near.join(sets, "rep").groupBy(*block).applyInPandas(block_links, "a bigint, b bigint")
+    near = stable(light.groupBy(*block).applyInPandas(lambda g: block_rows(g, least), light.schema))
+    more = near.join(sets, "rep").groupBy(*block).applyInPandas(lambda g: block_links(g, least), "a bigint, b bigint")
     return star.union(more)

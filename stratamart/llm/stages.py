@@ -10,6 +10,8 @@ from stratamart.llm.mixing import MIX_COLUMNS, mix, sized
 from stratamart.llm.quality_rules import quality_rules
 from stratamart.session import ship_package
 
+STAGE_PERCENT = 80  # op3 links from 85 on
+
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. All rows of a rejected ``doc_id`` go."""
@@ -22,7 +24,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id, and one row of each
     ``doc_id``; rows without one stay."""
     ship_package(spark)
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, STAGE_PERCENT).where("NOT kept").select("doc_id").distinct()
     stays = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     return stays.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(stays.where("doc_id IS NULL"))
 

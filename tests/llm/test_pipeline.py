@@ -38,6 +38,26 @@ def test_rules_and_dedup(stages):
     assert single == {i: ruled[i] for i, (_, c) in plain.items() if i == c}
 
 
+def test_dedup_takes_similarity_of_80_percent(spark, small):
+    words = [f"a{k}" for k in range(104)]  # 100 shingles
+    # sets of 100 shingles that share s and differ in 100 - s: s / (200 - s) is 0.786, 0.818, 0.852
+    rows = [(g * 10 + k, " ".join(f"g{g}{w}" if not k or i < s + 4 else f"z{g}{w}" for i, w in enumerate(words)), "en", "s", 1)
+            for g, s in enumerate((88, 90, 92), 1) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    from stratamart.llm.minhash import Similarity, near_duplicates
+
+    assert sorted(by_id(corpus_pipeline.dedup_stage(spark, docs, small))) == [10, 11, 20, 30]
+    assert sorted(r.doc_id for r in near_duplicates(docs).where("kept").collect()) == [10, 11, 20, 21, 30]
+    assert (Similarity().matches, Similarity().threshold) == (17, 90)
+
+
+def test_dedup_against_plain_pairs(stages):
+    ruled, single = by_id(stages[1]), by_id(stages[2])
+    sets = {i: s for i, t in ruled.items() if (s := brute.shingle_set(t))}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert single == {i: ruled[i] for i, c in brute.components(ruled, links).items() if i == c}
+
+
 def test_passages(stages):
     single, cut = by_id(stages[2]), by_id(stages[3])
     covered = brute.repeated_bytes(single)
