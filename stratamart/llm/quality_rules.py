@@ -96,18 +96,21 @@ _NAMES = list(dict.fromkeys(COUNTS + list(FEATURES)))
 _SCHEMA = "doc_id bigint, " + ", ".join(f"{c} {'bigint' if c in COUNTS else 'double'}" for c in _NAMES)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """One row of counts and features per row of ``docs(doc_id, text)``; a null text has none."""
+def document_statistics(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """One row of counts and features per row of ``docs(doc_id, text)``; a null text has none. A
+    ``key`` column (bigint) of ``docs`` is carried through."""
+    extra = [key] if key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, data, offsets in T.slices(batch.column(1)):
                 found = statistics(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, stop - row), *(pa.array(found[c].astype(np.int64 if c in COUNTS else np.float64)) for c in _NAMES)],
-                    ["doc_id", *_NAMES])
+                    [batch.column(0).slice(row, stop - row), *(pa.array(found[c].astype(np.int64 if c in COUNTS else np.float64)) for c in _NAMES),
+                     *(c.slice(row, stop - row) for c in batch.columns[2:])],
+                    ["doc_id", *_NAMES, *extra])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "text", *extra).mapInArrow(run, _SCHEMA + "".join(f", {c} bigint" for c in extra))
 
 
 @dataclass(frozen=True)
@@ -212,18 +215,19 @@ def judged(stats: DataFrame, trees: Trees, bound: float = 0.3) -> DataFrame:
             x = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.float64) for c in FEATURES], 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.score(x))], [*batch.schema.names, "score"])
 
-    scored = stats.mapInArrow(run, _SCHEMA + ", score double")
+    scored = stats.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in stats.dtypes) + ", score double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= bound))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bound: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, bound: float = 0.3, key: str | None = None) -> DataFrame:
     """Statistics, ``base_failed``, ``score`` and ``kept`` for every row of ``docs(doc_id, text)``.
 
     Null and empty texts have no words and fail the base rules. Repeated rows are all returned;
-    other columns are not read. An empty table gives an empty result.
+    other columns are not read but a ``key``, which the result has too. An empty table gives an
+    empty result.
     """
     from stratamart.session import stable
 
-    stats = stable(document_statistics(docs))
+    stats = stable(document_statistics(docs, key))
     return judged(stats, fit_labels(stats, labels, max_rows), bound)

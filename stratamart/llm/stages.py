@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamart.llm.minhash import near_duplicates
-from stratamart.llm.mixing import MIX_COLUMNS, mix, sized
+from stratamart.llm.mixing import mix, sized
 from stratamart.llm.quality_rules import quality_rules
-from stratamart.session import ship_package
+from stratamart.session import ship_package, stable
 
 STAGE_PERCENT = 80  # op3 links from 85 on
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, stored so that it stays; ids may be null or repeat."""
+    return stable(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. All rows of a rejected ``doc_id`` go."""
+    """Documents that the quality rules keep; every row is judged by itself."""
     ship_package(spark)
-    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
-    return docs.join(judged.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = _numbered(docs)
+    judged = quality_rules(rows, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"), key=ROW)
+    return rows.join(judged.where("NOT kept").select(ROW), ROW, "left_anti").select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +48,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The mix: a document once for each time it is taken; the last copy of a source that the
     budget cuts keeps its first words, as many as were taken."""
     ship_package(spark)
-    mixed = mix(sized(docs)).select(*MIX_COLUMNS)
-    whole = docs.alias("d").join(mixed.alias("m"), (F.col("d.doc_id") == F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")))
+    rows = _numbered(docs)
+    mixed = mix(sized(rows, ROW), key=ROW).select(ROW, "size", "taken")
+    whole = rows.alias("d").join(mixed.alias("m"), ROW)
+    words = F.regexp_extract_all("d.text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("m.taken") >= F.col("m.size"), F.col("d.text")).otherwise(
-        F.array_join(F.slice(F.split("d.text", r"[\x20\x09-\x0D]+"), 1, F.col("m.taken").cast("int")), " "))
+        F.array_join(F.slice(words, 1, F.col("m.taken").cast("int")), " "))
     return whole.withColumn("_text", text).select(
         *[F.col("_text").alias(c) if c == "text" else F.length("_text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"d.{c}") for c in docs.columns])

@@ -89,6 +89,29 @@ def test_mixing(stages):
     assert all(abs(taken.get(s, 0) - target[s]) <= 1 for s in target)
 
 
+def test_rows_without_id(spark, small):
+    good = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    given = [(i, t, "en", "s", len(t)) for i, t in list(good.items())[:60]]
+    kept = by_id(corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(given, schema), small))
+    nameless = [(None, *r[1:]) for r in given]
+    ruled = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(nameless, schema), small)
+    assert {r.text for r in ruled.collect()} <= {t for t in good.values() if (c := brute.rule_counts(t))[0] >= 10 and 100 * c[4] <= 20 * c[0]} and kept
+    # 2 sources of 3 and 1: targets of the first are its two epochs, the second is cut
+    docs = [(None if k % 2 else k, f"  \t{k} " + "word " * 19, "en", f"s{k % 4 // 2}", 0) for k in range(40)]
+    mixed = corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame(docs, schema), small).collect()
+    words = {s: sum(len(brute.WORD.findall(r.text)) for r in mixed if r.source == s) for s in ("s0", "s1")}
+    assert words == {"s0": 800, "s1": 400} and any(r.doc_id is None for r in mixed)
+
+
+def test_cut_text_keeps_every_taken_word(spark, small):
+    docs = [(k, " \n" + " ".join(f"w{k}x{j}" for j in range(7)), "en", s, 0) for s, k in (("a", 1), ("b", 2), ("c", 3))]
+    mixed = corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint"), small).collect()
+    # 31.5 words by 3, 1, 2: two epochs of the first are 14; the others share 17.5 by 1 and 2
+    taken = {s: sum(len(brute.WORD.findall(r.text)) for r in mixed if r.source == s) for s in "abc"}
+    assert taken == {"a": 14, "b": 6, "c": 12}
+
+
 def test_packing(stages):
     end = {}
     for r in sorted(stages[5].collect(), key=lambda r: (r.sequence_id, r.offset)):
