@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# words of which every sentence below has one
+# words that speak of a licence; sentences of WORDLESS patterns need none of them
 LICENCE_WORDS = ["licen[cs]e", "copyright", "warrant", "permission", "redistribut", "public domain", "all rights reserved"]
 
 _VERSION = r"(?:v|version )?([0-9]+(?:[.][0-9]+)?)"
@@ -58,6 +58,9 @@ SENTENCES: list[tuple[str, str]] = [
     ("Copyright", r"copyright (?:\(c\) |© )?[0-9]{4}"),
 ]
 
+# patterns of sentences without a licence word -> words that such a sentence has
+WORDLESS = {"GplRef": "gpl", "BsdEndorse": "endorse or promote", **dict.fromkeys(["CcByNcNd", "CcByNcSa", "CcByNc", "CcByNd", "CcBySa", "CcBy"], "cc by|creative commons")}
+
 # licence <- sequence of identifiers, tried in this order; {v} is the version of the first one
 RULES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "[BsdGrant:][BsdSource:][BsdBinary:][BsdEndorse:][BsdAsIs:]?"),
@@ -117,12 +120,13 @@ def licence_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     Null and empty texts have none. Every row is returned, repeated ones too; a column of ``docs``
     that has the name of a result column is replaced by it.
     """
-    words = "|".join(LICENCE_WORDS)
+    words = "|".join([*LICENCE_WORDS, *(p for name, p in SENTENCES if name in WORDLESS)])
+    search = "|".join([*LICENCE_WORDS, *dict.fromkeys(WORDLESS.values())]).replace(" ", f"{SPACE}+")
     cut = F.translate(F.col(text), _UPPER, _LOWER)
     for pattern, replacement in _STEPS:
         cut = F.regexp_replace(cut, pattern, replacement.replace("{1}", "$1"))
     sentences = F.filter(F.split(cut, "\x01"), lambda s: s.rlike(words))
-    marks = F.when(F.col(text).rlike(f"(?i){words}"), F.transform(sentences, _identifier)).otherwise(F.array().cast("array<string>"))
+    marks = F.when(F.col(text).rlike(f"(?i){search}"), F.transform(sentences, _identifier)).otherwise(F.array().cast("array<string>"))
     found = docs.withColumn("_marks", marks)
     sequence = F.array_join("_marks", "")
     for licence, rule in RULES:

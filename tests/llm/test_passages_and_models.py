@@ -154,6 +154,15 @@ def test_licences(spark):
     assert found == {1: ("Apache-2.0", 1, 0), 2: ("MIT", 3, 0), 3: ("CC-BY-NC-4.0,MIT", 2, 0), 4: ("GPL-3", 1, 0), 5: ("", 1, 1), 6: ("", 0, 0), 7: ("", 0, 0), 8: ("", 0, 0)}
 
 
+def test_licences_without_a_licence_word(spark):
+    rows = [("CC-BY-SA-4.0", "Available under CC BY-SA 4.0."), ("CC-BY-4.0", "Creative\nCommons Attribution 4.0"), ("GPL-2", "Released under the GPL v2."),
+            ("CC-BY-NC-ND-3.0", "Text (CC BY-NC-ND 3.0) here"), ("CC-BY-NC-SA-2.5", "cc by-nc-sa 2.5"), ("CC-BY-NC-4.0", "Under CC BY-NC v4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+            ("", "Neither the name of X nor of Y may be used to endorse or promote products."), ("Public-Domain", "It is in the public\ndomain."), ("", "Nothing of the GPL here.")]
+    found = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], DOC)).collect()}
+    assert [found[k].licences for k in range(len(rows))] == [x for x, _ in rows]
+    assert found[7].sentence_ids == "BsdEndorse" and all(r.n_unknown == 0 for r in found.values()) and found[9].n_sentences == 0
+
+
 def test_licences_against_sql(spark, tricky, small):
     from compare import compare, duckdb_tables
 
