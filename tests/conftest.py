@@ -29,8 +29,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def small() -> str:
     return SMALL
-
-
-def rows(df, *order):
-    """The rows as tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from stratamart.operators.materialize import Warehouse, insert_missing, merge_rows, patch_rows

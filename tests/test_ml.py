@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from stratamart.checks import science

@@ -4,7 +4,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from table_rows import rows
 
 from stratamart.operators.history import read_runs
 from stratamart.operators.materialize import Warehouse

@@ -4,7 +4,7 @@ import json
 from dataclasses import replace
 
 import pytest
-from conftest import rows
+from table_rows import rows
 
 from stratamart.operators import charts, filters, history, joins, quality
 from stratamart.operators.aggregates import profile, row_of_max
