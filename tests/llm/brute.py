@@ -35,7 +35,7 @@ def shingle_set(text):
     return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4))
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     """{doc_id: (n_shingles, component)} of {doc_id: text}."""
     sets = {i: shingle_set(t) for i, t in docs.items()}
     post = defaultdict(list)
@@ -47,7 +47,7 @@ def near_duplicates(docs):
         for k, a in enumerate(ids):
             for b in ids[k + 1:]:
                 pairs[a, b] += 1
-    links = [p for p, n in pairs.items() if 100 * n >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    links = [p for p, n in pairs.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
     comp = components(sets, links)
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 

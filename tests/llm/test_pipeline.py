@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from stratamart.llm import suffix_dedup
+from stratamart.llm.stages import STAGE_PERCENT
 from stratamart.session import stable
 
 
@@ -34,7 +35,7 @@ def test_rules_and_dedup(stages):
         if n < 10 or 100 * repeats > 20 * n:
             assert i not in ruled
     assert all(given[i] == t for i, t in ruled.items()) and len(ruled) > 0.7 * len(given)
-    plain = brute.near_duplicates(ruled)
+    plain = brute.near_duplicates(ruled, STAGE_PERCENT)
     assert single == {i: ruled[i] for i, (_, c) in plain.items() if i == c}
 
 
