@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratamart.llm import licences
 from stratamart.session import ship_package
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,8 +80,17 @@ def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages"))
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.byte_bpe import decode, encode
+
+    found = decode(encode(table(spark, folder, "documents"), RANKS), RANKS)
+    return found.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_best_fit_packing, op3_minhash_near_dedup, op4_ngram_lm, op5_source_mixing,
     op6_line_crf, op7_suffix_dedup, op8_metric_join, op9_quality_rules, op10_html_extract,
+    op11_byte_bpe,
 )}
 ORACLES: dict[str, str] = {"op1_license_scan": licences.oracle()}
