@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamart.llm import licences
+from stratamart.llm import licences, trie_sql
 from stratamart.session import ship_package
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -88,9 +88,22 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.whitening import fit_whitening, whiten
+
+    vectors = table(spark, folder, "embeddings")
+    return whiten(vectors, fit_whitening(vectors))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from stratamart.llm.prefix_trie import prefix_trie, rebuild
+
+    return prefix_trie(rebuild(table(spark, folder, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_best_fit_packing, op3_minhash_near_dedup, op4_ngram_lm, op5_source_mixing,
     op6_line_crf, op7_suffix_dedup, op8_metric_join, op9_quality_rules, op10_html_extract,
-    op11_byte_bpe,
+    op11_byte_bpe, op12_whitening, op13_prefix_trie,
 )}
-ORACLES: dict[str, str] = {"op1_license_scan": licences.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": licences.oracle(), "op13_prefix_trie": trie_sql.SQL}

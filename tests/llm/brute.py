@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -80,3 +82,34 @@ def repeated_bytes(docs, length=200):
                 covered.update(range(k, k + length))
         out[i] = sorted(covered)
     return out
+
+
+def trie(rows):
+    """Nodes of the trie of rebuilt conversations, from (conv_id, turn, role, text) rows."""
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            step = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()[:32]
+            turns[conv].append((turn is not None, turn or 0, step, role, text))
+    own = {c: [(r, t) for *_, r, t in sorted(ts)] for c, ts in turns.items()}
+    rebuilt = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 9
+        rebuilt[c] = own.get(c - c % 5, [])[:h] + own[c][h:]
+    members = defaultdict(list)
+    for c, path in sorted(rebuilt.items()):
+        for d in range(len(path) + 1):
+            members[tuple(path[:d])].append(c)
+    children, leaves, saved = Counter(), Counter(), Counter()
+    for prefix, convs in members.items():
+        if prefix:
+            children[prefix[:-1]] += 1
+    for prefix, convs in members.items():
+        gain = (len(convs) - 1) * len(prefix[-1][1].encode()) if prefix else 0
+        for d in range(len(prefix) + 1):
+            saved[prefix[:d]] += gain
+            leaves[prefix[:d]] += not children[prefix]
+    return sorted((convs[0], len(p), members[p[:-1]][0] if p else -1, len(convs), children[p], leaves[p], saved[p],
+                   hashlib.sha256(",".join(str(c) for c in convs if len(rebuilt[c]) == len(p)).encode()).hexdigest())
+                  for p, convs in members.items())
