@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from stratamart.llm import text as T
 
 CACHED_SLICES = 700_000
-CACHED_BYTES = 256  # longer slices are merged each time
+SLICE_BYTES = 1 << 19  # texts are encoded in runs of about this size
 BLOCK = 128
 
 LETTER, NUMBER, OTHER, SPACE = range(4)  # classes of code points
@@ -116,47 +116,60 @@ def _classes() -> np.ndarray:
     """The class of every code point, as the merging library's own Unicode tables have it."""
     import tiktoken
 
-    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
-    every = points.astype("<u4").tobytes().decode("utf-32-le")
     out = np.full(1 << 21, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
         single = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        of_kind = single.decode_bytes(single.encode_ordinary(every)).decode().encode("utf-32-le")
-        out[np.frombuffer(of_kind, "<u4")] = kind
+        for low in range(0, 0x110000, 0x4000):
+            every = "".join(map(chr, (c for c in range(low, low + 0x4000) if not 0xD800 <= c < 0xE000)))
+            of_kind = single.decode_bytes(single.encode_ordinary(every)).decode().encode("utf-32-le")
+            out[np.frombuffer(of_kind, "<u4")] = kind
     return out
 
 
-class ByteBpe:
-    """Ids of texts by the ranks of a file (``token in base64, rank`` a line), and texts of ids."""
+class Vocabulary:
+    """The tokens of a rank file (``token in base64, rank`` a line) as one array of bytes."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        size = max(self.ranks.values()) + 1
+        self.lengths = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        for token, rank in self.ranks.items():
+            self.lengths[rank] = len(token)
+        self.token_end = np.cumsum(self.lengths)
+        self.token_begin = self.token_end - self.lengths
+        self.vocabulary = np.zeros(int(self.lengths.sum()), np.uint8)
+        for token, rank in self.ranks.items():
+            self.vocabulary[self.token_begin[rank]:self.token_end[rank]] = np.frombuffer(token, np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, each looked up in one array of the vocabulary's bytes."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.vocabulary[np.repeat(self.token_begin[ids] - ends + lengths, lengths) + np.arange(total)]
+
+
+class ByteBpe(Vocabulary):
+    """Ids of texts by the ranks of a file."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-        lengths = np.zeros(size + 1, np.int64)
+        self.pairs: dict[int, int] = {}  # both ids in one number, which takes less memory than a pair
         for token, rank in self.ranks.items():
-            lengths[rank] = len(token)
             for k in range(1, len(token)):
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if left is not None and right is not None:
-                    self.pairs[left, right] = rank
-        self.token_end = np.cumsum(lengths)
-        self.token_begin = self.token_end - lengths
-        self.lengths = lengths
-        self.vocabulary = np.zeros(int(lengths.sum()), np.uint8)
-        for token, rank in self.ranks.items():
-            self.vocabulary[self.token_begin[rank]:self.token_end[rank]] = np.frombuffer(token, np.uint8)
+                    self.pairs[left << 32 | right] = rank
         self.classes = _classes()
         self.transitions = Transitions()
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # hashes of slices, sorted; what follows is in their order
+        self.begin = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
     def slices(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +212,7 @@ class ByteBpe:
         if len(ids) > 64:
             return self._merge_long(ids)
         pairs = self.pairs
-        found = [pairs.get(pair, 1 << 30) for pair in zip(ids, ids[1:], strict=False)]
+        found = [pairs.get(a << 32 | b, 1 << 30) for a, b in zip(ids, ids[1:], strict=False)]
         while found:
             least = min(found)
             if least == 1 << 30:
@@ -208,15 +221,15 @@ class ByteBpe:
             ids[k:k + 2] = [least]
             del found[k]
             if k < len(found):
-                found[k] = pairs.get((least, ids[k + 1]), 1 << 30)
+                found[k] = pairs.get(least << 32 | ids[k + 1], 1 << 30)
             if k:
-                found[k - 1] = pairs.get((ids[k - 1], least), 1 << 30)
+                found[k - 1] = pairs.get(ids[k - 1] << 32 | least, 1 << 30)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, k, a, b) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (rank := self.pairs.get((a, b))) is not None]
+        heap = [(rank, k, a, b) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (rank := self.pairs.get(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, k, a, b = heapq.heappop(heap)
@@ -227,27 +240,29 @@ class ByteBpe:
             after[k] = after[right]
             if after[k] < n:
                 before[after[k]] = k
-                if (joined := self.pairs.get((rank, ids[after[k]]))) is not None:
+                if (joined := self.pairs.get(rank << 32 | ids[after[k]])) is not None:
                     heapq.heappush(heap, (joined, k, rank, ids[after[k]]))
-            if before[k] >= 0 and (joined := self.pairs.get((ids[before[k]], rank))) is not None:
+            if before[k] >= 0 and (joined := self.pairs.get(ids[before[k]] << 32 | rank)) is not None:
                 heapq.heappush(heap, (joined, before[k], ids[before[k]], rank))
         return [i for i in ids if i >= 0]
 
-    def _learn(self, key: int, ids: list[int]) -> None:
-        k, n = len(self.index), len(ids)
-        if self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), n), np.uint32)])
-        if k == len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        self.ids[self.used:self.used + n] = ids
-        self.begin[k], self.count[k] = self.used, n
-        self.index[key] = k
-        self.used += n
+    def _learn(self, keys: np.ndarray, merged: list[list[int]]) -> None:
+        """Keep the ids of new slices, whose sorted hashes are ``keys``."""
+        count = np.array([len(ids) for ids in merged], np.int64)
+        total = int(count.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.uint32)])
+        self.ids[self.used:self.used + total] = np.fromiter((i for ids in merged for i in ids), np.uint32, total)
+        at = np.searchsorted(self.keys, keys)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        self.keys = np.insert(self.keys, at, keys)
+        self.used += total
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts, the byte where each id's token begins in its text, and the bounds of
         each text in them."""
-        if len(data) > 2 * T.SLICE_BYTES and len(offsets) == 2:
+        if len(data) > 2 * SLICE_BYTES and len(offsets) == 2:
             return self._encode_long(data)
         starts, first = self.slices(data, offsets)
         if not len(starts):
@@ -255,23 +270,19 @@ class ByteBpe:
         ends = np.append(starts[1:], len(data))
         hashes = T.span_hash(T.prefix_hash(data), starts, ends)
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.index) + len(distinct) > CACHED_SLICES:
+        if len(self.keys) + len(distinct) > CACHED_SLICES or self.used > 8 * CACHED_SLICES:
             self._clear()
-        raw = data.tobytes()
-        keys = distinct.tolist()
-        own: list[int] = []  # long slices, only for this call
-        for key, s, e in zip(keys, starts[where].tolist(), ends[where].tolist(), strict=True):
-            if key not in self.index:
-                self._learn(key, self.merge(raw[s:e]))
-                if e - s > CACHED_BYTES:
-                    own.append(key)
-        at = np.fromiter((self.index[key] for key in keys), np.int64, len(keys))[which]
+        place = np.searchsorted(self.keys, distinct)
+        new = place == len(self.keys)
+        new[~new] = self.keys[place[~new]] != distinct[~new]
+        if new.any():
+            raw = data.tobytes()
+            self._learn(distinct[new], [self.merge(raw[s:e]) for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.keys, distinct)[which]
         counts = self.count[at]
         bounds = np.zeros(len(at) + 1, np.int64)
         np.cumsum(counts, out=bounds[1:])
         ids = self.ids[np.repeat(self.begin[at] - bounds[:-1], counts) + np.arange(bounds[-1])]
-        if own:
-            self._clear()
         bounds = bounds[first]
         ends = np.cumsum(self.lengths[ids])
         return ids, ends - self.lengths[ids] - np.repeat(offsets[:-1], np.diff(bounds)), bounds
@@ -281,8 +292,8 @@ class ByteBpe:
         there whatever else the text holds."""
         ids, begins, at = [], [], 0
         while at < len(data):
-            stop = min(at + T.SLICE_BYTES, len(data))
-            white = T.IS_SPACE[data[at:]] if stop == len(data) else T.IS_SPACE[data[at:stop + T.SLICE_BYTES]]
+            stop = min(at + SLICE_BYTES, len(data))
+            white = T.IS_SPACE[data[at:]] if stop == len(data) else T.IS_SPACE[data[at:stop + SLICE_BYTES]]
             cuts = np.flatnonzero(white[1:] & ~white[:-1] & ((data[at:at + len(white) - 1] < 0x80))) + 1 + at
             cut = cuts[cuts >= stop][:1] if stop < len(data) else cuts[:0]
             if stop < len(data) and not len(cut):  # no such place nearby: the rest is one part
@@ -291,7 +302,7 @@ class ByteBpe:
             stop = int(cut[0]) if len(cut) else len(data)
             part = data[at:stop]
             starts = np.array([0, len(part)])
-            if len(part) > 2 * T.SLICE_BYTES:
+            if len(part) > 2 * SLICE_BYTES:
                 starts = np.array([0, len(part), len(part)])  # an empty text after it: not parted again
             found, places, bounds = self.encode(part, starts)
             ids.append(found)
@@ -299,21 +310,14 @@ class ByteBpe:
             at = stop
         return np.concatenate(ids), np.concatenate(begins), np.array([0, sum(map(len, ids))])
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of ids, each looked up in one array of the vocabulary's bytes."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.vocabulary[np.repeat(self.token_begin[ids] - ends + lengths, lengths) + np.arange(total)]
-
 
-_bpe: dict[str, ByteBpe] = {}
+_held: dict[tuple[type, str], Vocabulary] = {}
 
 
-def _held(path: str) -> ByteBpe:
-    if path not in _bpe:
-        _bpe[path] = ByteBpe(path)
-    return _bpe[path]
+def _of(kind: type, path: str) -> Vocabulary:
+    if (kind, path) not in _held:
+        _held[kind, path] = kind(path)
+    return _held[kind, path]
 
 
 def encode(docs: DataFrame, ranks: str) -> DataFrame:
@@ -326,9 +330,9 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _held(ranks)
+        bpe = _of(ByteBpe, ranks)
         for batch in batches:
-            for row, stop, data, offsets in T.slices(batch.column(1)):
+            for row, stop, data, offsets in T.slices(batch.column(1), SLICE_BYTES):
                 ids, begins, bounds = bpe.encode(data, offsets)
                 raw, places = ids.astype("<u4", copy=False), begins.astype("<i8", copy=False)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), *(
@@ -345,7 +349,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     place = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _held(ranks)
+        bpe = _of(Vocabulary, ranks)
         for batch in batches:
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)
