@@ -352,12 +352,14 @@ def currencies(t: Tables) -> DataFrame:
     return ids.withColumn("conversion_rate", 1 + F.col("exchangable_id") % 5)
 
 
-def enriched(t: Tables) -> DataFrame:
-    providers = t.supplier.where(F.col("s_acctbal") > 0).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+def proposal_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    # suppliers in debt go by another key, so their proposals have no provider
+    shown = F.when(F.col("s_acctbal") > 0, F.col("s_suppkey")).otherwise(-F.col("s_suppkey") - 1)
+    providers = t.supplier.select(shown.alias("id"), F.col("s_name").alias("name"))
     people = t.customer.select(F.col("c_custkey").alias("id"),
                                F.concat(F.lit("user"), F.col("c_custkey"), F.lit("@example.com")).alias("email"),
                                F.concat(F.lit("Ms "), F.col("c_name")).alias("full_name"))
-    return demos.proposals_enriched(proposals(t), currencies(t), providers, people)
+    return proposals(t), currencies(t), providers, people
 
 
 _WHOLESALE = "CAST(l_extendedprice AS DECIMAL(12,2)) * 0.80"
@@ -374,7 +376,7 @@ SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user_id, l_suppkey AS
   (l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) AS line
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
   LEFT JOIN proposal_rates ON rated_id = l_orderkey * 10 + l_linenumber
-  LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0
+  LEFT JOIN supplier ON CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -s_suppkey - 1 END = l_suppkey
 """
 
 
@@ -388,7 +390,7 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey
           FROM (SELECT *, row_number() OVER (PARTITION BY ware, confirmed_at IS NULL ORDER BY confirmed_at, id, line) AS n
             FROM proposal_rows) r""")
 def demo_proposals(t: Tables) -> DataFrame:
-    return enriched(t)
+    return demos.proposals_enriched(*proposal_parts(t))
 
 
 @check("demo_proposal_summary", "text: provider_name proposal_type, long: proposal_count, double: retail_total_usd "
@@ -399,7 +401,7 @@ def demo_proposals(t: Tables) -> DataFrame:
            FROM (SELECT *, CAST(retail_usd AS DECIMAL(18,4)) AS r, CAST(wholesale_usd AS DECIMAL(18,4)) AS w
              FROM proposal_rows WHERE provider_name IS NOT NULL) p GROUP BY ALL""")
 def demo_proposal_summary(t: Tables) -> DataFrame:
-    return demos.proposal_summary(enriched(t))
+    return demos.proposal_summary(demos.proposals_priced(*proposal_parts(t)))
 
 
 @check("demo_proposal_insights", "text: insight item, double: value",
@@ -413,4 +415,4 @@ def demo_proposal_summary(t: Tables) -> DataFrame:
             GROUP BY provider_name, proposal_type ORDER BY v DESC, provider_name, proposal_type LIMIT 1) UNION ALL
            SELECT 'proposal_types', proposal_type, count(*) FROM p GROUP BY proposal_type""")
 def demo_proposal_insights(t: Tables) -> DataFrame:
-    return demos.proposal_insights(enriched(t))
+    return demos.proposal_insights(demos.proposals_priced(*proposal_parts(t)))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from stratamart.functions import mean
 from stratamart.operators.quantiles import exact_quantiles
-from stratamart.operators.windows import ranked_within
+from stratamart.operators.windows import RANGE_ROWS, ranked_within
 
 
 # The aggregates a request may name. Deviation and variance are of the sample.
@@ -39,8 +39,34 @@ def row_of_max(df: DataFrame, keys: Sequence[str], measure: str, tie: str) -> Da
     return top.select(*keys, (-F.col("_top._tie")).alias(tie), F.col(f"_top.{measure}").alias(measure))
 
 
+# How partial results of a measure are put together.
+_COMBINED = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+
+
+def counted_up(df: DataFrame, keys: Sequence[Column | str], chain: dict[str, str],
+               measures: dict[str, tuple[str, Column | str]]) -> DataFrame:
+    """Per group the distinct non-NULL values of the columns of ``chain``, and ``measures``
+    (``name: (sum, count, min or max, column)``).
+
+    Each column of the chain must determine the next one (a return its order, an order its
+    customer). Rows are grouped by the whole chain first and then by ever less of it, so every step
+    adds up what the one before counted: no row is multiplied for a distinct count, a hot group is
+    spread over its chain values, and all steps are combined on the map side.
+    """
+    columns, names = list(chain.values()), list(chain)
+    groups = [F.col(k) if isinstance(k, str) else k for k in keys]
+    found = df.groupBy(*groups, *columns).agg(*[_COMBINED[kind][0](c).alias(n) for n, (kind, c) in measures.items()])
+    types = {f.name: f.dataType for f in found.schema.fields}
+    groups = found.columns[:len(keys)]
+    for i, column in enumerate(columns):
+        counts = [F.sum(n).alias(n) for n in names[:i]] + [F.count(column).alias(names[i])]
+        sums = [_COMBINED[kind][1](n).cast(types[n]).alias(n) for n, (kind, _) in measures.items()]
+        found = found.groupBy(*groups, *columns[i + 1:]).agg(*counts, *sums)
+    return found
+
+
 def sorted_text(df: DataFrame, keys: Sequence[str], item: str, out: str, separator: str = ", ",
-                chunk_items: int = 10_000, hot_rows: int = 5_000_000) -> DataFrame:
+                chunk_items: int = 10_000, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The distinct items of each key in order, as one text.
 
     Duplicates go before the gather, spread over (key, item). A key with more than
@@ -48,43 +74,43 @@ def sorted_text(df: DataFrame, keys: Sequence[str], item: str, out: str, separat
     must fit in one row.
     """
     distinct = df.select(*keys, item).where(F.col(item).isNotNull()).distinct()
-    placed = ranked_within(distinct, keys, item, [], "_n", hot_rows)
+    placed = ranked_within(distinct, keys, item, [], "_n", range_rows)
     chunk = F.floor((F.col("_n") - 1) / chunk_items).cast("int").alias("chunk")
     rows = placed.groupBy(*keys, chunk).agg(F.sort_array(F.collect_list(F.struct("_n", item))).alias("_items"))
     return rows.select(*keys, "chunk", F.array_join(F.transform("_items", lambda r: r[item]), separator).alias(out))
 
 
 def nested_rows(rows: DataFrame, key: str, keep: Column, order_by: str, ties: Sequence[str], fields: Sequence[str],
-                out: str, chunk_rows: int = 10_000, hot_rows: int = 5_000_000) -> DataFrame:
+                out: str, chunk_rows: int = 10_000, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per key the ordered array of its rows that meet ``keep``, empty where none does.
 
     Keys come from all rows, so no second pass or join is needed for them. Chunks are as in
     ``nested_children``.
     """
     marked = rows.withColumn("_at", F.when(keep, F.col(order_by)))
-    placed = ranked_within(marked, [key], "_at", ties, "_n", hot_rows)
+    placed = ranked_within(marked, [key], "_at", ties, "_n", range_rows)
     chunk = F.coalesce(F.floor((F.col("_n") - 1) / chunk_rows), F.lit(0)).cast("int").alias("chunk")
     item = F.when(F.col("_n").isNotNull(), F.struct("_n", *fields))
     gathered = placed.groupBy(key, chunk).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
     return gathered.select(key, "chunk", F.transform("_rows", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias(out))
 
 
-def nested_distinct(rows: DataFrame, key: str, item: str, out: str, chunk_rows: int = 10_000, hot_rows: int = 5_000_000) -> DataFrame:
+def nested_distinct(rows: DataFrame, key: str, item: str, out: str, chunk_rows: int = 10_000, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per key the ordered array of its distinct non-NULL items, empty where there is none."""
     distinct = rows.select(key, item).distinct()
-    return nested_rows(distinct, key, F.col(item).isNotNull(), item, [], [item], out, chunk_rows, hot_rows)
+    return nested_rows(distinct, key, F.col(item).isNotNull(), item, [], [item], out, chunk_rows, range_rows)
 
 
 def nested_children(parents: DataFrame, children: DataFrame, key: str, order_by: str, ties: Sequence[str],
                     fields: Sequence[str], out: str, chunk_rows: int = 10_000,
-                    hot_rows: int = 5_000_000) -> DataFrame:
+                    range_rows: int = RANGE_ROWS) -> DataFrame:
     """Parents with an ordered array of child structs, empty without children.
 
     An array must fit in one row, so a parent with more than ``chunk_rows`` children gets
     several rows, numbered by ``chunk``; together they hold every child in order.
     ``order_by`` with ``ties`` must be unique within a parent.
     """
-    placed = ranked_within(children, [key], order_by, ties, "_n", hot_rows)
+    placed = ranked_within(children, [key], order_by, ties, "_n", range_rows)
     chunked = placed.groupBy(key, F.floor((F.col("_n") - 1) / chunk_rows).cast("int").alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("_n", *fields))).alias("_rows"))
     plain = F.transform("_rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))

@@ -4,85 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamart.session import stable
 
 
+def _same(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equal keys, NULLs included."""
+    found = F.lit(True)
+    for k in keys:
+        found = found & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return found
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-                    task_values: int = 1_000_000, buckets: int = 256) -> DataFrame:
-    """``(keys..., q, quantile)`` of the non-NULL values as doubles.
+                    task_values: int = 1_000_000, ranges: int = 64) -> DataFrame:
+    """``(keys..., q, quantile)`` of the non-NULL values as doubles, by selection in rounds.
 
-    Values are counted per (group, value) first, which spreads a hot group over all tasks.
-    ``percentile`` then needs a group's distinct values in one task: it is used if no group
-    has more than ``task_values`` of them, and ``_by_ranges`` otherwise.
+    Values are counted per (group, value) first, which spreads a hot group over all tasks. A wanted
+    rank lies in a range of its group's values, at first all of them. While some range has more than
+    ``task_values`` distinct values, every range is cut into up to ``ranges`` parts, the rows of each
+    part are counted, and only the parts that hold a wanted rank go on; each round leaves about one
+    part in ``ranges``. What is left is ordered range by range, so no task has more than that.
     """
     if not keys:
-        whole = exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, qs, task_values, buckets)
+        whole = exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, qs, task_values, ranges)
         return whole.drop("_all")
     keys = list(keys)
-    counts = (
-        df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    )
-    most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if most > task_values:
-        return _by_ranges(counts, keys, qs, buckets)
-    wanted = [float(q) for q in qs]
-    found = counts.groupBy(*keys).agg(F.percentile("_v", wanted, F.col("_n")).alias("_found"))
-    pairs = F.arrays_zip(F.array(*[F.lit(q) for q in wanted]).alias("q"), F.col("_found").alias("quantile"))
-    return found.select(*keys, F.inline(pairs))
+    left = stable(df.select(*keys, F.lit(0).cast("long").alias("_r"), F.col(value).cast("double").alias("_v"))
+                  .where(F.col("_v").isNotNull()).groupBy(*keys, "_r", "_v").agg(F.count("*").alias("_n")))
+    position = (F.col("_total") - 1) * F.col("q")
+    wanted = left.groupBy(*keys, "_r").agg(F.sum("_n").alias("_total")).withColumn(
+        "q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).select(
+        *keys, "_r", "q", (position - F.floor(position)).alias("_part"),
+        F.explode(F.array(F.struct(F.lit(True).alias("low"), F.floor(position).alias("rank")),
+                          F.struct(F.lit(False).alias("low"), F.ceil(position).alias("rank")))).alias("_at")) \
+        .select(*keys, "_r", "q", "_part", "_at.low", "_at.rank")
+    while (left.groupBy(*keys, "_r").count().agg(F.max("count")).first()[0] or 0) > task_values:
+        left, wanted = _narrowed(left, wanted, keys, ranges)
+    before = F.sum("_n").over(Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    placed = left.withColumn("_from", before)
+    found = wanted.alias("w").join(placed.alias("p"), _same("w", "p", [*keys, "_r"]) & (F.col("w.rank") >= F.col("p._from"))
+                                   & (F.col("w.rank") < F.col("p._from") + F.col("p._n"))).select("w.*", "p._v")
+    ends = found.groupBy(*keys, "q", "_part").agg(F.max(F.when(F.col("low"), F.col("_v"))).alias("_l"),
+                                                  F.max(F.when(~F.col("low"), F.col("_v"))).alias("_h"))
+    return ends.select(*keys, "q", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_part")).alias("quantile"))
 
 
-def _by_ranges(counts: DataFrame, keys: list[str], qs: Sequence[float], buckets: int) -> DataFrame:
-    """Quantiles without gathering a group's distinct values.
+def _narrowed(left: DataFrame, wanted: DataFrame, keys: list[str], ranges: int) -> tuple[DataFrame, DataFrame]:
+    """One round: the parts of the ranges that hold a wanted rank, and the ranks within them.
 
-    Approximate split points cut each group's distinct values into up to ``buckets`` ranges,
-    and range counts tell which range holds the wanted rank. Only that range is sorted: about
-    one part in ``buckets`` of the distinct values. The approximation decides how even the
-    ranges are, never the result.
+    Where a range is cut is approximate, which decides how even its parts are, never the result.
     """
-    v, n = F.col("_v"), F.col("_n")
-    cuts = [i / buckets for i in range(1, buckets)]
-    # written once: both uses below must see the same approximate splits
-    splits = stable(counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", cuts, 10_000)).alias("_cuts"), F.sum("_n").alias("_total")))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    placed = counts.alias("c").join(splits.alias("s"), same).select(
-        "c.*", F.size(F.filter("s._cuts", lambda cut: cut < F.col("c._v"))).alias("_b"))
-    # for each range: how many rows lie before it (at most `buckets` ranges per group)
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n")).withColumn("_end", before)
-    ranges = ranges.withColumn("_start", F.col("_end") - n)
-    wanted = splits.select(*keys, "_total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-    position = (F.col("_total") - 1) * F.col("q")
-    wanted = wanted.withColumn("_pos", position).select(
-        *keys, "q", (F.col("_pos") - F.floor("_pos")).alias("_part"),
-        F.explode(F.array(
-            F.struct(F.lit("lo").alias("side"), F.floor("_pos").alias("rank")),
-            F.struct(F.lit("hi").alias("side"), F.ceil("_pos").alias("rank")))).alias("_want"))
-    hits = wanted.alias("w").join(
-        ranges.alias("r"),
-        [F.col(f"w.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-        + [F.col("w._want.rank") >= F.col("r._start"), F.col("w._want.rank") < F.col("r._end")],
-    ).select("w.*", "r._b", "r._start")
-    # NULL-safe keys cannot be joined by name; the needed ranges are few, one or two per q
-    needed = hits.select(*keys, "_b", "_start").distinct()
-    inside = placed.alias("p").join(
-        needed.alias("d"),
-        [F.col(f"p.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys] + [F.col("p._b") == F.col("d._b")],
-    ).select("p.*", "d._start")
-    upto = F.sum("_n").over(
-        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ordered = inside.withColumn("_hi", F.col("_start") + upto).withColumn("_lo", F.col("_hi") - n)
-    found = hits.alias("h").join(
-        ordered.alias("o"),
-        [F.col(f"h.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-        + [F.col("h._b") == F.col("o._b"), F.col("h._want.rank") >= F.col("o._lo"),
-           F.col("h._want.rank") < F.col("o._hi")],
-    ).select("h.*", "o._v")
-    low = F.max(F.when(F.col("_want.side") == "lo", v))
-    high = F.max(F.when(F.col("_want.side") == "hi", v))
-    return found.groupBy(*keys, "q", "_part").agg(low.alias("_l"), high.alias("_h")).select(
-        *keys, "q", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_part")).alias("quantile"))
+    own = [*keys, "_r"]
+    cuts = F.array_distinct(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000))
+    splits = stable(left.groupBy(*own).agg(cuts.alias("_cuts")))  # written: all below see the same cuts
+    placed = left.alias("l").join(splits.alias("s"), _same("l", "s", own)).select(
+        "l.*", F.size(F.filter("s._cuts", lambda cut: cut < F.col("l._v"))).alias("_b"))
+    upto = F.sum("_rows").over(Window.partitionBy(*own).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    parts = placed.groupBy(*own, "_b").agg(F.sum("_n").alias("_rows")).withColumn("_from", upto - F.col("_rows"))
+    part = (F.col("_r") * ranges + F.col("_b")).alias("_r")
+    hits = stable(wanted.alias("w").join(parts.alias("p"), _same("w", "p", own) & (F.col("w.rank") >= F.col("p._from"))
+                                         & (F.col("w.rank") < F.col("p._from") + F.col("p._rows")))
+                  .select(*[F.col(f"w.{k}") for k in own], "p._b", "q", "_part", "low", (F.col("rank") - F.col("p._from")).alias("rank")))
+    needed = hits.select(*own, "_b").distinct()
+    kept = placed.alias("l").join(needed.alias("n"), _same("l", "n", [*own, "_b"]), "left_semi")
+    return stable(kept.select(*keys, part, "_v", "_n")), hits.select(*keys, part, "q", "_part", "low", "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamart.functions import bin_right_closed, mean, ratio
-from stratamart.operators.windows import ranked_within
+from stratamart.operators.windows import RANGE_ROWS, ranked_within
 
 
 def completed_by_user(orders: DataFrame) -> DataFrame:
@@ -87,28 +87,33 @@ def event_trends(events: DataFrame) -> DataFrame:
                 / F.count("daily_count").over(week).cast("decimal(4,0)"), 6).alias("rolling_7day_avg"))
 
 
-def proposals_enriched(proposals: DataFrame, currencies: DataFrame, providers: DataFrame, users: DataFrame,
-                       hot_rows: int = 5_000_000) -> DataFrame:
-    """Proposals with provider, user, converted prices and their order within each ware.
-
-    ``proposals`` needs a unique ``(id, line)`` pair; it breaks ties of the confirmation time.
-    """
+def proposals_priced(proposals: DataFrame, currencies: DataFrame, providers: DataFrame, users: DataFrame) -> DataFrame:
+    """Proposals with provider, user and converted prices."""
     rate = currencies.select(F.col("exchangable_id").alias("id"), "conversion_rate")
     provider = providers.select(F.col("id").alias("provider_pg_id"), F.col("name").alias("provider_name"))
     user = users.select(F.col("id").alias("user_id"), F.col("email").alias("user_email"),
                         F.col("full_name").alias("user_full_name"))
     merged = proposals.join(rate, "id", "left").join(provider, "provider_pg_id", "left").join(user, "user_id", "left")
-    priced = merged.withColumns({
+    return merged.withColumns({
         "retail_total_price_usd": ratio("retail_total_price", "conversion_rate", 4),
         "wholesale_total_price_usd": ratio("wholesale_total_price", "conversion_rate", 4),
     })
-    ranked = ranked_within(priced, ["quoted_ware_pg_id"], "confirmed_at", ["id", "line"], "proposal_rank", hot_rows,
+
+
+def proposals_enriched(proposals: DataFrame, currencies: DataFrame, providers: DataFrame, users: DataFrame,
+                       range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Priced proposals and their order within each ware.
+
+    ``proposals`` needs a unique ``(id, line)`` pair; it breaks ties of the confirmation time.
+    """
+    priced = proposals_priced(proposals, currencies, providers, users)
+    ranked = ranked_within(priced, ["quoted_ware_pg_id"], "confirmed_at", ["id", "line"], "proposal_rank", range_rows,
                            sizes_of=proposals)
     # a missing rank is not the first one
     return ranked.withColumn("is_first_proposal", F.coalesce(F.col("proposal_rank") == 1, F.lit(False)))
 
 
-def proposal_summary(enriched: DataFrame) -> DataFrame:
+def proposal_summary(priced: DataFrame) -> DataFrame:
     """Totals by provider and type; as in a frame group-by, rows with a missing key are left out."""
     measures = [F.count("id").alias("proposal_count")]
     for side in ("retail", "wholesale"):
@@ -116,19 +121,19 @@ def proposal_summary(enriched: DataFrame) -> DataFrame:
         measures += [F.sum(price).alias(f"{side}_total_usd"), mean(price).alias(f"{side}_avg_usd"),
                      F.max(price).alias(f"{side}_max_usd")]
     return (
-        enriched.where(F.col("provider_name").isNotNull() & F.col("proposal_type").isNotNull())
+        priced.where(F.col("provider_name").isNotNull() & F.col("proposal_type").isNotNull())
         .groupBy("provider_name", "proposal_type").agg(*measures)
         .orderBy(F.desc("retail_total_usd"), "provider_name", "proposal_type")
     )
 
 
-def proposal_insights(enriched: DataFrame) -> DataFrame:
+def proposal_insights(priced: DataFrame) -> DataFrame:
     """Key figures in long form ``(insight, item, value)``; the top provider is the first summary row.
 
     One aggregate by provider and type feeds every figure but the number of users.
     """
     price = "retail_total_price_usd"
-    cells = enriched.groupBy("provider_name", "proposal_type").agg(
+    cells = priced.groupBy("provider_name", "proposal_type").agg(
         F.count("*").alias("proposals"), F.count(price).alias("priced"), F.sum(price).alias("total"))
     grouped = F.col("provider_name").isNotNull() & F.col("proposal_type").isNotNull()
     first = F.when(grouped, F.struct((-F.col("total")).alias("minus"), "provider_name", "proposal_type"))
@@ -146,7 +151,7 @@ def proposal_insights(enriched: DataFrame) -> DataFrame:
     })
     kind = _insights({"proposal_types": (F.col("proposal_type"), F.col("proposals"))})
     figures = sets.select(F.inline(F.when(F.col("level") == 1, overall).otherwise(kind)))
-    people = enriched.agg(F.count_distinct("user_email").alias("n")).select(
+    people = priced.agg(F.count_distinct("user_email").alias("n")).select(
         F.inline(_insights({"total_users": (none, F.col("n"))})))
     shown = figures.where((F.col("insight") != "proposal_types") | F.col("item").isNotNull())
     return shown.unionByName(people)

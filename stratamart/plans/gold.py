@@ -1,7 +1,7 @@
 """Gold: fact tables.
 
-Distinct counts shuffle on (group, value) first, so a hot group is spread over tasks; all
-other measures are combined on the map side.
+Distinct counts are added up along what determines what (a return its order, an order its
+customer), so no fact row is multiplied for them; all measures are combined on the map side.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamart.functions import day_of_week, mean, ratio
+from stratamart.operators.aggregates import counted_up
 from stratamart.plans.context import MartContext, model
 from stratamart.plans.silver import banded
 
@@ -41,14 +42,12 @@ def fct_orders(ctx: MartContext) -> DataFrame:
 @fact("sale_year")
 def fct_sales_performance(ctx: MartContext) -> DataFrame:
     sold = ctx.ref("int_order_details").where(F.col("order_status") == "completed")
-    daily = sold.groupBy(F.to_date("order_date").alias("sale_date"), "product_category").agg(
-        F.count_distinct("order_id").alias("order_count"),
-        F.sum("line_total").alias("revenue"),
-        F.sum("line_profit").alias("profit"),
-        F.sum("quantity").alias("units_sold"),
-        mean("unit_price").alias("avg_unit_price"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-    )
+    daily = counted_up(
+        sold, [F.to_date("order_date").alias("sale_date"), "product_category"],
+        {"order_count": "order_id", "unique_customers": "customer_id"},
+        {"revenue": ("sum", "line_total"), "profit": ("sum", "line_profit"), "units_sold": ("sum", "quantity"),
+         "prices": ("sum", "unit_price"), "priced": ("count", "unit_price")},
+    ).withColumn("avg_unit_price", ratio("prices", "priced", 6))
     # the calendar parts follow from the day, so they need not be grouping keys
     return daily.select(
         "sale_date", *calendar("sale_date", "sale", "year", "month", "quarter"),
@@ -79,16 +78,14 @@ def fct_inventory_metrics(ctx: MartContext) -> DataFrame:
 
 @fact("return_year")
 def fct_customer_returns(ctx: MartContext) -> DataFrame:
-    grouped = ctx.ref("int_return_analysis").groupBy(
-        F.to_date("return_date").alias("return_date"), "return_reason", "return_status"
-    ).agg(
-        F.count_distinct("return_id").alias("return_count"),
-        F.count_distinct("order_id").alias("affected_orders"),
-        F.count_distinct("customer_id").alias("affected_customers"),
-        mean("days_to_return").alias("avg_days_to_return"),
-        F.min("days_to_return").alias("min_days_to_return"),
-        F.max("days_to_return").alias("max_days_to_return"),
-    )
+    days = "days_to_return"
+    grouped = counted_up(
+        ctx.ref("int_return_analysis"), [F.to_date("return_date").alias("return_date"), "return_reason", "return_status"],
+        {"return_count": "return_id", "affected_orders": "order_id", "affected_customers": "customer_id"},
+        {"total_days": ("sum", days), "dated": ("count", days), "min_days_to_return": ("min", days), "max_days_to_return": ("max", days)},
+    ).withColumn("avg_days_to_return", ratio("total_days", "dated", 6)).select(
+        "return_date", "return_reason", "return_status", "return_count", "affected_orders", "affected_customers",
+        "avg_days_to_return", "min_days_to_return", "max_days_to_return")
     return grouped.withColumns({"return_year": F.year("return_date"), "return_month": F.month("return_date")})
 
 
@@ -139,16 +136,14 @@ def fct_marketing_roi(ctx: MartContext) -> DataFrame:
 
 @fact("ship_year")
 def fct_shipping_logistics(ctx: MartContext) -> DataFrame:
-    on_time = count_where(F.col("delivery_performance") == "On Time")
     delivered = ctx.ref("int_shipment_tracking").where(F.col("shipment_status") == "delivered")
-    daily = delivered.groupBy(
-        "carrier_id", "carrier_name", "warehouse_id", "warehouse_name", F.to_date("ship_date").alias("ship_date")
-    ).agg(
-        F.count_distinct("shipment_id").alias("shipment_count"),
-        F.count_distinct("order_id").alias("order_count"),
-        on_time.alias("on_time_deliveries"),
-        count_where(F.col("delivery_performance") == "Delayed").alias("delayed_deliveries"),
-        mean("actual_delivery_days").alias("avg_delivery_days"),
-        ratio(on_time, F.count("*"), 2, 100).alias("on_time_percentage"),
-    )
+    took = "actual_delivery_days"
+    daily = counted_up(
+        delivered, ["carrier_id", "carrier_name", "warehouse_id", "warehouse_name", F.to_date("ship_date").alias("ship_date")],
+        {"shipment_count": "shipment_id", "order_count": "order_id"},
+        {"on_time_deliveries": ("sum", F.when(F.col("delivery_performance") == "On Time", 1).otherwise(0)),
+         "delayed_deliveries": ("sum", F.when(F.col("delivery_performance") == "Delayed", 1).otherwise(0)),
+         "total_days": ("sum", took), "dated": ("count", took), "deliveries": ("count", F.lit(1))},
+    ).withColumns({"avg_delivery_days": ratio("total_days", "dated", 6),
+                   "on_time_percentage": ratio("on_time_deliveries", "deliveries", 2, 100)}).drop("total_days", "dated", "deliveries")
     return daily.withColumns({"ship_year": F.year("ship_date"), "ship_month": F.month("ship_date")})

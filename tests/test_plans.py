@@ -45,3 +45,13 @@ def test_joins_fall_back_to_a_shuffle_beyond_the_threshold(spark, small):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["fct_sales_performance", "fct_customer_returns", "fct_shipping_logistics"])
+def test_distinct_counts_multiply_no_row(spark, small, name):
+    assert "Expand" not in plan(spark, name, small)
+
+
+def test_summaries_rank_nothing(spark, small):
+    for name in ("demo_proposal_summary", "demo_proposal_insights"):
+        assert "row_number" not in plan(spark, name, small)

@@ -32,9 +32,9 @@ def expected_ranks(df):
     return ranks
 
 
-@pytest.mark.parametrize("hot_rows", [10_000, 500, 20])
-def test_rank_is_the_same_with_and_without_hot_groups(skewed, hot_rows):
-    ranked = ranked_within(skewed, ["key"], "value", ["id"], "rank", hot_rows)
+@pytest.mark.parametrize("range_rows", [10_000, 500, 20, 1])
+def test_rank_is_the_same_for_any_range(skewed, range_rows):
+    ranked = ranked_within(skewed, ["key"], "value", ["id"], "rank", range_rows)
     got = ranked.collect()
     assert len(got) == 3000
     assert {r.id: r["rank"] for r in got} == expected_ranks(skewed)
@@ -55,6 +55,39 @@ def test_row_numbers_of_an_empty_table(spark):
     assert row_numbers(spark.createDataFrame([], "a int"), ["a"], "n").count() == 0
 
 
+@pytest.mark.parametrize("range_rows", [10_000, 7])
+def test_row_numbers_by_any_type(spark, range_rows):
+    """Texts that share their first bytes, NULLs, dates and values that are not finite keep their order."""
+    rng = random.Random(3)
+    words = ["", "a", "abcdefg", "abcdefh", "abcdef", "é", "zz", None]
+    made = [(i, rng.choice(words), rng.choice([None, float("nan"), float("inf"), float("-inf"), 1.5, -2.0]), rng.choice([None, "2020-01-01", "1950-05-05"]))
+            for i in range(400)]
+    df = spark.createDataFrame(made, "id int, s string, d double, day string").selectExpr(
+        "id", "s", "d", "CAST(day AS DATE) AS day", "CAST(day AS TIMESTAMP) AS ts", "CAST(day AS TIMESTAMP_NTZ) AS tn", "id % 2 = 0 AS even", "struct(id) AS box")
+    for order in (["s", "id"], ["d", "id"], ["day", "s", "id"], ["ts", "id"], ["tn", "id"], ["even", "box"], ["box"]):
+        got = row_numbers(df, order, "n", range_rows).orderBy("n").select("id", "n").collect()
+        want = df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).select("id").collect()
+        assert [r.n for r in got] == list(range(1, 401)) and [r.id for r in got] == [r.id for r in want], order
+
+
+def test_ranks_need_no_job_and_split_a_hot_value(spark):
+    """Half of the rows share key and value; still no range has many more rows than asked for."""
+    df = spark.range(20_000).selectExpr("id", "CAST(id % 2 AS STRING) AS key", "CAST(IF(id % 4 = 0, 7, id % 90) AS INT) AS value")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranks", "planning")
+    ranked = ranked_within(df, ["key"], "value", ["id"], "n", 1000)
+    assert not tracker.getJobIdsForGroup("ranks")
+    spark.sparkContext.setJobGroup("", "")
+    from stratamart.operators import windows
+    places = [(windows._place(df, name), F.col(name)) for name in ("value", "id")]
+    laid, group = df, ["key"]
+    for level in range(windows.LEVELS):
+        laid = windows._with(laid, windows._spans(laid, group, places, 1000), group).withColumn(f"r{level}", windows._range(F.col("_span"), places)).drop("_span")
+        group = [*group, f"r{level}"]
+    assert laid.groupBy(*group).count().agg(F.max("count")).first()[0] < 2000
+    assert ranked.groupBy("key").agg(F.max("n"), F.count_distinct("n")).collect()[0][1:] == (10_000, 10_000)
+
+
 def test_latest_per_key(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, t int, v string")
     assert rows(latest_per_key(df, ["k"], ["t"])) == [("a", 2, "y"), ("b", 1, None)]
@@ -81,11 +114,21 @@ def test_global_quantile_with_an_outlier(spark, task_values):
     assert row.quantile == pytest.approx(np.quantile(values, 0.99))
 
 
+def test_quantiles_of_many_distinct_values_in_rounds(spark):
+    df = spark.range(1_000_000).selectExpr("IF(id % 3 = 0, 'hot', CAST(id % 7 AS STRING)) AS k", "pow(id % 1000003, 3) * IF(id % 2 = 0, 1, -1) AS v")
+    got = {(r.k, r.q): r.quantile for r in exact_quantiles(df, ["k"], "v", [0.0, 0.5, 0.99], task_values=100).collect()}
+    plain = df.groupBy("k").agg(F.percentile("v", [0.0, 0.5, 0.99]).alias("p")).collect()
+    for r in plain:
+        for q, p in zip((0.0, 0.5, 0.99), r.p):
+            assert got[r.k, q] == pytest.approx(p, rel=1e-12), (r.k, q)
+    assert len(got) == 3 * len(plain)
+
+
 def test_nested_children_split_large_parents(spark):
     parents = spark.createDataFrame([("a",), ("b",), ("c",)], "p string")
     children = spark.createDataFrame([("a", i, f"v{i}") for i in range(25)] + [("b", 1, "x")], "p string, n int, v string")
     for hot in (1_000, 3):
-        nested = nested_children(parents, children, "p", "n", ["v"], ["n", "v"], "items", chunk_rows=10, hot_rows=hot)
+        nested = nested_children(parents, children, "p", "n", ["v"], ["n", "v"], "items", chunk_rows=10, range_rows=hot)
         got = {(r.p, r.chunk): [tuple(x) for x in r["items"]] for r in nested.collect()}
         assert [len(got["a", c]) for c in range(3)] == [10, 10, 5]
         assert sum((got["a", c] for c in range(3)), []) == [(i, f"v{i}") for i in range(25)]
@@ -109,7 +152,7 @@ def test_rows_without_a_value_stay_out_of_the_window(spark):
     df = spark.createDataFrame([("k", i if i < 5 else None, i) for i in range(1000)], "k string, v int, t int")
     ranked = ranked_within(df, ["k"], "v", ["t"], "n")
     assert sorted(r.n for r in ranked.where("n IS NOT NULL").collect()) == [1, 2, 3, 4, 5] and ranked.count() == 1000
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert "isnotnull(v" in plan.split("Window", 1)[1]
 
 
