@@ -13,7 +13,7 @@ from stratamart.operators.materialize import Warehouse
 from stratamart.session import scratch_path
 from stratamart.sources import Tables
 from stratamart.sources import files, raw
-from stratamart.plans import MODELS, MartContext
+from stratamart.plans import MODELS, MartContext, silver
 from stratamart.plans.build import build_models
 from stratamart.streaming import incremental
 
@@ -177,8 +177,10 @@ def mat_ephemeral(t: Tables) -> DataFrame:
 
 @_checked_load("mat_python", "int_products_enriched")
 def mat_python(t: Tables) -> DataFrame:
-    ctx = orders_mart(t)
-    return warehouse(t).python_model("int_products_enriched", lambda df: df, ctx.ref("int_products_enriched"))
+    """A Python function over a stored input, and its result stored."""
+    w = warehouse(t)
+    staged = w.write("stg_products", orders_mart(t).ref("stg_products"))
+    return w.python_model("int_products_enriched", silver.enrich_products, staged)
 
 
 @_checked_load("python_model", "int_products_enriched")

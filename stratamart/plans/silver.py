@@ -154,10 +154,8 @@ def int_supplier_orders(ctx: MartContext) -> DataFrame:
         whole_days("expected_delivery", "po_date").alias("lead_time_days"))
 
 
-@model("silver", "table")
-def int_products_enriched(ctx: MartContext) -> DataFrame:
+def enrich_products(products: DataFrame) -> DataFrame:
     """``profit_margin`` becomes a percentage here; steps whose input column is absent are skipped."""
-    products = ctx.ref("stg_products")
     price = F.col("price")
     # Price category bounds.
     categories = [(200, "Luxury"), (50, "Premium"), (10, "Mid-Range")]
@@ -170,3 +168,8 @@ def int_products_enriched(ctx: MartContext) -> DataFrame:
     if "discontinued" in products.columns:
         added["is_active"] = ~F.coalesce(F.col("discontinued"), F.lit(False))
     return products.withColumns(added)
+
+
+@model("silver", "table")
+def int_products_enriched(ctx: MartContext) -> DataFrame:
+    return enrich_products(ctx.ref("stg_products"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratamart.operators.materialize import Warehouse
+from stratamart.operators.materialize import BATCH, Warehouse
+from stratamart.operators.windows import latest_per_key
 from stratamart.session import stable
 
 
@@ -30,34 +32,44 @@ def stream_append(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
 
 
 def stream_matched(stream: DataFrame, match: Callable[[DataFrame], DataFrame], key: Sequence[str], warehouse: Warehouse,
-                   table: str, pending: str, checkpoint: str) -> None:
-    """Store the rows of new files that ``match`` finds partners for; the others wait.
+                   table: str, pending: str, checkpoint: str, newest_by: Sequence[str] = ()) -> None:
+    """Store the rows of new files that ``match`` finds partners for, once per key; the others wait.
 
-    Every run offers the waiting rows again, so a row that comes before its partner is stored as
-    soon as both are there. ``key`` names the columns that tell a row and its match. Waiting rows
-    are kept in the warehouse table ``pending``; a batch that runs again stores nothing twice.
+    A batch offers its own rows only; what waits, in the warehouse table ``pending``, is offered
+    again once at the end of a run, so a row that comes before its partner is stored as soon as
+    both are there. ``key`` names the columns that tell a row and its match; of several rows of one
+    key in a batch or among the waiting the newest counts, by ``newest_by`` or else by all columns.
+
+    Each batch is a partition of its tables, so one that runs again replaces what it wrote, and
+    what earlier batches stored is known from the key index, of which it reads the buckets of its
+    keys: its work does not grow with the table.
     """
+    key = list(key)
 
-    def load(batch: DataFrame, _: int) -> None:
-        waiting = warehouse.read(pending) if warehouse.exists(pending) else batch.limit(0)
-        offered = stable(waiting.unionByName(batch).dropDuplicates(list(key)))
+    def settled(rows: DataFrame) -> DataFrame:
+        newest = [*newest_by, *[c for c in rows.columns if c not in (*key, *newest_by)]]
+        return latest_per_key(rows, key, newest) if newest else rows.dropDuplicates(key)
+
+    def load(batch: DataFrame, name: str) -> DataFrame:
+        """Store the matches of a batch; its other rows are returned."""
+        offered = stable(settled(batch))
         matched = stable(match(offered))
-        new = matched
-        if warehouse.exists(table):
-            new = matched.join(warehouse.read(table).select(*key), list(key), "left_anti").select(*matched.columns)
-        warehouse.write(table, stable(new), "append")
-        warehouse.write(pending, offered.join(matched.select(*key), list(key), "left_anti").select(*offered.columns), "replace")
+        warehouse.put_new(table, matched, key, name)
+        return offered.join(matched.select(*key), key, "left_anti").select(*offered.columns)
 
-    def offer_again() -> None:
-        if warehouse.exists(pending):
-            load(warehouse.read(pending).limit(0), -1)
+    def arrived(batch: DataFrame, number: int) -> None:
+        warehouse.put_batch(pending, load(batch, f"b{number}"), f"b{number}")
 
     query = (
-        stream.writeStream.foreachBatch(load)
+        stream.writeStream.foreachBatch(arrived)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    offer_again()
+    if warehouse.exists(pending):
+        # the folder of the waiting rows names the offer: lost half-way, it is the same one next time
+        offer = warehouse.folder(pending)
+        left = stable(load(warehouse.read(pending), f"o{offer}"))
+        warehouse.write(pending, left.withColumn(BATCH, F.lit(f"w{offer}")), "replace", [BATCH], even_files=False)
 
 
 def stream_upsert(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], warehouse: Warehouse, table: str,

@@ -5,7 +5,8 @@ from table_rows import rows
 from pyspark.sql import functions as F
 
 from stratamart.operators.materialize import Warehouse, insert_missing, merge_rows, patch_rows
-from stratamart.streaming.incremental import new_files, stream_append, stream_upsert
+from stratamart.operators.materialize import BUCKET
+from stratamart.streaming.incremental import new_files, stream_append, stream_matched, stream_upsert
 
 
 @pytest.fixture
@@ -162,3 +163,95 @@ def test_append_reads_late_and_undated_rows_by_row_key(spark, warehouse):
     load((1, "2020-01-05"), (2, "2020-01-05"), (3, None), (4, "2020-01-03"))
     load((3, None), (5, "2020-02-01"), (6, None))
     assert sorted(r.id for r in warehouse.read("t").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_an_append_that_breaks_unique_is_refused(spark, warehouse):
+    warehouse.write("t", table(spark, (1, "a", 1), (2, "b", 2)), unique=["id"])
+    warehouse.write("t", table(spark, (3, "a", 3)), "append", unique=["id"])
+    for bad in ([(3, "z", 9)], [(4, "a", 1), (4, "a", 1)], [(5, "a", 1), (1, "b", 1)]):
+        with pytest.raises(ValueError, match="not unique"):
+            warehouse.write("t", table(spark, *bad), "append", unique=["id"])
+    warehouse.write("t", table(spark, (4, "a", 4)), "append")  # unchecked, but known to later checks
+    with pytest.raises(ValueError, match="not unique"):
+        warehouse.write("t", table(spark, (4, "c", 5), kind="id bigint, part string, v int"), "append", unique=["id"])
+    # a load that was lost after its keys were noted does not stand in the way
+    warehouse._add_keys("t", ["id"], table(spark, (9, "a", 9)))
+    warehouse.write("t", table(spark, (9, "a", 9)), "append", unique=["id"])
+    assert [r.id for r in warehouse.read("t").orderBy("id").collect()] == [1, 2, 3, 4, 9]
+    warehouse.write("t", table(spark, (1, "a", 1)), "replace")
+    warehouse.write("t", table(spark, (2, "a", 1)), "append", unique=["id"])  # the index went with the old rows
+
+
+@pytest.fixture
+def read_files(spark):
+    """The files that jobs read, by the plans they run."""
+    def of(df):
+        return {f for f in df.inputFiles()}
+
+    return of
+
+
+def test_an_upsert_reads_and_writes_the_buckets_of_its_keys_only(spark, tmp_path, read_files):
+    w = Warehouse(spark, "t_buckets", str(tmp_path / "tables"), bucket_keys=50)
+    w.upsert("t", spark.range(2000).selectExpr("id", "CAST(id % 7 AS STRING) AS part", "1 AS v"), ["id"], ["part"])
+    delta = spark.createDataFrame([(5, "0", 2), (2001, "1", 2)], "id bigint, part string, v int")
+    w.upsert("t", delta, ["id"], ["part"])
+    index, buckets = w._index("t", ["id"])
+    assert buckets == 40 and index.count() == 2001
+    known, near, touched = w._known("t", delta, ["id"])
+    assert len(touched) == 2 and sorted(tuple(r) for r in known.select("id", "part").collect()) == [(5, "0"), (2001, "1")]
+    assert len({f.split(f"{BUCKET}=")[1].split("/")[0] for f in read_files(near)}) == 2
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull({BUCKET}" in plan or f"PartitionFilters: [{BUCKET}" in plan
+    assert w.read("t").where("id = 5").count() == 1 and w.read("t").count() == 2001
+    before = read_files(index)
+    w.upsert("t", spark.createDataFrame([(5, "3", 3)], delta.schema), ["id"], ["part"])
+    after = read_files(w._index("t", ["id"])[0])
+    assert len({f.split(f"{BUCKET}=")[1].split("/")[0] for f in before ^ after}) == 1
+    assert [tuple(r) for r in w.read("t").where("id = 5").select("part", "v").collect()] == [("3", 3)]
+
+
+def test_an_outgrown_index_is_built_anew(spark, tmp_path):
+    w = Warehouse(spark, "t_outgrown", str(tmp_path / "tables"), bucket_keys=10)
+    rows_of = lambda a, b: spark.range(a, b).selectExpr("id", "CAST(id % 3 AS STRING) AS part", "id AS v")
+    w.upsert("t", rows_of(0, 10), ["id"], ["part"])
+    w.upsert("t", rows_of(5, 100), ["id"], ["part"])
+    assert w._index_size("t__by__id")[0] == 1
+    w.upsert("t", rows_of(90, 95), ["id"], ["part"])
+    assert w._index_size("t__by__id")[0] == 10 and w.read("t").count() == 100
+
+
+def test_a_load_lost_after_its_rows_were_stored(spark, warehouse, monkeypatch):
+    """The index then has old and new places; a later load still finds every row."""
+    warehouse.upsert("t", table(spark, (1, "a", 1), (2, "b", 2)), ["id"], ["part"])
+    lost = table(spark, (1, "c", 10))
+    warehouse._add_keys("t", ["id"], lost)  # noted, but its rows were not stored
+    warehouse.upsert("t", table(spark, (1, "d", 20)), ["id"], ["part"])
+    assert rows(warehouse.read("t").select("id", "part", "v")) == [(1, "d", 20), (2, "b", 2)]
+
+
+def test_rows_wait_for_their_partner_and_are_stored_once(spark, warehouse, tmp_path):
+    kind = "id int, at int, v string"
+    arriving, state = str(tmp_path / "in"), str(tmp_path / "state")
+
+    def run(partners, *data):
+        if data:
+            spark.createDataFrame(list(data), kind).write.mode("append").parquet(arriving)
+        known = spark.createDataFrame([(p,) for p in partners], "id int")
+        stream_matched(new_files(spark, arriving, kind), lambda df: df.join(known, "id"), ["id"], warehouse, "t", "waiting", state, ["at"])
+        return rows(warehouse.read("t").select("id", "at", "v"))
+
+    assert run([1], (1, 1, "a"), (2, 1, "old"), (3, 1, "x")) == [(1, 1, "a")]
+    assert run([1], (2, 5, "new"), (1, 9, "late")) == [(1, 1, "a")]  # a stored key stays as it is
+    assert run([1, 2]) == [(1, 1, "a"), (2, 5, "new")]  # the newer of two waiting rows
+    assert run([1, 2], (2, 7, "again")) == [(1, 1, "a"), (2, 5, "new")]
+    assert [r.id for r in warehouse.read("waiting").collect()] == [3]
+    assert run([1, 2, 3]) == [(1, 1, "a"), (2, 5, "new"), (3, 1, "x")] and warehouse.read("waiting").count() == 0
+
+
+def test_a_batch_that_runs_again_stores_nothing_twice(spark, warehouse):
+    for _ in range(2):
+        warehouse.put_new("t", table(spark, (1, "a", 1), (2, "a", 2)), ["id"], "b0")
+    for _ in range(2):
+        warehouse.put_new("t", table(spark, (2, "a", 9), (3, "a", 3)), ["id"], "b1")
+    assert rows(warehouse.read("t").select("id", "v")) == [(1, 1), (2, 2), (3, 3)]
