@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,24 +38,49 @@ def run_checks(sources, declared: dict) -> DataFrame:
 
     ``declared`` maps a table to ``{column: [tests]}``; a test is ``not_null``, ``unique`` or
     ``("references", table, column)``. ``sources`` turns a table name into a DataFrame.
+
+    A table is read once for all its tests: its tested columns are unpivoted and counted per
+    (column, value), which spreads a hot value over all tasks, and every test is a sum over those counts.
     """
     out = None
     for table, columns in declared.items():
-        df = sources(table)
-        for column, tests in columns.items():
-            for test in tests:
-                if test == "not_null":
-                    failures = df.agg(F.count_if(F.col(column).isNull()).alias("failures"))
-                elif test == "unique":
-                    failures = duplicates(df, [column]).agg(F.count("*").alias("failures"))
-                else:
-                    _, parent, parent_key = test
-                    missing = broken_references(df, column, sources(parent), parent_key)
-                    failures = missing.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("failures"))
-                name = test if isinstance(test, str) else test[0]
-                row = failures.select(F.lit(table).alias("table"), F.lit(column).alias("column"),
-                                      F.lit(name).alias("test"), F.col("failures").cast("long"))
-                out = row if out is None else out.unionByName(row)
+        tests = [(c, test) for c, named in columns.items() for test in named]
+        if not tests:
+            continue
+        found = _table_checks(sources, sources(table), tests).select(
+            F.lit(table).alias("table"), "column", "test", "failures")
+        out = found if out is None else out.unionByName(found)
     if out is None:
         raise ValueError("no test declared")
     return out
+
+
+def _table_checks(sources, df: DataFrame, tests: list[tuple]) -> DataFrame:
+    names = list(dict.fromkeys(c for c, _ in tests))
+    only_null = {c for c in names if all(test == "not_null" for name, test in tests if name == c)}
+    references = [(names.index(c), test[1], test[2]) for c, test in tests if not isinstance(test, str)]
+
+    def text(frame: DataFrame, c: str, i: int) -> Column:
+        """The value as text, of a type that it shares with every key it refers to."""
+        kinds = {r[0]: sources(r[1]).schema[r[2]].dataType for r in references}
+        return (F.col(c).cast(kinds[i]) if i in kinds else F.col(c)).cast("string")
+
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), (F.when(F.col(c).isNotNull(), "") if c in only_null else text(df, c, i)).alias("v"))
+                      for i, c in enumerate(names)])
+    counted = df.select(F.inline(cells)).groupBy("i", "v").agg(F.count("*").alias("n"))
+    for k, (i, parent, key) in enumerate(references):
+        known = sources(parent).select(F.lit(i).alias("i"), F.col(key).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+        counted = counted.join(known.withColumn(f"known{k}", F.lit(True)), ["i", "v"], "left")
+    value, n = F.col("v").isNotNull(), F.col("n")
+    sums = {"not_null": F.when(~value, n), "unique": F.when(value & (n > 1), 1)}
+    sums |= {f"known{k}": F.when(value & F.col(f"known{k}").isNull(), n) for k in range(len(references))}
+    totals = counted.groupBy("i").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    at = {(i, parent, key): k for k, (i, parent, key) in enumerate(references)}
+    named = [test if isinstance(test, str) else test[0] for _, test in tests]
+    sources_of = [test if isinstance(test, str) else f"known{at[names.index(c), test[1], test[2]]}" for c, test in tests]
+    rows = [F.struct(F.lit(t).alias("t"), F.lit(names.index(c)).alias("at"), F.coalesce(F.col(sum_of), F.lit(0)).cast("long").alias("failures"))
+            for t, ((c, _), sum_of) in enumerate(zip(tests, sources_of, strict=True))]
+    failed = totals.select("i", F.inline(F.array(*rows))).where("i = at").select("t", "failures")
+    # a table without rows has no totals; its tests have no failures
+    every = df.sparkSession.createDataFrame([(t, c, name) for t, ((c, _), name) in enumerate(zip(tests, named, strict=True))], "t int, column string, test string")
+    return every.join(failed, "t", "left").select("column", "test", F.coalesce("failures", F.lit(0)).alias("failures"))

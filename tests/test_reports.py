@@ -111,6 +111,22 @@ def test_quality(spark):
         ("child", "id", "not_null", 1), ("child", "id", "unique", 1), ("child", "ref", "references", 2)]
 
 
+def test_declared_tests_of_a_table_read_it_once(spark, tmp_path):
+    path = str(tmp_path / "child")
+    spark.createDataFrame([(1, 1, 5), (1, 2, None), (2, 9, 5), (None, 9, 1), (3, None, 1)], "id int, ref int, other int").write.parquet(path)
+    tables = {"child": spark.read.parquet(path), "p": spark.createDataFrame([(1,), (2,)], "id bigint"),
+              "q": spark.createDataFrame([("5",)], "code string"), "none": spark.createDataFrame([], "id int")}
+    declared = {"child": {"id": ["not_null", "unique"], "ref": [("references", "p", "id"), ("references", "none", "id")],
+                          "other": [("references", "q", "code"), "not_null"]}, "none": {"id": ["unique", "not_null"]}}
+    found = quality.run_checks(tables.get, declared)
+    assert rows(found) == [("child", "id", "not_null", 1), ("child", "id", "unique", 1), ("child", "other", "not_null", 1),
+                           ("child", "other", "references", 2), ("child", "ref", "references", 2), ("child", "ref", "references", 4),
+                           ("none", "id", "not_null", 0), ("none", "id", "unique", 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    with pytest.raises(ValueError, match="no test"):
+        quality.run_checks(tables.get, {})
+
+
 def test_reconcile(spark):
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     found = joins.reconcile(a, b, "k")
