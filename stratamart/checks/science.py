@@ -155,7 +155,7 @@ def churn_model(t: Tables, trees: int = training.TREES) -> tuple[NamedModel, lis
     """A churn forest trained on a folder's tables, and its metrics on the rows kept back."""
     ready = stable(features.churn_features(churn_base(t)))
     train, test = training.train_test_split(ready, "customer_id", label="churned")
-    model = training.train_classifier(train, CHURN_FEATURES, "churned", trees=trees)
+    model = training.train_classifier(train, CHURN_FEATURES, "churned", trees=trees, key=["customer_id"])
     named = NamedModel("customer_churn", model, CHURN_FEATURES)
     scored = scoring.predict(named, scoring.predict(named, test), proba=True)
     metrics = training.eval_classification(scored, "churned", "customer_churn_prediction").first().asDict()
@@ -254,8 +254,8 @@ def semantic_topk_check(t: Tables) -> DataFrame:
        """SELECT query_id, vec_id, round(s, 6) AS similarity_score FROM (
             SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s,
               row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS n
-            FROM embeddings q JOIN embeddings e ON q.label = 3) r WHERE n <= 5 AND s >= 0.25""")
+            FROM embeddings q CROSS JOIN embeddings e) r WHERE n <= 5 AND s >= 0.25""")
 def semantic_topk_batch_check(t: Tables) -> DataFrame:
-    """The five nearest vectors of every vector of one label."""
-    found = semantic_topk_batch(t.embeddings, t.embeddings.where(F.col("label") == 3), "vec_id", "embedding")
+    """The five nearest vectors of every vector."""
+    found = semantic_topk_batch(t.embeddings, t.embeddings, "vec_id", "embedding")
     return found.withColumn("similarity_score", F.round("similarity_score", 6))

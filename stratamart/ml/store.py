@@ -54,7 +54,8 @@ class ModelStore:
         path = f"{self.folder}/models/{name}/{version}"
         last = model.stages[-1]
         model.write().save(path)
-        params = {p.name: str(v) for p, v in last.extractParamMap().items()}
+        # the trees of a forest are in its folder
+        params = {p.name: str(v) for p, v in last.extractParamMap().items() if p.name != "nodes"}
         self._append({
             "model_name": name, "version": version, "model_type": model_type, "model_class": type(last).__name__,
             "path": path, "registered_at": now.isoformat(), "metrics": dict(metrics or {}),

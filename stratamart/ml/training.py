@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamart.operators.windows import ranked_within, row_numbers
+from stratamart.ml.forest import HistogramForest
+from stratamart.operators.windows import ranked_within
 
-# Share of the test set and seed; forest size, depth and least rows per leaf. The declared bound
-# is that a node under 5 rows is not split, which Spark's forest lacks; at least 2 rows in each child is its nearest.
+# Share of the test set and seed; forest size, depth and the least rows of a node that is split.
 TEST_SHARE, SEED = 0.2, 42
-TREES, DEPTH, LEAF_ROWS = 100, 10, 2
+TREES, DEPTH, SPLIT_ROWS = 100, 10, 5
 
 
 def train_test_split(df: DataFrame, key: str, test_share: float = TEST_SHARE, seed: int = SEED,
@@ -40,38 +39,41 @@ def train_test_split(df: DataFrame, key: str, test_share: float = TEST_SHARE, se
 def encode_categoricals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace text columns by codes in alphabetical order from 0; NULL counts as the text 'None'.
 
-    Codes are numbered and joined back as a table, so a column may have any number of values.
+    One dictionary of all (column, value) pairs is numbered in one go; a column's codes begin at its
+    first number. They are joined back as a table, so a column may have any number of values.
     """
-    for c in columns:
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("None")))
-        codes = row_numbers(df.select(c).distinct(), [c], "_code")
-        order = [F.col(x) if x != c else (F.col("_code") - 1).alias(c) for x in df.columns]
-        df = df.join(codes, c).select(*order)
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns}
+    if not texts:
+        return df
+    pairs = F.array(*[F.struct(F.lit(i).alias("_column"), text.alias("_value")) for i, text in enumerate(texts.values())])
+    known = df.select(F.inline(pairs)).distinct()
+    codes = ranked_within(known, ["_column"], "_value", [], "_code")
+    for i, (c, text) in enumerate(texts.items()):
+        own = codes.where(F.col("_column") == i).select(F.col("_value").alias("_key"), (F.col("_code") - 1).alias("_new"))
+        df = df.withColumn("_text", text).join(own, F.col("_text") == F.col("_key")).select(
+            *[F.col("_new").alias(x) if x == c else F.col(f"`{x}`") for x in df.columns])
     return df
 
 
 def train_classifier(df: DataFrame, features: Sequence[str], label: str, categorical: Sequence[str] = (),
-                     trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> PipelineModel:
+                     trees: int = TREES, depth: int = DEPTH, seed: int = SEED, key: Sequence[str] = (),
+                     min_split: int = SPLIT_ROWS) -> PipelineModel:
     """A random forest on the listed features: medians for missing numbers, codes for text.
 
+    ``key`` names the columns that tell the rows apart, by default all; by it a tree draws its rows.
     The codes of a categorical feature are part of the model and must fit in memory.
     """
     numeric = [f for f in features if f not in categorical]
     filled = [f"_{f}_filled" for f in numeric]
     indexed = [f"_{f}_index" for f in categorical]
-    coded = [f"_{f}_code" for f in categorical]
     stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled)] if numeric else []
     if categorical:
+        # codes are split on as ordered numbers
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        # codes are split on as ordered numbers; the sum drops the mark of a category, which limits their count
-        sums = ", ".join(f"`{i}` + 0.0D AS `{c}`" for i, c in zip(indexed, coded))
-        stages.append(SQLTransformer(statement=f"SELECT *, {sums} FROM __THIS__"))
-    by_name = dict(zip([*numeric, *categorical], [*filled, *coded]))
+    by_name = dict(zip([*numeric, *categorical], [*filled, *indexed]))
     stages.append(VectorAssembler(inputCols=[by_name[f] for f in features], outputCol="features"))
-    stages.append(RandomForestClassifier(
-        labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=LEAF_ROWS,
-        seed=seed))
+    stages.append(HistogramForest("features", label, list(key) or df.columns, trees, depth, min_split, seed))
     ready = df.withColumns({f: F.col(f).cast("double") for f in numeric}).withColumn(label, F.col(label).cast("double"))
     return Pipeline(stages=stages).fit(ready)
 

@@ -9,7 +9,7 @@ from stratamart.checks import science
 from stratamart.ml import features, scoring, segments, training
 from stratamart.ml.scoring import NamedModel
 from stratamart.ml.store import ModelStore
-from stratamart.operators.search import semantic_topk
+from stratamart.operators.search import semantic_topk, semantic_topk_batch
 from stratamart.sources import Tables
 
 
@@ -147,3 +147,36 @@ def test_search_edge_cases(spark):
         semantic_topk(df, [0.0, 0.0], "id", "v")
     with pytest.raises(Exception, match="every vector needs 3"):
         semantic_topk(df, [1.0, 0.0, 0.0], "id", "v").collect()
+
+
+@pytest.mark.parametrize("blocks", [(8192, 32768), (7, 11)])
+def test_batch_search_in_blocks(spark, blocks):
+    dealt = np.random.default_rng(2)
+    vectors = dealt.normal(size=(60, 4))
+    vectors[10:14] = vectors[9]  # equal scores go by id
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(100, [0.0] * 4), (101, None)], "id int, v array<double>")
+    queries = corpus.where("id % 3 = 0 OR id >= 100").union(corpus.where("id = 3"))  # a query twice
+    got = sorted(tuple(r) for r in semantic_topk_batch(corpus, queries, "id", "v", 5, 0.1, *blocks).collect())
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    want = []
+    for q in [*range(0, 60, 3), 3]:
+        scores = np.round(unit @ unit[q], 12)
+        want += [(q, i, scores[i]) for i in sorted(range(60), key=lambda i: (-scores[i], i))[:5] if scores[i] >= 0.1]
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in sorted(want)])
+    assert semantic_topk_batch(corpus, queries.limit(0), "id", "v").count() == 0
+    with pytest.raises(ValueError, match="same number"):
+        semantic_topk_batch(corpus, spark.createDataFrame([(1, [1.0])], "id int, v array<double>"), "id", "v")
+
+
+def test_batch_search_scans_the_corpus_once_and_collects_no_vector(t, spark):
+    found = semantic_topk_batch(t.embeddings, t.embeddings, "vec_id", "embedding", query_block=100, corpus_block=64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("embeddings.parquet") == 0 and plan.count("MapInArrow") == 0  # both sides were read before, once
+    assert found.count() > 0
+
+
+def test_codes_of_many_columns(spark):
+    df = spark.createDataFrame([("b", "x", 1), ("a", None, 2), ("b", "y", 3), ("é", "x", 4)], "c string, d string, n int")
+    assert rows(training.encode_categoricals(df, ["c", "d"])) == [(0, 0, 2), (1, 1, 1), (1, 2, 3), (2, 1, 4)]
+    assert training.encode_categoricals(df, []).columns == df.columns
