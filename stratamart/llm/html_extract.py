@@ -1,16 +1,23 @@
 """Main text of web pages: markup, and a suffix array over the pages of each host.
 
 A page is cut into blocks of text. What markup names as menu, header, footer, sidebar, notice,
-advert, form, script, style or reader comment goes; where it names an article, all else goes too.
-The token streams of all blocks of a host's pages, articles included, are joined into one sequence,
-and its suffix array gives the runs of ``RUN`` tokens or more that occur on ``PAGES`` distinct
-pages: template text. Tokens that such a run covers go, the unique runs between them stay.
-
-A run's pages are counted over its whole host; pages of equal tokens count as one. Hosts of up to
-``GROUP`` pages are judged in one task. A larger host is not brought together: the windows of
-``RUN`` tokens of its pages are counted by hash, in shards, and the pages look theirs up. So that few
-hashes are shuffled, cells of hashes are counted first, and only windows whose cell has ``PAGES`` of
-them are counted with their pages. Both ways give the same texts.
+advert, form, script, style or reader comment goes; where it names an article (or else a main part),
+all else goes too. The token streams of a host's pages are joined into one sequence, whose suffix
+array ranks every place by its next ``RUN`` tokens; equal ranks on distinct pages are repeated runs.
+
+Where nothing is marked, tokens that a run of ``PAGES`` distinct pages covers go, and the unique runs
+between them stay. Inside a marked article only whole blocks go: those of ``RUN`` tokens or more that
+stand in the articles of at least ``PAGES`` pages and ``HOST_PERCENT`` percent of the host's, counting
+the pages of which ``OWN_PERCENT`` percent of the tokens stand nowhere else. So copies and near copies
+of one article never take each other's text, and text in a menu or advert takes none from an article.
+An article of which nothing would be left stays whole.
+
+A run's pages are counted over its whole host; pages of equal tokens count as one. A host of up to
+``GROUP`` pages and ``GROUP_BYTES`` is judged in one task. A larger host is not brought together: its
+blocks are counted by hash, and so are the windows of ``RUN`` tokens of pages without a marked part, in
+shards, and the pages look theirs up. So that few hashes are shuffled, cells of hashes are counted
+first, and only windows whose cell has ``PAGES`` of them are counted with their pages. Both ways give
+the same texts.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamart.llm import text as T
-from stratamart.llm.arrays import Arrays, local_path, packed, runs, shard_of, store
+from stratamart.llm.arrays import Arrays, StoredIds, local_path, packed, runs, shard_of, store
 from stratamart.session import scratch_path, stable
 
-RUN, PAGES, GROUP = 8, 3, 512
+RUN, PAGES, GROUP, GROUP_BYTES = 8, 3, 512, 32 << 20
+HOST_PERCENT, OWN_PERCENT = 50, 40
 SHARD_BYTES = 32 << 20
 TASK_WINDOWS = 1_000_000
 CELL_BITS = 24
@@ -152,29 +161,31 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def judged_blocks(page: str | None) -> tuple[list[str], list[bool]]:
-    """The texts of a page's blocks, and which of them may stay: those of the article where one is
-    marked, else those of the main part, else those not named as template text."""
+def judged_blocks(page: str | None) -> tuple[list[str], list[bool], bool]:
+    """The texts of a page's blocks, which of them may stay, and whether markup says so: those of the
+    article where one is marked, else those of the main part, else those not named as template text."""
     found = blocks_of(page)
     kinds = {k for k, _ in found}
     best = "article" if "article" in kinds else "main" if "main" in kinds else "open"
-    return [t for _, t in found], [k == best for k, _ in found]
+    return [t for _, t in found], [k == best for k, _ in found], best != "open"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [judged_blocks(page.as_py()) for page in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], batch.column(3), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.bool_()))],
-            ["page_id", "url", "host", "blocks", "stays"])
+            [*batch.columns[:2], batch.column(3), pa.array([b for b, _, _ in found], pa.list_(pa.string())),
+             pa.array([s for _, s, _ in found], pa.list_(pa.bool_())), pa.array([m for _, _, m in found], pa.bool_())],
+            ["page_id", "url", "host", "blocks", "stays", "marked"])
 
 
-def covered_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a run of ``run`` tokens found in ``pages`` streams.
+def run_ranks(streams: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of every place of the joined streams by its next ``run`` tokens, and each stream's first
+    place (one more at the end).
 
-    Suffixes are ranked by their first 1, 2, 4, ... tokens (prefix doubling); the last step ranks
-    them by ``run`` tokens, so equal ranks are the intervals of the suffix array whose common
-    prefix is that long. A mark of its own ends each stream, so no run crosses two pages.
+    Suffixes are ranked by their first 1, 2, 4, ... tokens (prefix doubling) up to ``run``, so equal
+    ranks are the intervals of the suffix array whose common prefix is that long. A mark of its own
+    ends each stream, so no run crosses two pages.
     """
     sizes = np.array([len(s) + 1 for s in streams])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -183,7 +194,6 @@ def covered_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES)
     rank = np.fromiter((number.setdefault(t, len(number)) for t in flat), np.int64, len(flat)) + len(streams)
     rank[bounds[1:] - 1] = np.arange(len(streams))
     n, length = len(rank), 1
-    owner = np.repeat(np.arange(len(streams)), sizes)
     while length < run:
         step = min(length, run - length)
         after = np.full(n, -1, np.int64)
@@ -195,13 +205,22 @@ def covered_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         length += step
+    return rank, bounds
+
+
+def covered_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a run of ``run`` tokens found in ``pages`` streams."""
+    if not streams:
+        return []
+    rank, bounds = run_ranks(streams, run)
+    n, owner = len(rank), np.repeat(np.arange(len(streams)), np.diff(bounds))
     order = np.lexsort((owner, rank))  # suffixes by rank, the pages of each together
     starts = np.ones(n, bool)
     starts[1:] = rank[order][1:] != rank[order][:-1]
     fresh = starts.copy()
     fresh[1:] |= owner[order][1:] != owner[order][:-1]
     group = np.cumsum(starts) - 1
-    often = np.bincount(group, fresh)[group] >= pages if n else np.zeros(0, bool)
+    often = np.bincount(group, fresh)[group] >= pages
     mark = np.zeros(n + run + 1, np.int64)
     at = order[often]
     at = at[at + run <= bounds[owner[at] + 1] - 1]  # not over the end of its stream
@@ -211,6 +230,35 @@ def covered_tokens(streams: list[list[str]], run: int = RUN, pages: int = PAGES)
     return [cover[bounds[k]:bounds[k + 1] - 1] for k in range(len(streams))]
 
 
+def repeated_blocks(articles: list[tuple[str, ...]], run: int = RUN) -> list[list[bool]]:
+    """For each of the distinct ``articles`` (tuples of blocks), which blocks the host repeats: see the
+    module's text. A block is told by the ranks of the runs that cover it, or by its text if shorter."""
+    words = [[block.split() for block in article] for article in articles]
+    if not words:
+        return []
+    rank, bounds = run_ranks([[t for block in article for t in block] for article in words], run)
+    names: list[list[tuple]] = []
+    for k, article in enumerate(words):
+        at, own = int(bounds[k]), []
+        for block in article:
+            n = len(block)
+            own.append((n, *rank[[*range(at, at + n - run, run), at + n - run]].tolist()) if n >= run else (n, *block))
+            at += n
+        names.append(own)
+    pages = Counter(name for own in names for name in set(own))
+    alone = [100 * sum(name[0] for name in set(own) if pages[name] == 1) >= OWN_PERCENT * sum(name[0] for name in set(own)) for own in names]
+    counted = Counter(name for own, ok in zip(names, alone, strict=True) if ok for name in set(own))
+    need = max(PAGES, -(-HOST_PERCENT * sum(alone) // 100))
+    return [[name[0] >= run and counted[name] >= need for name in own] for own in names]
+
+
+def _kept_blocks(blocks: list[str], stays: list[bool], repeated: list[bool]) -> str:
+    """The article's blocks that the host does not repeat, or all where none would be left."""
+    article = [block for block, stay in zip(blocks, stays, strict=True) if stay]
+    kept = [block for block, gone in zip(article, repeated, strict=True) if not gone]
+    return "\n".join(kept or article)
+
+
 def _unique_text(blocks: list[str], stays: list[bool], covered: np.ndarray) -> str:
     """The tokens of the blocks that may stay, without those that a repeated run covers."""
     kept, at = [], 0
@@ -224,11 +272,29 @@ def _unique_text(blocks: list[str], stays: list[bool], covered: np.ndarray) -> s
 
 
 def _judge(group: pd.DataFrame) -> pd.DataFrame:
-    streams = [tuple(t for b in blocks for t in b.split()) for blocks in group["blocks"]]
-    distinct = list(dict.fromkeys(streams))
-    covered = dict(zip(distinct, covered_tokens([list(s) for s in distinct]), strict=True))
-    texts = [_unique_text(blocks, stays, covered[s]) for blocks, stays, s in zip(group["blocks"], group["stays"], streams, strict=True)]
-    return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": texts})
+    """The texts of the pages of one host."""
+    pages = list(zip(group["blocks"], group["stays"], group["marked"], strict=True))
+    articles = [tuple(b for b, stay in zip(blocks, stays, strict=True) if stay) if marked else None for blocks, stays, marked in pages]
+    # pages of equal tokens are one, wherever their blocks begin
+    first: dict[tuple, tuple] = {}
+    for article in articles:
+        if article is not None:
+            first.setdefault(tuple(t for block in article for t in block.split()), article)
+    repeated = dict(zip(first, repeated_blocks(list(first.values())), strict=True))
+    known = {name: {block: gone for block, gone in zip(first[name], flags, strict=True)} for name, flags in repeated.items()}
+    streams, covered = [], {}
+    if any(article is None for article in articles):
+        streams = [tuple(t for b in blocks for t in b.split()) for blocks in group["blocks"]]
+        distinct = list(dict.fromkeys(streams))
+        covered = dict(zip(distinct, covered_tokens([list(s) for s in distinct]), strict=True))
+    texts = []
+    for k, ((blocks, stays, _), article) in enumerate(zip(pages, articles, strict=True)):
+        if article is None:
+            texts.append(_unique_text(blocks, stays, covered[streams[k]]))
+        else:
+            gone = known[tuple(t for block in article for t in block.split())]
+            texts.append(_kept_blocks(blocks, stays, [gone.get(block, False) for block in article]))
+    return pd.DataFrame({"page_id": group["page_id"].astype("Int64"), "url": group["url"], "text": pd.Series(texts, dtype=object, index=group.index)})
 
 
 def _page_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -236,7 +302,7 @@ def _page_windows(batch: pa.RecordBatch) -> Iterator[tuple[int, list, np.ndarray
     each page's first window and first token, and the hash of each page's tokens."""
     found = [judged_blocks(page.as_py()) for page in batch.column(2)]
     hosts = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
-    for row, stop, data, offsets in T.slices(pa.array([" ".join(blocks) for blocks, _ in found], pa.string())):
+    for row, stop, data, offsets in T.slices(pa.array([" ".join(blocks) for blocks, _, _ in found], pa.string())):
         starts, ends, first = T.word_spans(data, offsets)
         prefix = T.prefix_hash(data)
         hashes, bounds = T.windows(T.span_hash(prefix, starts, ends), first, RUN)
@@ -331,27 +397,77 @@ def _keep_repeated(folder: str):
     return run
 
 
+def _block_hashes(host: int, blocks: list[str]) -> np.ndarray:
+    """Hashes of a host's blocks by their tokens."""
+    data = [" ".join(block.split()).encode() for block in blocks]
+    bounds = np.cumsum([0, *map(len, data)])
+    hashes = T.span_hash(T.prefix_hash(np.frombuffer(b"".join(data), np.uint8)), bounds[:-1], bounds[1:])
+    return T.mix(hashes + T.mix(np.array([host]).view(np.uint64))).view(np.int64)
+
+
+def _article_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(host_hash, page, block, n)``: the blocks of marked articles by hash, with their tokens; a page
+    without a marked part gives a row without a block."""
+    for batch in batches:
+        out: list[tuple] = []
+        for page, host in zip(batch.column(2), batch.column(4).to_pylist(), strict=True):
+            blocks, stays, marked = judged_blocks(page.as_py())
+            article = [b for b, stay in zip(blocks, stays, strict=True) if stay] if marked else []
+            if not marked:
+                out.append((host, None, None, 0))
+            elif article:
+                own = int(_block_hashes(host, [" ".join(article)])[0])
+                out += [(host, own, h, len(b.split())) for h, b in zip(_block_hashes(host, article).tolist(), article, strict=True)]
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host_hash", "page", "block", "n"])
+
+
+def _repeated_hashes(cells: DataFrame) -> DataFrame:
+    """``(id)``: the hashes of the blocks that hosts repeat, by the rule of ``repeated_blocks``."""
+    shared = cells.groupBy("host_hash", "block").agg(F.count("*").alias("pages")).where("pages > 1")
+    marked = cells.join(shared, ["host_hash", "block"], "left")
+    # every occurrence of a block in its page counts, but a page has a block once here
+    alone = stable(marked.groupBy("host_hash", "page").agg(F.sum(F.when(F.col("pages").isNull(), F.col("n")).otherwise(0)).alias("own"), F.sum("n").alias("n"))
+                   .where(f"100 * own >= {OWN_PERCENT} * n").select("host_hash", "page"))
+    need = alone.groupBy("host_hash").agg(F.greatest(F.lit(PAGES), F.ceil(F.count("*") * HOST_PERCENT / 100)).alias("need"))
+    counted = cells.where(f"n >= {RUN}").join(alone, ["host_hash", "page"], "left_semi").groupBy("host_hash", "block").agg(F.count("*").alias("pages"))
+    return counted.join(need, "host_hash").where("pages >= need").select(F.col("block").alias("id"))
+
+
 def _judge_large(pages: DataFrame) -> DataFrame:
     """The texts of pages of hosts too large for a task."""
+    cells = stable(pages.mapInArrow(_article_blocks, "host_hash bigint, page bigint, block bigint, n bigint").distinct())
+    repeated = StoredIds(_repeated_hashes(cells.where("block IS NOT NULL")))
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     folder = local_path(scratch_path(pages.sparkSession, "template"))
+    # the windows of all pages are counted if some page has no marked part; only there they decide
+    plain = not cells.where("block IS NULL").isEmpty()
     sent = "shard bigint, hashes binary, pages binary"
-    for send, keep in ((_send_windows(shards, None), _mark_cells(folder)), (_send_windows(shards, folder), _keep_repeated(folder))):
+    for send, keep in ((_send_windows(shards, None), _mark_cells(folder)), (_send_windows(shards, folder), _keep_repeated(folder))) if plain else ():
         pages.mapInArrow(send, sent).groupBy("shard").applyInPandas(keep, "n bigint").agg(F.sum("n")).collect()
 
+    def article_text(host: int, ids: Arrays, blocks: list[str], stays: list[bool]) -> str:
+        article = [block for block, stay in zip(blocks, stays, strict=True) if stay]
+        gone = repeated.has(ids, _block_hashes(host, article)) if article else []
+        return _kept_blocks(blocks, stays, [bool(g) and len(t.split()) >= RUN for g, t in zip(gone, article, strict=True)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Arrays(folder)
+        marks, ids = Arrays(folder), Arrays(repeated.folder)
         for batch in batches:
-            texts = []
-            for _, found, hashes, bounds, first, _ in _page_windows(batch):
+            hosts, texts = batch.column(4).to_pylist(), []
+            if not plain:
+                for host, page in zip(hosts, batch.column(2), strict=True):
+                    texts.append(article_text(host, ids, *judged_blocks(page.as_py())[:2]))
+            for row, found, hashes, bounds, first, _ in _page_windows(batch) if plain else ():
                 edge = np.zeros(first[-1] + 1, np.int64)
                 token = np.arange(len(hashes)) + np.repeat(first[:-1] - bounds[:-1], np.diff(bounds))
                 for _, at, _ in marks.places("repeated", shard_of(hashes, shards), hashes):
                     np.add.at(edge, token[at], 1)
                     np.add.at(edge, token[at] + RUN, -1)
                 covered = np.cumsum(edge) > 0
-                texts += [_unique_text(*page, covered[a:b]) for page, a, b in zip(found, first[:-1], first[1:], strict=True)]
+                for k, ((blocks, stays, marked), a, b) in enumerate(zip(found, first[:-1], first[1:], strict=True)):
+                    texts.append(article_text(hosts[row + k], ids, blocks, stays) if marked else _unique_text(blocks, stays, covered[a:b]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return pages.mapInArrow(run, "page_id bigint, url string, text string")
@@ -361,16 +477,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
     A null or empty page gives an empty text, a null url counts as one host of its own, repeated
-    rows are all returned, and other columns are not read. Of the blocks that markup lets stay,
-    what is repeated on ``PAGES`` pages of different tokens of the host goes.
+    rows are all returned, and other columns are not read. A page is parsed whole, however long; of
+    the blocks that markup lets stay, what the host repeats goes as the module's text says.
     """
     host = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     host = F.lower(F.substring_index(F.substring_index(host, "/", 1), "@", -1))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host")).withColumn("host_hash", F.xxhash64("host"))
     # stored, so that its size is known and texts are not shuffled to be joined with it
-    large = stable(rows.groupBy("host").count().where(f"count > {GROUP}").select("host"))
+    large = stable(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("size"))
+                   .where(f"n > {GROUP} OR size > {GROUP_BYTES}").select("host"))
     small = rows.join(large, "host", "left_anti").select(rows.columns)
-    result = small.mapInArrow(_parse, "page_id bigint, url string, host string, blocks array<string>, stays array<boolean>") \
+    result = small.mapInArrow(_parse, "page_id bigint, url string, host string, blocks array<string>, stays array<boolean>, marked boolean") \
         .groupBy("host").applyInPandas(_judge, "page_id bigint, url string, text string")
     if large.limit(1).count():
         result = result.unionByName(_judge_large(rows.join(large, "host", "left_semi").select(rows.columns)))

@@ -236,6 +236,55 @@ def test_template_text_inside_articles(spark):
     assert got == {k: f"own words of page{k}\npage{k} ends here" for k in range(4)}
 
 
+def plain_main_texts(pages):
+    """{page_id: text} of marked pages by the rule for whole blocks, counted with dictionaries."""
+    found = {i: (url.split("//")[1].split("/")[0].lower(), [b for b, stay in zip(*html_extract.judged_blocks(page)[:2]) if stay]) for i, url, page in pages}
+    out = {}
+    for host in {h for h, _ in found.values()}:
+        articles = {tuple(" ".join(a).split()): a for h, a in found.values() if h == host}
+        holds = {}
+        for name, article in articles.items():
+            for block in set(article):
+                holds.setdefault(block, set()).add(name)
+        size = lambda blocks: sum(len(b.split()) for b in blocks)
+        own = {name for name, a in articles.items() if size({b for b in a if len(holds[b]) == 1}) >= 0.4 * size(set(a))}
+        need = max(3, -(-len(own) // 2))
+        gone = {b for b, names in holds.items() if len(b.split()) >= 8 and len(names & own) >= need}
+        for i, (h, a) in found.items():
+            if h == host:
+                out[i] = "\n".join([b for b in a if b not in gone] or a)
+    return out
+
+
+@pytest.mark.parametrize("group", [512, 5])
+def test_pages_of_the_table(spark, small, monkeypatch, group):
+    """Every page of the table against the plain rule, with hosts judged in a task and by hashes."""
+    monkeypatch.setattr(html_extract, "GROUP", group)
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    given = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    assert got == plain_main_texts(given)
+    marked = {i for i, _, page in given if html_extract.judged_blocks(page)[2]}
+    assert len(marked) > 0.9 * len(given) and all(got[i] for i in marked)
+
+
+@pytest.mark.parametrize("group", [512, 3])
+def test_articles_keep_what_is_theirs(spark, monkeypatch, group):
+    """Near copies take nothing from each other, menus nothing from articles, and no block is cut."""
+    monkeypatch.setattr(html_extract, "GROUP", group)
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice, story, menu = words(12), [words(100) for _ in range(3)], words(15)
+    bodies = [[story[0], story[1], f"{story[2]} changed{k}"] for k in range(3)]  # near copies
+    bodies += [[words(40), notice, words(30), "de " * (20 + k)] for k in range(8)]  # a notice that the host repeats
+    bodies += [[menu, words(50), "Summary"], [notice], [words(40), f"{notice} and more of this page", "Summary"]]
+    rows = [(k, f"http://one.example/{k}", f"<nav>{menu}</nav><article>{''.join(f'<p>{b}</p>' for b in body)}</article>") for k, body in enumerate(bodies)]
+    df = spark.createDataFrame(rows + [(99, "http://one.example/plain", f"<div>{menu}</div><div>{words(20)}</div>")], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    for k, body in enumerate(bodies):
+        assert got[k] == "\n".join(b.strip() for b in body if b != notice or body == [notice]), k
+
+
 def test_large_host_and_copies(spark, monkeypatch):
     rng = random.Random(3)
     share = [" ".join(f"s{j}x{k}" for k in range(9)) for j in range(30)]
