@@ -28,12 +28,15 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id, and one row of each
-    ``doc_id``; rows without one stay."""
+    """One document of each group of near duplicates, that of the smallest id (rows without an id come
+    last). Rows are told apart by a number, so ids may be null or repeat with other texts; texts
+    without a word are in no group and stay. An empty table stays empty."""
     ship_package(spark)
-    gone = near_duplicates(docs, STAGE_PERCENT).where("NOT kept").select("doc_id").distinct()
-    stays = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return stays.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(stays.where("doc_id IS NULL"))
+    rows = _numbered(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), STAGE_PERCENT).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW))
+    stays = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(first.getField(ROW).alias(ROW))
+    return rows.join(stays.select(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,14 @@ def test_dedup_takes_similarity_of_80_percent(spark, small):
     assert (Similarity().matches, Similarity().threshold) == (17, 90)
 
 
+def test_dedup_of_ids_that_repeat_with_other_texts(spark, small):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, b), (7, a), (7, b), (10, c), (10, a), (11, c + " more"), (None, a), (None, "words of its own only"), (12, ""), (12, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, docs, small).collect()), key=repr)
+    assert kept == sorted([(3, b), (7, a), (10, c), (None, "words of its own only"), (12, ""), (12, None)], key=repr)
+
+
 def test_dedup_against_plain_pairs(stages):
     ruled, single = by_id(stages[1]), by_id(stages[2])
     sets = {i: s for i, t in ruled.items() if (s := brute.shingle_set(t))}
