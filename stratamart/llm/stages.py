@@ -29,14 +29,16 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id (rows without an id come
-    last). Rows are told apart by a number, so ids may be null or repeat with other texts; texts
-    without a word are in no group and stay. An empty table stays empty."""
+    last). A row is told by a hash of its id and text, so ids may be null or repeat with other texts;
+    rows equal in both count once. Texts without a word are in no group and stay. An empty table stays
+    empty."""
     ship_package(spark)
-    rows = _numbered(docs)
-    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), STAGE_PERCENT).select(F.col("doc_id").alias(ROW), "component_id")
+    rows = docs.withColumns({ROW: F.xxhash64("doc_id", "text"), "_check": F.xxhash64("text", F.lit(1))})
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), STAGE_PERCENT)
+    groups = found.groupBy(F.col("doc_id").alias(ROW)).agg(F.min("component_id").alias("component_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW))
-    stays = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(first.getField(ROW).alias(ROW))
-    return rows.join(stays.select(ROW), ROW, "left_semi").select(docs.columns)
+    stays = rows.select(ROW, "doc_id").distinct().join(groups, ROW).groupBy("component_id").agg(first.getField(ROW).alias(ROW))
+    return rows.join(stays.select(ROW), ROW, "left_semi").dropDuplicates([ROW, "doc_id", "_check"]).select(docs.columns)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
