@@ -424,11 +424,11 @@ def _article_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _repeated_hashes(cells: DataFrame) -> DataFrame:
     """``(id)``: the hashes of the blocks that hosts repeat, by the rule of ``repeated_blocks``."""
-    shared = cells.groupBy("host_hash", "block").agg(F.count("*").alias("pages")).where("pages > 1")
-    marked = cells.join(shared, ["host_hash", "block"], "left")
-    # every occurrence of a block in its page counts, but a page has a block once here
-    alone = stable(marked.groupBy("host_hash", "page").agg(F.sum(F.when(F.col("pages").isNull(), F.col("n")).otherwise(0)).alias("own"), F.sum("n").alias("n"))
-                   .where(f"100 * own >= {OWN_PERCENT} * n").select("host_hash", "page"))
+    page = ["host_hash", "page"]
+    # a block on one page only is told by its count, so no row is joined by its block
+    single = cells.groupBy("host_hash", "block").agg(F.count("*").alias("pages"), F.min("page").alias("page"), F.min("n").alias("n")).where("pages = 1")
+    own = single.groupBy(*page).agg(F.sum("n").alias("own"))
+    alone = stable(cells.groupBy(*page).agg(F.sum("n").alias("n")).join(own, page).where(f"100 * own >= {OWN_PERCENT} * n").select(*page))
     need = alone.groupBy("host_hash").agg(F.greatest(F.lit(PAGES), F.ceil(F.count("*") * HOST_PERCENT / 100)).alias("need"))
     counted = cells.where(f"n >= {RUN}").join(alone, ["host_hash", "page"], "left_semi").groupBy("host_hash", "block").agg(F.count("*").alias("pages"))
     return counted.join(need, "host_hash").where("pages >= need").select(F.col("block").alias("id"))
