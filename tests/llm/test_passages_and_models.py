@@ -163,6 +163,31 @@ def test_licences_without_a_licence_word(spark):
     assert found[7].sentence_ids == "BsdEndorse" and all(r.n_unknown == 0 for r in found.values()) and found[9].n_sentences == 0
 
 
+def test_every_licence_of_a_sentence(spark, tmp_path):
+    """Planted sentences, in Spark and by the registered SQL."""
+    import duckdb
+
+    planted = {
+        "dual licensed under the MIT License or the Apache License, Version 2.0": "Apache-2.0,MIT",
+        "Licensed under the Apache License, Version 2.0\nLicensed under the MIT License": "Apache-2.0,MIT",
+        "// SPDX-License-Identifier: MIT OR Apache-2.0\nint main": "apache-2.0,mit",
+        "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause.": "bsd-3-clause,classpath-exception-2.0,gpl-2.0-only",
+        "Copyright (c) 2020 Some One all rights reserved": "All-Rights-Reserved",
+        "Released under the MIT License and the BSD license, text under CC BY-SA 4.0": "BSD,CC-BY-SA-4.0,MIT",
+        "Available under CC BY 4.0.": "CC-BY-4.0", "A license nobody knows": "", "": "", "no such word": "",
+    }
+    rows = [(k, t) for k, t in enumerate(planted)] + [(99, None), (3, "plain")]
+    found = licences.licence_scan(spark.createDataFrame(rows, DOC)).select("doc_id", "sentence_ids", "licences", "n_sentences", "n_unknown")
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    assert {r[0]: r[2] for r in got if r[0] != 3} == {k: x for k, x in [*enumerate(planted.values()), (99, "")] if k != 3}
+    assert [r[1] for r in got if r[0] == 0] == ["MitRef,ApacheRef:2.0"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(licences.oracle()).fetchall(), key=repr) == got
+    assert licences.licence_scan(spark.createDataFrame([], DOC)).collect() == []
+
+
 def test_licences_against_sql(spark, tricky, small):
     from compare import compare, duckdb_tables
 
