@@ -165,9 +165,17 @@ def mat_table(t: Tables) -> DataFrame:
 
 @_checked_load("mat_layout_hint", "fct_orders")
 def mat_layout_hint(t: Tables) -> DataFrame:
-    """Partitioned by year, sorted by customer within files, order ids verified unique."""
-    return warehouse(t).write("fct_orders", orders_mart(t).ref("fct_orders"), "replace", ["order_year"],
-                              ["customer_id"], ["order_id"])
+    """Bucketed by order, sorted by customer within files, order ids verified unique, here and on append."""
+    w, orders = warehouse(t), orders_mart(t).ref("fct_orders")
+    late = F.col("order_date") >= F.lit(SPLIT).cast("timestamp_ntz")
+    w.write("fct_orders", orders.where(~late), "replace", sort_by=["customer_id"], unique=["order_id"], bucket_by=["order_id"], buckets=4)
+    return w.write("fct_orders", orders.where(late), "append", unique=["order_id"])
+
+
+@_checked_load("mat_layout_interleaved", "fct_orders")
+def mat_layout_interleaved(t: Tables) -> DataFrame:
+    """Laid out by customer and day at once."""
+    return warehouse(t).write("fct_orders", orders_mart(t).ref("fct_orders"), "replace", interleave=["customer_id", "order_date"], files=8)
 
 
 @_checked_load("mat_ephemeral", "int_supplier_orders")

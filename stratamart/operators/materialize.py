@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratamart.operators.layout import by_columns
 from stratamart.operators.quality import duplicates
 from stratamart.operators.windows import latest_per_key
 from stratamart.session import stable
@@ -89,7 +90,8 @@ class Warehouse:
         return self.view(name, self.spark.sql(query))
 
     def write(self, table: str, df: DataFrame, if_exists: str = "fail", partition_by: Sequence[str] = (),
-              sort_by: Sequence[str] = (), unique: Sequence[str] = (), even_files: bool = True) -> DataFrame:
+              sort_by: Sequence[str] = (), unique: Sequence[str] = (), even_files: bool = True,
+              bucket_by: Sequence[str] = (), buckets: int = 0, interleave: Sequence[str] = (), files: int = 0) -> DataFrame:
         """Store a DataFrame; ``if_exists`` is fail, replace or append.
 
         ``partition_by`` lays rows out by low-cardinality columns for partition pruning and
@@ -98,7 +100,13 @@ class Warehouse:
         the written files, or, where rows are appended, among them and by the key index of the
         table, of which only the buckets of their keys are read. ``even_files`` spends a shuffle on gathering each partition's
         rows into files of even size; without it every task writes a file per partition it has.
+        ``bucket_by`` deals rows to ``buckets`` files (of a partition) by a hash of those columns, so
+        tables bucketed alike are joined on them without a shuffle. ``interleave`` lays a full load
+        out in ``files`` by several columns at once (``layout.by_columns``), so that a filter on any of
+        them skips files.
         """
+        if bool(bucket_by) != (buckets > 0) or bool(interleave) != (files > 0):
+            raise ValueError("bucket_by needs buckets, and interleave needs files")
         if if_exists not in ("fail", "replace", "append"):
             raise ValueError(f"if_exists: {if_exists!r}")
         present = self.exists(table)
@@ -118,7 +126,12 @@ class Warehouse:
             for key in indexes:
                 self._add_keys(table, key, df.select(*key, *self._parts(table)))
         laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if even else df
-        laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by) if sort_by else laid_out
+        if bucket_by and not appended:  # a bucket is written by one task
+            laid_out = df.repartition(buckets, *bucket_by)
+        elif interleave and not appended:
+            laid_out = by_columns(df, interleave, files)
+        if sort_by and not interleave:
+            laid_out = laid_out.sortWithinPartitions(*partition_by, *sort_by)
         if appended:
             laid_out.select(*target.columns).write.mode("append").insertInto(self.name(table))
             return self.read(table)
@@ -126,12 +139,24 @@ class Warehouse:
         writer = laid_out.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        shown = ""
+        if bucket_by:  # the catalog has to know the buckets: written under a name of its own, then renamed
+            shown = f"{table}__{uuid.uuid4().hex}"
+            writer = writer.bucketBy(buckets, *bucket_by)
+            writer = writer.sortBy(*sort_by) if sort_by else writer
+            writer.option("path", path).option("partitionOverwriteMode", "dynamic").saveAsTable(self.name(shown))
+        else:
+            writer.parquet(path)
         if unique and not duplicates(self.spark.read.schema(df.schema).parquet(path), list(unique)).isEmpty():
+            if shown:
+                self.spark.sql(f"DROP TABLE {self.name(shown)}")
             raise ValueError(f"{table}: {', '.join(unique)} is not unique")
         for key in self._indexes(table):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name(self._index_name(table, key))}")
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")  # external: the old folder stays for its readers
+        if shown:
+            self.spark.sql(f"ALTER TABLE {self.name(shown)} RENAME TO {self.name(table)}")
+            return self.read(table)
         # with this option an overwrite replaces only the partitions it has rows for
         partitioned = (f"OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({', '.join(partition_by)})"
                        if partition_by else "")

@@ -255,3 +255,39 @@ def test_a_batch_that_runs_again_stores_nothing_twice(spark, warehouse):
     for _ in range(2):
         warehouse.put_new("t", table(spark, (2, "a", 9), (3, "a", 3)), ["id"], "b1")
     assert rows(warehouse.read("t").select("id", "v")) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_tables_bucketed_alike_are_joined_without_a_shuffle(spark, warehouse):
+    lines = spark.range(4000).selectExpr("id % 500 AS order_id", "id AS line")
+    orders = spark.range(500).selectExpr("id AS order_id", "id * 2 AS customer")
+    warehouse.write("lines", lines, bucket_by=["order_id"], buckets=4, sort_by=["order_id"])
+    warehouse.write("orders", orders.where("order_id < 400"), bucket_by=["order_id"], buckets=4, sort_by=["order_id"], unique=["order_id"])
+    warehouse.write("orders", orders.where("order_id >= 400"), "append", unique=["order_id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = warehouse.read("lines").join(warehouse.read("orders"), "order_id")
+        assert joined.count() == 4000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError, match="not unique"):
+        warehouse.write("orders", orders.union(orders), "replace", bucket_by=["order_id"], buckets=4, unique=["order_id"])
+    assert warehouse.read("orders").count() == 500  # the old rows stayed
+    with pytest.raises(ValueError, match="needs buckets"):
+        warehouse.write("more", orders, bucket_by=["order_id"])
+
+
+def test_interleaved_columns_let_filters_on_each_skip_files(spark, warehouse):
+    df = spark.range(20_000).selectExpr("id", "CAST(pmod(xxhash64(id), 1000) AS INT) AS a", "DATE_ADD(DATE'2020-01-01', CAST(pmod(xxhash64(id, 1), 900) AS INT)) AS b",
+                                        "IF(id % 7 = 0, NULL, CAST(id AS STRING)) AS c")
+    warehouse.write("t", df, interleave=["a", "b"], files=16)
+    stored = warehouse.read("t")
+    assert stored.exceptAll(df).count() == 0 and stored.count() == 20_000
+    spans = stored.groupBy(F.input_file_name()).agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).collect()
+    read = {c: sum(r[i] <= v <= r[i + 1] for r in spans) for c, i, v in (("a", 1, 437), ("b", 3, df.select(F.lit("2021-04-04").cast("date")).first()[0]))}
+    assert len(spans) == 16 and max(read.values()) <= 8  # sorted by one column, the other would need all 16
+    warehouse.write("u", df, interleave=["c", "a"], files=4)
+    assert warehouse.read("u").count() == 20_000
+    with pytest.raises(ValueError, match="no order"):
+        warehouse.write("v", df.selectExpr("struct(id) AS s"), interleave=["s"], files=2)
