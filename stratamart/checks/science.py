@@ -6,7 +6,7 @@ Trained models have no SQL counterpart: their queries state what has to hold of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamart.checks.registry import ORDERS_AS_OF, check, orders_mart
@@ -160,63 +160,94 @@ def churn_model(t: Tables, trees: int = training.TREES) -> tuple[NamedModel, lis
     scored = scoring.predict(named, scoring.predict(named, test), proba=True)
     metrics = training.eval_classification(scored, "churned", "customer_churn_prediction").first().asDict()
     metrics["roc_auc"] = training.roc_auc(scored, "churned", "customer_churn_proba")
+    metrics["tested"] = float(test.count())
     return named, [{"metric": k, "value": v} for k, v in metrics.items()]
 
 
 _METRICS = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
+# the label is a rule on recency (over 90 days); well away from its border a forest has to state it
+EARLY, LATE = 45, 180
 
 
-@check("train_classifier", "text: metric, bool: reached",
-       f"SELECT unnest({_METRICS}) AS metric, true AS reached FROM (SELECT count(*) FROM churn_base) b")
+def _sure(value: Column) -> Column:
+    return F.when((F.col("recency") <= EARLY) | (F.col("recency") >= LATE), value)
+
+
+def _rule(early: str, late: str) -> str:
+    return f"CASE WHEN recency <= {EARLY} THEN {early} WHEN recency >= {LATE} THEN {late} END"
+
+
+@check("train_classifier", "text: metric, bool: reached, long: tested",
+       f"SELECT unnest({_METRICS}) AS metric, true AS reached, tested FROM (SELECT sum(round(n * 0.2)) AS tested FROM ("
+       "SELECT count(*) AS n FROM churn_base GROUP BY churned) c) b")
 def train_classifier(t: Tables) -> DataFrame:
-    """The churn label is a rule on a feature, so a forest has to reach 0.9 in every test metric."""
-    found = t.spark.createDataFrame(churn_model(t)[1], "metric string, value double")
-    return found.where(F.col("metric").isin(_METRICS)).select("metric", (F.col("value") >= 0.9).alias("reached"))
+    """The churn label is a rule on a feature, so a forest has to reach 0.9 in every metric on the rows kept back."""
+    found = {m["metric"]: m["value"] for m in churn_model(t)[1]}
+    rows = [(m, found[m] >= 0.9, int(found["tested"])) for m in _METRICS]
+    return t.spark.createDataFrame(rows, "metric string, reached boolean, tested long")
 
 
-@check("ml_predict", "long: customer_id, bool: valid", "SELECT customer_id, true AS valid FROM churn_base")
+@check("ml_predict", "long: customer_id churned, bool: valid",
+       f"SELECT customer_id, {_rule('0', '1')} AS churned, true AS valid FROM churn_base")
 def ml_predict(t: Tables) -> DataFrame:
-    """A prediction of 0 or 1 for every customer with orders."""
-    found = scoring.predict(churn_model(t)[0], features.churn_features(churn_base(t)))
-    return found.select("customer_id", F.col("customer_churn_prediction").isin(0.0, 1.0).alias("valid"))
+    """A prediction of 0 or 1 for every customer with orders, and that of the rule away from its border."""
+    base = churn_base(t)
+    found = scoring.predict(churn_model(t)[0], features.churn_features(base)).drop("recency").join(base.select("customer_id", "recency"), "customer_id")
+    guess = F.col("customer_churn_prediction")
+    return found.select("customer_id", _sure(guess).alias("churned"), guess.isin(0.0, 1.0).alias("valid"))
 
 
-@check("ml_batch_predict", "long: customer_id, bool: valid banded", "SELECT customer_id, true AS valid, true AS banded FROM churn_base")
+@check("ml_batch_predict", "long: customer_id, text: band, bool: valid",
+       f"""SELECT customer_id, {_rule("'LOW'", "'HIGH'")} AS band, true AS valid FROM churn_base""")
 def ml_batch_predict(t: Tables) -> DataFrame:
-    """A chance between 0 and 1 for every customer, and the risk band it lies in."""
-    scored = scoring.predict(churn_model(t)[0], features.churn_features(churn_base(t)), proba=True)
+    """A chance between 0 and 1 for every customer, and its risk band away from the border of the rule."""
+    base = churn_base(t)
+    scored = scoring.predict(churn_model(t)[0], features.churn_features(base), proba=True).drop("recency").join(base.select("customer_id", "recency"), "customer_id")
     proba = F.col("customer_churn_proba")
-    return scored.select("customer_id", proba.between(0, 1).alias("valid"), scoring.risk_band(proba).isNotNull().alias("banded"))
+    return scored.select("customer_id", _sure(scoring.risk_band(proba)).alias("band"), proba.between(0, 1).alias("valid"))
 
 
-@check("ml_predict_from_query", "long: customer_id, bool: valid", "SELECT customer_id, true AS valid FROM churn_base WHERE frequency >= 5")
+@check("ml_predict_from_query", "long: customer_id churned, bool: valid",
+       f"SELECT customer_id, {_rule('0', '1')} AS churned, true AS valid FROM churn_base WHERE frequency >= 5")
 def ml_predict_from_query(t: Tables) -> DataFrame:
+    base = churn_base(t)
     found = scoring.predict_from_query(
         churn_model(t)[0], t.spark, "SELECT * FROM {features} WHERE frequency >= 5",
-        features=features.churn_features(churn_base(t)))
-    return found.select("customer_id", F.col("customer_churn_prediction").isin(0.0, 1.0).alias("valid"))
+        features=features.churn_features(base)).drop("recency").join(base.select("customer_id", "recency"), "customer_id")
+    guess = F.col("customer_churn_prediction")
+    return found.select("customer_id", _sure(guess).alias("churned"), guess.isin(0.0, 1.0).alias("valid"))
+
+
+_SEPARATES = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, max({c}) FILTER (churned = 0) < min({c}) FILTER (churned = 1) AS leads FROM churn_base"
+    for f, c in [*[(f, f) for f in CHURN_FEATURES[:5]], ("avg_spend_per_order", "CAST(monetary AS DOUBLE) / (frequency + 1)"),
+                 ("engagement_score", "CAST(frequency AS DOUBLE) / (recency + 1)")])
 
 
-@check("ml_feature_importance", "text: feature, bool: valid", f"SELECT unnest({CHURN_FEATURES}) AS feature, true AS valid FROM (SELECT count(*) FROM churn_base) b")
+@check("ml_feature_importance", "text: feature, bool: leads valid", f"SELECT feature, leads, true AS valid FROM ({_SEPARATES}) f")
 def ml_feature_importance(t: Tables) -> DataFrame:
-    """Shares of all features; they add up to one."""
+    """Shares of all features, which add up to one; the one that parts the classes has the greatest."""
     found = scoring.feature_importance(churn_model(t)[0], t.spark, limit=len(CHURN_FEATURES))
-    total = F.sum("importance").over(Window.partitionBy(F.lit(1)))
-    return found.select("feature", (F.col("importance").between(0, 1) & (F.abs(total - 1) < 1e-6)).alias("valid"))
+    whole = Window.partitionBy(F.lit(1))
+    total, most = F.sum("importance").over(whole), F.max("importance").over(whole)
+    return found.select("feature", (F.col("importance") == most).alias("leads"),
+                        (F.col("importance").between(0, 1) & (F.abs(total - 1) < 1e-6)).alias("valid"))
 
 
-@check("model_store", "text: model_name latest_version target_column features status, long: total_versions",
+@check("model_store", "text: model_name latest_version target_column features status, long: total_versions customers churned",
        "SELECT 'customer_churn' AS model_name, 'b' AS latest_version, 'churned' AS target_column, "
-       f"'{', '.join(CHURN_FEATURES)}' AS features, 'active' AS status, 2 AS total_versions FROM customer LIMIT 1")
+       f"'{', '.join(CHURN_FEATURES)}' AS features, 'active' AS status, 2 AS total_versions, count(*) AS customers, sum(churned) AS churned FROM churn_base")
 def model_store(t: Tables) -> DataFrame:
-    """Three versions of the churn forest are registered and the last is deleted again."""
+    """Three versions of the churn forest are registered with what they were trained for, and the last is deleted again."""
     named, metrics = churn_model(t)
     store = ModelStore(t.spark, scratch_path(t.spark, "models"))
+    base = churn_base(t).agg(F.count("*"), F.sum("churned")).first()
     for version in ("a", "b", "c"):
         store.register(named.model, named.name, "classification", named.features, "churned", version,
-                       {m["metric"]: m["value"] for m in metrics})
+                       {**{m["metric"]: m["value"] for m in metrics}, "customers": float(base[0]), "churned": float(base[1])})
     store.delete(named.name, "c")
-    return store.list_models().withColumn("features", F.array_join("feature_columns", ", "))
+    return store.list_models().select("*", F.array_join("feature_columns", ", ").alias("features"),
+                                      F.col("metrics")["customers"].alias("customers"), F.col("metrics")["churned"].alias("churned"))
 
 
 @check("rfm_kmeans", "long: customer_id, bool: in_range", "SELECT customer_id, true AS in_range FROM rfm")

@@ -240,7 +240,8 @@ class HistogramForest(Estimator):
         width = max(map(len, cuts), default=0) + 1
         for level in range(max(depth, 1)):
             following: dict[int, list[int]] = {}
-            for group in _groups(opened, width * math.ceil(math.sqrt(max(features, 1)))):
+            times = math.ceil(math.sqrt(features))
+            for group in _groups(opened, width * times, seen[2] * times):
                 slots = {t: {node: k for k, node in enumerate(opened[t])} for t in group}
                 allowed = {t: np.array([chosen(t, node, features, seed) for node in opened[t]]) for t in group}
                 run = _count({t: trees[t] for t in group}, slots, allowed, cuts, level, seed)
@@ -270,14 +271,15 @@ class HistogramForest(Estimator):
         return HistogramForestModel(json.dumps(state), features_col)
 
 
-def _groups(opened: dict[int, list[int]], counts: int) -> Iterator[list[int]]:
-    """Trees whose open nodes are served by one pass."""
+def _groups(opened: dict[int, list[int]], counts: int, most: int) -> Iterator[list[int]]:
+    """Trees whose open nodes are served by one pass: a tree may have ``counts`` a node, and ``most`` in all."""
     group, held = [], 0
     for t, nodes in opened.items():
-        if group and held + len(nodes) * counts > PASS_COUNTS:
+        own = min(len(nodes) * counts, most)
+        if group and held + own > PASS_COUNTS:
             yield group
             group, held = [], 0
         group.append(t)
-        held += len(nodes) * counts
+        held += own
     if group:
         yield group
