@@ -14,6 +14,7 @@ from stratamart.operators.filters import filter_map, filter_ops, require_columns
 
 # Fixed value: what a series without a category is called.
 NO_CATEGORY = "None"
+MOST_CATEGORIES = 1000  # each becomes a column
 
 
 @dataclass(frozen=True)
@@ -114,11 +115,16 @@ def stacked_series(df: DataFrame, chart: Chart) -> DataFrame:
 def stacked_chart(df: DataFrame, chart: Chart, categories: Sequence[str] | None = None) -> DataFrame:
     """One row per label and one column per category, 0 where a cell is empty.
 
-    Without given ``categories`` they are read from the cells; each becomes a column.
+    Without given ``categories`` they are read from the cells; each becomes a column. More than
+    ``MOST_CATEGORIES`` are refused, so that no more are ever brought to the driver; ``stacked_series``
+    has them all as rows.
     """
     cells = stacked_series(df, chart)
     if categories is None:
-        categories = [r[0] for r in cells.select("category").distinct().orderBy("category").collect()]
+        found = cells.select("category").distinct().orderBy("category").limit(MOST_CATEGORIES + 1).collect()
+        if len(found) > MOST_CATEGORIES:
+            raise ValueError(f"more than {MOST_CATEGORIES} categories: name the wanted ones")
+        categories = [r[0] for r in found]
     wide = cells.groupBy("label").pivot("category", list(categories)).agg(F.first("value"))
     return wide.na.fill(0, list(categories)).orderBy("label")
 

@@ -111,6 +111,14 @@ def test_quality(spark):
         ("child", "id", "not_null", 1), ("child", "id", "unique", 1), ("child", "ref", "references", 2)]
 
 
+def test_a_chart_of_too_many_categories_is_refused(spark):
+    df = spark.range(charts.MOST_CATEGORIES + 1).selectExpr("1 AS x", "id AS y", "CAST(id AS STRING) AS c")
+    chart = Chart("bar-stacked", "x", "y", category="c")
+    with pytest.raises(ValueError, match="categories"):
+        charts.stacked_chart(df, chart)
+    assert charts.stacked_chart(df, chart, ["5", "7"]).collect()[0][1:] == (5, 7)
+
+
 def test_declared_tests_of_a_table_read_it_once(spark, tmp_path):
     path = str(tmp_path / "child")
     spark.createDataFrame([(1, 1, 5), (1, 2, None), (2, 9, 5), (None, 9, 1), (3, None, 1)], "id int, ref int, other int").write.parquet(path)
