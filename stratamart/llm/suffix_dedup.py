@@ -10,10 +10,10 @@ consecutive windows of one anchor make a fragment, and every window lies in one
    in ``BANDS`` bands by where the anchor lies in them; all windows of a band share the bytes next
    to the anchor, so a fragment of which no band's shared bytes are those of another fragment does
    not repeat at all. The others are in doubt.
-2. Each shard of anchors takes the bytes of its fragments in doubt, one copy each, and builds the
-   Burrows-Wheeler transform of the collection column by column: every round inserts one more
-   byte of every fragment. Neighbours among the sorted suffixes that share ``LENGTH`` bytes are
-   repeated windows.
+2. Each shard of anchors takes the bytes of its fragments in doubt, one copy each, with a short
+   number in place of the anchor, and builds the Burrows-Wheeler transform of the collection column
+   by column: every round inserts one more byte of every fragment. Neighbours among the sorted
+   suffixes that share a window's bytes are repeated windows.
 3. Documents look their fragments up and mark the repeated windows.
 
 What is found is stored per shard as sorted hash arrays in the shared folder, which tasks map into
@@ -38,7 +38,9 @@ from stratamart.session import scratch_path, stable
 LENGTH, ANCHOR = 200, 64
 SHARD_BYTES = 32 << 20
 TASK_FRAGMENTS = 500_000
-COLLECTION_BYTES = 16 << 20
+CELL_BYTES = 16 << 20
+COLLECTION_BYTES = 512 << 10
+RUN_BYTES = 256 << 10  # texts are cut in runs whose arrays stay in a core's cache
 BANDS = 8
 
 
@@ -56,47 +58,57 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Fragments:
-    """The fragments of a slice of texts: where their windows start, and their hashes."""
+    """The fragments of a slice of texts: where their windows start, and their hashes.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> None:
-        n = len(data)
-        self.start = self.end = self.windows = self.anchor = self.hash = np.zeros(0, np.int64)
-        edge = np.zeros(n + 1, np.int64)  # window starts whose window lies in one text
+    With ``bands``, also 32 bits for each fragment and band of a hash of the bytes that all the
+    fragment's windows of that band share, 0 where it has no window in the band.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, bands: bool = False) -> None:
+        self.length, self.width = length, anchor
+        found, row = [], 0
+        while row < len(offsets) - 1:
+            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + RUN_BYTES, "right")) - 1)
+            low, high = int(offsets[row]), int(offsets[stop])
+            found += self._cut(data[low:high], offsets[row:stop + 1] - low, low, bands)
+            row = stop
+        none = np.zeros(0, np.int64)
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [none] * 6
+        self.start, self.end, self.windows, self.place, self.anchor, self.hash = parts[:6]
+        self.bands = parts[6] if len(parts) > 6 else np.zeros((0, BANDS), np.uint32)
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray, low: int, bands: bool) -> list[tuple[np.ndarray, ...]]:
+        n, length, width = len(data), self.length, self.width
+        edge = np.zeros(n + 1, np.int8)  # window starts whose window lies in one text
         room = np.diff(offsets) >= length
-        np.add.at(edge, offsets[:-1][room], 1)
-        np.add.at(edge, offsets[1:][room] - length + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge[:n]))
+        edge[offsets[:-1][room]] = 1
+        edge[offsets[1:][room] - length + 1] -= 1
+        starts = np.flatnonzero(np.cumsum(edge[:n], dtype=np.int8))
         if not len(starts):
-            return
+            return []
         prefix = T.prefix_hash(data)
-        begins = np.arange(n - anchor + 1)
-        grams = T.span_hash(prefix, begins, begins + anchor)
+        grams = T.mix((prefix[width:] - prefix[:-width]) * T.powers(n + 1)[1][:n - width + 1] + np.uint64(width))
         bits = np.uint64(int(n).bit_length())
-        ranked = ((grams >> bits) << bits) | begins.astype(np.uint64)  # ties go to the leftmost
-        least = sliding_min(ranked, length - anchor + 1)
-        place = (least[starts] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-        head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)))
-        self.start = starts[head]
-        self.windows = np.diff(np.append(head, len(starts)))
-        self.anchor = grams[place[head]].view(np.int64)
-        ends = self.start + self.windows + length - 1
-        shape = ((place[head] - self.start) * 512 + self.windows).astype(np.uint64)
-        self.hash = T.mix(T.span_hash(prefix, self.start, ends) + shape * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-        self.end = ends
-        self.prefix, self.length, self.width, self.place = prefix, length, anchor, place[head]
-
-    def bands(self) -> np.ndarray:
-        """For each fragment and band 32 bits of a hash of the bytes that all the fragment's windows
-        of that band share, 0 where it has no window in the band."""
-        out = np.zeros((len(self.hash), BANDS), np.uint32)
-        if len(self.hash):
-            most = self.place - self.start  # bytes before the anchor in the first window
-            least = most - self.windows + 1
-            cuts = np.linspace(0, self.length - self.width + 1, BANDS + 1).astype(int)
-            for b, (low, high) in enumerate(zip(cuts[:-1], cuts[1:] - 1, strict=True)):
-                has = (most >= low) & (least <= high)
-                own = T.span_hash(self.prefix, self.place[has] - low, self.place[has] + self.length - high)
-                out[has, b] = (own >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        ranked = (grams >> bits) << bits
+        ranked |= np.arange(n - width + 1, dtype=np.uint64)  # ties go to the leftmost
+        least = sliding_min(ranked, length - width + 1)[starts]
+        head = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)))
+        place = (least[head] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        start, windows = starts[head], np.diff(np.append(head, len(starts)))
+        ends = start + windows + length - 1
+        shape = ((place - start) * 512 + windows).astype(np.uint64)
+        hashes = T.mix(T.span_hash(prefix, start, ends) + shape * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        parts = (start + low, ends + low, windows, place + low, grams[place].view(np.int64), hashes)
+        return [(*parts, self._bands(prefix, place, place - start, windows)) if bands else parts]
+
+    def _bands(self, prefix: np.ndarray, place: np.ndarray, most: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(place), BANDS), np.uint32)
+        least = most - windows + 1  # bytes before the anchor in the last window, and ``most`` in the first
+        cuts = np.linspace(0, self.length - self.width + 1, BANDS + 1).astype(int)
+        for b, (low, high) in enumerate(zip(cuts[:-1], cuts[1:] - 1, strict=True)):
+            has = (most >= low) & (least <= high)
+            own = T.span_hash(prefix, place[has] - low, place[has] + self.length - high)
+            out[has, b] = (own >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         return out
 
 
@@ -117,9 +129,9 @@ def _count_fragments(shards: int):
         held, size = [], 0
         for batch in batches:
             for _, _, data, offsets in T.slices(batch.column(0)):
-                found = Fragments(data, offsets)
+                found = Fragments(data, offsets, bands=True)
                 if len(found.hash):
-                    held.append((found.anchor, found.hash, found.bands()))
+                    held.append((found.anchor, found.hash, found.bands))
                     size += len(found.hash)
                 if size >= TASK_FRAGMENTS:
                     yield flush(held)
@@ -155,8 +167,8 @@ def _sort_out(folder: str):
 
 
 def _doubtful_bytes(folder: str, shards: int, cells: int):
-    """Rows ``(cell, hash, bytes)`` of the fragments in doubt, once each per slice; all fragments of
-    an anchor are in one cell."""
+    """Rows ``(cell, hash, anchor, before, after)`` of the fragments in doubt, once each per slice, with
+    the bytes on both sides of the anchor; all fragments of an anchor are in one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Arrays(folder)
@@ -168,14 +180,17 @@ def _doubtful_bytes(folder: str, shards: int, cells: int):
                     keys, where = np.unique(found.hash[at], return_index=True)
                     if len(keys):
                         raw = raw or data.tobytes()
-                        spans = [raw[found.start[k]:found.end[k]] for k in at[where]]
+                        at = at[where]
+                        before = [raw[a:b] for a, b in zip(found.start[at], found.place[at], strict=True)]
+                        after = [raw[a:b] for a, b in zip(found.place[at] + ANCHOR, found.end[at], strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(shard_of(found.anchor[at[where]], cells)), pa.array(keys), pa.array(spans, pa.binary())], ["cell", "hash", "bytes"])
+                            [pa.array(shard_of(found.anchor[at], cells)), pa.array(keys), pa.array(found.anchor[at]), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                            ["cell", "hash", "anchor", "before", "after"])
 
     return run
 
 
-MARK = 255  # no byte of UTF-8
+MARK, NUMBER = 255, 254  # no bytes of UTF-8
 
 
 def column_wise_bwt(texts: list[bytes]) -> np.ndarray:
@@ -187,12 +202,14 @@ def column_wise_bwt(texts: list[bytes]) -> np.ndarray:
     with ``c`` and go on with a smaller suffix; that many ``c`` stand before the place of the
     text's last suffix in the transform so far. Gives, in the order of the sorted suffixes, each
     one's preceding byte, ``MARK`` where it is a whole text.
+
+    The bytes of the last rounds are kept apart, with their places, and join the transform when
+    they are a sixteenth of it, so it need not be written and counted anew every round.
     """
     m = len(texts)
     lengths = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum(lengths)
-    # bytes are numbered by rank among those in use, to count as few kinds as there are
     used = np.flatnonzero(np.bincount(flat, minlength=256))
     code = np.zeros(256, np.uint8)
     code[used] = np.arange(len(used))
@@ -200,34 +217,49 @@ def column_wise_bwt(texts: list[bytes]) -> np.ndarray:
     transform = np.full(m, mark, np.uint8)
     going = np.flatnonzero(lengths)
     transform[going] = flat[ends[going] - 1]
+    keys = _by_byte(transform)
+    late, late_place = transform[:0], ends[:0]
+    late_keys = _by_byte(late)
     place = np.arange(m)
     for j in range(1, int(lengths.max(initial=0)) + 1):
         going = going[lengths[going] >= j]
-        new = m + _step(transform, mark, flat[ends[going] - j], place[going])
+        first = flat[ends[going] - j].astype(np.int64) << PLACE_BITS
+        before = np.searchsorted(late_place, place[going])
+        new = m + np.searchsorted(keys, first + place[going] - before) + np.searchsorted(late_keys, first + before)
         place[going] = new
-        order = np.argsort(new, kind="stable")
-        fresh = np.zeros(len(transform) + len(going), bool)
-        fresh[new] = True
-        grown = np.empty(len(fresh), np.uint8)
-        grown[~fresh] = transform
-        following = np.where(lengths[going] == j, mark, flat[np.maximum(ends[going] - j - 1, 0)])
-        grown[new[order]] = following[order]
-        transform = grown
-    return np.append(used, MARK).astype(np.uint8)[transform]
-
-
-def _step(transform: np.ndarray, mark: int, first: np.ndarray, place: np.ndarray, block: int = 128) -> np.ndarray:
-    """How many suffixes that begin with a byte rank below ``first`` put before the suffix at ``place``:
-    all that begin with less, and as many as ``first`` stands before ``place`` in the transform."""
-    blocks, kinds = -(-len(transform) // block), mark + 1
-    rows = np.append(transform, np.full(-len(transform) % block, mark, np.uint8)).reshape(blocks, block)
-    counts = np.bincount((rows + (np.arange(blocks) * kinds)[:, None]).ravel(), minlength=blocks * kinds).reshape(blocks, kinds)
-    up_to = np.zeros((blocks + 1, kinds), np.int32)
-    np.cumsum(counts, axis=0, out=up_to[1:])
-    less = np.cumsum(up_to[-1], dtype=np.int64) - up_to[-1]
-    at = place // block
-    inside = (rows[at] == first[:, None]) & (np.arange(block) < (place % block)[:, None])
-    return less[first] + up_to[at, first] + np.count_nonzero(inside, axis=1)
+        order = np.argsort(new)
+        following = np.where(lengths[going] == j, mark, flat[np.maximum(ends[going] - j - 1, 0)]).astype(np.uint8)[order]
+        new = new[order]
+        late_place = late_place + np.searchsorted(new - np.arange(len(new)), late_place, "right")
+        late_place = np.concatenate([late_place, new])
+        order = np.argsort(late_place, kind="stable")
+        late, late_place = np.concatenate([late, following])[order], late_place[order]
+        if 16 * len(late) >= len(transform):
+            transform = _joined(transform, late, late_place)
+            keys = _by_byte(transform)
+            late, late_place = late[:0], late_place[:0]
+        late_keys = _by_byte(late)
+    return np.append(used, MARK).astype(np.uint8)[_joined(transform, late, late_place)]
+
+
+PLACE_BITS = 48
+
+
+def _by_byte(transform: np.ndarray) -> np.ndarray:
+    """Sorted pairs (byte rank, place) in one number each. How many are below one of them is what all
+    lower bytes and the equal ones before it in ``transform`` put before a suffix."""
+    order = np.argsort(transform, kind="stable")
+    return (transform[order].astype(np.int64) << PLACE_BITS) + order
+
+
+def _joined(transform: np.ndarray, late: np.ndarray, late_place: np.ndarray) -> np.ndarray:
+    """``transform`` with the bytes ``late`` put in, which are then at ``late_place``."""
+    fresh = np.zeros(len(transform) + len(late), bool)
+    fresh[late_place] = True
+    grown = np.empty(len(fresh), np.uint8)
+    grown[late_place] = late
+    grown[~fresh] = transform
+    return grown
 
 
 def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -272,21 +304,44 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarra
 BITS = -(-(LENGTH - ANCHOR + 1) // 8)
 
 
+def _numbered(anchors: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[list[bytes], int]:
+    """The fragments with the number of their anchor, behind a byte that texts don't have, in place of
+    its bytes, and how many bytes the number takes. Every window has its whole anchor, so windows
+    agree with a number in it as they do with the anchor."""
+    kinds, number = np.unique(anchors, return_inverse=True)
+    digits = 1
+    while 64 ** digits < len(kinds):
+        digits += 1
+    marks = [bytes([NUMBER, *((k >> 6 * d & 63) + 64 for d in range(digits))]) for k in range(len(kinds))]
+    return [a + marks[k] + b for a, k, b in zip(before, number.tolist(), after, strict=True)], 1 + digits
+
+
 def _resolve(folder: str):
-    """Store which windows of a cell's fragments in doubt repeat."""
+    """Store which windows of a cell's fragments in doubt repeat. Fragments of other anchors have no
+    window in common, so a collection is those of as many anchors as make ``COLLECTION_BYTES``."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("hash").sort_values("hash")
-        found = repeated_windows(list(group["bytes"]))
-        some = np.array([x.any() for x in found], bool)
-        bits = np.zeros((len(found), BITS), np.uint8)
-        for k in np.flatnonzero(some):
-            own = np.packbits(found[k])
-            bits[k, :len(own)] = own
+        group = group.drop_duplicates("hash").sort_values(["anchor", "hash"])
+        anchors, hashes = (group[c].to_numpy(np.int64) for c in ("anchor", "hash"))
+        before, after = list(group["before"]), list(group["after"])
+        sizes = np.cumsum([len(a) + len(b) for a, b in zip(before, after, strict=True)])
+        bits = np.zeros((len(group), BITS), np.uint8)
+        begin = 0
+        while begin < len(group):
+            end = int(np.searchsorted(sizes, sizes[begin] + COLLECTION_BYTES, "right"))
+            end = int(np.searchsorted(anchors, anchors[end - 1], "right"))  # the last anchor's all
+            texts, width = _numbered(anchors[begin:end], before[begin:end], after[begin:end])
+            for k, own in enumerate(repeated_windows(texts, LENGTH - ANCHOR + width), begin):
+                if own.any():
+                    own = np.packbits(own)
+                    bits[k, :len(own)] = own
+            begin = end
+        order = np.argsort(hashes)
+        order = order[bits[order].any(1)]
         cell = int(group["cell"].iloc[0])
-        store(folder, f"partial-{cell}", group["hash"].to_numpy(np.int64)[some])
-        store(folder, f"partial-bits-{cell}", bits[some])
-        return pd.DataFrame([(cell, int(some.sum()))], columns=["cell", "partial"])
+        store(folder, f"partial-{cell}", hashes[order])
+        store(folder, f"partial-bits-{cell}", bits[order])
+        return pd.DataFrame([(cell, len(order))], columns=["cell", "partial"])
 
     return run
 
@@ -322,8 +377,8 @@ def find_repeats(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Repeats:
     counted = column.mapInArrow(_count_fragments(shards), "shard bigint, anchors binary, hashes binary, counts binary, bands binary")
     sizes = stable(counted.groupBy("shard").applyInPandas(_sort_out(folder), "shard bigint, fragments bigint, repeated bigint, doubtful bigint"))
     most = sizes.agg(F.max("doubtful")).first()[0] or 0
-    cells = shards * max(1, -(-most * 2 * LENGTH // COLLECTION_BYTES))
-    doubtful = column.mapInArrow(_doubtful_bytes(folder, shards, cells), "cell bigint, hash bigint, bytes binary")
+    cells = shards * max(1, -(-most * 2 * LENGTH // CELL_BYTES))
+    doubtful = column.mapInArrow(_doubtful_bytes(folder, shards, cells), "cell bigint, hash bigint, anchor bigint, before binary, after binary")
     doubtful.groupBy("cell").applyInPandas(_resolve(folder), "cell bigint, partial bigint").agg(F.sum("partial")).collect()
     return Repeats(folder, shards, cells)
 

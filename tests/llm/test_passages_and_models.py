@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -59,6 +60,45 @@ def test_column_wise_bwt():
     assert suffix_dedup.column_wise_bwt(texts).tolist() == want
 
 
+def test_transform_is_not_rewritten_every_round(monkeypatch):
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=rng.randrange(200, 337))) for _ in range(200)]
+    written, joined = [], suffix_dedup._joined
+    monkeypatch.setattr(suffix_dedup, "_joined", lambda *x: written.append(len(joined(*x))) or joined(*x))
+    transform = suffix_dedup.column_wise_bwt(texts)
+    total = len(transform)
+    assert total == sum(map(len, texts)) + len(texts) and written[-1] == total
+    assert sum(written) < 30 * total  # every round would make about 135
+
+
+@pytest.mark.parametrize("limit", [1, 20_000, 1 << 20])
+def test_collections_by_anchor(tmp_path, monkeypatch, limit):
+    """Fragments of many anchors, in collections of one and of several anchors, against plain windows."""
+    rng = random.Random(6)
+    passages = ["".join(rng.choices("ab ", k=400)) for _ in range(90)] + ["ab" * 300, "x" * 700, "~@AB" * 150]
+    texts = ["".join(rng.choices("ab ", k=9)) + p[a:a + rng.randrange(190, 320)] + rng.choice("ab ") * 3 for p in passages for a in (0, 3, 40)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    found = suffix_dedup.Fragments(data, np.cumsum([0, *map(len, texts)]))
+    raw = data.tobytes()
+    group = pd.DataFrame({"cell": 0, "hash": found.hash, "anchor": found.anchor,
+                          "before": [raw[a:b] for a, b in zip(found.start, found.place, strict=True)],
+                          "after": [raw[a + suffix_dedup.ANCHOR:b] for a, b in zip(found.place, found.end, strict=True)]})
+    sizes = []
+    windows = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda t, n: sizes.append(sum(map(len, t))) or windows(t, n))
+    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", limit)
+    suffix_dedup._resolve(str(tmp_path))(group)
+    assert (len(sizes) > 1) == (limit < 1 << 20)
+    # a fragment found twice counts once here: its second place is known before
+    spans = {h: raw[a:b] for h, a, b in zip(found.hash.tolist(), found.start, found.end, strict=True)}
+    count = Counter(b[k:k + 200] for b in spans.values() for k in range(len(b) - 199))
+    want = {h: [count[b[k:k + 200]] > 1 for k in range(len(b) - 199)] for h, b in spans.items()}
+    keys, bits = np.load(tmp_path / "partial-0.npy"), np.load(tmp_path / "partial-bits-0.npy")
+    assert sorted(keys) == keys.tolist() == sorted(h for h, x in want.items() if any(x))
+    for h, own in zip(keys.tolist(), bits, strict=True):
+        assert np.unpackbits(own)[:len(want[h])].tolist() == want[h]
+
+
 def plain_model(texts, held):
     docs = {i: [*brute.WORD.findall(brute.lower(t or "")), None] for i, t in texts.items()}
     pairs, words = Counter(), Counter()
