@@ -1,12 +1,14 @@
 """The corpus pipeline, stage by stage, against plain versions."""
 
 import brute
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from stratamart.llm import suffix_dedup
+from stratamart.llm import minhash, suffix_dedup
 from stratamart.llm.stages import STAGE_PERCENT
+from stratamart.llm.text import slices
 from stratamart.session import stable
 
 
@@ -140,3 +142,14 @@ def test_empty_and_odd_documents(spark, tricky, small):
             given = stable(stage(spark, given, small))
         assert given.count() >= 0
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
+
+
+def test_workers_hold_arrays_of_short_runs(monkeypatch):
+    """Worker memory follows the text that is hashed at once, so that is bounded in both deduplicating stages."""
+    held, prefix_hash = [], minhash.T.prefix_hash
+    monkeypatch.setattr(minhash.T, "prefix_hash", lambda data: held.append(len(data)) or prefix_hash(data))
+    texts = pa.array([f"{k} " + "some words " * 900 for k in range(400)])
+    assert sum(stop - row for row, stop, _, _ in minhash.shingles(texts)) == 400
+    for _, _, data, offsets in slices(texts):
+        suffix_dedup.Fragments(data, offsets)
+    assert sum(held) == 2 * sum(len(t) for t in texts.to_pylist()) and max(held) <= 512 << 10
