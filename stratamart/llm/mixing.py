@@ -2,9 +2,11 @@
 
 Targets share a budget by weight; none exceeds ``max_epochs`` times its source, the excess goes to
 the others by weight. The documents of a source are shuffled once for each epoch. A copy's virtual
-finish time is its source's words up to and with it, divided by the source's target weight. The
-copies of all sources are then ordered by finish time and cut where the words reach the budget:
-within it a copy is taken whole; what the copies being served then have received is taken of them.
+finish time is its source's words up to and with it, divided by the source's target weight; it starts
+when the copy before it finishes. Starts and finishes of the copies of all sources are then sorted by
+range in one order, with the running total of the words received, and the order is cut where that total
+reaches the budget: within it a copy is taken whole; what the copies being served then have received is
+taken of them.
 
 Running sums are made in two steps, over ranges and within them, so neither a hot source nor the
 whole order meets in one task.
@@ -88,10 +90,38 @@ def running_sum(rows: DataFrame, group: list, place, order: list, value: str, na
     return joined.select("l.*", (F.col("l._inside") + F.coalesce("r._before", F.lit(0))).alias(name)).drop("_range", "_inside")
 
 
+def cut_time(copies: DataFrame, budget: float, ranges: int) -> float | None:
+    """The virtual time when the words received by all sources together reach ``budget``; the last finish
+    where they never do, none without a copy.
+
+    ``copies(source, size, target, upto)``. Until a time t a copy has received ``target * (t - start)``,
+    less ``target * (t - finish)`` once it has finished. So with the rates of the events until then
+    (``target`` from the start on, taken back at the finish) and their words (those before the copy,
+    taken back with the copy's), the words received are t times the sum of rates less the sum of words.
+    Rates are added up as decimals, so reruns agree.
+    """
+    rate = F.col("target").cast("decimal(24,6)")
+    before = F.col("upto") - F.col("size")
+    events = copies.select("source", "upto", F.explode(F.array(
+        F.struct((before / F.col("target")).alias("time"), rate.alias("rate"), before.alias("words")),
+        F.struct((F.col("upto") / F.col("target")).alias("time"), (-rate).alias("rate"), (-F.col("upto")).alias("words")))).alias("e"))
+    # the range-sort: stored, so that a task that runs again sees the same borders
+    events = stable(events.select("e.time", "source", "upto", "e.rate", "e.words").repartitionByRange(ranges, "time")
+                    .withColumn("_place", F.spark_partition_id()))
+    order = ["time", "source", "upto", "rate"]
+    total = running_sum(running_sum(events, [], F.col("_place"), order, "rate", "rates"), [], F.col("_place"), order, "words", "past")
+    received = F.col("time") * F.col("rates").cast("double") - F.col("past")
+    last = total.withColumn("received", received).where(F.col("received") <= budget).agg(
+        F.max(F.struct(*order, "received", "rates")).alias("at")).first()["at"]
+    if last is None:
+        return None
+    return last["time"] + ((budget - last["received"]) / float(last["rates"]) if last["rates"] > 0 else 0.0)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, max_epochs: int = 2, seed: int = 11,
         key: str | None = None) -> DataFrame:
     """``docs(doc_id, source, size)`` mixed: one row per document and epoch with ``taken`` > 0, with
-    ``epoch``, ``finish`` (virtual time; the budget is reached at time 1), ``source_size``, ``target``.
+    ``epoch``, ``finish`` (virtual time), ``source_size``, ``target``.
 
     Sources weigh ``weights`` in turn by code point, null last; ``budget`` is a share of all sizes.
     Rows that agree in all columns are put in order among themselves at random. Documents of size 0
@@ -109,11 +139,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1
     # sixteen leading bits of the shuffle hash, dealt into as many ranges as the source needs
     place = F.col("epoch") * (1 << 24) + F.floor(F.conv(F.substring("_hash", 1, 5), 16, 10).cast("long") * ranges / (1 << 20))
     cum = running_sum(both, ["source"], place, ["_hash", "doc_id", "size", *keys], "size", "upto")
-    timed = cum.withColumn("finish", F.col("upto") / F.col("target"))
-    # the copies by finish time, cut at the budget: all sources are served at one rate, so at the
-    # time their words make the budget each has received its target
-    served = F.least(F.col("size"), F.greatest(F.lit(0), F.round("target").cast("long") - (F.col("upto") - F.col("size"))))
-    return timed.withColumn("taken", served).where("taken > 0").drop("_hash", "docs")
+    timed = stable(cum.withColumn("finish", F.col("upto") / F.col("target")).drop("_hash", "docs"))
+    sums = targets.agg(F.sum("source_size").alias("words"), F.sum("docs").alias("docs")).first()
+    cut = cut_time(timed, budget * (sums["words"] or 0), max(1, -(-2 * max_epochs * (sums["docs"] or 0) // RANGE_ROWS)))
+    served = F.least(F.col("size"), F.greatest(F.lit(0), F.round(F.col("target") * F.lit(cut).cast("double")).cast("long") - (F.col("upto") - F.col("size"))))
+    return timed.withColumn("taken", served).where("taken > 0")
 
 
 def ordered(mixed: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratamart.llm import minhash, packing, quality_rules
+from stratamart.llm import minhash, mixing, packing, quality_rules
 from stratamart.llm.mixing import mixed_documents, source_targets
 
 DOC = "doc_id bigint, text string"
@@ -154,3 +155,37 @@ def test_mixing(spark, documents, texts, tricky):
         assert sorted(map(str, mixed_documents(df).collect())) == sorted(map(str, rows))
     sizes = {i: len(brute.WORD.findall(t or "")) for i, t in texts.items()}
     assert {r.doc_id: r["size"] for r in mixed_documents(documents).collect()} == sizes
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_cut_time(spark, ranges):
+    rng = random.Random(9)
+    target = {"a": 70.5, "b": 11.25, None: 300.0, "d": 1.5}
+    rows, totals = [], {}
+    for source, rate in target.items():
+        upto = 0
+        for _ in range(40):
+            size = rng.randrange(1, 30)
+            upto += size
+            rows.append((source, size, rate, upto))
+        totals[source] = upto
+    copies = spark.createDataFrame(rows, "source string, size long, target double, upto long")
+    for budget in (0.0, 5.0, 383.25, 1000.0, 0.9 * sum(totals.values())):
+        cut = mixing.cut_time(copies, budget, ranges)
+        assert sum(min(cut * target[s], totals[s]) for s in target) == pytest.approx(budget, abs=1e-3)
+    last = max(totals[s] / target[s] for s in target)
+    assert mixing.cut_time(copies, 2.0 * sum(totals.values()), ranges) == pytest.approx(last)
+    assert mixing.cut_time(copies.limit(0), 5.0, ranges) is None
+
+
+def test_mix_is_cut_in_the_order_of_all_sources(spark, monkeypatch):
+    rows = [(k, f"s{k % 3}", 10 + k % 7) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    seen, cut_time = [], mixing.cut_time
+    monkeypatch.setattr(mixing, "cut_time", lambda *x: seen.append(cut_time(*x)) or seen[-1] / 2)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    words = sum(r[2] for r in rows)
+    found = {r.source: (r.target, r.taken) for r in mixing.mix(docs).groupBy("source").agg(
+        F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert seen == [pytest.approx(1)] and sum(t for t, _ in found.values()) == pytest.approx(1.5 * words)
+    assert all(abs(taken - target / 2) <= 1 for target, taken in found.values())
