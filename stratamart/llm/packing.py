@@ -15,6 +15,8 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,59 +32,103 @@ RANGE_ROWS = 20_000
 CACHED_WORDS = 700_000
 
 
-_ASCII_LETTER = np.zeros(256, bool)
-_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 _LATIN_LEAD, _LATIN_LETTER = 0xC3, np.zeros(256, bool)  # U+00C0 to U+00FF but the signs of times and division
 _LATIN_LETTER[0x80:0xC0] = True
 _LATIN_LETTER[[0x97, 0xB7]] = False
 _MARKS = np.zeros(256, bool)  # not the apostrophe, which the vocabulary joins with some letters
 _MARKS[list(b".,!?;:#*$%&|+-/()")] = True
 _LONGEST_TAIL = 8
+_OTHER, _ANGLE, _HIGH = 1, 2, 4  # what a byte is if neither white space nor a letter: any, "<", beyond ASCII
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x80:] |= _HIGH
+_KIND[ord("<")] |= _ANGLE
+_KIND[T.IS_SPACE] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 0
+_KIND_OF_BYTE = _KIND.tobytes()
+
+
+def _letters_of_bytes() -> np.ndarray:
+    """The vocabulary's letter for each byte of a part of letters, Latin letters in lower case."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    letter = np.array([byte if byte in own else next(others) for byte in range(256)], "<u4")
+    letter[0x80:0x9F] = letter[0xA0:0xBF]
+    letter[10] = 10  # parts stand on lines of their own
+    return letter
+
+
+_LETTER_OF_BYTE = _letters_of_bytes()
 
 
 class WordTokens:
     """Token ids of texts, part by part: the vocabulary never joins what white space parts, nor a
     letter and a punctuation mark after it. So words lose their last marks, words whose case does
     not matter are put in lower case, and each distinct part is encoded once and kept (at most
-    ``CACHED_WORDS`` of them). Parts of letters only are encoded many at a time; the vocabulary
-    marks the last token of each."""
+    ``CACHED_WORDS`` of them) in a table of hashes with open addressing. Parts of letters only are
+    merged by the vocabulary's model alone: nothing else would change or cut them."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys = np.zeros(1 << 16, np.uint64)  # hash of the part in each slot, 0 if there is none
+        self.number = np.zeros(1 << 16, np.int32)  # its number
+        self.known = 0
+        self.begin = np.zeros(1 << 16, np.int64)  # each part's first id, by number, and the end of the last
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.used = 0
 
-    def _learn(self, hashes: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
-        k, n = len(self.index), len(hashes)
-        while self.used + len(ids) > len(self.ids):
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or the empty one where it belongs."""
+        mask = len(self.keys) - 1
+        slots = (hashes & np.uint64(mask)).astype(np.int64)
+        held = self.keys[slots]
+        taken = np.flatnonzero((held != hashes) & (held != 0))
+        while len(taken):
+            slots[taken] = (slots[taken] + 1) & mask
+            held = self.keys[slots[taken]]
+            taken = taken[(held != hashes[taken]) & (held != 0)]
+        return slots
+
+    def _enter(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Gives each of the distinct new hashes a slot."""
+        while len(hashes):
+            slots = self._slots(hashes)
+            self.keys[slots] = hashes
+            stays = self.keys[slots] == hashes  # of several in one empty slot one stays
+            self.number[slots[stays]] = numbers[stays]
+            hashes, numbers = hashes[~stays], numbers[~stays]
+
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        k, n, used = self.known, len(hashes), int(self.begin[self.known])
+        while used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + n > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.begin[k:k + n] = self.used + np.cumsum(counts) - counts
-        self.count[k:k + n] = counts
-        self.index.update(zip(hashes, range(k, k + n), strict=True))
-        self.used += len(ids)
-
-    def _encode(self, parts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        while k + n >= len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        if 2 * (k + n) > len(self.keys):
+            old, kept = self.keys, self.number
+            size = 1 << (4 * (k + n) - 1).bit_length()
+            self.keys, self.number = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._enter(old[old > 0], kept[old > 0])
+        self.ids[used:used + len(ids)] = ids
+        self.begin[k + 1:k + n + 1] = used + np.cumsum(counts)
+        self._enter(hashes, np.arange(k, k + n, dtype=np.int32))
+        self.known += n
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: bool) -> tuple[np.ndarray, np.ndarray]:
         if letters:
-            ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(parts):
-                return ids, np.diff(ends, prepend=0)
+            size = ends - starts + 1
+            stops = np.cumsum(size)
+            line = _LETTER_OF_BYTE[data[np.minimum(np.repeat(starts - stops + size, size) + np.arange(stops[-1]), len(data) - 1)]]
+            line[stops - 1] = 10
+            found = list(map(self.model.tokenize, line[:-1].tobytes().decode("utf-32-le").split("\n")))
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.uint32, counts.sum()), counts
+        raw = data.tobytes()
+        parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
@@ -93,23 +139,23 @@ class WordTokens:
         starts, ends, first = T.word_spans(data, offsets)
         if not len(starts):
             return data, starts, ends, np.zeros(0, bool), first
-        second = np.append(False, (data[:-1] == _LATIN_LEAD) & _LATIN_LETTER[data[1:]])
-        letter = _ASCII_LETTER[data] | second
-        letter[:-1] |= second[1:]
+        kind = np.frombuffer(data.tobytes().translate(_KIND_OF_BYTE), np.uint8).copy()
+        lead = np.flatnonzero(data[:-1] == _LATIN_LEAD)
+        lead = lead[_LATIN_LETTER[data[lead + 1]]]
+        kind[lead] = kind[lead + 1] = 0
+        held = np.bitwise_or.reduceat(kind, starts)  # of the word, as white space adds nothing
+        plain = held & _ANGLE == 0  # no "<": a special token may be spelled there
+        odd = held & (_ANGLE | _HIGH) > 0
 
-        def share(flags: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            total = np.zeros(len(data) + 1, np.int32)
-            np.cumsum(flags, out=total[1:])
-            return total[high] - total[low]
-
-        plain = share(data == 60, starts, ends) == 0  # no "<": a special token may be spelled there
         stop = ends.copy()
-        mark = _MARKS[data]
+        live = np.flatnonzero(held)
         for _ in range(_LONGEST_TAIL):
-            stop -= (stop - 1 > starts) & mark[stop - 1]
-        cut = plain & (stop < ends) & (letter[stop - 1] | _DIGIT[data[stop - 1]])
-        stop[~cut] = ends[~cut]
-        odd = ~(plain & (share((data >= 0x80) & ~letter, starts, ends) == 0))
+            last = stop[live] - 1
+            live = live[(last > starts[live]) & _MARKS[data[last]]]
+            stop[live] -= 1
+        cut = np.flatnonzero(plain & (stop < ends))
+        before = data[stop[cut] - 1]
+        cut = cut[(kind[stop[cut] - 1] == 0) | ((before >= 48) & (before <= 57))]
         if odd.any():
             edge = np.zeros(len(data) + 1, np.int32)
             edge[starts[odd]] += 1
@@ -117,32 +163,38 @@ class WordTokens:
             data = np.where(np.cumsum(edge[:-1]) > 0, data, T.lower(data))
         else:
             data = T.lower(data)
-        at = np.arange(len(starts)) + np.cumsum(cut) - cut
-        lows, highs = np.empty(len(starts) + int(cut.sum()), np.int64), np.empty(len(starts) + int(cut.sum()), np.int64)
-        lows[at], highs[at] = starts, stop
-        lows[at[cut] + 1], highs[at[cut] + 1] = stop[cut], ends[cut]
-        return data, lows, highs, share(letter, lows, highs) == highs - lows, np.append(at, len(lows))[first]
+        letters = held == 0
+        if len(cut):
+            letters[cut] = np.bitwise_or.reduceat(kind, np.stack([starts[cut], stop[cut]], 1).ravel())[::2] == 0
+            lows, highs, letters = np.insert(starts, cut + 1, stop[cut]), np.insert(ends, cut, stop[cut]), np.insert(letters, cut + 1, False)
+            first = first + np.searchsorted(cut, first)
+        else:
+            lows, highs = starts, ends
+        return data, lows, highs, letters, first
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the bounds of each text in them."""
         data, starts, ends, letters, first = self.parts(data, offsets)
-        distinct, where, which = np.unique(T.span_hash(T.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        if len(self.index) + len(distinct) > CACHED_WORDS:
+        hashes = np.maximum(T.span_hash(T.prefix_hash(data), starts, ends), 1)
+        slots = self._slots(hashes)
+        unknown = np.flatnonzero(self.keys[slots] == 0)
+        distinct, where = np.unique(hashes[unknown], return_index=True)
+        if self.known and self.known + len(distinct) > CACHED_WORDS:
             self._clear()
-        keys = distinct.tolist()
-        new = np.array([i for i, h in enumerate(keys) if h not in self.index], np.int64)
-        raw = data.tobytes()
+            unknown = np.arange(len(hashes))
+            distinct, where = np.unique(hashes, return_index=True)
+        new = unknown[where]
         for kind in (True, False):
-            missing = new[letters[where[new]] == kind] if len(new) else new
+            missing = np.flatnonzero(letters[new] == kind)
             for k in range(0, len(missing), 5_000):
                 part = missing[k:k + 5_000]
-                words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[part]].tolist(), ends[where[part]].tolist(), strict=True)]
-                self._learn([keys[i] for i in part.tolist()], *self._encode(words, kind))
-        at = np.fromiter((self.index[h] for h in keys), np.int64, len(keys))[which]
-        counts = self.count[at]
+                self._learn(distinct[part], *self._encode(data, starts[new[part]], ends[new[part]], kind))
+        at = self.number[self._slots(hashes) if len(new) else slots]
+        begin = self.begin[at]
+        counts = self.begin[at + 1] - begin
         bounds = np.zeros(len(at) + 1, np.int64)
         np.cumsum(counts, out=bounds[1:])
-        ids = self.ids[np.repeat(self.begin[at] - bounds[:-1], counts) + np.arange(bounds[-1])]
+        ids = self.ids[np.repeat(begin - bounds[:-1], counts) + np.arange(bounds[-1])]
         return ids, bounds[first]
 
 
@@ -188,37 +240,45 @@ def patterns(classes: list[int], full: int) -> np.ndarray:
     return np.stack([low, middle, high], 1)[present[high]]
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Non-negative least squares by the active-set method of Lawson and Hanson."""
-    m, n = a.shape
+def nnls(rows: np.ndarray, values: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Non-negative least squares by the active-set method of Lawson and Hanson. Column ``k`` has
+    ``values[k]`` in ``rows[k]`` and 0 elsewhere; values of a repeated row are added up."""
+    m, n = len(b), len(rows)
     x, active = np.zeros(n), np.zeros(n, bool)
+    chosen: list[int] = []  # the active columns as the columns of `part`, their products in `gram`
+    part, gram = np.zeros((m, 0)), np.zeros((0, 0))
     tolerance = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(rounds or 3 * m):
-        gain = a.T @ (b - a @ x)
+        gain = (values * (b - part @ x[chosen])[rows]).sum(1)
         gain[active] = -np.inf
         best = int(np.argmax(gain)) if n else 0
         if not n or gain[best] <= tolerance:
             break
+        column = np.zeros((m, 1))
+        np.add.at(column[:, 0], rows[best], values[best])
+        side = part.T @ column
+        part, gram = np.hstack([part, column]), np.block([[gram, side], [side.T, column.T @ column]])
+        chosen.append(best)
         active[best] = True
         while True:
-            columns = np.flatnonzero(active)
-            part = a[:, columns]
-            s = np.linalg.lstsq(part.T @ part + 1e-10 * np.eye(len(columns)), part.T @ b, rcond=None)[0]
+            s = np.linalg.solve(gram + 1e-10 * np.eye(len(chosen)), part.T @ b)
             if s.min() > 0:
-                x[:] = 0
-                x[columns] = s
+                x[chosen] = s
                 break
             low = s <= 0
-            old = x[columns]
+            old = x[chosen]
             step = np.min(old[low] / np.maximum(old[low] - s[low], 1e-300))
-            x[columns] = np.maximum(old + step * (s - old), 0)
-            gone = columns[low & (x[columns] <= tolerance)]
-            x[gone] = 0
-            active[gone] = False
-            if not len(gone):
-                active[best] = False
+            x[chosen] = np.maximum(old + step * (s - old), 0)
+            gone = low & (x[chosen] <= tolerance)
+            left = np.flatnonzero(~gone)
+            for k in np.flatnonzero(gone):
+                x[chosen[k]], active[chosen[k]] = 0, False
+            chosen, part, gram = [chosen[k] for k in left], part[:, left], gram[np.ix_(left, left)]
+            if not gone.any():
                 x[best] = 0
                 return x
+            if not chosen:
+                break
     return x
 
 
@@ -247,14 +307,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = CLASS
         classes[up(n)].append(n)
     triples = patterns(sorted(classes), full) if capacity % width == 0 else np.zeros((0, 3), int)
     if len(triples):
-        rows = {c: i for i, c in enumerate(sorted(classes))}
-        a = np.zeros((len(rows), len(triples)))
-        for column in triples.T:
-            some = np.flatnonzero(column)
-            np.add.at(a, (np.array([rows[c] for c in column[some]], int), some), 1.0)
-        b = np.array([sum(left[n] for n in classes[c]) for c in rows], float)
-        weight = np.array([max(c / full, 0.05) for c in rows])  # a long piece left over costs more
-        repeats = nnls(a * weight[:, None], b * weight, rounds=2 * len(rows))
+        present = np.array(sorted(classes))
+        b = np.array([sum(left[n] for n in classes[c]) for c in present.tolist()], float)
+        weight = np.maximum(present / full, 0.05)  # a long piece left over costs more
+        rows = np.searchsorted(present, triples) * (triples > 0)
+        repeats = nnls(rows, weight[rows] * (triples > 0), b * weight, rounds=2 * len(present))
         for k in np.argsort(-repeats, kind="stable"):
             times = int(repeats[k] + 1e-6)
             if not times:
