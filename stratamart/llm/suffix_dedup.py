@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamart.llm import text as T
-from stratamart.llm.arrays import Arrays, local_path, packed, runs, shard_of, store, summed
-from stratamart.session import scratch_path, stable
+from stratamart.llm.arrays import Arrays, local_path, runs, shard_of, store, summed
+from stratamart.session import scratch_path
 
 LENGTH, ANCHOR = 200, 64
 SHARD_BYTES = 32 << 20
@@ -112,17 +112,27 @@ class Fragments:
         return out
 
 
+def _cut_at(bounds: np.ndarray, items: np.ndarray) -> pa.Array:
+    """The bytes of the items between bounds, one value each, in the memory of ``items``."""
+    offsets = (bounds * (items.nbytes // len(items))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(items)])
+
+
 def _count_fragments(shards: int):
     """Rows ``(shard, anchors, hashes, counts, bands)`` of the distinct fragments of a task's texts."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         anchor, hashes, bands = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, where, (counts,) = summed(hashes, np.ones(len(hashes), np.int8))
-        anchor = anchor[where]
-        columns = [anchor, keys, np.minimum(counts, 2).astype(np.int8), bands[where]]
-        rows = [(s, *parts) for s, parts in packed(shard_of(anchor, shards), columns)]
+        held.clear()  # the arrays are large, and a worker keeps the room that it once took
+        _, where, (counts,) = summed(hashes, np.ones(len(hashes), np.int8))
+        shard = shard_of(anchor[where], shards)
+        order = np.argsort(shard, kind="stable")
+        where, shard = where[order], shard[order]
+        begins = np.array([s for s, _ in runs(shard)])
+        bounds = np.append(begins, len(shard))
+        columns = (np.minimum(counts, 2).astype(np.int8)[order] if c is None else c[where] for c in (anchor, hashes, None, bands))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)],
+            [pa.array(shard[begins]), *(_cut_at(bounds, c) for c in columns)],
             ["shard", "anchors", "hashes", "counts", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +145,7 @@ def _count_fragments(shards: int):
                     size += len(found.hash)
                 if size >= TASK_FRAGMENTS:
                     yield flush(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield flush(held)
 
@@ -355,7 +365,7 @@ class Repeats:
     def cover(self, marks: Arrays, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which bytes of the texts lie in a repeated window."""
         found = Fragments(data, offsets)
-        edge = np.zeros(len(data) + 1, np.int64)
+        edge = np.zeros(len(data) + 1, np.int32)
         for _, at, _ in marks.places("repeated", shard_of(found.anchor, self.shards), found.hash):
             np.add.at(edge, found.start[at], 1)
             np.add.at(edge, found.end[at], -1)
@@ -364,7 +374,7 @@ class Repeats:
             row, window = np.nonzero(bits)
             np.add.at(edge, found.start[at][row] + window, 1)
             np.add.at(edge, found.start[at][row] + window + LENGTH, -1)
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge, out=edge)[:-1] > 0
 
 
 def find_repeats(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Repeats:
@@ -375,14 +385,21 @@ def find_repeats(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Repeats:
     shards = max(1, -(-size // shard_bytes))
     folder = local_path(scratch_path(spark, "repeats"))
     counted = column.mapInArrow(_count_fragments(shards), "shard bigint, anchors binary, hashes binary, counts binary, bands binary")
-    sizes = stable(counted.groupBy("shard").applyInPandas(_sort_out(folder), "shard bigint, fragments bigint, repeated bigint, doubtful bigint"))
-    most = sizes.agg(F.max("doubtful")).first()[0] or 0
+    sizes = counted.groupBy("shard").applyInPandas(_sort_out(folder), "shard bigint, fragments bigint, repeated bigint, doubtful bigint")
+    most = sizes.agg(F.max("doubtful")).first()[0] or 0  # asked once, so not stored
     cells = shards * max(1, -(-most * 2 * LENGTH // CELL_BYTES))
     doubtful = column.mapInArrow(_doubtful_bytes(folder, shards, cells), "cell bigint, hash bigint, anchor bigint, before binary, after binary")
     doubtful.groupBy("cell").applyInPandas(_resolve(folder), "cell bigint, partial bigint").agg(F.sum("partial")).collect()
     return Repeats(folder, shards, cells)
 
 
+def _counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of each text's flags are set."""
+    total = np.zeros(len(flags) + 1, np.int32)  # a slice has fewer than 2 GB
+    np.cumsum(flags, out=total[1:])
+    return np.diff(total[offsets]).astype(np.int64)
+
+
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs(doc_id, text)``.
 
@@ -401,10 +418,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                 begins[1:] &= ~cover[:-1]
                 heads = offsets[:-1][np.diff(offsets) > 0]
                 begins[heads] = cover[heads]
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (cover, begins)]
                 kept = [hashlib.sha256(data[a:b][~cover[a:b]].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, stop - row), pa.array(np.diff(offsets)), *(pa.array((x[offsets[1:]] - x[offsets[:-1]]).astype(np.int64)) for x in sums), pa.array(kept)],
+                    [batch.column(0).slice(row, stop - row), pa.array(np.diff(offsets)), *(pa.array(_counts(x, offsets)) for x in (cover, begins)), pa.array(kept)],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -19,13 +19,14 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = (1 << 64) - 1
+POWERS_STEP = 1 << 18  # the tables stay in a worker, so they grow with what is asked
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse modulo 2^64."""
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = -(-n // POWERS_STEP) * POWERS_STEP
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             table = np.empty(size, np.uint64)
             table[0] = 1

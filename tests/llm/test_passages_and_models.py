@@ -3,8 +3,11 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -52,6 +55,44 @@ def test_repeated_bytes_tricky(spark, tricky):
     assert kept.columns == tricky.columns and kept.count() == tricky.count()
 
 
+def test_repeats_store_arrays_only(spark, documents):
+    """An executor that writes a table starts a process for every file's rights; counts asked once need no table."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "stratamart"
+    before = set(shared.glob("*")) if shared.exists() else set()
+    suffix_dedup.find_repeats(documents)
+    assert [p.name.split("-")[0] for p in set(shared.glob("*")) - before] == ["repeats"]
+
+
+def test_workers_of_passages_hold_little(tmp_path, monkeypatch):
+    """A worker keeps the room it once took: arrays are given on without copies, counts have 32 bits."""
+    monkeypatch.setattr(suffix_dedup.T, "_powers", [np.ones(1, np.uint64)] * 2)
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)[np.random.default_rng(7).integers(0, 16, 12 << 20)]
+    batch = pa.record_batch({"doc_id": range(96), "text": [t.tobytes().decode() for t in letters.reshape(96, -1)]})
+
+    def most(run, given):
+        tracemalloc.start()
+        try:
+            return list(run(iter([given]))), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    found, counted = most(suffix_dedup._count_fragments(3), batch.select(["text"]))
+    (rows,) = found
+    fragments = sum(len(x) for x in rows.column("counts").to_pylist())
+    assert rows.column("shard").to_pylist() == [0, 1, 2]
+    assert [len(x) // 8 for x in rows.column("hashes").to_pylist()] == [len(x) // 32 for x in rows.column("bands").to_pylist()]
+    assert counted < 300 * fragments  # of 49 bytes each, with the tables of powers and what a run takes
+    assert len(suffix_dedup.T._powers[0]) <= 1 << 19
+
+    repeats = suffix_dedup.Repeats(str(tmp_path), 1, 1)
+    monkeypatch.setattr(suffix_dedup, "find_repeats", lambda docs: repeats)
+    docs = SimpleNamespace(select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    run = suffix_dedup.repeated_bytes(docs)
+    found, marked = most(run, batch)
+    assert sum(b.num_rows for b in found) == 96
+    assert marked < 20 * suffix_dedup.T.SLICE_BYTES
+
+
 def test_column_wise_bwt():
     texts = [b"banana", b"ananas", b"", b"nab", b"banana"]
     suffixes = sorted(((tuple(t[p:]), 0 if p == len(t) else 1, i, p) for i, t in enumerate(texts) for p in range(len(t) + 1)),
