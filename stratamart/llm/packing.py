@@ -198,19 +198,15 @@ class WordTokens:
         return ids, bounds[first]
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every row of ``docs(doc_id, text)``: its ids
     and then ``end_id``, cut every ``capacity`` ids. A null or empty text is its end alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _tokens:
-            _tokens[tokenizer] = WordTokens(tokenizer)
+        tokens = T.kept(("packing", tokenizer), lambda: WordTokens(tokenizer))
         for batch in batches:
-            for row, stop, data, offsets in T.slices(batch.column(1)):
-                ids, bounds = _tokens[tokenizer].encode(data, offsets)
+            for row, stop, data, offsets in T.slices(batch.column(1), T.RUN_BYTES):
+                ids, bounds = tokens.encode(data, offsets)
                 which, piece, start, length, crc = [], [], [], [], []
                 for k in range(stop - row):
                     own = np.append(ids[bounds[k]:bounds[k + 1]], np.uint32(end_id)).astype("<u4")

@@ -102,8 +102,9 @@ def document_statistics(docs: DataFrame, key: str | None = None) -> DataFrame:
     extra = [key] if key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.kept(None)
         for batch in batches:
-            for row, stop, data, offsets in T.slices(batch.column(1)):
+            for row, stop, data, offsets in T.slices(batch.column(1), T.RUN_BYTES):
                 found = statistics(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, stop - row), *(pa.array(found[c].astype(np.int64 if c in COUNTS else np.float64)) for c in _NAMES),

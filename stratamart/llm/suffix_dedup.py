@@ -136,6 +136,7 @@ def _count_fragments(shards: int):
             ["shard", "anchors", "hashes", "counts", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.kept(None)
         held, size = [], 0
         for batch in batches:
             for _, _, data, offsets in T.slices(batch.column(0)):

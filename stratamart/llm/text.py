@@ -7,12 +7,13 @@ Hashes are 64 bits: polynomial over the bytes modulo 2^64, then mixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+RUN_BYTES = 512 << 10  # of text at once where all its words are hashed: their arrays stay small
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,6 +40,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(owner: object, make: Callable[[], object] | None = None) -> object:
+    """What ``owner`` keeps in a worker between tasks, made when first asked for. Spark gives a worker
+    to one operator after the other, so what another has kept there goes; without ``make`` all of it."""
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    if make is None:
+        return None
+    if owner not in _kept:
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit (the finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

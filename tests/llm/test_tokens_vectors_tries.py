@@ -17,6 +17,7 @@ from tricky_texts import TRICKY
 
 import __spark_entry__ as entry
 from stratamart.llm import byte_bpe, prefix_trie, whitening
+from stratamart.llm import text as T
 from stratamart.llm.queries import RANKS
 
 
@@ -262,3 +263,14 @@ def test_trie_sql(spark, small):
     names = "conv_id, depth, coalesce(parent_conv_id, -1), n_convs, n_children, n_leaves, saved_tokens, ends_sha256"
     got = sorted(con.execute(f"SELECT {names} FROM ({entry.oracle_sql()['op13_prefix_trie']})").fetchall())
     assert got == brute.trie(con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall())
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    made = []
+    first = T.kept("a", lambda: made.append("a") or [1])
+    assert T.kept("a", lambda: made.append("again") or [2]) is first
+    T.kept("b", lambda: made.append("b") or [3])
+    assert T.kept("a", lambda: made.append("a") or [4]) == [4] and made == ["a", "b", "a"]
+    T.kept(None)
+    assert T.kept("a", lambda: [5]) == [5]
+    T.kept(None)
