@@ -34,7 +34,6 @@ from stratamart.session import stable
 WORDS, PERCENT = 5, 85
 COORDINATES, SIGNATURE = 32, 128
 BLOCK = 256
-RUN_BYTES = 512 << 10  # of text at once: the arrays of all its words stay small
 
 
 def sure_matches(coordinates: int, p: float, chance: float = 1e-5) -> int:
@@ -71,7 +70,7 @@ _seeds = np.random.default_rng(20240601).integers(0, 1 << 63, (2, SIGNATURE), np
 
 def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, past the last row, shingle hashes, bounds)``, repeats included."""
-    for row, stop, data, offsets in T.slices(column, RUN_BYTES):
+    for row, stop, data, offsets in T.slices(column, T.RUN_BYTES):
         data = T.lower(data)
         starts, ends, first = T.word_spans(data, offsets)
         words = T.span_hash(T.prefix_hash(data), starts, ends)
@@ -91,6 +90,7 @@ def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    T.kept(None)
     for batch in batches:
         ids = batch.column(0)
         for row, stop, hashes, bounds in shingles(batch.column(1)):
