@@ -50,14 +50,18 @@ def counted_up(df: DataFrame, keys: Sequence[Column | str], chain: dict[str, str
 
     Each column of the chain must determine the next one (a return its order, an order its
     customer). Rows are grouped by the whole chain first and then by ever less of it, so every step
-    adds up what the one before counted: no row is multiplied for a distinct count, a hot group is
-    spread over its chain values, and all steps are combined on the map side.
+    adds up what the one before counted: no row is multiplied for a distinct count. All rows are
+    shuffled once, as plain values: dealt by group and last chain column, which spreads a hot group,
+    they lie right for every step but the last, and that one is combined on the map side.
     """
     columns, names = list(chain.values()), list(chain)
     groups = [F.col(k) if isinstance(k, str) else k for k in keys]
-    found = df.groupBy(*groups, *columns).agg(*[_COMBINED[kind][0](c).alias(n) for n, (kind, c) in measures.items()])
+    inputs = {c if isinstance(c, str) else n: F.col(c) if isinstance(c, str) else c for n, (_, c) in measures.items()}
+    rows = df.select(*groups, *[F.col(c).alias(f"_of_{c}") for c in columns], *[c.alias(f"_in_{n}") for n, c in inputs.items()])
+    groups, columns = rows.columns[:len(keys)], [f"_of_{c}" for c in columns]
+    found = rows.repartition(*groups, columns[-1]).groupBy(*groups, *columns).agg(*[
+        _COMBINED[kind][0](f"_in_{c if isinstance(c, str) else n}").alias(n) for n, (kind, c) in measures.items()])
     types = {f.name: f.dataType for f in found.schema.fields}
-    groups = found.columns[:len(keys)]
     for i, column in enumerate(columns):
         counts = [F.sum(n).alias(n) for n in names[:i]] + [F.count(column).alias(names[i])]
         sums = [_COMBINED[kind][1](n).cast(types[n]).alias(n) for n, (kind, _) in measures.items()]

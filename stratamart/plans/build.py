@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from stratamart.operators.history import records_from_log, write_runs
 from stratamart.operators.materialize import Warehouse
 from stratamart.plans.context import MODELS, MartContext
+from stratamart.session import freed_shuffles
 
 LOG = "run_id string, model string, execution_time double, timestamp string, status string, error string"
 LAYERS = ("bronze", "silver", "gold")
+# where a staged view reads more bytes of files than this, models are stored one at a time
+AT_ONCE_BYTES = 64 << 20
 
 
 class StoredContext(MartContext):
@@ -59,23 +62,41 @@ class StoredContext(MartContext):
         return rows
 
 
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables that a plan reads, by Spark's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def one_by_one() -> list[str]:
+    """The models in the order in which least is on disk: those that shuffle most come first, while little
+    is stored, and each after what it reads."""
+    ordered = sorted(MODELS.values(), key=lambda m: (m.layer != "bronze", -m.priority, LAYERS.index(m.layer)))
+    return [m.name for m in ordered]
+
+
 def build_models(source, as_of: date, warehouse: Warehouse, names: Sequence[str] | None = None,
                  runs_path: str | None = None, parallel: int = 8) -> DataFrame:
     """Store the named models and what they depend on, by default all. Returns the run record.
 
-    Models of one layer are independent of each other and submitted together, so one model's
-    small last stage does not leave the cluster idle. The first failure ends the run; it is
-    recorded like the rest.
+    Models of one layer are independent of each other. Small ones are submitted together, so one model's
+    small last stage does not leave the cluster idle. Large ones are stored one at a time, since the
+    shuffles of all that run are on disk together; a model's go as soon as it is stored. The first
+    failure ends the run; it is recorded like the rest.
     """
     ctx = StoredContext(source, as_of, warehouse)
     spark = warehouse.spark
     try:
-        if names is not None:
-            for name in names:
-                ctx.ref(name)
-        else:
-            with ThreadPoolExecutor(parallel) as pool:
-                for layer in LAYERS:
+        with freed_shuffles(spark), ThreadPoolExecutor(parallel) as pool:
+            if names is None:
+                staged = list(pool.map(ctx.ref, [m.name for m in MODELS.values() if m.layer == LAYERS[0]]))
+                if max(map(read_bytes, staged)) > AT_ONCE_BYTES:
+                    names = one_by_one()
+            if names is not None:
+                for name in names:
+                    ctx.ref(name)
+            else:
+                for layer in LAYERS[1:]:
                     list(pool.map(ctx.ref, [m.name for m in MODELS.values() if m.layer == layer]))
     finally:
         log = spark.createDataFrame(ctx.log, LOG)

@@ -15,8 +15,8 @@ from stratamart.plans.context import MartContext, model
 from stratamart.plans.silver import banded
 
 
-def fact(*layout: str):
-    return model("gold", "table", layout=layout)
+def fact(*layout: str, **config):
+    return model("gold", "table", layout=layout, **config)
 
 
 def calendar(ts: str, prefix: str, *parts: str) -> list[Column]:
@@ -39,7 +39,7 @@ def fct_orders(ctx: MartContext) -> DataFrame:
         banded(F.col("total_amount"), tiers, "Low Value").alias("order_value_tier"))
 
 
-@fact("sale_year")
+@fact("sale_year", priority=1)
 def fct_sales_performance(ctx: MartContext) -> DataFrame:
     sold = ctx.ref("int_order_details").where(F.col("order_status") == "completed")
     daily = counted_up(
@@ -76,7 +76,7 @@ def fct_inventory_metrics(ctx: MartContext) -> DataFrame:
     )
 
 
-@fact("return_year")
+@fact("return_year", priority=2)
 def fct_customer_returns(ctx: MartContext) -> DataFrame:
     days = "days_to_return"
     grouped = counted_up(
@@ -134,7 +134,7 @@ def fct_marketing_roi(ctx: MartContext) -> DataFrame:
     )
 
 
-@fact("ship_year")
+@fact("ship_year", priority=2)
 def fct_shipping_logistics(ctx: MartContext) -> DataFrame:
     delivered = ctx.ref("int_shipment_tracking").where(F.col("shipment_status") == "delivered")
     took = "actual_delivery_days"

@@ -68,14 +68,15 @@ def int_inventory_summary(ctx: MartContext) -> DataFrame:
         (F.col("stock_quantity") * F.col("unit_price")).alias("inventory_value"), "last_updated")
 
 
-@incremental("order_date")
+@incremental("order_date", priority=5)
 def int_order_details(ctx: MartContext) -> DataFrame:
     product = ctx.ref("stg_products").select("product_id", "product_name",
                                              F.col("category").alias("product_category"),
                                              F.col("cost").alias("unit_cost"))
     order = ctx.ref("stg_orders").select("order_id", "customer_id", "order_date",
                                          F.col("status").alias("order_status"))
-    lines = ctx.ref("stg_order_items").join(product, "product_id").join(order, "order_id")
+    # what products add is wide: they are joined last, so that no shuffle carries it
+    lines = ctx.ref("stg_order_items").join(order, "order_id").join(product, "product_id")
     return lines.select(
         "order_item_id", "order_id", "customer_id", "order_date", "order_status", "product_id", "product_name",
         "product_category", "quantity", "unit_price", "line_total", "unit_cost",
@@ -110,7 +111,7 @@ def int_promo_utilization(ctx: MartContext) -> DataFrame:
     })
 
 
-@incremental("return_date")
+@incremental("return_date", priority=2)
 def int_return_analysis(ctx: MartContext) -> DataFrame:
     order = ctx.ref("stg_orders").select("order_id", "customer_id", "order_date")
     customer = ctx.ref("stg_customers").select("customer_id", "customer_name")
@@ -131,20 +132,21 @@ def int_sales_commissions(ctx: MartContext) -> DataFrame:
         whole_days("paid_date", "order_date").alias("days_to_pay_commission"))
 
 
-@incremental("ship_date")
+@incremental("ship_date", priority=3)
 def int_shipment_tracking(ctx: MartContext) -> DataFrame:
     order = ctx.ref("stg_orders").select("order_id", "customer_id")
     carrier = ctx.ref("stg_carriers").select("carrier_id", "carrier_name", "carrier_rating")
     warehouse = ctx.ref("stg_warehouses").select("warehouse_id", "warehouse_name")
-    parcels = ctx.ref("stg_shipments").join(carrier, "carrier_id").join(warehouse, "warehouse_id")
-    return parcels.join(order, "order_id").select(
+    # parcels made from order lines come dealt by order, so the join with the orders goes first
+    parcels = ctx.ref("stg_shipments").join(order, "order_id")
+    return parcels.join(carrier, "carrier_id").join(warehouse, "warehouse_id").select(
         "shipment_id", "order_id", "customer_id", "carrier_id", "carrier_name", "carrier_rating", "warehouse_id",
         "warehouse_name", "tracking_number", "ship_date", "estimated_delivery", "actual_delivery",
         "shipment_status", "delivery_performance",
         whole_days("actual_delivery", "ship_date").alias("actual_delivery_days"))
 
 
-@incremental("po_date")
+@incremental("po_date", priority=4)
 def int_supplier_orders(ctx: MartContext) -> DataFrame:
     supplier = ctx.ref("stg_suppliers").select("supplier_id", "supplier_name", "supplier_country",
                                                "supplier_rating")

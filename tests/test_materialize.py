@@ -1,5 +1,6 @@
 from datetime import timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from table_rows import rows
 from pyspark.sql import functions as F
@@ -291,3 +292,11 @@ def test_interleaved_columns_let_filters_on_each_skip_files(spark, warehouse):
     assert warehouse.read("u").count() == 20_000
     with pytest.raises(ValueError, match="no order"):
         warehouse.write("v", df.selectExpr("struct(id) AS s"), interleave=["s"], files=2)
+
+
+@pytest.mark.parametrize("parts", [(), ("part",)])
+def test_tables_are_stored_compressed(spark, warehouse, tmp_path, parts):
+    warehouse.write("t", table(spark, (1, "a", 1)), partition_by=parts)
+    warehouse.write("t", table(spark, (2, "b", 2)), "append")
+    written = [pq.ParquetFile(f).metadata for f in (tmp_path / "tables").rglob("*.parquet")]
+    assert [m.row_group(0).column(0).compression for m in written if m.num_rows] == ["ZSTD", "ZSTD"]

@@ -2,15 +2,17 @@
 
 from datetime import date, datetime
 from decimal import Decimal
+from glob import glob
 
 import pytest
 from table_rows import rows
 
 from stratamart.operators.history import read_runs
 from stratamart.operators.materialize import Warehouse
-from stratamart.plans import MODELS, MartContext
+from stratamart.plans import MODELS, MartContext, build
 from stratamart.plans.build import build_models
 from stratamart.plans.examples import taxed_orders
+from stratamart.session import FREE_SHUFFLES
 from stratamart.sources import RAW_TABLES, Tables, raw_source
 
 D = Decimal
@@ -135,3 +137,53 @@ def test_models_in_a_circle_are_named(spark, monkeypatch):
         monkeypatch.setitem(MODELS, name, Model(name, lambda ctx, other=other: ctx.ref(other), "silver"))
     with pytest.raises(ValueError, match="first -> second -> first"):
         MartContext(lambda _: None, date(2024, 1, 1)).ref("first")
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {path for folder in disk.localDirsString() for path in glob(f"{folder}/*/shuffle_*.data")}
+
+
+def test_a_run_leaves_no_shuffle_files(spark, small, tmp_path):
+    before, setting = shuffle_files(spark), spark.conf.get(FREE_SHUFFLES)
+    w = Warehouse(spark, "t_build_freed", str(tmp_path / "w"))
+    build_models(raw_source(Tables(spark, small)), date(2001, 8, 1), w, ["fct_orders", "int_supplier_orders"])
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(FREE_SHUFFLES) == setting
+
+
+def test_large_models_are_stored_one_at_a_time(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(build, "AT_ONCE_BYTES", 0)
+    stored, running, most = [], set(), 0
+
+    class Watched(Warehouse):
+        def write(self, table, *args, **kwargs):
+            nonlocal most
+            running.add(table)
+            most = max(most, len(running))
+            shown = super().write(table, *args, **kwargs)
+            running.remove(table)
+            stored.append(table)
+            return shown
+
+    w = Watched(spark, "t_build_turns", str(tmp_path / "w"))
+    record = build_models(raw_source(Tables(spark, small)), date(2001, 8, 1), w).first()
+    assert most == 1 and record.summary.successes == len(MODELS)
+    assert stored == [n for n in build.one_by_one() if MODELS[n].layer != "bronze"]
+
+
+def test_models_come_after_what_they_read(spark, small):
+    class Noting(MartContext):
+        reads = []
+
+        def ref(self, name):
+            self.reads.append(name)
+            return super().ref(name)
+
+    order = build.one_by_one()
+    assert sorted(order) == sorted(MODELS)
+    for name, model in MODELS.items():
+        ctx = Noting(raw_source(Tables(spark, small)), date(2001, 8, 1))
+        ctx.reads = []
+        model.build(ctx)
+        assert all(order.index(r) < order.index(name) for r in ctx.reads)

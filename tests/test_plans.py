@@ -5,6 +5,7 @@ import re
 import pytest
 
 from stratamart.checks import CHECKS
+from stratamart.operators.aggregates import counted_up
 
 
 def plan(spark, name, folder):
@@ -55,3 +56,22 @@ def test_distinct_counts_multiply_no_row(spark, small, name):
 def test_summaries_rank_nothing(spark, small):
     for name in ("demo_proposal_summary", "demo_proposal_insights"):
         assert "row_number" not in plan(spark, name, small)
+
+
+def test_facts_are_shuffled_once_for_their_distinct_counts(spark, tmp_path):
+    kind = "day date, kind string, item bigint, parent bigint, top bigint, v decimal(10,2)"
+    spark.createDataFrame([], kind).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.schema(kind).parquet(str(tmp_path / "rows"))
+    counted = counted_up(rows, ["day", "kind"], {"items": "item", "parents": "parent", "tops": "top"}, {"sum": ("sum", "v")})
+    text = counted._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange \w+", text)) == 2  # all rows, and one row per group and task
+
+
+def test_parcels_are_dealt_by_order_once(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3k")  # more than carriers and warehouses have, less than suppliers
+    try:
+        text = plan(spark, "int_shipment_tracking", small)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", text)
+    assert sorted(dealt) == ["l_orderkey", "l_suppkey", "o_orderkey", "order_id", "s_suppkey"], text
